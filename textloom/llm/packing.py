@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import defaultdict
+from bisect import bisect_right, insort
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +20,14 @@ from .common import small_batches
 LENGTH = 4096
 END = 2
 WINDOW = 1024
-#: Distinct words whose ids a worker keeps.
-CACHE = 300_000
+#: Distinct chunks whose ids a worker keeps; when there are more, those met once go, and if need be the rarer of the others.
+CACHE = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: White space to Python's split, not to the tokenizer: a text with any of these is one chunk.
 ODD = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case may depend on their place or length; texts with any are left as they are.
+OTHER = re.compile("[^\x00-\u012f]")
 _known: dict = {}
 
 
@@ -36,73 +40,101 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Token ids of whole texts. The tokenizer never joins across white space, so ids are found once for each distinct chunk.
 
-    A chunk of ASCII is lower-cased first (as the tokenizer would), and one full stop or comma after letters is split off,
-    which the tokenizer does too; both only make more chunks alike.
+    Texts of Latin letters are lower-cased first (the tokenizer does it too, and composes nothing there), and a full stop or
+    comma that ends a chunk after a letter or number is split off, as the tokenizer does; both only make more chunks alike.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
         self.tokenizer.encode_special_tokens = True
-        self._reset()
-
-    def _reset(self):
-        self.index, self.ids, self.ends, self.n, self.flat = {}, [], [0], 0, None
+        self.plain = Tokenizer.from_file(path)  # for ASCII chunks, which the normalizer would leave as they are
+        self.plain.encode_special_tokens, self.plain.normalizer = True, normalizers.Sequence([])
+        #: Chunk to 3 * slot + (0: as it is, 1: a full stop follows, 2: a comma follows).
+        self.index: dict[str, int] = {}
+        self.flat, self.ends, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self._learn(["", ".", ","])
 
     def _learn(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.index[chunk] = len(self.ends) - 1
-            self.ids.append(np.array(e.ids, dtype=np.uint32))
-            self.ends.append(self.ends[-1] + len(e.ids))
+        ascii = [c for c in chunks if c.isascii() and c.islower()]
+        others = [c for c in chunks if not (c.isascii() and c.islower())]
+        ids = [e.ids for e in self.plain.encode_batch_fast(ascii, add_special_tokens=False) + self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        n = len(self.uses)
+        self.index.update(zip(ascii + others, range(3 * n, 3 * (n + len(chunks)), 3)))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(i) for i in ids])])
+        self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
+
+    def _forget(self) -> None:
+        self.uses[[self.index[c] // 3 for c in ("", ".", ",")]] += 1 << 40
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > self.cache // 2:
+            keep = np.sort(keep[np.argpartition(-self.uses[keep], self.cache // 2)[: self.cache // 2]])
+        to = np.full(len(self.uses), -1)
+        to[keep] = 3 * np.arange(len(keep))
+        to = to.tolist()
+        self.index = {w: to[c // 3] + c % 3 for w, c in self.index.items() if to[c // 3] >= 0}
+        n = np.diff(self.ends)[keep]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.ends[keep] - ends[:-1], n)]
+        self.ends, self.uses = ends, self.uses[keep] // 2
+
+    def _slots(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cache slots of each distinct chunk: of the chunk itself, or of what is before its last stop, and of that stop (else -1)."""
+        code = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = [chunks[i] for i in np.flatnonzero(code < 0).tolist()]
+        if new:
+            cut = {c: 1 + (c[-1] == ",") if len(c) > 1 and c[-1] in ".," and c[-2].isalnum() else 0 for c in new}
+            heads = {c[:-1] if k else c for c, k in cut.items()}.difference(self.index)
+            self._learn(sorted(heads))
+            self.index.update({c: self.index[c[:-1]] + k for c, k in cut.items() if k})
+            code = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        stops = np.array([-1, self.index["."] // 3, self.index[","] // 3])
+        return code // 3, stops[code % 3]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, the end id last."""
-        if len(self.index) > self.cache:
-            self._reset()
-        parts = []
-        for t in texts:
-            if ODD.search(t):
-                parts.append([t])
-                continue
-            words = (t.lower() if t.isascii() else t).split()
-            out = []
-            for w in words:
-                if w[-1] in ".," and w[:-1].isalpha():
-                    out.append(w[:-1])
-                    out.append(w[-1])
-                else:
-                    out.append(w)
-            parts.append(out)
-        new = {w for p in parts for w in p if w not in self.index}
-        if new:
-            self._learn(sorted(new))
-            self.flat, self.ids = np.concatenate([*([self.flat] if self.flat is not None else []), *self.ids]), []
-            self.ends_a = np.array(self.ends, dtype=np.int64)
-        index, done = self.index, []
-        for p in parts:
-            if not p:
-                done.append(np.array([END], dtype=np.uint32))
-                continue
-            k = np.fromiter((index[w] for w in p), np.int64, len(p))
-            a, n = self.ends_a[k], self.ends_a[k + 1] - self.ends_a[k]
-            at = np.cumsum(n)
-            got = np.empty(at[-1] + 1, dtype=np.uint32)
-            got[:-1] = self.flat[np.arange(at[-1]) + np.repeat(a - at + n, n)]
-            got[-1] = END
-            done.append(got)
+        if len(self.uses) > self.cache:
+            self._forget()
+        whole = {i: t for i, t in enumerate(texts) if ODD.search(t)}
+        lowered = ["" if i in whole else t if OTHER.search(t) else t.lower() for i, t in enumerate(texts)]
+        parts = pc.ascii_split_whitespace(pa.array(lowered, pa.large_string()))
+        coded = parts.flatten().dictionary_encode()
+        head, stop = self._slots(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        self.uses += np.bincount(head[at], minlength=len(self.uses))
+        extra = stop[at] >= 0
+        place = np.arange(len(at)) + np.cumsum(extra) - extra
+        slots = np.empty(len(at) + int(extra.sum()), dtype=np.int64)
+        slots[place] = head[at]
+        slots[place[extra] + 1] = stop[at[extra]]
+        # The slots' ids one after the other, then cut where each text's last slot ends.
+        taken = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.flat)).take(pa.array(slots))
+        ids, upto = taken.flatten().to_numpy(), taken.offsets.to_numpy()[1:] - taken.offsets[0].as_py()
+        last = np.concatenate([place + extra, [len(slots)]])  # last slot of each chunk
+        chunk_end = np.diff(parts.offsets.to_numpy()).cumsum()
+        text_end = np.where(chunk_end > 0, upto[last[np.maximum(chunk_end, 1) - 1]] if len(upto) else 0, 0)
+        done, first = [], 0
+        for i, to in enumerate(text_end.tolist()):
+            got = ids[first:to] if i not in whole else np.array(self.tokenizer.encode(whole[i], add_special_tokens=False).ids, dtype=np.uint32)
+            done.append(np.append(got, np.uint32(END)))
+            first = to
         return done
 
 
-def best_fill(counts: dict[int, int], capacity: int) -> list[int]:
-    """Lengths (with repeats) whose sum is the largest up to capacity: bitset subset-sum with backtracked counts."""
+def best_fill(lengths: list[int], count, capacity: int) -> list[int]:
+    """Lengths (with repeats) whose sum is the largest up to capacity: bitset subset-sum with backtracked counts.
+
+    lengths are distinct and ascending, count(length) says how many there are; all are above 0.
+    """
     mask, steps, bits = (1 << capacity + 1) - 1, [], 1
-    for length in sorted((x for x in counts if x <= capacity), reverse=True):
-        before = bits
-        for _ in range(min(counts[length], capacity // length)):
+    for at in range(bisect_right(lengths, capacity) - 1, -1, -1):
+        length = lengths[at]
+        steps.append((length, bits))
+        for _ in range(min(count(length), capacity // length)):
             bits = (bits | bits << length) & mask
-        steps.append((length, before))
         if bits >> capacity & 1:
             break
     total, taken = bits.bit_length() - 1, []
@@ -113,21 +145,40 @@ def best_fill(counts: dict[int, int], capacity: int) -> list[int]:
     return taken
 
 
-def fill(pool: dict[int, list], capacity: int) -> list:
-    """Takes from pool (length to items) the longest item and the rest that fits best with it."""
-    first = max(pool)
-    lengths = [first]
-    left = pool[first]
-    counts = {k: len(v) - (k == first) for k, v in pool.items()}
-    counts = {k: v for k, v in counts.items() if v}
-    lengths += best_fill(counts, capacity - first)
-    items = []
-    for k in lengths:
-        left = pool[k]
-        items.append(left.pop())
-        if not left:
-            del pool[k]
-    return items
+def encoder_of(path: str) -> Encoder:
+    """This worker's encoder, which keeps what it has learned from task to task."""
+    return _known.get(path) or _known.setdefault(path, Encoder(path))
+
+
+class Pool:
+    """Pieces that wait for a sequence, by length."""
+
+    def __init__(self):
+        self.items: dict[int, list] = {}
+        self.lengths: list[int] = []
+        self.size = 0
+
+    def add(self, length: int, item) -> None:
+        if length not in self.items:
+            insort(self.lengths, length)
+            self.items[length] = []
+        self.items[length].append(item)
+        self.size += 1
+
+    def _take(self, length: int):
+        items = self.items[length]
+        item = items.pop()
+        if not items:
+            del self.items[length]
+            self.lengths.pop(bisect_right(self.lengths, length) - 1)
+        self.size -= 1
+        return item
+
+    def fill(self, capacity: int) -> list:
+        """Takes the longest piece and the others that fit best with it."""
+        first = self.lengths[-1]
+        taken = [self._take(first)]
+        return taken + [self._take(k) for k in best_fill(self.lengths, lambda k: len(self.items[k]), capacity - first)]
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
@@ -145,19 +196,18 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     path = tokenizer or tokenizer_path()
 
     def pack(batches):
+        encoder = encoder_of(path)
         encoder = _known.get(path) or _known.setdefault(path, Encoder(path))
-        pool: dict[int, list] = defaultdict(list)
-        number, size, out = TaskContext.get().partitionId() << 32, 0, []
+        pool, number, out = Pool(), TaskContext.get().partitionId() << 32, []
 
         def close(least: int):
-            nonlocal number, size
-            while size > least:
+            nonlocal number
+            while pool.size > least:
                 at = 0
-                items = fill(pool, length)
-                for item in items:
+                for item in pool.fill(length):
                     out.append((*item, number, at))
                     at += item[2]
-                number, size = number + 1, size - len(items)
+                number += 1
 
         def flush():
             columns = list(zip(*out)) or [[]] * 7
@@ -175,9 +225,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
                         out.append((*item, number, 0))
                         number += 1
                     else:
-                        pool[len(piece)].append(item)
-                        size += 1
-                if size >= 2 * window:
+                        pool.add(len(piece), item)
+                if pool.size >= 2 * window:
                     close(window)
             yield flush()
         close(0)
