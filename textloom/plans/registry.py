@@ -1,4 +1,600 @@
-"""Queries by name, and the SQL they are held against."""
+"""Queries by name, and the DuckDB SQL that each is held against.
+
+Posts are the documents with a little deterministic noise that the cleaning steps need (links, tags, emojis, placeholders,
+nulls), added alike in both engines; lang is the label and source the category.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexicons as L
+from ..functions import text as T
+from ..operators import corpus as C
+from ..operators import filters as R
+from ..operators import models as M
+from ..operators import sampling as S
+from ..operators import stats as X
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+NOISE = {
+    0: " I can't stop :) https://x.io/a?b=1", 1: " #tag @bob <b>hi</b>...", 2: " \U0001f600 really?!", 3: None, 4: "N/A", 5: " Hello,World. I'm gonna go www.a.com/x and caf\u00e9!",
+}
+ARABIC = (
+    ("السلام عليكم أنا أعاني من القلق والتوتر منذ سنة!!", "الحالات النفسية العصبية - القلق - توتر"), ("ما تشخيصكم يا دكتور؟ رقمي 05012345678", "الاكتئاب - مزاج منخفض"),
+    ("عندي وسواس قهري وللعلاج جرعة https://a.b/c", "الوساوس القهرية"), ("بالنسبة للحالة والدواء 12-05-2020 جداااا", "ثنائي القطب"), ("", "سليم"), ("hello <b>شكرا</b> a@b.co 50 ريال", "أخرى"),
+)
+
+
+def posts(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    k, text = F.col("doc_id") % 8, None
+    for i, noise in NOISE.items():
+        value = F.lit(None).cast("string") if noise is None else F.lit(noise) if noise == "N/A" else F.concat("text", F.lit(noise))
+        text = F.when(k == i, value) if text is None else text.when(k == i, value)
+    return docs.select("doc_id", F.col("lang").alias("label"), F.col("source").alias("category"), text.otherwise(F.col("text")).alias("text"))
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+POSTS = "posts AS (SELECT doc_id, lang AS label, source AS category, CASE doc_id % 8 " + " ".join(
+    f"WHEN {i} THEN " + ("NULL" if n is None else _quoted(n) if n == "N/A" else f"text || {_quoted(n)}") for i, n in NOISE.items()
+) + " ELSE text END AS text FROM documents)"
+TOKENS = r"tk AS (SELECT doc_id, lang AS label, source AS category, n_chars, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents), ex AS (SELECT doc_id, label, category, unnest(w) AS term FROM tk)"
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.col("lang").alias("label"), F.col("source").alias("category"), T.words(F.col("text")).alias("tokens"))
+
+
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    """Posts with the counts that reports describe."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias("label"), F.col("source").alias("category"), "text")
+    w = docs.withColumn("tokens", T.words(F.col("text")))
+    return w.select("doc_id", "label", "category", F.size("tokens").alias("n_words"), F.length("text").alias("n_chars"), T.occurrences(F.col("text"), "!").alias("n_excl"), T.occurrences(F.col("text"), ".").alias("n_stops"), F.round(T.type_token_ratio(F.col("tokens")), 6).alias("ttr"))
+
+
+COUNTED = TOKENS + r""", ct AS (SELECT tk.doc_id, label, category, len(w) AS n_words, length(d.text) AS n_chars, length(d.text) - length(replace(d.text, '!', '')) AS n_excl,
+ length(d.text) - length(replace(d.text, '.', '')) AS n_stops, CASE WHEN len(w) > 0 THEN round(len(list_distinct(w)) / len(w), 6) ELSE 0.0 END AS ttr FROM tk JOIN documents d USING (doc_id))"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# Filters
+
+@query("f1_f4_valid_posts", f"WITH {POSTS} SELECT doc_id, label FROM posts WHERE text IS NOT NULL AND lower(trim(text)) NOT IN ('na','n/a','nan','none','null','undefined','')")
+def _(s, d):
+    return R.drop_placeholders(R.drop_missing(posts(s, d))).select("doc_id", "label")
+
+
+@query("f2_distinct_rows", "SELECT DISTINCT lang AS label, source AS category FROM documents")
+def _(s, d):
+    return posts(s, d).select("label", "category").dropDuplicates()
+
+
+@query("f3_first_of_each_text", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def _(s, d):
+    return R.first_of_each(s.read.parquet(f"{d}/documents.parquet"), "text", "doc_id").select("doc_id")
+
+
+@query("f5_valid_text", rf"WITH {POSTS} SELECT doc_id, text IS NOT NULL AND lower(trim(text)) NOT IN ('na','n/a','nan','none','null','undefined','') AND length(regexp_replace(text, '[?!.\s]', '', 'g')) > 0 AS valid FROM posts WHERE text IS NOT NULL")
+def _(s, d):
+    return posts(s, d).where("text is not null").select("doc_id", T.is_valid(F.col("text")).alias("valid"))
+
+
+@query("f9_keyword", "SELECT doc_id FROM documents WHERE lang = 'en' AND contains(lower(text), 'the') ORDER BY doc_id LIMIT 50")
+def _(s, d):
+    return R.keyword(posts(s, d).drop("text").join(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id"), "label", "en", "THE").orderBy("doc_id").limit(50).select("doc_id")
+
+
+@query("f10_flag_counts", rf"WITH {POSTS} SELECT regexp_matches(text, '\?') AS asks, regexp_matches(text, '!') AS shouts, regexp_matches(text, '@[\p{{L}}\p{{N}}_]+') AS mentions, count(*) AS n FROM posts WHERE text IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    t = F.col("text")
+    return posts(s, d).where("text is not null").groupBy(t.rlike(r"\?").alias("asks"), t.rlike("!").alias("shouts"), t.rlike(rf"@[{T.Letter}]+").alias("mentions")).agg(F.count("*").alias("n"))
+
+
+@query("f12_large_classes", "SELECT doc_id, source AS category FROM documents QUALIFY count(*) OVER (PARTITION BY source) >= 50")
+def _(s, d):
+    return R.large_classes(posts(s, d), "category", 50).select("doc_id", "category")
+
+
+@query("f13_row_audit", f"WITH {POSTS} SELECT count(*) AS before_rows, count(*) FILTER (text IS NOT NULL AND trim(text) <> '') AS after_empty, count(*) FILTER (text IS NOT NULL AND trim(text) <> '' AND label <> 'es') AS after_final FROM posts")
+def _(s, d):
+    return R.row_audit(posts(s, d), "text", F.col("label") != "es")
+
+
+@query("w2_duplicate_flags", "SELECT doc_id, count(*) OVER (PARTITION BY text) > 1 AS copied FROM documents")
+def _(s, d):
+    return R.duplicate_flags(s.read.parquet(f"{d}/documents.parquet"), "text", "copied").select("doc_id", "copied")
+
+
+# English text
+
+_RANGE = L.EMOJIS
+_LET = T.Letter
+
+
+def _sql_english(t: str) -> str:
+    """The English chain without emoticons (RE2 has no look-around) as nested DuckDB calls."""
+    sub = lambda e, p, by=" ": f"regexp_replace({e}, {_quoted(p)}, {_quoted(by)}, 'g')"
+    one = lambda e: f"trim({sub(e, r'[\t\n\x0b\f\r ]+')})"
+    t = sub(f"lower({t})", r"\\n|\n|\r")
+    t = f"replace({t}, '\u2019', '''')"
+    t = one(sub(t, r"<[^<>/3][^<>]*>|</[^<>3][^<>]*>"))
+    t = sub(sub(t, _RANGE, ""), L.CONTROLS, "")
+    t = sub(t, r":\)")
+    keys = sorted(L.CONTRACTIONS, key=lambda k: (-len(k), k))
+    for k in [k for k in keys if k in ("can't", "i'm", "gonna", "nothin", "idk", "smh", "tbh")]:
+        t = sub(t, rf"(?i)\b{k}\b", f" {L.CONTRACTIONS[k]} ")
+    t = sub(one(t), r"https?://(?:[a-zA-Z0-9$-_@.&+!*(),]|%[0-9a-fA-F][0-9a-fA-F])+", " url ")
+    t = one(sub(t, r"\bwww\.\S+\.\S+|\b\w+\.\w{2,4}/\S*", " url "))
+    t = one(sub(sub(t, rf"@[{_LET}]+", " people "), rf"#[{_LET}]+"))
+    t = one(sub(sub(t, r"\.([^.]|$)", r". \1"), r",(\S|$)", r", \1"))
+    t = sub(f"replace({t}, '...', '<ELLIPSIS>')", rf"[^{_LET}\s!?\-<>']", "")
+    return one(sub(f"replace({t}, '<ELLIPSIS>', ' ... ')", r"[^\x00-\x7F]", ""))
+
+
+@query("e11_clean_english", f"WITH {POSTS} SELECT doc_id, {_sql_english('text')} AS cleaned FROM posts WHERE text IS NOT NULL AND label = 'en'")
+def _(s, d):
+    return posts(s, d).where("text is not null and label = 'en'").select("doc_id", T.clean_english(F.col("text")).alias("cleaned"))
+
+
+@query("e3_without_emojis", f"WITH {POSTS} SELECT doc_id, md5(regexp_replace(text, '{_RANGE}', '', 'g')) AS h FROM posts WHERE text IS NOT NULL")
+def _(s, d):
+    return posts(s, d).where("text is not null").select("doc_id", F.md5(F.regexp_replace("text", L.EMOJIS, "").cast("binary")).alias("h"))
+
+
+@query("e4_without_emoticons")
+def _(s, d):
+    return posts(s, d).where("text is not null").select("doc_id", T.without_emoticons(F.col("text")).alias("cleaned"))
+
+
+@query("e2_without_html")
+def _(s, d):
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", T.without_html(F.col("html")).alias("plain"))
+
+
+_STOP = sorted((set(L.ENGLISH_STOPWORDS) | set(L.ENGLISH_NOISE)) - set(L.ENGLISH_KEPT))
+_STOP_SQL = "(" + ", ".join(map(_quoted, _STOP)) + ")"
+
+
+@query("e12_english_tokens", rf"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: x NOT IN {_STOP_SQL}), ' ') AS tokens FROM documents WHERE lang = 'en'")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").where("lang = 'en'")
+    return docs.select("doc_id", F.array_join(T.english_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query("p6_features", rf"""WITH {POSTS} SELECT doc_id, len(regexp_extract_all(text, '\p{{L}}+')) AS n_words, length(text) AS n_chars, length(text) - length(replace(text, '?', '')) AS n_asks,
+ length(text) - length(replace(text, '!', '')) AS n_shouts, ((length(text) - length(replace(text, '...', ''))) / 3)::BIGINT AS n_ellipses, len(regexp_extract_all(text, '{_RANGE}')) AS n_emojis, len(regexp_extract_all(text, '#[{_LET}]+')) AS n_hashtags
+ FROM posts WHERE text IS NOT NULL""")
+def _(s, d):
+    t = F.col("text")
+    return posts(s, d).where("text is not null").select(
+        "doc_id", F.regexp_count(t, F.lit(r"\p{L}+")).cast("long").alias("n_words"), F.length(t).cast("long").alias("n_chars"), T.occurrences(t, "?").alias("n_asks"), T.occurrences(t, "!").alias("n_shouts"),
+        T.occurrences(t, "...").alias("n_ellipses"), F.regexp_count(t, F.lit(L.EMOJIS)).cast("long").alias("n_emojis"), F.size(T.hashtags(t)).cast("long").alias("n_hashtags"),
+    )
+
+
+@query("p8_type_token_ratio", f"WITH {COUNTED} SELECT doc_id, ttr FROM ct")
+def _(s, d):
+    return counted(s, d).select("doc_id", "ttr")
+
+
+# French and Arabic text
+
+_FRENCH = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\r?\n', ' ', 'g'), '{_RANGE}', '', 'g'), 'https?://\S+|www\.\S+', ' URL ', 'g'), '@[{_LET}]+', ' PEOPLE ', 'g'), '#[{_LET}]+', '', 'g'), '[^{_LET}\s!?\-'']', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("r6_clean_french", f"WITH {POSTS} SELECT doc_id, {_FRENCH} AS cleaned FROM posts WHERE label = 'fr' AND text IS NOT NULL")
+def _(s, d):
+    return posts(s, d).where("label = 'fr' and text is not null").select("doc_id", T.clean_french(F.col("text")).alias("cleaned"))
+
+
+_FSTOP = "(" + ", ".join(map(_quoted, sorted(set(L.FRENCH_STOPWORDS) - set(L.FRENCH_KEPT)))) + ")"
+
+
+@query("r9_french_tokens", rf"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: x NOT IN {_FSTOP}), ' ') AS tokens FROM documents WHERE lang = 'fr'")
+def _(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").where("lang = 'fr'").select("doc_id", F.array_join(T.french_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query("p10_french_noise", rf"WITH {POSTS} SELECT sum(len(regexp_extract_all(text, 'https?://\S+|www\.\S+')))::BIGINT AS urls, count(*) FILTER (regexp_matches(text, 'https?://\S+|www\.\S+')) AS with_url, sum(len(regexp_extract_all(text, '{_RANGE}')))::BIGINT AS emojis FROM posts WHERE text IS NOT NULL")
+def _(s, d):
+    t, url = F.col("text"), r"https?://\S+|www\.\S+"
+    return posts(s, d).where("text is not null").agg(F.sum(F.regexp_count(t, F.lit(url))).alias("urls"), F.count_if(t.rlike(url)).alias("with_url"), F.sum(F.regexp_count(t, F.lit(L.EMOJIS))).alias("emojis"))
+
+
+def consultations(s: SparkSession, d: str) -> DataFrame:
+    ids = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
+    rows = F.array(*[F.struct(F.lit(q).alias("question"), F.lit(x).alias("diagnosis")) for q, x in ARABIC])
+    return ids.select("doc_id", "source", F.element_at(rows, (F.col("doc_id") % len(ARABIC) + 1).cast("int")).alias("r")).select("doc_id", "source", "r.question", "r.diagnosis")
+
+
+CONSULTED = "c AS (SELECT doc_id, source, CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {_quoted(q)}" for i, (q, _) in enumerate(ARABIC)) + " END AS question, CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {_quoted(x)}" for i, (_, x) in enumerate(ARABIC)) + " END AS diagnosis FROM documents)"
+
+
+def _sql_normal(t: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({t}, 'إأآىة', 'اااي' || 'ه'), '[\x{{0617}}-\x{{061A}}\x{{064B}}-\x{{0652}}\x{{0670}}ـ]', '', 'g'), '[،؟؛…]+', ' ', 'g'), '[^\x{{0600}}-\x{{06FF}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+_LABEL = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(diagnosis), '\s*-\s*', ' - ', 'g'), '\s+', ' ', 'g'), '^الحالات\s+النفسي[هة]\s+العصبي[هة]\s*-\s*', '', 'g'), ' -')"
+_UMBRELLA = "CASE " + " ".join(f"WHEN regexp_matches({_sql_normal(_LABEL)}, '{p}') THEN '{n}'" for n, p in L.UMBRELLAS) + f" ELSE '{L.OTHER_UMBRELLA}' END"
+_POV = f"CASE WHEN regexp_matches({_sql_normal('question')}, '{L.PATIENT_WORDS}') AND regexp_matches({_sql_normal('question')}, '{L.DOCTOR_WORDS}') THEN 'mixed_pov' WHEN regexp_matches({_sql_normal('question')}, '{L.PATIENT_WORDS}') THEN 'patient_pov' WHEN regexp_matches({_sql_normal('question')}, '{L.DOCTOR_WORDS}') THEN 'doctor_pov' ELSE 'unclear_pov' END"
+
+
+@query("a4_clean_arabic")
+def _(s, d):
+    return consultations(s, d).select("doc_id", T.clean_arabic(F.col("question")).alias("cleaned"), F.array_join(T.arabic_tokens(F.col("question")), " ").alias("tokens"))
+
+
+@query("a11_a12_umbrellas", f"WITH {CONSULTED} SELECT doc_id, {_LABEL} AS label_clean, {_UMBRELLA} AS umbrella FROM c")
+def _(s, d):
+    x = F.col("diagnosis")
+    return consultations(s, d).select("doc_id", T.clean_label(x).alias("label_clean"), T.umbrella(x).alias("umbrella"))
+
+
+@query("g20_view_by_umbrella", f"WITH {CONSULTED}, v AS (SELECT {_POV} AS pov, {_UMBRELLA} AS umbrella FROM c), n AS (SELECT pov, umbrella, count(*) AS n FROM v GROUP BY ALL) SELECT pov, umbrella, n, round(100.0 * n / sum(n) OVER (PARTITION BY pov), 6) AS pct FROM n")
+def _(s, d):
+    v = consultations(s, d).select(T.point_of_view(F.col("question")).alias("pov"), T.umbrella(F.col("diagnosis")).alias("umbrella"))
+    return C.share(v.groupBy("pov", "umbrella").agg(F.count("*").alias("n")), "pov")
+
+
+@query("g21_stemming_audit")
+def _(s, d):
+    t = consultations(s, d).select(F.explode(T.arabic_tokens(F.col("question"))).alias("t")).withColumn("stem", T.stemmed_arabic(F.col("t")))
+    return t.agg(F.count("*").alias("n"), F.count_distinct("t").alias("words"), F.count_distinct("stem").alias("stems"))
+
+
+@query("g30_label_audit", f"WITH {CONSULTED} SELECT DISTINCT diagnosis, {_LABEL} AS label_clean, {_UMBRELLA} AS umbrella FROM c")
+def _(s, d):
+    x = F.col("diagnosis")
+    return consultations(s, d).select("diagnosis", T.clean_label(x).alias("label_clean"), T.umbrella(x).alias("umbrella")).distinct()
+
+
+# Corpus statistics
+
+@query("g1_distribution", "SELECT lang AS label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM documents GROUP BY 1")
+def _(s, d):
+    return C.distribution(posts(s, d), "label")
+
+
+_DESCRIBE = "SELECT {by} '{f}' AS feature, count({f}) AS n, round(avg({f}), 6) AS mean, round(stddev_samp({f}), 6) AS std, min({f})::DOUBLE AS least, quantile_cont({f}, 0.25) AS q1, quantile_cont({f}, 0.5) AS q2, quantile_cont({f}, 0.75) AS q3, max({f})::DOUBLE AS most FROM ct {group}"
+
+
+@query("g2_described", f"WITH {COUNTED} " + " UNION ALL ".join(_DESCRIBE.format(by="", f=f, group="") for f in ("n_words", "n_chars", "n_stops")))
+def _(s, d):
+    return C.described(counted(s, d).select(*[F.col(c).cast("long") for c in ("n_words", "n_chars", "n_stops")]), [], "n_words", "n_chars", "n_stops")
+
+
+@query("g5_boxes", f"WITH {COUNTED} " + " UNION ALL ".join(_DESCRIBE.format(by="label,", f=f, group="GROUP BY label") for f in ("n_words", "n_chars")))
+def _(s, d):
+    return C.described(counted(s, d).select("label", *[F.col(c).cast("long") for c in ("n_words", "n_chars")]), ["label"], "n_words", "n_chars")
+
+
+@query("g3_label_means", f"WITH {COUNTED} SELECT label, round(avg(n_words), 6) AS words, round(avg(n_chars), 6) AS chars, round(avg(n_excl), 6) AS shouts, round(avg(ttr), 4) AS ttr FROM ct GROUP BY 1")
+def _(s, d):
+    return counted(s, d).groupBy("label").agg(F.round(F.avg("n_words"), 6).alias("words"), F.round(F.avg("n_chars"), 6).alias("chars"), F.round(F.avg("n_excl"), 6).alias("shouts"), F.round(F.avg("ttr"), 4).alias("ttr"))
+
+
+@query("g4_histogram", f"WITH {COUNTED}, e AS (SELECT min(n_words) lo, max(n_words) hi FROM ct) SELECT label, least(floor((n_words - lo) / ((hi - lo) / 30.0)), 29)::INT AS bin, count(*) AS n FROM ct, e GROUP BY 1, 2")
+def _(s, d):
+    return C.histogram(counted(s, d), "label", "n_words")
+
+
+@query("g6_punctuation_by_sentence", f"WITH {COUNTED} SELECT label, round(avg(n_excl) / avg(greatest(n_stops, 1)), 6) AS shouts FROM ct GROUP BY 1")
+def _(s, d):
+    return counted(s, d).groupBy("label").agg(F.round(F.avg("n_excl") / F.avg(F.greatest("n_stops", F.lit(1))), 6).alias("shouts"))
+
+
+def _top(n: int, k: int, keys: str = "label") -> str:
+    gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(n))
+    return f"WITH {TOKENS}, g AS (SELECT {keys}, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: {gram})) AS term FROM tk), n AS (SELECT {keys}, term, count(*) AS n FROM g GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, term) AS rank FROM n QUALIFY rank <= {k}"
+
+
+@query("g7_top_words", _top(1, 10))
+def _(s, d):
+    return C.top_terms(tokens(s, d), 1)
+
+
+@query("g7_top_bigrams", _top(2, 10))
+def _(s, d):
+    return C.top_terms(tokens(s, d), 2)
+
+
+@query("g7_top_trigrams", _top(3, 10))
+def _(s, d):
+    return C.top_terms(tokens(s, d), 3)
+
+
+@query("g8_top_by_document_frequency", f"WITH {TOKENS}, c AS (SELECT label, term, count(*) AS n, count(DISTINCT doc_id) AS df FROM ex GROUP BY ALL), z AS (SELECT label, count(*) AS docs FROM tk GROUP BY 1) SELECT label, term, n, df, row_number() OVER (PARTITION BY label ORDER BY n DESC, term) AS rank FROM c JOIN z USING (label) WHERE df >= 2 AND df <= 0.95 * docs QUALIFY rank <= 20")
+def _(s, d):
+    return C.top_terms_by_df(tokens(s, d), 1, 20)
+
+
+@query("g11_vocabulary", f"WITH {TOKENS}, v AS (SELECT DISTINCT label, term FROM ex), k AS (SELECT term, count(*) AS c FROM v GROUP BY 1) SELECT label, count(*) AS total, count(*) FILTER (c = (SELECT count(DISTINCT label) FROM tk)) AS shared, count(*) FILTER (c < (SELECT count(DISTINCT label) FROM tk)) AS own FROM v JOIN k USING (term) GROUP BY 1")
+def _(s, d):
+    return C.vocabulary_stats(tokens(s, d))
+
+
+@query("g12_venn", f"WITH {TOKENS}, m AS (SELECT term, string_agg(DISTINCT label, '+' ORDER BY label) AS labels FROM ex GROUP BY 1) SELECT labels, count(*) AS n FROM m GROUP BY 1")
+def _(s, d):
+    return C.venn(tokens(s, d))
+
+
+@query("g14_presence", f"WITH {COUNTED} SELECT label, round(100 * avg(CASE WHEN n_excl > 0 THEN 1.0 ELSE 0.0 END), 6) AS pct FROM ct GROUP BY 1")
+def _(s, d):
+    return C.presence(counted(s, d), "label", "n_excl")
+
+
+@query("g16_cooccurrence", f"WITH {TOKENS}, u AS (SELECT DISTINCT doc_id, label, term FROM ex WHERE doc_id < 300), p AS (SELECT a.label, a.term AS a, b.term AS b, count(*) AS n FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, a, b) AS rank FROM p QUALIFY rank <= 20".replace(" WHERE doc_id < 300", ""))
+def _(s, d):
+    return C.cooccurrence(tokens(s, d))
+
+
+@query("g17_crosstab", "SELECT CASE WHEN grouping(source) = 1 THEN 'Total' ELSE source END AS row, CASE WHEN grouping(lang) = 1 THEN 'Total' ELSE lang END AS col, count(*) AS n FROM documents GROUP BY CUBE (source, lang)")
+def _(s, d):
+    return C.crosstab(posts(s, d), "category", "label")
+
+
+@query("g18_words_by_category", _top(1, 15, "category, label"))
+def _(s, d):
+    return C.top_terms(tokens(s, d), 1, 15, ("category", "label"))
+
+
+@query("g19_token_counts", f"WITH {TOKENS} SELECT len(w)::INT AS n_words, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM tk GROUP BY 1")
+def _(s, d):
+    return C.share(tokens(s, d).groupBy(F.size("tokens").alias("n_words")).agg(F.count("*").alias("n")), "")
+
+
+@query("g22_summary", f"WITH {COUNTED} SELECT count(*) AS n, count(DISTINCT label) AS labels, count(DISTINCT category) AS categories, round(avg(n_words), 6) AS mean_words, median(n_words) AS median_words FROM ct")
+def _(s, d):
+    return counted(s, d).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.count_distinct("category").alias("categories"), F.round(F.avg("n_words"), 6).alias("mean_words"), F.percentile("n_words", F.lit(0.5)).alias("median_words"))
+
+
+@query("g23_sublabels", "WITH n AS (SELECT lang AS label, source AS category, count(*) AS n FROM documents GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, category) AS rank, 'S' || row_number() OVER (PARTITION BY label ORDER BY n DESC, category) AS code, round(100.0 * n / sum(n) OVER (PARTITION BY label), 6) AS pct FROM n")
+def _(s, d):
+    n = C.share(posts(s, d).groupBy("label", "category").agg(F.count("*").alias("n")), "label")
+    return R.ranked(n, 1 << 30, ["label"], F.desc("n"), "category").withColumn("code", F.concat(F.lit("S"), F.col("rank")))
+
+
+@query("g25_distinctive", f"WITH {TOKENS}, c AS (SELECT label, term, count(*) AS c FROM ex GROUP BY ALL), g AS (SELECT term, sum(c) AS g FROM c GROUP BY 1), z AS (SELECT label, sum(c) AS cc FROM c GROUP BY 1), s AS (SELECT label, term, c, round(ln((c + 1) / (cc + 1)) - ln((g - c + 1) / ((SELECT sum(c) FROM c) - cc + 1)), 6) AS score FROM c JOIN g USING (term) JOIN z USING (label) WHERE c >= 5) SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, c DESC, term) AS rank FROM s QUALIFY rank <= 12")
+def _(s, d):
+    return C.distinctive(tokens(s, d))
+
+
+@query("g27_symbols", r"SELECT lang AS label, round(sum(length(text) - length(replace(text, '!', ''))) / sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))), 6) AS shouts, round(sum(length(text) - length(replace(text, '.', '')) + length(text) - length(replace(text, ',', ''))) / sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))), 6) AS stops FROM documents GROUP BY 1")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("label"), "text")
+    return C.symbol_matrix(docs, "label", "text", {"shouts": "!", "stops": ".,"})
+
+
+# Windows, samples and splits
+
+_TURN = "md5(doc_id::VARCHAR || ':42')"
+
+
+@query("m1_balanced", f"SELECT doc_id, lang AS label FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_TURN}, doc_id) <= (SELECT min(c) FROM (SELECT count(*) AS c FROM documents GROUP BY lang))")
+def _(s, d):
+    return S.balanced(posts(s, d), "label", "doc_id").select("doc_id", "label")
+
+
+_ALLOC = "a AS (SELECT lang, source, count(*) AS size, count(*) * 40 / sum(count(*)) OVER (PARTITION BY lang) AS ideal FROM documents GROUP BY lang, source), b AS (SELECT *, 40 - sum(floor(ideal)) OVER (PARTITION BY lang) AS leftover, row_number() OVER (PARTITION BY lang ORDER BY round(ideal - floor(ideal), 9) DESC, source) AS r FROM a), c AS (SELECT lang, source, size, least(size, floor(ideal) + CASE WHEN r <= leftover THEN 1 ELSE 0 END)::BIGINT AS sampled FROM b)"
+
+
+@query("m2_allocation", f"WITH {_ALLOC} SELECT lang AS label, source AS category, size, sampled FROM c")
+def _(s, d):
+    return S.allocation(posts(s, d), "label", "category", 40)
+
+
+@query("m2_balanced_by_part", f"WITH {_ALLOC} SELECT doc_id, d.lang AS label, d.source AS category FROM documents d JOIN c USING (lang, source) QUALIFY row_number() OVER (PARTITION BY d.lang, d.source ORDER BY {_TURN}, doc_id) <= sampled")
+def _(s, d):
+    return S.balanced_by_part(posts(s, d), "label", "category", "doc_id", 40).select("doc_id", "label", "category")
+
+
+_SPLIT = f"sp AS (SELECT doc_id, lang AS label, row_number() OVER (PARTITION BY lang ORDER BY {_TURN}, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents), st AS (SELECT doc_id, label, CASE WHEN r <= round_even(n * 0.7, 0) THEN 'train' WHEN r <= round_even(n * 0.7, 0) + round_even(n * 0.15, 0) THEN 'val' ELSE 'test' END AS split FROM sp)"
+
+
+@query("m4_three_way_split", f"WITH {_SPLIT} SELECT doc_id, label, split FROM st")
+def _(s, d):
+    return S.three_way(posts(s, d), "label", "doc_id").select("doc_id", "label", "split")
+
+
+@query("g31_split_summary", f"WITH {_SPLIT} SELECT label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM st GROUP BY 1")
+def _(s, d):
+    sp = S.three_way(posts(s, d), "label", "doc_id")
+    return sp.groupBy("label").agg(*[F.count_if(F.col("split") == x).alias(x) for x in ("train", "val", "test")])
+
+
+@query("m6_folds", f"SELECT doc_id, ((row_number() OVER (PARTITION BY lang ORDER BY {_TURN}, doc_id) - 1) % 5)::INT AS fold FROM documents")
+def _(s, d):
+    return S.folds(posts(s, d), "label", "doc_id").select("doc_id", "fold")
+
+
+@query("m7_label_codes", "SELECT doc_id, (dense_rank() OVER (ORDER BY lang) - 1)::INT AS code FROM documents")
+def _(s, d):
+    return S.encoded(posts(s, d), "label").select("doc_id", "code")
+
+
+# Vectors and models
+
+_TFIDF = TOKENS + ", tf AS (SELECT doc_id, term, count(*) AS tf FROM ex GROUP BY ALL), vo AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= greatest(1, floor((SELECT count(*) FROM documents) * 0.95)) ORDER BY total DESC, term LIMIT 2000), rw AS (SELECT doc_id, term, {tf} * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1) AS v FROM tf JOIN vo USING (term)), ti AS (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS weight FROM rw)"
+
+
+def _tfidf(tf: str) -> str:
+    return _TFIDF.replace("{tf}", tf)
+
+
+def weights(s: SparkSession, d: str, sublinear: bool = False) -> DataFrame:
+    t = tokens(s, d)
+    counts = M.term_counts(t)
+    return M.tfidf(counts, F.broadcast(M.vocabulary(counts, t.agg(F.count("*").alias("n")), 2, 0.95, 2000)), sublinear)
+
+
+def labels(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias("label"))
+
+
+@query("v2_tfidf", f"WITH {_tfidf('tf')} SELECT doc_id, term, round(weight, 6) AS weight FROM ti")
+def _(s, d):
+    return weights(s, d).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query("v3_sublinear_tfidf", f"WITH {_tfidf('(1 + ln(tf))')} SELECT doc_id, term, round(weight, 6) AS weight FROM ti")
+def _(s, d):
+    return weights(s, d, True).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query("v4_chi2", f"WITH {_tfidf('tf')}, o AS (SELECT term, lang, sum(weight) AS o FROM ti JOIN documents USING (doc_id) GROUP BY ALL), t AS (SELECT term, sum(o) AS t FROM o GROUP BY 1), p AS (SELECT lang, count(*) / (SELECT count(*) FROM documents) AS p FROM documents GROUP BY 1) SELECT term, round(sum((coalesce(o, 0) - p * t) ** 2 / (p * t)), 4) AS score FROM t CROSS JOIN p LEFT JOIN o USING (term, lang) GROUP BY 1")
+def _(s, d):
+    return M.chi2(weights(s, d), labels(s, d)).select("term", F.round("score", 4).alias("score"))
+
+
+_NB = _tfidf("tf") + ", " + _SPLIT + ", sm AS (SELECT label, term, sum(weight) AS s FROM ti JOIN st USING (doc_id) WHERE split = 'train' GROUP BY ALL), vt AS (SELECT DISTINCT term FROM sm), tt AS (SELECT label, sum(s) AS total FROM sm GROUP BY 1), al AS (SELECT unnest([0.01, 0.1, 1.0]) AS alpha), lp AS (SELECT alpha, tt.label, vt.term, ln((coalesce(s, 0) + alpha) / (total + alpha * (SELECT count(*) FROM vt))) AS lp FROM vt CROSS JOIN tt CROSS JOIN al LEFT JOIN sm ON sm.label = tt.label AND sm.term = vt.term), pr AS (SELECT label, ln(count(*) / (SELECT count(*) FROM st WHERE split = 'train')) AS prior FROM st WHERE split = 'train' GROUP BY 1), sc AS (SELECT alpha, doc_id, lp.label, sum(weight * lp) + any_value(prior) AS s FROM ti JOIN st USING (doc_id) JOIN lp USING (term) JOIN pr ON pr.label = lp.label WHERE split = 'test' GROUP BY ALL), pd AS (SELECT alpha, doc_id, label AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY alpha, doc_id ORDER BY round(s, 9) DESC, label) = 1)"
+
+
+def predictions(s: SparkSession, d: str, alphas=(0.01, 0.1, 1.0)) -> DataFrame:
+    split = S.three_way(posts(s, d), "label", "doc_id").select("doc_id", "label", "split")
+    w = weights(s, d)
+    train = split.where("split = 'train'").select("doc_id", "label")
+    logp, priors = M.fit_multinomial(w.join(train.select("doc_id"), "doc_id"), train, alphas)
+    test = split.where("split = 'test'").select("doc_id", F.col("label").alias("actual"))
+    return M.predict_multinomial(w.join(test.select("doc_id"), "doc_id"), logp, priors).join(test, "doc_id")
+
+
+@query("c1_multinomial_nb", f"WITH {_NB} SELECT alpha::DOUBLE AS alpha, doc_id, predicted FROM pd")
+def _(s, d):
+    return predictions(s, d).select("alpha", "doc_id", "predicted")
+
+
+@query("c10_alpha_search", f"WITH {_NB} SELECT alpha::DOUBLE AS alpha, round(avg((predicted = label)::INT), 6) AS accuracy FROM pd JOIN st USING (doc_id) GROUP BY 1")
+def _(s, d):
+    return predictions(s, d).groupBy("alpha").agg(F.round(F.avg((F.col("predicted") == F.col("actual")).cast("int")), 6).alias("accuracy"))
+
+
+# Evaluation, on a rule's predictions: toxicity from length, against the labels.
+
+_RULE = "pr AS (SELECT doc_id, quality::VARCHAR AS actual, CASE WHEN n_chars % 3 = 0 THEN '1' ELSE '0' END AS predicted FROM labels JOIN documents USING (doc_id))"
+_CONF = _RULE + ", ls AS (SELECT actual AS l FROM pr UNION SELECT predicted FROM pr), cf AS (SELECT a.l AS actual, b.l AS predicted, (SELECT count(*) FROM pr WHERE pr.actual = a.l AND pr.predicted = b.l) AS n FROM ls a, ls b)"
+
+
+def ruled(s: SparkSession, d: str) -> DataFrame:
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars")
+    return s.read.parquet(f"{d}/labels.parquet").join(docs, "doc_id").select("doc_id", F.col("quality").cast("string").alias("actual"), F.when(F.col("n_chars") % 3 == 0, "1").otherwise("0").alias("predicted"))
+
+
+@query("n1_confusion", f"WITH {_CONF} SELECT actual, predicted, n FROM cf")
+def _(s, d):
+    return M.confusion(ruled(s, d))
+
+
+@query("n2_report", f"WITH {_CONF}, r AS (SELECT a.actual AS class, sum(a.n) AS support, sum(a.n) FILTER (a.actual = a.predicted) AS tp, (SELECT sum(n) FROM cf WHERE predicted = a.actual) AS claimed FROM cf a GROUP BY 1), m AS (SELECT *, CASE WHEN claimed > 0 THEN tp / claimed ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS rc FROM r), f AS (SELECT *, CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END AS f FROM m) SELECT class, support::BIGINT AS support, round(p, 6) AS precision, round(rc, 6) AS recall, round(f, 6) AS f1, round(sum(tp) OVER () / sum(support) OVER (), 6) AS accuracy, round(avg(f) OVER (), 6) AS macro_f1, round(sum(support * f) OVER () / sum(support) OVER (), 6) AS weighted_f1 FROM f")
+def _(s, d):
+    return M.report(ruled(s, d))
+
+
+@query("n5_prediction_table", f"WITH {_RULE} SELECT doc_id, actual, predicted, actual = predicted AS is_correct FROM pr")
+def _(s, d):
+    return ruled(s, d).withColumn("is_correct", F.col("actual") == F.col("predicted"))
+
+
+# Dense vectors
+
+_EMB = "em AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+
+
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+@query("v7_standardized", f"WITH {_EMB}, m AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS sd FROM em GROUP BY 1) SELECT vec_id AS id, dim::INT AS dim, round((x - m) / sd, 5) AS z FROM em JOIN m USING (dim)")
+def _(s, d):
+    return M.standardized(vectors(s, d)).select("id", "dim", F.round("z", 5).alias("z"))
+
+
+@query("c2_gaussian_nb", f"WITH {_EMB}, ep AS (SELECT greatest(1e-9 * max(v), 1e-12) AS eps FROM (SELECT var_pop(x) AS v FROM em GROUP BY dim)), st AS (SELECT label, dim, avg(x) AS m, var_pop(x) + (SELECT eps FROM ep) AS v FROM em GROUP BY ALL), pr AS (SELECT label, ln(count(*) / (SELECT count(*) FROM embeddings)) AS prior FROM embeddings GROUP BY 1), sc AS (SELECT vec_id, st.label, sum(-0.5 * (ln(2 * pi() * v) + (x - m) ** 2 / v)) + any_value(prior) AS s FROM em JOIN st USING (dim) JOIN pr ON pr.label = st.label GROUP BY ALL) SELECT vec_id AS id, label AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 6) DESC, label) = 1")
+def _(s, d):
+    return M.gaussian(vectors(s, d), vectors(s, d))
+
+
+# Rank tests, on mean lengths by label and category
+
+_CELLS = "ce AS (SELECT lang AS label, source AS category, round(avg(n_chars), 3) AS score FROM documents GROUP BY ALL)"
+
+
+def cells(s: SparkSession, d: str) -> DataFrame:
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    return docs.groupBy(F.col("lang").alias("label"), F.col("source").alias("category")).agg(F.round(F.avg("n_chars"), 3).alias("score"))
+
+
+@query("w4_average_ranks", "WITH c AS (SELECT source AS category, lang AS label, count(*) AS n FROM documents GROUP BY ALL) SELECT category, label, n, rank() OVER (PARTITION BY category ORDER BY n) + (count(*) OVER (PARTITION BY category, n) - 1) / 2.0 AS rank FROM c")
+def _(s, d):
+    return C.average_ranks(posts(s, d).groupBy("category", "label").agg(F.count("*").alias("n")), ["category"], "n")
+
+
+@query("t2_signed_rank", f"WITH {_CELLS}, p AS (SELECT b.label AS other, round(a.score - b.score, 3) AS diff FROM ce a JOIN ce b ON a.category = b.category AND a.label = 'en' AND b.label <> 'en'), n AS (SELECT other, count(*) AS n, round(avg(diff), 6) AS mean_diff FROM p GROUP BY 1), r AS (SELECT other, diff, rank() OVER (PARTITION BY other ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY other, abs(diff)) - 1) / 2.0 AS rank FROM p WHERE diff <> 0), w AS (SELECT other, sum(CASE WHEN diff > 0 THEN rank ELSE 0.0 END) AS w_plus, sum(CASE WHEN diff < 0 THEN rank ELSE 0.0 END) AS w_minus FROM r GROUP BY 1) SELECT other, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS w, n, mean_diff, round(1 - 2 * least(w_plus, w_minus) / (n * (n + 1) / 2), 6)::DOUBLE AS effect FROM w JOIN n USING (other)")
+def _(s, d):
+    c = cells(s, d)
+    en = c.where("label = 'en'").select("category", F.col("score").alias("en"))
+    pairs = c.where("label <> 'en'").join(en, "category").select(F.col("label").alias("other"), F.round(F.col("en") - F.col("score"), 3).alias("diff"))
+    return X.signed_rank(pairs, ["other"])
+
+
+@query("t3_kruskal_wallis", f"WITH {_CELLS}, r AS (SELECT label, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rank FROM ce), t AS (SELECT sum(t ** 3 - t) AS ties FROM (SELECT count(*) AS t FROM ce GROUP BY score)), g AS (SELECT label, sum(rank) AS r, count(*) AS c FROM r GROUP BY 1), h AS (SELECT count(*) AS k, sum(c)::BIGINT AS n, (12 / (sum(c) * (sum(c) + 1)) * sum(r * r / c) - 3 * (sum(c) + 1)) / (1 - any_value(ties) / (sum(c) ** 3 - sum(c))) AS h FROM g, t) SELECT k, n, round(h, 6) AS h, round((h - 1) / (n - 1), 6) AS eta2 FROM h")
+def _(s, d):
+    return X.kruskal_wallis(cells(s, d), "label", "score")
+
+
+@query("t4_friedman")
+def _(s, d):
+    return X.friedman(cells(s, d), "category", "label", "score")
+
+
+@query("t5_spearman", "WITH c AS (SELECT source, round(stddev_pop(n_chars), 3) AS n, round(avg(n_chars), 3) AS score FROM documents GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS x, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS y FROM c) SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM r")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    c = docs.groupBy("source").agg(F.round(F.stddev_pop("n_chars"), 3).alias("n"), F.round(F.avg("n_chars"), 3).alias("score"))
+    return X.spearman(c.select(F.col("n").alias("x"), "score"), "x", "score")
+
+
+@query("t9_trend", "SELECT round(regr_slope(n_chars, doc_id), 6) AS slope, round(regr_intercept(n_chars, doc_id), 4) AS intercept FROM documents")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    return docs.agg(F.round(F.regr_slope("n_chars", "doc_id"), 6).alias("slope"), F.round(F.regr_intercept("n_chars", "doc_id"), 4).alias("intercept"))
+
+
+# Language model prompts and replies
+
+_REPLIES = ('{"result":"anxiety","explanation":"x"}', '```json\n{"result":"anxiety","explanation":"x"}\n```', 'Sure! {"result":"normal","explanation":"y"} bye', "no json", "[1]")
+
+
+@query("l2_parsed_replies", "SELECT doc_id, ['anxiety', 'anxiety', 'normal', '__PARSE_ERROR__', '__PARSE_ERROR__'][doc_id % 5 + 1] AS result, ['x', 'x', 'y', 'no json', '[1]'][doc_id % 5 + 1] AS explanation FROM documents")
+def _(s, d):
+    raw = F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", raw.alias("raw"))
+    result, why = T.parsed_reply(F.col("raw"))
+    return docs.select("doc_id", result.alias("result"), why.alias("explanation"))
+
+
+@query("l1_prompts")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", T.prompt(F.col("text"), "English", ("anxiety", "normal")).alias("prompt"))
+
+
+@query("c9_strength", "SELECT doc_id, CASE WHEN doc_id % 100 < 55 THEN 'Weak' WHEN doc_id % 100 < 75 THEN 'Medium' ELSE 'Strong' END AS strength FROM documents")
+def _(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.strength((F.col("doc_id") % 100) / 100).alias("strength"))
