@@ -45,6 +45,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most ``rows`` rows; else df as it is, for a shuffle join that AQE can split."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

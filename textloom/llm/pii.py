@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fresh, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns of the contract, fixed values.
@@ -263,12 +263,17 @@ def listed(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def n_spans(kind: int):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def masked(docs: DataFrame, field: Field) -> DataFrame:
     """docs with each span of text replaced by its kind in angle brackets."""
-    spans = found(docs, field).select(F.col("doc_id").alias("_id"), "spans")
+    key, own = fresh(docs, "key"), fresh(docs, "spans")
+    spans = found(docs, field).select(F.col("doc_id").alias(key), F.col("spans").alias(own))
     kinds = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    cut = docs.join(spans, docs["doc_id"] == spans["_id"])
-    merged = F.array_sort("spans", lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0))
+    cut = docs.join(spans, F.col("doc_id") == F.col(key))
+    merged = F.array_sort(own, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0))
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     step = lambda t: lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(F.concat(s["out"], F.substring(t, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.element_at(kinds, x["kind"] + 1)).alias("out"), x["end"].alias("at")))
     t = F.col("text")
@@ -279,5 +284,4 @@ def masked(docs: DataFrame, field: Field) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = found(docs, fit(docs))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return out.select("doc_id", *[n_spans(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
