@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WS_RE, checked_broadcast, materialize, small_batches
+from .common import NON_WS_RE, checked_broadcast, fresh, materialize, small_batches
 
 #: Weights of the sources in code point order, null last, repeating; the share of all words that the mix holds; and the
 #: most times that a source's words are taken.
@@ -129,11 +129,22 @@ def mixture(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: floa
     return drawn.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), F.slice("shards", F.lit(1), copies.cast("int")).alias("shards"))
 
 
+def _repeated(docs: DataFrame, copy: str, shard: str, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with the number of the copy and its shard."""
+    key, shards = fresh(docs, "key"), fresh(docs, "shards")
+    plan = mixture(docs, **options).where("copies > 0").select(F.col("doc_id").alias(key), F.col("shards").alias(shards)).dropDuplicates([key])
+    return docs.join(checked_broadcast(plan), F.col("doc_id").eqNullSafe(F.col(key))).select(*docs.columns, F.posexplode(shards).alias(copy, shard))
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with shard and a seeded order in it (turn): sort a shard by turn to read it shuffled."""
-    plan = mixture(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "shards").dropDuplicates(["_id"])
-    rows = docs.join(checked_broadcast(plan), docs["doc_id"].eqNullSafe(plan["_id"])).select(*docs.columns, F.posexplode("shards").alias("copy", "shard"))
-    return rows.withColumn("turn", F.xxhash64(F.lit(SEED + 3), "doc_id", "copy"))
+    """The mix: rows of docs, with shard, copy and a seeded order in the shard (turn), which replace columns of these names.
+    Sort a shard by turn to read it shuffled."""
+    return _repeated(docs.drop("copy", "shard", "turn"), "copy", "shard", **options).withColumn("turn", F.xxhash64(F.lit(SEED + 3), "doc_id", "copy"))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix with the columns of docs alone."""
+    return _repeated(docs, fresh(docs, "copy"), fresh(docs, "shard"), **options).select(*docs.columns)
 
 
 def write_mixture(docs: DataFrame, path: str, **options) -> None:
