@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, checked_broadcast, join_groups, materialize
+from .common import WS, checked_broadcast, fresh, join_groups, materialize
 
 #: Code points of the normalised text that the prefix hash covers.
 PREFIX = 64
@@ -16,6 +16,11 @@ def normalised(text="text"):
     return F.translate(F.coalesce(F.col(text), F.lit("")), WS, "")
 
 
+def _own_text(text="text"):
+    """Tells apart the rows of one doc_id by their texts."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """(doc_id, keep_id, group_size, kept), one row a document: its group of equal normalised texts.
 
@@ -28,6 +33,11 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     together if their texts are of one length; a null
     doc_id is a member that stays only if no other does. An empty table gives an empty result. Other columns are ignored.
     """
+    return _groups(docs, prefix).drop("own")
+
+
+def _groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
+    """exact_groups with own, the hash of the row's text, for all rows that may have copies."""
     norm = normalised()
     docs = docs.select("doc_id", "text")
     narrow = materialize(docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.length(norm).alias("n"), F.xxhash64(F.substring(norm, 1, prefix)).alias("p")), "exact-narrow")
@@ -36,18 +46,19 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     prefixes = by_length.groupBy("n", "p").count().where("count > 1").select("n", "p")
     survivors = narrow.join(checked_broadcast(prefixes), ["n", "p"], "left_semi").select("doc_id").distinct()
     full = docs.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(checked_broadcast(survivors.select(F.coalesce("doc_id", F.lit(-1)).alias("d"))), "d", "left_semi")
-    full = materialize(full.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(norm, 256).alias("h")), "exact-full")
+    full = materialize(full.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(norm, 256).alias("h"), _own_text().alias("own")), "exact-full")
     best = F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"))
     groups = full.groupBy("h").agg(F.max(best).alias("best"), F.count("*").alias("group_size")).select("h", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "group_size")
-    grouped = join_groups(full, groups, "h", "group_size").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"))
+    grouped = join_groups(full, groups, "h", "group_size").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"), "own")
     alone = narrow.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(survivors.select(F.coalesce("doc_id", F.lit(-1)).alias("d")), "d", "left_anti")
-    return grouped.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
+    return grouped.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("own")))
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = exact_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stay, with all their columns. A row goes by its doc_id and text, so other texts of its doc_id stay."""
+    key, own = fresh(docs, "key"), fresh(docs, "own")
+    gone = _groups(docs).where("not kept").select(F.col("doc_id").alias(key), F.col("own").alias(own)).distinct()
+    return docs.join(checked_broadcast(gone), F.col("doc_id").eqNullSafe(F.col(key)) & (_own_text() == F.col(own)), "left_anti")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
