@@ -197,7 +197,6 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
 
     def pack(batches):
         encoder = encoder_of(path)
-        encoder = _known.get(path) or _known.setdefault(path, Encoder(path))
         pool, number, out = Pool(), TaskContext.get().partitionId() << 32, []
 
         def close(least: int):
