@@ -45,6 +45,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+_kept: dict = {}
+
+
+def worker_cache(owner, make):
+    """What a Python worker keeps from task to task for one operator. Another operator's goes first, so the memory of a
+    pipeline's stages doesn't add up in workers that Spark uses again."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker_cache
 
 #: Documents of the bounded sample that the model is fitted on, and the longest n-gram that unseen words back off to.
 SAMPLE_DOCS = 4000
@@ -96,6 +96,7 @@ def _predicted(docs: DataFrame, model: Model, rows, schema) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
+        worker_cache("language", dict)  # nothing is kept here, but what other operators kept goes
         m: Model = shared.value
         k, index, matrix = len(m.langs), {}, []
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, checked_broadcast, components, join_groups, materialize, small_batches
+from .common import GROUP_BYTES, checked_broadcast, components, join_groups, materialize, small_batches, worker_cache
 
 #: Words of a shingle; links need 100 * intersection >= SIMILARITY * union.
 SHINGLE = 5
@@ -22,8 +22,8 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Documents of one block of a large cluster: pairs are compared block by block.
 BLOCK = 768
 SEED = 20240607
-
-_words: dict[bytes, int] = {}
+#: Words whose hashes a worker keeps.
+KNOWN_WORDS = 400_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,9 +41,10 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_words) > 400_000:
-        _words.clear()
-    get, put = _words.get, _words.setdefault
+    known: dict[bytes, int] = worker_cache("shingles", dict)
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    get, put = known.get, known.setdefault
     h = np.fromiter((get(w) or put(w, _word_hash(w)) for w in words), np.uint64, len(words))
     n = max(1, len(h) - SHINGLE + 1)
     x = np.full(n, min(len(h), SHINGLE), dtype=np.uint64)

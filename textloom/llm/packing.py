@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches
+from .common import small_batches, worker_cache
 
 #: Tokens of a sequence, the id that ends a document, and the pieces among which a sequence is filled.
 LENGTH = 4096
@@ -28,7 +28,6 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 ODD = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case may depend on their place or length; texts with any are left as they are.
 OTHER = re.compile("[^\x00-\u012f]")
-_known: dict = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -147,7 +146,7 @@ def best_fill(lengths: list[int], count, capacity: int) -> list[int]:
 
 def encoder_of(path: str) -> Encoder:
     """This worker's encoder, which keeps what it has learned from task to task."""
-    return _known.get(path) or _known.setdefault(path, Encoder(path))
+    return worker_cache(("packing", path), lambda: Encoder(path))
 
 
 class Pool:
