@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import dense as D
 from textloom.operators import models as M
 from textloom.operators import sampling as S
 from textloom.operators import stats as X
@@ -103,3 +104,40 @@ def test_stream(spark, tmp_path):
     q = posts.cleaned(stream).writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.cleaned, r.label) for r in spark.table("cleaned").collect()] == [("i cannot stop", "a")]
+
+
+def test_grams_and_counts(spark):
+    df = spark.createDataFrame([("ab  c",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.char_terms(F.col("t"), 2, 2)).collect()] == [["ab", "b ", " c"], [], None]
+    assert [r[0] for r in df.select(T.sentence_count(F.col("t"))).collect()][:2] == [1, 1]
+    assert one(spark, T.sentence_count, "One. Two! Three?") == 3
+    assert one(spark, T.routed_language, "je suis dans la rue") == "french"
+    assert one(spark, T.routed_language, "the cat is here") == "english"
+    assert one(spark, T.routed_language, "أنا هنا") == "arabic"
+
+
+def test_sign_test(spark):
+    df = spark.createDataFrame([("x", v) for v in (1.0, -1.0, -2.0, 0.0)], "g string, diff double")
+    r = X.sign_test(df, ["g"]).first()
+    assert (r.n, r.k) == (3, 1) and r.p == pytest.approx(X.sign_test_p(1, 3))
+
+
+def test_best_epochs(spark):
+    losses = [5.0, 4.0, 4.5, 4.6, 4.7, 1.0]
+    df = spark.createDataFrame([("r", i + 1, v) for i, v in enumerate(losses)], "run string, epoch int, loss double")
+    assert tuple(M.best_epochs(df, "run", "epoch", "loss").first()) == ("r", 5, 2, 4.0)
+    assert tuple(M.best_epochs(df, "run", "epoch", "loss", 10).first()) == ("r", 6, 6, 1.0)
+
+
+def test_dense(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(m, 0.3, (40, 3)) for m in ([0, 0, 3], [3, 0, 0], [0, 3, 0])])
+    df = spark.createDataFrame([(i, [float(v) for v in row], "abc"[i // 40]) for i, row in enumerate(x)], "id long, embedding array<double>, label string")
+    for f in (D.logistic, D.linear_svm):
+        got = {r.id: r.predicted for r in f(df, df).collect()}
+        assert np.mean([got[i] == "abc"[i // 40] for i in range(120)]) > 0.97
+    got = np.array([r.projected for r in D.pca(df, df, 2).orderBy("id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-6)

@@ -208,15 +208,47 @@ def occurrences(c: Column, part: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """n-grams joined by blanks, by zipping shifted arrays: each token is read n times, whatever the length."""
+def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
+    """n-grams joined by ``sep``, by zipping shifted arrays: each token is read n times, whatever the length."""
     g = tokens
     for k in range(1, n):
         rest = F.slice(tokens, F.lit(1 + k), F.greatest(F.size(tokens) - k, F.lit(0)))
-        g = F.zip_with(g, rest, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+        g = F.zip_with(g, rest, lambda a, b: F.when(b.isNotNull(), F.concat_ws(sep, a, b)))
     return F.slice(g, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
 
 
+def word_terms(tokens: Column, lo: int, hi: int) -> Column:
+    """All n-grams of lo to hi words."""
+    return F.concat(*[ngrams(tokens, n) for n in range(lo, hi + 1)])
+
+
+def char_terms(c: Column, lo: int, hi: int) -> Column:
+    """All n-grams of lo to hi characters of the text with single blanks; blank ones are left out."""
+    chars = F.split(collapsed(c), "")
+    return F.filter(F.concat(*[ngrams(chars, n, "") for n in range(lo, hi + 1)]), lambda g: F.trim(g) != "")
+
+
+def content_ngrams(tokens: Column, n: int, stopwords) -> Column:
+    """n-grams of which at most n - 2 words are stopwords (for n = 1, none is)."""
+    return F.filter(ngrams(tokens, n), lambda g: F.size(F.filter(F.split(g, " "), lambda w: w.isin(*stopwords))) < max(1, n - 1))
+
+
+def sentence_count(c: Column) -> Column:
+    """Sentences that end in . ! or ?, at least one."""
+    return F.greatest(F.size(F.filter(F.split(c, r"[.!?]+(?:\s+|\z)"), lambda s: F.trim(s) != "")), F.lit(1))
+
+
+def contains_arabic(c: Column) -> Column:
+    return c.rlike(r"[\x{0600}-\x{06FF}]")
+
+
+def routed_language(c: Column) -> Column:
+    """The pipeline a text goes to: Arabic by its script, else French or English by which stopwords are more frequent."""
+    w = words(c)
+    votes = [F.size(F.filter(w, lambda x: x.isin(*s))) for s in (L.FRENCH_STOPWORDS, L.ENGLISH_STOPWORDS)]
+    return F.when(contains_arabic(c), "arabic").when(votes[0] > votes[1], "french").otherwise("english")
+
+
 def type_token_ratio(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.size(F.array_distinct(tokens)) / F.size(tokens)).otherwise(0.0)
 

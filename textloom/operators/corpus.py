@@ -67,6 +67,35 @@ def vocabulary_stats(tokens: DataFrame) -> DataFrame:
     return out.groupBy("label").agg(F.count("*").alias("total"), F.count_if(F.col("labels") == F.col("k")).alias("shared")).withColumn("own", F.col("total") - F.col("shared"))
 
 
+def shared_terms(tokens: DataFrame) -> DataFrame:
+    """Terms that all labels have."""
+    labels = tokens.agg(F.count_distinct("label").alias("k"))
+    return vocabulary(tokens).groupBy("term").agg(F.count("label").alias("c")).crossJoin(F.broadcast(labels)).where("c = k").select("term")
+
+
+def exclusive_terms(tokens: DataFrame) -> DataFrame:
+    """(label, term) of the terms that one label alone has."""
+    return vocabulary(tokens).groupBy("term").agg(F.count("*").alias("c"), F.max("label").alias("label")).where("c = 1").select("label", "term")
+
+
+def outside_counts(tokens: DataFrame) -> DataFrame:
+    """(label, term, n): of each label's terms, the occurrences outside the label, where there are any."""
+    counts = terms(tokens).groupBy("label", "term").agg(F.count("*").alias("c"))
+    everywhere = counts.groupBy("term").agg(F.sum("c").alias("g"))
+    return counts.join(everywhere, "term").where("g > c").select("label", "term", (F.col("g") - F.col("c")).alias("n"))
+
+
+def top_matches(df: DataFrame, label: str, text: str, pattern: str, k: int = 10) -> DataFrame:
+    """The most frequent matches of a pattern (emojis, hashtags) in each label."""
+    found = df.select(label, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("found"))
+    return ranked(found.groupBy(label, "found").agg(F.count("*").alias("n")), k, [label], F.desc("n"), "found")
+
+
+def wide(df: DataFrame, row: str, column: str, values, agg) -> DataFrame:
+    """Pivot with the columns named, so that no pass looks for them."""
+    return df.groupBy(row).pivot(column, list(values)).agg(agg)
+
+
 def venn(tokens: DataFrame) -> DataFrame:
     """Terms that exactly each combination of labels has."""
     masks = terms(tokens).groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("label")), "+").alias("labels"))
@@ -124,9 +153,9 @@ def symbol_matrix(df: DataFrame, label: str, text: str, symbols: dict[str, str])
     return df.where(F.col(text).isNotNull()).groupBy(label).agg(*[F.round(count(group) / n_words, 6).alias(name) for name, group in symbols.items()])
 
 
-def filled(df: DataFrame, order: str, *columns: str) -> DataFrame:
-    """Forward fill of a report read as text: for small tables, which have one order."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def filled(df: DataFrame, order: str, *columns: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Forward fill of columns read as text, within each group ``by``; without groups only for small tables, which have one order."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({c: F.last(F.nullif(F.trim(c), F.lit("")), ignorenulls=True).over(w) for c in columns})
 
 

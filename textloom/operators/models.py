@@ -57,8 +57,8 @@ def predict_multinomial(weights: DataFrame, logp: DataFrame, priors: DataFrame)
     return scores.withColumn("r", best).where("r = 1").select("alpha", "doc_id", F.col("label").alias("predicted"))
 
 
-def gaussian(train: DataFrame, rows: DataFrame, smoothing: float = 1e-9) -> DataFrame:
-    """(id, predicted) of rows (id, embedding), from train (id, embedding, label): normal densities by class and dimension."""
+def gaussian_scores(train: DataFrame, rows: DataFrame, smoothing: float = 1e-9) -> DataFrame:
+    """(id, label, s): log joint density of rows (id, embedding) in each class of train (id, embedding, label)."""
     long = train.select("id", "label", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     eps = long.groupBy("dim").agg(F.var_pop("x").alias("v")).agg(F.greatest(smoothing * F.max("v"), F.lit(1e-12)).alias("eps"))
     stats = long.groupBy("label", "dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).crossJoin(F.broadcast(eps)).select("label", "dim", "m", (F.col("v") + F.col("eps")).alias("v"))
@@ -67,8 +67,32 @@ def gaussian(train: DataFrame, rows: DataFrame, smoothing: float = 1e-9) -> Data
     seen = rows.select("id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     d = F.col("x") - F.col("m")
     score = seen.join(F.broadcast(stats), "dim").groupBy("id", "label").agg(F.sum(-0.5 * (F.log(6.283185307179586 * F.col("v")) + d * d / F.col("v"))).alias("s")).join(F.broadcast(priors), "label")
-    r = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round(F.col("s") + F.col("prior"), 6)), "label"))
-    return score.withColumn("r", r).where("r = 1").select("id", F.col("label").alias("predicted"))
+    return score.select("id", "label", (F.col("s") + F.col("prior")).alias("s"))
+
+
+def gaussian(train: DataFrame, rows: DataFrame, smoothing: float = 1e-9) -> DataFrame:
+    """(id, predicted): the class with the largest score, ties by name."""
+    r = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("s", 6)), "label"))
+    return gaussian_scores(train, rows, smoothing).withColumn("r", r).where("r = 1").select("id", F.col("label").alias("predicted"))
+
+
+def posteriors(scores: DataFrame, key: str = "id") -> DataFrame:
+    """scores (key, label, s) with p, their softmax within each key."""
+    w = Window.partitionBy(key)
+    e = scores.withColumn("e", F.exp(F.col("s") - F.max("s").over(w)))
+    return e.withColumn("p", F.col("e") / F.sum("e").over(w)).drop("e")
+
+
+def best_epochs(history: DataFrame, run: str, epoch: str, loss: str, patience: int = 3) -> DataFrame:
+    """Of each run: the epoch at which training stops (``patience`` epochs without a new least loss, else the last) and the best until then."""
+    before = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
+    h = history.withColumn("_least", F.min(loss).over(before))
+    h = h.withColumn("_new", F.when(F.col("_least").isNull() | (F.col(loss) < F.col("_least")), F.col(epoch)))
+    h = h.withColumn("_at", F.max("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    stops = F.coalesce(F.min(F.when(F.col(epoch) - F.col("_at") >= patience, F.col(epoch))), F.max(epoch))
+    stopped = h.groupBy(run).agg(stops.alias("stop_epoch"))
+    kept = h.join(stopped, run).where(F.col(epoch) <= F.col("stop_epoch"))
+    return kept.groupBy(run, "stop_epoch").agg(F.max("_at").alias("best_epoch"), F.min(loss).alias("best_loss"))
 
 
 def confusion(pred: DataFrame) -> DataFrame:
@@ -98,3 +122,34 @@ def standardized(df: DataFrame) -> DataFrame:
     long = df.select("id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     s = long.groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
     return long.join(F.broadcast(s), "dim").select("id", "dim", F.when(F.col("sd") > 0, (F.col("x") - F.col("m")) / F.col("sd")).otherwise(0.0).alias("z"))
+
+
+def fold_scores(pred: DataFrame, fold: str = "fold") -> DataFrame:
+    """(fold, accuracy, macro_f1) of (fold, actual, predicted), in one aggregation of hits and misses by class."""
+    side = lambda c, tp, miss: F.struct(F.col(c).alias("class"), F.lit(tp).alias("tp"), F.lit(miss).alias("miss"))
+    sides = F.when(F.col("actual") == F.col("predicted"), F.array(side("actual", 1, 0))).otherwise(F.array(side("actual", 0, 1), side("predicted", 0, 1)))
+    by_class = pred.select(fold, F.explode(sides).alias("s")).groupBy(fold, "s.class").agg(F.sum("s.tp").alias("tp"), F.sum("s.miss").alias("miss"))
+    f1 = 2 * F.col("tp") / (2 * F.col("tp") + F.col("miss"))
+    return by_class.groupBy(fold).agg((F.sum("tp") / (F.sum("tp") + F.sum("miss") / 2)).alias("accuracy"), F.avg(f1).alias("macro_f1"))
+
+
+def cross_validated(pred: DataFrame, fold: str = "fold") -> DataFrame:
+    """Mean and population deviation of accuracy and macro F1 over the folds."""
+    s = fold_scores(pred, fold)
+    return s.agg(*[F.round(f(c), 6).alias(f"{c}_{n}") for c in ("accuracy", "macro_f1") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
+def reply_scores(pred: DataFrame, labels, case_sensitive: bool = True) -> DataFrame:
+    """Language model replies (actual, predicted): accuracy and macro F1 among replies within the labels, and how many are not.
+
+    Without any reply within the labels, the scores are 0.
+    """
+    if not case_sensitive:
+        pred, labels = pred.withColumns({c: F.lower(c) for c in ("actual", "predicted")}), [x.lower() for x in labels]
+    known = F.col("predicted").isin(*labels)
+    hit, share = known & (F.col("actual") == F.col("predicted")), F.try_divide
+    of = lambda c, x: F.count_if(known & (F.col(c) == x))
+    f1 = sum((F.coalesce(share(2 * F.count_if(hit & (F.col("actual") == x)), of("actual", x) + of("predicted", x)), F.lit(0.0)) for x in labels), F.lit(0.0))
+    return pred.agg(
+        F.count("*").alias("total"), F.count_if(~known).alias("out_of_vocab"), F.round(F.coalesce(share(F.count_if(hit), F.count_if(known)), F.lit(0.0)), 6).alias("accuracy"), F.round(f1 / len(labels), 6).alias("macro_f1")
+    )

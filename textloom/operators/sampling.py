@@ -51,6 +51,12 @@ def three_way(df: DataFrame, label: str, key: str, train: float = 0.70, val: flo
     return d.withColumn("split", F.when(F.col("at") <= F.col("nt"), "train").when(F.col("at") <= F.col("nt") + F.col("nv"), "val").otherwise("test")).drop("at", "n", "nt", "nv")
 
 
+def two_way(df: DataFrame, label: str, key: str, train: float = 0.80, seed: int = 42) -> DataFrame:
+    """train and test of each class; halves round to even."""
+    d = numbered(df, label, key, seed).withColumn("n", F.count("*").over(Window.partitionBy(label)))
+    return d.withColumn("split", F.when(F.col("at") <= F.bround(F.col("n") * train), "train").otherwise("test")).drop("at", "n")
+
+
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     return numbered(df, label, key, seed).withColumn("fold", ((F.col("at") - 1) % k).cast("int")).drop("at")
 

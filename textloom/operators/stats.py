@@ -49,6 +49,30 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return average_ranks(a, ["_all"], y).agg(F.round(rho, 6).alias("rho"), F.count("*").alias("n"))
 
 
+def sign_test(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, k, p): of n differences other than zero, k are positive; p is the chance of as many in fair tosses."""
+    s = pairs.where("diff <> 0").groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("k"))
+    start = F.struct(F.pow(F.lit(0.5), F.col("n")).alias("c"), F.lit(0.0).alias("s"))
+    step = lambda a, i: F.struct((a["c"] * (F.col("n") - i) / (i + 1)).alias("c"), (a["s"] + F.when(i >= F.col("k"), a["c"]).otherwise(0.0)).alias("s"))
+    return s.withColumn("p", F.round(F.aggregate(F.sequence(F.lit(0), F.col("n").cast("int")), start, step, lambda a: a["s"]), 9))
+
+
+def cohen_d(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, d, size) of paired differences: their mean over their sample deviation, and its usual name."""
+    d = F.abs(F.col("d"))
+    out = pairs.groupBy(*by).agg(F.round(F.try_divide(F.avg("diff"), F.stddev_samp("diff")), 6).alias("d"))
+    return out.withColumn("size", F.when(d < 0.2, "negligible").when(d < 0.5, "small").when(d < 0.8, "medium").when(d.isNotNull(), "large"))
+
+
+def post_hoc(df: DataFrame, block: str, group: str, value: str, least: int = 3, alpha: float = 0.05) -> DataFrame:
+    """Signed ranks of all pairs of groups with at least ``least`` shared blocks, and alpha divided by the number of pairs (Bonferroni)."""
+    x = df.select(block, F.col(group).alias("a"), F.col(value).alias("x"))
+    y = df.select(block, F.col(group).alias("b"), F.col(value).alias("y"))
+    pairs = x.join(y, block).where("a < b").select("a", "b", F.round(F.col("x") - F.col("y"), 3).alias("diff"))
+    w = signed_rank(pairs, ["a", "b"]).where(F.col("n") >= least)
+    return w.crossJoin(F.broadcast(w.agg(F.round(alpha / F.count("*"), 6).alias("alpha"))))
+
+
 def sign_test_p(k: int, n: int) -> float:
     """P(X >= k) of n fair tosses."""
     return sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import corpus as C
+from ..operators import dense as D
 from ..operators import filters as R
 from ..operators import models as M
 from ..operators import sampling as S
 from ..operators import stats as X
+from ..sources import tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -598,3 +600,191 @@ def _(s, d):
 @query("c9_strength", "SELECT doc_id, CASE WHEN doc_id % 100 < 55 THEN 'Weak' WHEN doc_id % 100 < 75 THEN 'Medium' ELSE 'Strong' END AS strength FROM documents")
 def _(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.strength((F.col("doc_id") % 100) / 100).alias("strength"))
+
+
+# More grams, sets and reports
+
+@query("p13_sentences", r"SELECT doc_id, greatest(len(list_filter(regexp_split_to_array(text, '[.!?]+(?:\s+|\z)'), lambda s: trim(s) <> '')), 1)::INT AS sentences FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", T.sentence_count(F.col("text")).alias("sentences"))
+
+
+@query("p14_word_terms", f"WITH {TOKENS}, g AS (SELECT term FROM ex UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tk), n AS (SELECT term, count(*) AS n FROM g GROUP BY 1) SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS rank FROM n QUALIFY rank <= 50")
+def _(s, d):
+    t = tokens(s, d).select(F.explode(T.word_terms(F.col("tokens"), 1, 2)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return R.ranked(t, 50, [], F.desc("n"), "term")
+
+
+@query("p15_char_terms", r"WITH c AS (SELECT doc_id, generate_subscripts(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ''), 1) AS i, unnest(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), '')) AS c FROM documents), g AS (SELECT c || lead(c, 1) OVER w || lead(c, 2) OVER w AS term FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT term, count(*) AS n FROM g WHERE trim(term) <> '' GROUP BY 1")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    return docs.select(F.explode(T.char_terms(F.col("text"), 3, 3)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("p12_content_bigrams", f"WITH {TOKENS}, g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: CASE WHEN w[i] NOT IN {_STOP_SQL} AND w[i + 1] NOT IN {_STOP_SQL} THEN w[i] || ' ' || w[i + 1] END)) AS term FROM tk WHERE label = 'en') SELECT term, count(*) AS n FROM g WHERE term IS NOT NULL GROUP BY 1")
+def _(s, d):
+    t = tokens(s, d).where("label = 'en'").select(F.explode(T.content_ngrams(F.col("tokens"), 2, _STOP)).alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("g9_words_met_again", f"SELECT * FROM ({_top(1, 12, 'category')}) WHERE n > 1")
+def _(s, d):
+    return C.top_terms(tokens(s, d), 1, 12, ("category",)).where("n > 1")
+
+
+@query("g10_vocabulary", f"WITH {TOKENS} SELECT DISTINCT label, term FROM ex")
+def _(s, d):
+    return C.vocabulary(tokens(s, d))
+
+
+@query("g13_top_emojis", f"WITH {POSTS}, g AS (SELECT label, unnest(regexp_extract_all(text, '{_RANGE}')) AS found FROM posts), n AS (SELECT label, found, count(*) AS n FROM g GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, found) AS rank FROM n QUALIFY rank <= 10")
+def _(s, d):
+    return C.top_matches(posts(s, d), "label", "text", L.EMOJIS)
+
+
+@query("s2_outside_counts", f"WITH {TOKENS}, c AS (SELECT label, term, count(*) AS c FROM ex GROUP BY ALL) SELECT label, term, (sum(c) OVER (PARTITION BY term) - c)::BIGINT AS n FROM c QUALIFY n > 0")
+def _(s, d):
+    return C.outside_counts(tokens(s, d))
+
+
+@query("s3_shared_terms", f"WITH {TOKENS} SELECT term FROM ex GROUP BY 1 HAVING count(DISTINCT label) = (SELECT count(DISTINCT label) FROM tk)")
+def _(s, d):
+    return C.shared_terms(tokens(s, d))
+
+
+@query("s4_exclusive_terms", f"WITH {TOKENS}, v AS (SELECT DISTINCT label, term FROM ex) SELECT max(label) AS label, term FROM v GROUP BY term HAVING count(*) = 1")
+def _(s, d):
+    return C.exclusive_terms(tokens(s, d))
+
+
+_LANGS = ("de", "en", "es", "fr")
+
+
+@query("s7_wide_counts", "SELECT source AS category, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in _LANGS) + " FROM documents GROUP BY 1")
+def _(s, d):
+    return C.wide(posts(s, d), "category", "label", _LANGS, F.count(F.lit(1))).fillna(0, list(_LANGS))
+
+
+@query("t10_best_of_each", "SELECT *, en - fr AS diff FROM (SELECT source AS category, coalesce(max(n_chars) FILTER (lang = 'en'), 0) AS en, coalesce(max(n_chars) FILTER (lang = 'fr'), 0) AS fr FROM documents GROUP BY 1)")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("category"), "lang", "n_chars")
+    return C.wide(docs, "category", "lang", ("en", "fr"), F.max("n_chars")).fillna(0, ["en", "fr"]).withColumn("diff", F.col("en") - F.col("fr"))
+
+
+@query("s8_feature_ranks", f"WITH {COUNTED}, m AS (SELECT label, avg(n_words) AS words, avg(n_chars) AS chars, avg(n_stops) AS stops FROM ct GROUP BY 1), u AS (UNPIVOT m ON words, chars, stops INTO NAME feature VALUE value) SELECT label, feature, round(value, 6) AS value, row_number() OVER (PARTITION BY label ORDER BY value DESC, feature) AS rank FROM u")
+def _(s, d):
+    m = counted(s, d).groupBy("label").agg(*[F.avg(f"n_{x}").alias(x) for x in ("words", "chars", "stops")])
+    return R.ranked(m.unpivot("label", ["words", "chars", "stops"], "feature", "value"), 3, ["label"], F.desc("value"), "feature").withColumn("value", F.round("value", 6))
+
+
+@query("j3_counts_side_by_side", "SELECT label, coalesce(a.n, 0) AS all_rows, coalesce(b.n, 0) AS rated FROM (SELECT lang AS label, count(*) AS n FROM documents GROUP BY 1) a FULL JOIN (SELECT source AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1) b USING (label)")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    rated = docs.join(s.read.parquet(f"{d}/labels.parquet").select("doc_id"), "doc_id").groupBy(F.col("source").alias("label")).agg(F.count("*").alias("rated"))
+    return docs.groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("all_rows")).join(rated, "label", "full").fillna(0, ["all_rows", "rated"])
+
+
+@query("w3_filled", "SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN nullif(role, '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS role FROM conversations")
+def _(s, d):
+    sparse = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("role")).otherwise("").alias("role"))
+    return C.filled(sparse, "turn", "role", by=("conv_id",))
+
+
+@query("w7_record_numbers", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS record_id FROM documents")
+def _(s, d):
+    return tables.numbered(s.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id").select("doc_id", "record_id")
+
+
+@query("m5_two_way_split", f"SELECT doc_id, lang AS label, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {_TURN}, doc_id) <= round_even(count(*) OVER (PARTITION BY lang) * 0.8, 0) THEN 'train' ELSE 'test' END AS split FROM documents")
+def _(s, d):
+    return S.two_way(posts(s, d), "label", "doc_id").select("doc_id", "label", "split")
+
+
+@query("a16_arabic_script", f"WITH {CONSULTED} SELECT doc_id, regexp_matches(question, '[\\x{{0600}}-\\x{{06FF}}]') AS arabic FROM c")
+def _(s, d):
+    return consultations(s, d).select("doc_id", T.contains_arabic(F.col("question")).alias("arabic"))
+
+
+# Routing, posteriors, training histories, evaluation by fold
+
+_IN = lambda words: "(" + ", ".join(map(_quoted, words)) + ")"
+
+
+@query("c9_routed", f"WITH {TOKENS} SELECT doc_id, CASE WHEN len(list_filter(w, lambda x: x IN {_IN(L.FRENCH_STOPWORDS)})) > len(list_filter(w, lambda x: x IN {_IN(L.ENGLISH_STOPWORDS)})) THEN 'french' ELSE 'english' END AS route FROM tk")
+def _(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.routed_language(F.col("text")).alias("route"))
+
+
+@query("c8_posteriors", f"WITH {_EMB}, ep AS (SELECT greatest(1e-9 * max(v), 1e-12) AS eps FROM (SELECT var_pop(x) AS v FROM em GROUP BY dim)), st AS (SELECT label, dim, avg(x) AS m, var_pop(x) + (SELECT eps FROM ep) AS v FROM em GROUP BY ALL), pr AS (SELECT label, ln(count(*) / (SELECT count(*) FROM embeddings)) AS prior FROM embeddings GROUP BY 1), sc AS (SELECT vec_id, st.label, sum(-0.5 * (ln(2 * pi() * v) + (x - m) ** 2 / v)) + any_value(prior) AS s FROM em JOIN st USING (dim) JOIN pr ON pr.label = st.label GROUP BY ALL), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM sc) SELECT vec_id AS id, label, round(e / sum(e) OVER (PARTITION BY vec_id), 4) AS p FROM e")
+def _(s, d):
+    return M.posteriors(M.gaussian_scores(vectors(s, d), vectors(s, d))).select("id", "label", F.round("p", 4).alias("p"))
+
+
+@query("c6_best_epochs", "WITH h AS (SELECT conv_id, turn, length(text) AS loss, min(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM conversations), a AS (SELECT *, max(CASE WHEN least IS NULL OR loss < least THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS best FROM h), z AS (SELECT conv_id, coalesce(min(turn) FILTER (turn - best >= 3), max(turn)) AS stop_epoch FROM a GROUP BY 1) SELECT conv_id, stop_epoch, max(best) AS best_epoch, min(loss) AS best_loss FROM a JOIN z USING (conv_id) WHERE turn <= stop_epoch GROUP BY ALL")
+def _(s, d):
+    h = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.length("text").cast("long").alias("loss"))
+    return M.best_epochs(h, "conv_id", "turn", "loss")
+
+
+@query("n1_confusion_shares", f"WITH {_CONF} SELECT actual, predicted, n, round(100.0 * n / sum(n) OVER (PARTITION BY actual), 6) AS pct FROM cf WHERE actual IN (SELECT actual FROM pr)")
+def _(s, d):
+    return C.share(M.confusion(ruled(s, d)), "actual").where("pct is not null")
+
+
+@query("n5_predicted_shares", f"WITH {_RULE} SELECT predicted, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM pr GROUP BY 1")
+def _(s, d):
+    return C.distribution(ruled(s, d), "predicted")
+
+
+@query("n6_cross_validation", f"WITH {_RULE}, fo AS (SELECT *, doc_id % 5 AS fold FROM pr), k AS (SELECT fold, class, sum((actual = predicted AND actual = class)::INT) AS tp, sum((actual <> predicted)::INT) AS miss FROM fo, (VALUES ('0'), ('1')) v(class) WHERE class IN (actual, predicted) GROUP BY ALL), s AS (SELECT fold, sum(tp) / (sum(tp) + sum(miss) / 2) AS accuracy, avg(2 * tp / (2 * tp + miss)) AS f FROM k GROUP BY 1) SELECT round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std, round(avg(f), 6) AS macro_f1_mean, round(stddev_pop(f), 6) AS macro_f1_std FROM s")
+def _(s, d):
+    return M.cross_validated(ruled(s, d).withColumn("fold", F.col("doc_id") % 5))
+
+
+_TRUE = "['anxiety', 'normal'][doc_id % 2 + 1]"
+_SAID = "['anxiety', 'anxiety', 'normal', '__PARSE_ERROR__', '__PARSE_ERROR__'][doc_id % 5 + 1]"
+
+
+@query("n7_reply_scores", f"WITH p AS (SELECT {_TRUE} AS actual, {_SAID} AS predicted FROM documents), k AS (SELECT * FROM p WHERE predicted IN ('anxiety', 'normal')), f AS (SELECT l, 2.0 * count(*) FILTER (actual = l AND predicted = l) / (count(*) FILTER (actual = l) + count(*) FILTER (predicted = l)) AS f FROM k, (VALUES ('anxiety'), ('normal')) v(l) GROUP BY 1) SELECT (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p) - (SELECT count(*) FROM k) AS out_of_vocab, (SELECT round(avg((actual = predicted)::INT), 6) FROM k) AS accuracy, (SELECT round(avg(f), 6) FROM f) AS macro_f1")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    raw = F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    actual = F.when(F.col("doc_id") % 2 == 0, "anxiety").otherwise("normal")
+    said = docs.select(actual.alias("actual"), raw.alias("raw"))
+    return M.reply_scores(said.select("actual", T.parsed_reply(F.col("raw"))[0].alias("predicted")), ("anxiety", "normal"))
+
+
+_PAIRED = f"{_CELLS}, p AS (SELECT b.label AS other, round(a.score - b.score, 3) AS diff FROM ce a JOIN ce b ON a.category = b.category AND a.label = 'en' AND b.label <> 'en')"
+
+
+def paired(s: SparkSession, d: str) -> DataFrame:
+    c = cells(s, d)
+    en = c.where("label = 'en'").select("category", F.col("score").alias("en"))
+    return c.where("label <> 'en'").join(en, "category").select(F.col("label").alias("other"), F.round(F.col("en") - F.col("score"), 3).alias("diff"))
+
+
+@query("t1_sign_test", f"WITH {_PAIRED}, s AS (SELECT other, count(*) AS n, count(*) FILTER (diff > 0) AS k FROM p WHERE diff <> 0 GROUP BY 1) SELECT other, n, k, round(list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 9) AS p FROM s")
+def _(s, d):
+    return X.sign_test(paired(s, d), ["other"])
+
+
+@query("t6_cohen_d", f"WITH {_PAIRED}, s AS (SELECT other, round(avg(diff) / nullif(stddev_samp(diff), 0), 6) AS d FROM p GROUP BY 1) SELECT other, d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' WHEN d IS NOT NULL THEN 'large' END AS size FROM s")
+def _(s, d):
+    return X.cohen_d(paired(s, d), ["other"])
+
+
+@query("t7_post_hoc", f"WITH {_CELLS}, p AS (SELECT x.label AS a, y.label AS b, round(x.score - y.score, 3) AS diff FROM ce x JOIN ce y ON x.category = y.category AND x.label < y.label), n AS (SELECT a, b, count(*) AS n, round(avg(diff), 6) AS mean_diff FROM p GROUP BY ALL), r AS (SELECT a, b, diff, rank() OVER (PARTITION BY a, b ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY a, b, abs(diff)) - 1) / 2.0 AS rank FROM p WHERE diff <> 0), w AS (SELECT a, b, sum(CASE WHEN diff > 0 THEN rank ELSE 0.0 END)::DOUBLE AS w_plus, sum(CASE WHEN diff < 0 THEN rank ELSE 0.0 END)::DOUBLE AS w_minus FROM r GROUP BY ALL) SELECT a, b, w_plus, w_minus, least(w_plus, w_minus) AS w, n, mean_diff, round(1 - 2 * least(w_plus, w_minus) / (n * (n + 1) / 2), 6) AS effect, round(0.05 / count(*) OVER (), 6) AS alpha FROM w JOIN n USING (a, b) WHERE n >= 3")
+def _(s, d):
+    return X.post_hoc(cells(s, d), "category", "label", "score")
+
+
+# Classifiers and projections that SQL cannot express; tests/test_functions.py holds them to separable classes and to numpy
+
+@query("c3_logistic")
+def _(s, d):
+    return D.logistic(vectors(s, d), vectors(s, d))
+
+
+@query("v8_pca")
+def _(s, d):
+    return D.pca(vectors(s, d), vectors(s, d), 8)
