@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -25,11 +25,6 @@ def logistic(train: DataFrame, rows: DataFrame, c: float = 1.0, l1_ratio: float
     return _classified(LogisticRegression(regParam=1 / (c * max(1, train.count())), elasticNetParam=l1_ratio, standardization=False), train, rows)
 
 
-def linear_svm(train: DataFrame, rows: DataFrame, c: float = 1.0, rounds: int = 20) -> DataFrame:
-    """(id, predicted) by one linear support vector machine a class."""
-    return _classified(OneVsRest(classifier=LinearSVC(regParam=1 / (c * max(1, train.count())), standardization=False, maxIter=rounds)), train, rows)
-
-
 def pca(train: DataFrame, rows: DataFrame, k: int, standardize: bool = False) -> DataFrame:
     """(id, projected): rows centred by train (and scaled, if asked) on the k directions of most variance; signs are arbitrary."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=standardize).fit(_vectors(train))
