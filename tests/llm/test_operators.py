@@ -311,3 +311,29 @@ def test_repeats_in_many_groups(edge, empty):
     rows = repeats.without_repeats(docs, unit_bytes=20_000, with_text=True).collect()
     assert len(rows) == docs.count() and all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id] for r in rows)
     assert repeats.without_repeats(edge).count() == edge.count() and repeats.without_repeats(empty).count() == 0
+
+
+def test_repeats_of_a_recurring_trigger(spark):
+    rows = []
+    for k in range(1, 9):
+        label = ["0"] * 80
+        label[5 * k + 18] = str(k % 3 + 1)
+        rows.append((k, '{"one_hot_class_label_vector": [' + ", ".join(label) + '], "split": "train"}'))
+    rows += [(9, rows[0][1].replace("[0", "[7")), (10, rows[3][1] * 3), (11, rows[3][1])]
+    want = brute.repeats(dict(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (repeats.UNIT_BYTES, 400):
+        got = repeats.without_repeats(docs, unit_bytes=size, with_text=True).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+
+
+def test_repeats_keys_cover_whole_phrases(spark):
+    import pyarrow as pa
+
+    texts = ['{"one_hot_class_label_vector": [' + ", ".join("0" if i != 40 else x for i in range(80)) + '], "split": "train"}' for x in "12"]
+    group = repeats.Group(pa.table({"doc_id": [0, 1], "text": texts}), True)
+    of = {}
+    for first, last, key in zip(group.first.tolist(), group.last.tolist(), group.phrase.tolist()):
+        of.setdefault(key, set()).add(b"".join(group.bytes)[first : last + repeats.DEPTH])
+    assert all(len(x) == 1 for x in of.values()) and len({t for x in of.values() for t in x}) == len(of)
+    assert (group.last - group.first).max() > 2 * repeats.DEPTH

@@ -68,7 +68,7 @@ class Group:
 
     Every start of a 50-byte string has a trigger, the least rolling hash within the string; it depends on these bytes alone,
     so equal strings have equal triggers wherever they stand. A phrase is a run of starts with one trigger, and its text is
-    that of all its strings. ``first`` and ``last`` are the starts of each phrase's first and last string in the joined
+    that of all its strings, all of which its key covers. ``first`` and ``last`` are the starts of each phrase's first and last string in the joined
     texts, ``doc`` the id of its document, ``trigger`` and ``phrase`` 64-bit keys, ``string`` the key of the string at each byte.
     """
 
@@ -103,7 +103,21 @@ class Group:
         self.doc = self.ids[np.searchsorted(self.at, self.first, side="right") - 1] if len(self.first) else np.zeros(0, np.int64)
         if deep:
             self.string = _mix(join(strings, np.uint64))
-            self.phrase = _mix(self.string[self.first] * np.uint64(3) + _mix(self.string[self.last] + (self.last - self.first).astype(np.uint64)))
+            ends = _mix(self.string[self.first] * np.uint64(3) + _mix(self.string[self.last] + (self.last - self.first).astype(np.uint64)))
+            self.phrase = _mix(ends + self._middles())
+
+    def _middles(self) -> np.ndarray:
+        """A hash of the bytes of each phrase between its first and last string; 0 where these two cover it. A trigger that keeps
+        recurring makes a phrase of any length, so every DEPTH-th string between goes in, mixed with its place."""
+        out, more = np.zeros(len(self.first), np.uint64), (self.last - self.first - 1) // DEPTH
+        long = np.flatnonzero(more > 0)
+        if len(long):
+            count = more[long]
+            begins = np.cumsum(count) - count
+            place = np.arange(int(count.sum())) - np.repeat(begins, count) + 1
+            string = self.string[np.repeat(self.first[long], count) + place * DEPTH]
+            out[long] = np.add.reduceat(_mix(string + _mix(place.astype(np.uint64) * np.uint64(_BASE))), begins)
+        return out
 
     def _chunks(self, size: int = 1 << 17):
         """Ranges of documents of about ``size`` bytes, so that the arrays of one range fit the processor's cache."""
