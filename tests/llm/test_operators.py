@@ -257,6 +257,20 @@ def test_exact_edges(edge, empty):
     assert kept.columns == edge.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.kept)
 
 
+def test_exact_query_edges(spark, edge, tmp_path):
+    extra = [(15, "same same", "en", "a", 1), (None, None, "en", "a", 2), (-1, "same same", "en", "a", 9), *((200, f"hot text {i % 3}", "en", "a", 9) for i in range(30))]
+    docs = edge.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    digest = lambda t: hashlib.sha256(brute.re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()
+    got = exact_dedup.op8(spark, str(tmp_path)).collect()
+    rows = docs.collect()
+    assert Counter((r.doc_id, r.text_sha256) for r in got) == Counter((r.doc_id, digest(r.text)) for r in rows)
+    size = Counter(digest(r.text) for r in rows)
+    assert all(r.group_size == size[r.text_sha256] for r in got)
+    groups = exact_dedup.exact_groups(docs).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == Counter(map(tuple, groups))
+
+
 def test_exact_keeps_other_texts_of_an_id(spark):
     rows = [(0, "a b"), (1, "a b"), (1, "other"), (None, "a b"), (None, "alone")]
     kept = exact_dedup.keep_exact(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -33,11 +33,18 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     together if their texts are of one length; a null
     doc_id is a member that stays only if no other does. An empty table gives an empty result. Other columns are ignored.
     """
-    return _groups(docs, prefix).drop("own")
+    return _groups(docs, prefix).drop("own", "text_sha256")
 
 
-def _groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """exact_groups with own, the hash of the row's text, for all rows that may have copies."""
+def hashed_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
+    """exact_groups with text_sha256, the hash of the row's own normalised text. Each text is hashed once: where it may have
+    copies by the refinement, else when the row is given out; nothing is joined by doc_id, which may be null or repeat."""
+    return _groups(docs, prefix, True).drop("own")
+
+
+def _groups(docs: DataFrame, prefix: int = PREFIX, all_hashes: bool = False) -> DataFrame:
+    """exact_groups with own, the hash of the row's text, and text_sha256, both for all rows that may have copies;
+    ``all_hashes``: text_sha256 for every row, which costs a read of the other texts."""
     norm = normalised()
     docs = docs.select("doc_id", "text")
     narrow = materialize(docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.length(norm).alias("n"), F.xxhash64(F.substring(norm, 1, prefix)).alias("p")), "exact-narrow")
@@ -49,9 +56,11 @@ def _groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     full = materialize(full.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(norm, 256).alias("h"), _own_text().alias("own")), "exact-full")
     best = F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"))
     groups = full.groupBy("h").agg(F.max(best).alias("best"), F.count("*").alias("group_size")).select("h", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "group_size")
-    grouped = join_groups(full, groups, "h", "group_size").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"), "own")
-    alone = narrow.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(survivors.select(F.coalesce("doc_id", F.lit(-1)).alias("d")), "d", "left_anti")
-    return grouped.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("own")))
+    grouped = join_groups(full, groups, "h", "group_size").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"), "own", F.col("h").alias("text_sha256"))
+    ids = survivors.select(F.coalesce("doc_id", F.lit(-1)).alias("d"))
+    alone = (docs if all_hashes else narrow).withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(checked_broadcast(ids) if all_hashes else ids, "d", "left_anti")
+    digest = F.sha2(norm, 256) if all_hashes else F.lit(None).cast("string")
+    return grouped.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("own"), digest.alias("text_sha256")))
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
@@ -62,9 +71,7 @@ def keep_exact(docs: DataFrame) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    hashes = docs.select("doc_id", F.sha2(normalised(), 256).alias("text_sha256"))
-    return exact_groups(docs).join(hashes, "doc_id")
+    return hashed_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP8_SQL = r"""
