@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from textloom.plans.registry import ORACLE_SQL, QUERIES
+from textloom.plans.registry import ORACLE_SQL, QUERIES, selected, selected_sql
 
 TABLES = ("documents", "labels", "embeddings", "pages", "conversations")
 
@@ -31,3 +31,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_selected_features(spark, sf):
+    """No list stops at 2,000 terms, bigrams are in, and small limits choose the terms that the SQL chooses."""
+    terms = {r.term for r in QUERIES["v3_selected_tfidf"](spark, sf).select("term").distinct().collect()}
+    assert len(terms) > 2000 and any(" " in t for t in terms)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(f"SELECT DISTINCT term FROM ({selected_sql(500, 100)})").fetchall()
+    assert {r.term for r in selected(spark, sf, 500, 100).select("term").distinct().collect()} == {t for (t,) in want}

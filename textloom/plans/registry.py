@@ -465,6 +465,35 @@ def _(s, d):
     return M.chi2(weights(s, d), labels(s, d)).select("term", F.round("score", 4).alias("score"))
 
 
+# V3 whole: words and bigrams, fitted on the train split, 70,000 features by frequency, of these the 30,000 best by chi-squared.
+
+FEATURES, SELECTED = 70_000, 30_000
+_GRAMS = "gx AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM tk)"
+_SELECTED = TOKENS + ", " + _GRAMS + ", " + _SPLIT + ", nt AS (SELECT count(*) AS n FROM st WHERE split = 'train'), tf AS (SELECT doc_id, term, count(*) AS tf FROM gx GROUP BY ALL), vo AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf JOIN st USING (doc_id) WHERE split = 'train' GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= greatest(1, floor((SELECT n FROM nt) * 0.95)) ORDER BY total DESC, term LIMIT {features}), rw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln(((SELECT n FROM nt) + 1) / (df + 1)) + 1) AS v FROM tf JOIN vo USING (term)), ti AS (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS weight FROM rw), o AS (SELECT term, label, sum(weight) AS o FROM ti JOIN st USING (doc_id) WHERE split = 'train' GROUP BY ALL), t AS (SELECT term, sum(o) AS t FROM o GROUP BY 1), p AS (SELECT label, count(*) / (SELECT n FROM nt) AS p FROM st WHERE split = 'train' GROUP BY 1), ch AS (SELECT term, sum((coalesce(o, 0) - p * t) ** 2 / (p * t)) AS score FROM t CROSS JOIN p LEFT JOIN o USING (term, label) GROUP BY 1), be AS (SELECT term FROM ch ORDER BY round(score, 9) DESC, term LIMIT {selected}) SELECT doc_id, split, term, round(weight, 6) AS weight FROM ti JOIN be USING (term) JOIN st USING (doc_id)"
+
+
+def selected_sql(features: int = FEATURES, selected: int = SELECTED) -> str:
+    return "WITH " + _SELECTED.replace("{features}", str(features)).replace("{selected}", str(selected))
+
+
+def selected(s: SparkSession, d: str, features: int = FEATURES, best: int = SELECTED) -> DataFrame:
+    """(doc_id, split, term, weight) of all splits; what is learned comes from the train split. Both lists of terms are bounded, so they are broadcast."""
+    split = S.three_way(posts(s, d), "label", "doc_id").select("doc_id", "label", "split")
+    train = split.where("split = 'train'").select("doc_id", "label")
+    pairs = F.expr("transform(slice(tokens, 2, size(tokens)), (t, i) -> concat(tokens[i], ' ', t))")
+    counts = M.term_counts(tokens(s, d).withColumn("tokens", F.concat("tokens", pairs)))
+    vocab = M.vocabulary(counts.join(train, "doc_id", "left_semi"), train.agg(F.count("*").alias("n")), 2, 0.95, features)
+    w = M.tfidf(counts, F.broadcast(vocab), True)
+    scores = M.chi2(w.join(train.select("doc_id"), "doc_id", "left_semi"), train)
+    top = scores.orderBy(F.desc(F.round("score", 9)), "term").limit(best).select("term")
+    return w.join(F.broadcast(top), "term").join(split.select("doc_id", "split"), "doc_id")
+
+
+@query("v3_selected_tfidf", selected_sql())
+def _(s, d):
+    return selected(s, d).select("doc_id", "split", "term", F.round("weight", 6).alias("weight"))
+
+
 _NB = _tfidf("tf") + ", " + _SPLIT + ", sm AS (SELECT label, term, sum(weight) AS s FROM ti JOIN st USING (doc_id) WHERE split = 'train' GROUP BY ALL), vt AS (SELECT DISTINCT term FROM sm), tt AS (SELECT label, sum(s) AS total FROM sm GROUP BY 1), al AS (SELECT unnest([0.01, 0.1, 1.0]) AS alpha), lp AS (SELECT alpha, tt.label, vt.term, ln((coalesce(s, 0) + alpha) / (total + alpha * (SELECT count(*) FROM vt))) AS lp FROM vt CROSS JOIN tt CROSS JOIN al LEFT JOIN sm ON sm.label = tt.label AND sm.term = vt.term), pr AS (SELECT label, ln(count(*) / (SELECT count(*) FROM st WHERE split = 'train')) AS prior FROM st WHERE split = 'train' GROUP BY 1), sc AS (SELECT alpha, doc_id, lp.label, sum(weight * lp) + any_value(prior) AS s FROM ti JOIN st USING (doc_id) JOIN lp USING (term) JOIN pr ON pr.label = lp.label WHERE split = 'test' GROUP BY ALL), pd AS (SELECT alpha, doc_id, label AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY alpha, doc_id ORDER BY round(s, 9) DESC, label) = 1)"
 
 
