@@ -18,6 +18,8 @@ NON_WS_RE = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 #: Text bytes of one group of documents, the unit of work of the operators that exchange packed keys.
 GROUP_BYTES = 8 << 20
+#: Partitions that groups are dealt into at most.
+MOST_PARTITIONS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,8 +43,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch by rows and, where this Spark has the setting, by bytes: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 _kept: dict = {}
@@ -87,8 +89,10 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def grouped_docs(docs: DataFrame, n_groups: int) -> DataFrame:
-    """(doc_id, text, g): documents dealt into n_groups by a hash of the id, about GROUP_BYTES each whatever their source."""
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).alias("g"))
+    """(doc_id, text, g): documents dealt into n_groups by a hash of the id, about GROUP_BYTES each whatever their source, and
+    into as many partitions (at most MOST_PARTITIONS; beyond that a task works through several groups)."""
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).alias("g"))
+    return dealt.repartition(min(n_groups, MOST_PARTITIONS), "g")
 
 
 def count_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
@@ -102,10 +106,11 @@ def sorted_docs(table) -> tuple[np.ndarray, list]:
     return np.array([top if i is None else i for i, _ in rows], dtype=np.int64), [(i, t or "") for i, t in rows]
 
 
-def bucket_slices(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Bounds of the buckets in sorted 64-bit keys: bucket b holds keys[bounds[b]:bounds[b + 1]]; top bits decide."""
-    edges = np.array([-(-(b << 64) // n_buckets) for b in range(1, n_buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
+def bucket_runs(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (by the top bits) that sorted 64-bit keys fall in, and the bounds of each one's keys."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return bucket[first], np.append(first, len(keys))
 
 
 def components(edges: DataFrame) -> DataFrame:

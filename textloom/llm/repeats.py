@@ -1,5 +1,5 @@
-"""Removal of repeated 50-byte strings by prefix-free parsing: rolling-hash triggers cut the texts into phrases, and only phrases
-whose trigger another document holds too are ordered and compared."""
+"""Removal of repeated 50-byte strings by prefix-free parsing: rolling-hash triggers cut the texts into phrases, and the suffix
+array of the dictionary and the order of the parse give the corpus order in which equal strings are neighbours."""
 
 from __future__ import annotations
 
@@ -10,16 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_slices, count_groups, grouped_docs, small_batches, sorted_docs
+from .common import bucket_runs, count_groups, grouped_docs, small_batches, sorted_docs
 
-#: Bytes of a repeated string, and of the rolling hash that sets the triggers.
+#: Bytes of a repeated string, and of the window whose rolling hash sets the triggers.
 DEPTH = 50
 TRIGGER = 24
-#: Text bytes of a group of documents and of a bucket of keys.
+#: Bytes of a string that can stand before or after its trigger.
+SIDE = DEPTH - TRIGGER
+#: Text bytes of a group of documents and of a bucket of phrases.
 UNIT_BYTES = 8 << 20
 
 _TABLE = np.random.default_rng(4096).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
+_LOW = np.uint64(0xFFFFFFFF)
+_ODD = _TABLE[: (SIDE + DEPTH + 4) // 8]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -33,91 +37,47 @@ def _joined(h: np.ndarray, m: int, g: np.ndarray) -> np.ndarray:
     return h[:n] * np.uint64(pow(_BASE, m, 1 << 64)) + g[m : m + n]
 
 
-def rolling(buffer: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Polynomial hashes of every string of each size in buffer, by doubling."""
-    powers = {1: _TABLE[buffer]}
-    while 2 * max(powers) <= max(sizes):
-        k = max(powers)
-        powers[2 * k] = _joined(powers[k], k, powers[k])
-    out = []
-    for size in sizes:
-        done, h = 0, None
-        for k in sorted(powers, reverse=True):
-            if size - done >= k:
-                # strings of `done` bytes followed by k bytes: h * base^k + next
-                if h is None:
-                    h = powers[k]
-                else:
-                    n = max(0, min(len(h), len(powers[k]) - done))
-                    h = h[:n] * np.uint64(pow(_BASE, k, 1 << 64)) + powers[k][done : done + n]
-                done += k
-        out.append(h)
-    return out
+def rolling(buffer: np.ndarray) -> np.ndarray:
+    """Polynomial hash of every window of TRIGGER bytes in buffer, by doubling (24 = 8 + 16)."""
+    one = _TABLE[buffer]
+    two = _joined(one, 1, one)
+    four = _joined(two, 2, two)
+    eight = _joined(four, 4, four)
+    return _joined(eight, 8, _joined(eight, 8, eight))
 
 
-def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
-    k = 1
-    while 2 * k <= width:
-        h = np.minimum(h[: max(0, len(h) - k)], h[k:])
-        k *= 2
-    return np.minimum(h[: max(0, len(h) - (width - k))], h[width - k :])
+def leftmost_min(h: np.ndarray) -> np.ndarray:
+    """For each start of a string, where in it the trigger begins: the least hash of its SIDE + 1 windows, the first of equal ones."""
+    at, k, width = np.arange(len(h), dtype=np.int32), 1, SIDE + 1
+    while True:
+        step = min(k, width - k)
+        if step <= 0 or len(h) <= step:
+            return at if step <= 0 else at[:0]
+        later = h[step:] < h[:-step]
+        h = np.where(later, h[step:], h[:-step])
+        at = np.where(later, at[step:], at[:-step])
+        k += step
 
 
 class Group:
     """The documents of one group, parsed into phrases.
 
-    Every start of a 50-byte string has a trigger, the least rolling hash within the string; it depends on these bytes alone,
-    so equal strings have equal triggers wherever they stand. A phrase is a run of starts with one trigger, and its text is
-    that of all its strings, all of which its key covers. ``first`` and ``last`` are the starts of each phrase's first and last string in the joined
-    texts, ``doc`` the id of its document, ``trigger`` and ``phrase`` 64-bit keys, ``string`` the key of the string at each byte.
+    Every start of a 50-byte string has a trigger, the window in it with the least rolling hash; the bytes of the string alone
+    decide where it stands, so equal strings have equal triggers at equal places. A phrase is a run of starts with one
+    trigger: up to SIDE bytes before it (the part that the dictionary holds), the trigger, and up to SIDE bytes after it
+    (where the parse reads on). ``at`` is where its trigger begins in the joined texts, ``left`` and ``right`` the bytes
+    before and after, ``doc`` the id of its document and ``key`` the mixed hash of the trigger.
     """
 
-    def __init__(self, table: pa.Table, deep: bool):
+    def __init__(self, table: pa.Table):
         self.ids, self.rows = sorted_docs(table)
         self.bytes = [t.encode("utf-8", "surrogatepass") for _, t in self.rows]
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
-        self.at = np.cumsum(self.sizes) - self.sizes
-        firsts, lasts, triggers, strings = [], [], [], []
-        for lo, hi in self._chunks():
-            buffer = np.frombuffer(b"".join(self.bytes[lo:hi]), dtype=np.uint8)
-            hashes = rolling(buffer, (TRIGGER, DEPTH) if deep else (TRIGGER,))
-            if deep:
-                strings.append(np.concatenate([hashes[1], np.zeros(len(buffer) - len(hashes[1]), np.uint64)]))
-            low = sliding_min(hashes[0], DEPTH - TRIGGER + 1)
-            at = self.at[lo:hi] - self.at[lo]
-            valid = np.zeros(len(low) + 2, dtype=np.int8)  # padded by a start that isn't one on either side
-            for x, n in zip(at.tolist(), self.sizes[lo:hi].tolist()):
-                valid[x + 1 : x + 2 + n - DEPTH] = n >= DEPTH
-            cut = low[1:] != low[:-1]
-            inside = valid[1:-1] > 0
-            begins = inside & (valid[:-2] == 0)
-            begins[1:] |= inside[1:] & cut
-            ends = inside & (valid[2:] == 0)
-            ends[:-1] |= inside[:-1] & cut
-            begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
-            triggers.append(_mix(low[begins]))
-            firsts.append(begins + self.at[lo])
-            lasts.append(ends + self.at[lo])
-        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-        self.first, self.last, self.trigger = join(firsts, np.int64), join(lasts, np.int64), join(triggers, np.uint64)
-        self.doc = self.ids[np.searchsorted(self.at, self.first, side="right") - 1] if len(self.first) else np.zeros(0, np.int64)
-        if deep:
-            self.string = _mix(join(strings, np.uint64))
-            ends = _mix(self.string[self.first] * np.uint64(3) + _mix(self.string[self.last] + (self.last - self.first).astype(np.uint64)))
-            self.phrase = _mix(ends + self._middles())
-
-    def _middles(self) -> np.ndarray:
-        """A hash of the bytes of each phrase between its first and last string; 0 where these two cover it. A trigger that keeps
-        recurring makes a phrase of any length, so every DEPTH-th string between goes in, mixed with its place."""
-        out, more = np.zeros(len(self.first), np.uint64), (self.last - self.first - 1) // DEPTH
-        long = np.flatnonzero(more > 0)
-        if len(long):
-            count = more[long]
-            begins = np.cumsum(count) - count
-            place = np.arange(int(count.sum())) - np.repeat(begins, count) + 1
-            string = self.string[np.repeat(self.first[long], count) + place * DEPTH]
-            out[long] = np.add.reduceat(_mix(string + _mix(place.astype(np.uint64) * np.uint64(_BASE))), begins)
-        return out
+        self.start = np.cumsum(self.sizes) - self.sizes
+        found = [self._phrases(lo, hi) for lo, hi in self._chunks()]
+        join = lambda k, kind: np.concatenate([np.zeros(0, kind), *[f[k] for f in found]]).astype(kind)
+        self.at, self.left, self.right, self.key = join(0, np.int64), join(1, np.int64), join(2, np.int64), join(3, np.uint64)
+        self.doc = self.ids[np.searchsorted(self.start, self.at, side="right") - 1] if len(self.at) else np.zeros(0, np.int64)
 
     def _chunks(self, size: int = 1 << 17):
         """Ranges of documents of about ``size`` bytes, so that the arrays of one range fit the processor's cache."""
@@ -130,155 +90,200 @@ class Group:
         if total:
             yield lo, len(self.sizes)
 
+    def _phrases(self, lo: int, hi: int):
+        buffer = np.frombuffer(b"".join(self.bytes[lo:hi]), dtype=np.uint8)
+        hashes = rolling(buffer)
+        trigger = leftmost_min(hashes)
+        valid = np.zeros(len(trigger) + 2, dtype=np.int8)  # padded by a start that isn't one on either side
+        for x, n in zip((self.start[lo:hi] - self.start[lo]).tolist(), self.sizes[lo:hi].tolist()):
+            valid[x + 1 : x + 2 + n - DEPTH] = n >= DEPTH
+        cut = trigger[1:] != trigger[:-1]
+        inside = valid[1:-1] > 0
+        begins, ends = inside & (valid[:-2] == 0), inside & (valid[2:] == 0)
+        begins[1:] |= inside[1:] & cut
+        ends[:-1] |= inside[:-1] & cut
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+        at = trigger[first].astype(np.int64)
+        return at + self.start[lo], at - first, SIDE - (at - last), _mix(hashes[at])
+
+    def dictionary(self, wanted: np.ndarray):
+        """The distinct phrases among ``wanted``: for each, one occurrence and the smallest document; and each occurrence's phrase."""
+        joined = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        whole = np.zeros((len(wanted), SIDE + DEPTH), dtype=np.uint8)
+        left, right = self.left[wanted], self.right[wanted]
+        width = left + TRIGGER + right
+        column = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width - (SIDE - left), width)
+        whole[np.repeat(np.arange(len(wanted)), width), column] = joined[np.repeat(self.at[wanted] - SIDE, width) + column]
+        whole = np.concatenate([whole, np.zeros((len(wanted), 2), np.uint8), left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
+        words = np.ascontiguousarray(whole).view(np.uint64)
+        # By bucket, then by a hash that brings equal phrases together; the bytes say which are equal.
+        mixed = _mix((_mix(words) * _ODD).sum(1, dtype=np.uint64))
+        order, runs, count = _runs(self.key[wanted] & ~_LOW | mixed & _LOW, equal=words)
+        of = np.empty(len(wanted), dtype=np.int64)
+        of[order] = np.repeat(np.arange(len(runs)), count)
+        low = np.minimum.reduceat(self.doc[wanted][order], runs) if len(runs) else np.zeros(0, np.int64)
+        return order[runs], low, of, whole[order[runs]]
+
+
+def _runs(*columns: np.ndarray, equal: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows by columns, the first of each run of equal rows (or of equal rows of ``equal``) in it, and the
+    runs' lengths."""
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for c in columns if equal is None else equal.T:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    runs = np.flatnonzero(new)
+    return order, runs, np.diff(np.append(runs, len(order)))
+
 
-def distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the smallest doc of each, and whether it has another."""
-    order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
-    runs = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+def distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and whether several documents have each."""
+    order, runs, _ = _runs(keys)
     if not len(runs):
-        return keys, docs, np.zeros(0, bool)
-    low, high = np.minimum.reduceat(docs, runs), np.maximum.reduceat(docs, runs)
-    return keys[runs], low, low < high
+        return keys, np.zeros(0, bool)
+    docs = docs[order]
+    return keys[order][runs], np.minimum.reduceat(docs, runs) < np.maximum.reduceat(docs, runs)
 
 
-def sent(g: int, by: np.ndarray, n_buckets: int, **more: np.ndarray | None) -> pa.Table:
-    """A group's keys in order, packed by bucket: 32 bits of each trigger, of which a bucket sees few, and what else is sent with it."""
-    at = bucket_slices(by, n_buckets)
-    used = [b for b in range(n_buckets) if at[b] < at[b + 1]]
-    packed = {"keys": (by & np.uint64(0xFFFFFFFF)).astype(np.uint32)} | {"phrases": None, "low": None} | more
-    columns = {k: pa.array([v[at[b] : at[b + 1]].tobytes() if v is not None else b"" for b in used], pa.binary()) for k, v in packed.items()}
-    return pa.table({"bucket": pa.array(used, pa.int64()), "g": pa.array([g] * len(used), pa.int64())} | columns)
+def _ranks(first: np.ndarray, columns: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Dense ranks of strings that are extended by one column at a time; of those shorter than that, the rank is -1.
+
+    Extending strings to the left by the byte before them sorts the suffixes of the dictionary (each rank follows from the
+    byte and the rank of the suffix one shorter); extending to the right by the byte after sorts how the parse goes on.
+    """
+    ranks = [first.astype(np.int64)]
+    for k in range(columns.shape[1]):
+        on = np.flatnonzero(lengths > k)
+        out = np.full(len(first), -1, dtype=np.int64)
+        _, out[on] = np.unique(columns[on, k].astype(np.int64) << 40 | ranks[-1][on], return_inverse=True)
+        ranks.append(out)
+    return ranks
+
+
+def corpus_order(phrases: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each phrase, a bit a string (bit k: the string with k bytes before the trigger): does a smaller document hold it?
+
+    A string is a suffix of a dictionary entry (the bytes before the trigger, and the trigger) and what the parse reads on.
+    Corpus order is therefore by the entry's place in the suffix array of the dictionary, then by the place of the parse;
+    to depth 50 equal strings are those of equal places, and the bytes themselves are sorted, not their hashes.
+    """
+    left, right = phrases[:, -2].astype(np.int64), phrases[:, -1].astype(np.int64)
+    words = np.ascontiguousarray(phrases[:, SIDE : SIDE + TRIGGER]).view(np.uint64)
+    order, runs, count = _runs(*words.T)
+    trigger = np.empty(len(phrases), dtype=np.int64)
+    trigger[order] = np.repeat(np.arange(len(runs)), count)
+    suffixes = _ranks(trigger, phrases[:, SIDE - 1 :: -1][:, :SIDE], left)
+    parse = _ranks(trigger, phrases[:, SIDE + TRIGGER : SIDE + DEPTH], right)
+    bits = np.zeros(len(phrases), dtype=np.uint32)
+    for k in range(SIDE + 1):
+        on = np.flatnonzero((left >= k) & (right >= SIDE - k))
+        if len(on):
+            order, runs, count = _runs(suffixes[k][on] * len(phrases) + parse[SIDE - k][on])
+            least = np.repeat(np.minimum.reduceat(low[on][order], runs), count)
+            bits[on[order[least < low[on][order]]]] |= np.uint32(1 << k)
+    return bits
 
 
 SENT = "bucket long, g long, keys binary, phrases binary, low binary"
-REPLY = "bucket long, g long, bits binary, more binary"
+REPLY = "bucket long, g long, bits binary"
+WIDTH = SIDE + DEPTH + 4
 
 
-def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of the rows by columns, the first of each run of equal rows in it, and the runs' lengths."""
-    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
-    new = np.zeros(len(order), dtype=bool)
-    new[0] = True
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    runs = np.flatnonzero(new)
-    return order, runs, np.diff(np.append(runs, len(order)))
+def sent(g: int, by: np.ndarray, n_buckets: int, keys: np.ndarray | None = None, phrases: np.ndarray | None = None, low: np.ndarray | None = None) -> pa.Table:
+    """What a group sends, in order of ``by``, one row for each bucket that gets something."""
+    used, at = bucket_runs(by, n_buckets)
+    columns = {k: pa.array([v[a:b].tobytes() if v is not None else b"" for a, b in zip(at[:-1], at[1:])], pa.binary()) for k, v in (("keys", keys), ("phrases", phrases), ("low", low))}
+    return pa.table({"bucket": pa.array(used, pa.int64()), "g": pa.array([g] * len(used), pa.int64())} | columns)
 
 
-def _reply(step: int):
-    """What a bucket answers each group, a bit a key. 1, triggers: another group has it. 2, phrases: a smaller document of another
-    group has it; and more: other phrases have its trigger. 3, strings: a smaller document of another group has it."""
-
-    def reply(table: pa.Table) -> pa.Table:
-        read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-        parts = read("phrases", np.uint64) if step == 3 else read("keys", np.uint32)
-        ends, keys = np.cumsum([len(p) for p in parts])[:-1], np.concatenate(parts)
-        flags, more = np.empty(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
-        if step == 1:
-            order, _, count = _runs(keys)
-            flags[order] = np.repeat(count > 1, count)
-        else:
-            low = np.concatenate(read("low", np.int64))
-            phrases = np.concatenate(read("phrases", np.uint64))
-            order, runs, count = _runs(keys, phrases) if step == 2 else _runs(phrases)
-            flags[order] = np.repeat(np.minimum.reduceat(low[order], runs), count) < low[order]
-            if step == 2:
-                of = keys[order][runs]
-                _, at, phrases_of = np.unique(of, return_inverse=True, return_counts=True)
-                more[order] = np.repeat(phrases_of[at] > 1, count)
-        pack = lambda x: pa.array([np.packbits(f).tobytes() for f in np.split(x, ends)], pa.binary())
-        return pa.table({"bucket": table.column("bucket"), "g": table.column("g"), "bits": pack(flags), "more": pack(more)})
-
-    return reply
-
-
-def replied(keys: np.ndarray, replies: pa.Table, step: int, n_buckets: int, column: str = "bits") -> np.ndarray:
-    """The bits of a group's replies of one step, in the order of the keys it sent."""
-    out, at = np.zeros(len(keys), dtype=bool), bucket_slices(keys, n_buckets)
-    for s, b, bits in zip(*(replies.column(c).to_pylist() for c in ("step", "bucket", column))):
+def replied(by: np.ndarray, replies: pa.Table, step: int, n_buckets: int) -> np.ndarray:
+    """A group's replies of one step, in the order of what it sent: a bit a key, or a mask a phrase."""
+    used, at = bucket_runs(by, n_buckets)
+    place = dict(zip(used.tolist(), zip(at[:-1].tolist(), at[1:].tolist())))
+    out = np.zeros(len(by), dtype=bool if step == 1 else np.uint32)
+    for s, b, bits in zip(*(replies.column(c).to_pylist() for c in ("step", "bucket", "bits"))):
         if s == step:
-            out[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[b + 1] - at[b])
+            lo, hi = place[b]
+            out[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo) if step == 1 else np.frombuffer(bits, np.uint32)
     return out
 
 
+def answer_triggers(table: pa.Table) -> pa.Table:
+    """A bit a key: does another group have this trigger?"""
+    parts = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
+    keys = np.concatenate(parts)
+    order, _, count = _runs(keys)
+    shared = np.empty(len(keys), dtype=bool)
+    shared[order] = np.repeat(count > 1, count)
+    return _answers(table, parts, shared, lambda f: np.packbits(f).tobytes())
+
+
+def answer_phrases(table: pa.Table) -> pa.Table:
+    """A mask a phrase: which of its strings does a smaller document hold?"""
+    parts = [np.frombuffer(x, np.int64) for x in table.column("low").to_pylist()]
+    phrases = np.frombuffer(b"".join(table.column("phrases").to_pylist()), np.uint8).reshape(-1, WIDTH)
+    return _answers(table, parts, corpus_order(phrases, np.concatenate(parts)), np.ndarray.tobytes)
+
+
+def _answers(table: pa.Table, parts: list, values: np.ndarray, pack) -> pa.Table:
+    ends = np.cumsum([len(p) for p in parts])[:-1]
+    return pa.table({"bucket": table.column("bucket"), "g": table.column("g"), "bits": pa.array([pack(x) for x in np.split(values, ends)], pa.binary())})
+
+
 def without_repeats(docs: DataFrame, unit_bytes: int = UNIT_BYTES, with_text: bool = False) -> DataFrame:
     """Each document without the bytes that a 50-byte string covers which also starts in a document with a smaller doc_id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, kept (binary) and spans (start, end).
 
-    Documents are dealt into groups of about ``unit_bytes`` by a hash of their id. In three steps a group sends keys to
-    buckets, and a bucket answers a bit a key: 1. its distinct triggers: does another group have it? A phrase whose trigger
-    one document alone has cannot repeat. 2. the dictionary, its distinct other phrases with the smallest doc_id of each:
-    has a smaller document the phrase (then all its strings go), and do other phrases have its trigger? 3. for first
-    occurrences of phrases that share a trigger with others, the dictionary's suffixes: the distinct strings at each start.
-    Suffixes are compared to depth 50 by a 64-bit hash, which is all the order that equality needs, and a phrase is read on
-    into the next ones, so ranks of the parse never decide. Keys are distinct within a group before they are sent: a
-    passage that a third of all documents share is sent once a group, and a bucket holds about as many keys as a group.
+    Documents are dealt into groups of about ``unit_bytes`` by a hash of their id, and parsed into phrases in each. In two
+    steps a group sends to buckets, by the hash of the trigger, and a bucket answers: 1. its distinct triggers (32 bits each):
+    does another group have it? A string whose trigger one document alone has cannot repeat. 2. the dictionary: the bytes of
+    its distinct other phrases, with the smallest doc_id of each; the bucket puts all strings with its triggers in corpus
+    order and answers which of them a smaller document holds. What is removed is thus decided on bytes. Phrases are distinct
+    within a group before they are sent: a passage that a third of all documents share is sent once a group, and a bucket
+    holds about as much as a group. A group sends one row to each bucket that gets something, so there are never more rows
+    than phrases.
 
     A null text is empty; a null doc_id counts as larger than all others; rows that repeat a doc_id do not count against
-    each other. An empty table gives an empty result. Other columns are ignored.
+    each other, and ties do not arise, since a string is either equal or not. A very long text is one document of its group,
+    which is then larger. An empty table gives an empty result. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     n = count_groups(docs, unit_bytes)
     texts = grouped_docs(docs, n)
 
     def phrases(group: Group, replies: pa.Table):
-        """Which phrases repeat by their trigger, and their distinct (trigger, phrase) in order with the smallest doc of each."""
-        known, _, several = distinct(group.trigger, group.doc)
-        wanted = known[several | replied(known, replies, 1, n)]
-        group.some = np.flatnonzero(np.isin(group.trigger, wanted))
-        t, p, d = (x[group.some] for x in (group.trigger, group.phrase, group.doc))
-        if not len(t):
-            return t, p, d, group.some
-        order, runs, count = _runs(t, p)
-        group.row = np.empty(len(t), dtype=np.int64)
-        group.row[order] = np.repeat(np.arange(len(runs)), count)
-        return t[order][runs], p[order][runs], np.minimum.reduceat(d[order], runs), group.row
-
-    def starts(group: Group, replies: pa.Table):
-        """Starts that are gone with their phrase; then starts to be compared string by string, and their documents."""
-        t, p, low, row = phrases(group, replies)
-        if not len(t):
-            return (np.zeros(0, np.int64),) * 3
-        smaller, others = replied(t, replies, 2, n), replied(t, replies, 2, n, "more")
-        doc = group.doc[group.some]
-        gone = smaller[row] | (doc > low[row])
-        return _spread(group, group.some[gone])[0], *_spread(group, group.some[~gone & others[row]])
-
-    def _spread(group: Group, of: np.ndarray):
-        count = group.last[of] - group.first[of] + 1
-        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(group.first[of], count) + at, np.repeat(group.doc[of], count)
+        """Which phrases may repeat, and the dictionary of these."""
+        known, several = distinct(group.key, group.doc)
+        wanted = np.flatnonzero(np.isin(group.key, known[several | replied(known, replies, 1, n)]))
+        return wanted, *group.dictionary(wanted)
 
     def send_triggers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        group = Group(table, False)
-        return sent(key[0].as_py(), distinct(group.trigger, group.doc)[0], n)
+        group = Group(table)
+        keys, _ = distinct(group.key, group.doc)
+        return sent(key[0].as_py(), keys, n, keys=(keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
 
     def send_phrases(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        t, p, low, _ = phrases(Group(table, True), replies)
-        return sent(key[0].as_py(), t, n, phrases=p, low=low)
-
-    def send_strings(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        group = Group(table, True)
-        _, at, doc = starts(group, replies)
-        keys, low, _ = distinct(group.string[at], doc)
-        return sent(key[0].as_py(), keys, n, keys=None, phrases=keys, low=low)
+        group = Group(table)
+        wanted, one, low, _, whole = phrases(group, replies)
+        return sent(key[0].as_py(), group.key[wanted][one], n, phrases=whole, low=low)
 
     def assemble(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        group = Group(table, True)
-        gone, at, doc = starts(group, replies)
-        if len(at):
-            string = group.string[at]
-            keys, low, _ = distinct(string, doc)
-            i = np.searchsorted(keys, string)
-            gone = np.concatenate([gone, at[replied(keys, replies, 3, n)[i] | (doc > low[i])]])
+        group = Group(table)
+        wanted, one, low, of, _ = phrases(group, replies)
+        bits = replied(group.key[wanted][one], replies, 2, n)[of]
+        bits[group.doc[wanted] > low[of]] = (1 << SIDE + 1) - 1
+        left, right, at = group.left[wanted], group.right[wanted], group.at[wanted]
         edge = np.zeros(int(group.sizes.sum()) + 1, dtype=np.int32)
-        edge[:-1] = np.bincount(gone, minlength=len(edge) - 1)[: len(edge) - 1]
-        edge[DEPTH:] -= np.bincount(gone, minlength=len(edge))[: max(0, len(edge) - DEPTH)].astype(np.int32)
+        for k in range(SIDE + 1):
+            gone = at[(bits >> np.uint32(k) & np.uint32(1) > 0) & (left >= k) & (right >= SIDE - k)] - k
+            np.add.at(edge, gone, 1)
+            np.add.at(edge, gone + DEPTH, -1)
         cover = np.cumsum(edge[:-1]) > 0
         out = []
-        for (doc, _), data, first, size in zip(group.rows, group.bytes, group.at.tolist(), group.sizes.tolist()):
+        for (doc, _), data, first, size in zip(group.rows, group.bytes, group.start.tolist(), group.sizes.tolist()):
             c = cover[first : first + size]
             spans = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
             kept = np.frombuffer(data, np.uint8)[~c].tobytes() if spans else data
@@ -289,11 +294,9 @@ def without_repeats(docs: DataFrame, unit_bytes: int = UNIT_BYTES, with_text: bo
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start: long, end: long>>" * with_text
     by_group = texts.groupBy("g")
-    one = by_group.applyInArrow(send_triggers, SENT).groupBy("bucket").applyInArrow(_reply(1), REPLY).withColumn("step", F.lit(1))
-    two = by_group.cogroup(one.groupBy("g")).applyInArrow(send_phrases, SENT).groupBy("bucket").applyInArrow(_reply(2), REPLY).withColumn("step", F.lit(2))
-    both = one.unionByName(two)
-    three = by_group.cogroup(both.groupBy("g")).applyInArrow(send_strings, SENT).groupBy("bucket").applyInArrow(_reply(3), REPLY).withColumn("step", F.lit(3))
-    return by_group.cogroup(both.unionByName(three).groupBy("g")).applyInArrow(assemble, schema)
+    one = by_group.applyInArrow(send_triggers, SENT).groupBy("bucket").applyInArrow(answer_triggers, REPLY).withColumn("step", F.lit(1))
+    two = by_group.cogroup(one.groupBy("g")).applyInArrow(send_phrases, SENT).groupBy("bucket").applyInArrow(answer_phrases, REPLY).withColumn("step", F.lit(2))
+    return by_group.cogroup(one.unionByName(two).groupBy("g")).applyInArrow(assemble, schema)
 
 
 NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
