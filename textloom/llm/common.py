@@ -88,15 +88,17 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def grouped_docs(docs: DataFrame, n_groups: int) -> DataFrame:
-    """(doc_id, text, g): documents dealt into n_groups by a hash of the id, about GROUP_BYTES each whatever their source, and
+def grouped_docs(docs: DataFrame, n_groups: int, *more: str) -> DataFrame:
+    """(doc_id, text, g) and the columns ``more``: documents dealt into n_groups by a hash of the id, about GROUP_BYTES each whatever their source, and
     into as many partitions (at most MOST_PARTITIONS; beyond that a task works through several groups)."""
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).alias("g"))
+    dealt = docs.select("doc_id", "text", *more, F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).alias("g"))
     return dealt.repartition(min(n_groups, MOST_PARTITIONS), "g")
 
 
 def count_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
-    return max(1, -(-text_bytes(docs) // group_bytes))
+    """Groups of about ``group_bytes`` of text; of a small corpus smaller ones, down to an eighth, so that all cores have one."""
+    size, cores = text_bytes(docs), docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // group_bytes), min(cores, size * 8 // group_bytes))
 
 
 def sorted_docs(table) -> tuple[np.ndarray, list]:
