@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -16,6 +17,7 @@ NON_WS_RE = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a narrow table (ids, keys, a few numbers) is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
 #: Text bytes of one group of documents, the unit of work of the operators that exchange packed keys.
 GROUP_BYTES = 8 << 20
 #: Partitions that groups are dealt into at most.
@@ -33,10 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """A folder of its own for all that is materialized inside; it goes at the end, when what was built on it is written."""
+    path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    try:
+        yield
+    finally:
+        _scratch.remove(path)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by the file system that Spark reaches it through."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df, written once to the shared folder and read back: lineage ends here, and a lost executor costs only a read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    folder = _scratch[-1] if _scratch else shared_dir(spark).rstrip("/")
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,18 +90,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``rows`` rows; else df as it is, for a shuffle join that AQE can split."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, written out, with a broadcast hint if it has at most ``rows`` rows and its strings at most ``size`` bytes; else
+    without, for a shuffle join that AQE can split."""
+    df = materialize(df, "small")
+    strings = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(sum(strings, F.lit(0))), F.lit(0)) if strings else F.lit(0)).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """rows inner-joined with groups (one row a key; ``size`` counts the key's rows), safe for hot keys.
 
-    A key is hot if it has over a thousandth of all rows, so there are under 1,000 of them: they are joined by broadcast
-    and never meet in one task. All other keys are joined by a shuffle.
+    Few groups (by count) are broadcast whole. Of many, a key is hot if it has over a thousandth of all rows, so there are
+    under 1,000 of them: they are joined by broadcast and never meet in one task. All others are joined by a shuffle.
     """
-    total = max(1, rows.count())
+    groups = materialize(groups, "groups")
+    n = groups.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key)
+    total = groups.agg(F.sum(size)).first()[0]
     hot = groups.where(F.col(size) * 1000 > total)
     rest = groups.where(F.col(size) * 1000 <= total)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
@@ -115,25 +147,26 @@ def bucket_runs(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarra
     return bucket[first], np.append(first, len(keys))
 
 
+def _nearest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with m, the smallest of a and all its b. Minima are pre-aggregated, and a hub's edges never meet in one task."""
+    low = edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+    return join_groups(edges, low, "a", "n").select("a", "b", F.least("a", "low").alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b): the smallest id reachable.
 
-    Large-star and small-star steps, each written to the shared folder, until nothing changes: the number of rounds grows
-    with the logarithm of the longest path, and no node, component or edge list reaches the driver.
+    Large-star and small-star steps, each written to the shared folder, until all edges lead from an id to its component:
+    the number of rounds grows with the logarithm of the longest path, and no node, component or edge list reaches the driver.
     """
-    from pyspark.sql import Window
-
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = both.select("a", "b", low.alias("m")).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = F.min("b").over(Window.partitionBy("a"))
-        small = large.select("a", "b", least.alias("m"))
-        small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = materialize(small.distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
+        # Done when each a has one edge and no b is an a.
+        ends = e.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        ends = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        if not ends.where("out > 1 or out > 0 and into > 0").limit(1).count():
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        seen = now
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = materialize(_nearest(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        small = _nearest(large)
+        e = materialize(small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")

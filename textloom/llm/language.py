@@ -10,14 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache
+from ..sources.tables import read_table
+from .common import checked_broadcast, small_batches, worker_cache
 
-#: Documents of the bounded sample that the model is fitted on, and the longest n-gram that unseen words back off to.
-SAMPLE_DOCS = 4000
+#: Documents of each language in the bounded sample that the model is fitted on (a language with fewer gives all), and the
+#: longest n-gram that unseen words back off to.
+SAMPLE_DOCS = 1000
 MAX_N = 5
-#: Words whose scores a worker keeps, and how many words' evidence the posterior counts.
-CACHE = 200_000
-EVIDENCE = 10
+#: Words whose scores a worker keeps; and how many words like a text's average word a score is the posterior of. It is the
+#: same for all texts, so a score means the same whatever the length.
+CACHE = 100_000
+SHARPNESS = 10
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -27,15 +30,25 @@ class Model:
 
     def __init__(self, counts: list[tuple[str, str, int]], max_n: int = MAX_N):
         self.langs, self.max_n = sorted({c[0] for c in counts}), max_n
-        at = {x: i for i, x in enumerate(self.langs)}
-        words: dict = defaultdict(lambda: [0] * len(at))
-        grams: list[dict] = [defaultdict(lambda: [0] * len(at)) for _ in range(max_n + 1)]
-        for lang, word, n in counts:
-            words[word][at[lang]] += n
-            for g, k in Counter((m, f"<{word}>"[i : i + m]) for m in range(1, max_n + 1) for i in range(len(word) + 3 - m)).items():
-                grams[g[0]][g[1]][at[lang]] += k
+        words: dict = {}
+        grams: list[dict] = [{} for _ in range(max_n + 1)]
+        for at, lang in enumerate(self.langs):
+            own: list[dict] = [defaultdict(int) for _ in range(max_n + 1)]
+            for of, word, n in counts:
+                if of == lang:
+                    words.setdefault(word, [0] * len(self.langs))[at] += n
+                    whole = f"<{word}>"
+                    for m in range(1, max_n + 1):
+                        seen = own[m]
+                        for i in range(len(whole) + 1 - m):
+                            seen[whole[i : i + m]] += 1
+            for table, seen in zip(grams, own):
+                for g, k in seen.items():
+                    if g not in table:
+                        table[g] = [0] * len(self.langs)
+                    table[g][at] = k
         self.words = self._logs({w: c for w, c in words.items() if sum(c) > 1})
-        self.grams = [self._logs({g: c for g, c in t.items() if sum(c) > 2}) if n else ({}, np.zeros((0, len(at)), np.float32)) for n, t in enumerate(grams)]
+        self.grams = [self._logs({g: c for g, c in t.items() if sum(c) > 2}) for t in grams]
 
     def _logs(self, table):
         if not table:
@@ -58,13 +71,14 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """The model of the labelled rows of docs (text, lang), from a sample of about ``sample`` documents chosen by a hash.
+    """The model of the labelled rows of docs (text, lang), from about ``sample`` documents of each language chosen by a hash.
 
-    Words are counted by language in Spark; the sample bounds what reaches the driver.
+    Words are counted by language in Spark; the sample bounds what reaches the driver. Rows without text or lang teach
+    nothing; a null doc_id is hashed as any other; of an empty table nothing is learned.
     """
-    rows = docs.where("text is not null and lang is not null")
-    share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
+    rows = rows.join(checked_broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     return Model([tuple(r) for r in words.groupBy("lang", "word").count().collect()])
 
@@ -72,7 +86,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of docs, from its whole text alone; score is the language's posterior.
 
-    A null text, or one without letters, is ``und`` with score 0, and so is every text if nothing was learned. Ties go to
+    A text is read word by word and only the counts of its distinct words are held, however long it is. A null text, or one without letters, is ``und`` with score 0, and so is every text if nothing was learned. Ties go to
     the first language by code point. Rows that repeat a doc_id are predicted each; an empty table gives an empty result.
     """
     def rows(batch, preds, scores):
@@ -98,22 +112,27 @@ def _predicted(docs: DataFrame, model: Model, rows, schema) -> DataFrame:
     def predict(batches):
         worker_cache("language", dict)  # nothing is kept here, but what other operators kept goes
         m: Model = shared.value
-        k, index, matrix = len(m.langs), {}, []
+        k, index, logs = len(m.langs), {}, np.zeros((1024, len(m.langs) + 1), np.float32)
         for batch in batches:
-            if len(index) > CACHE:
-                index, matrix = {}, []
-            found = [WORD.findall(t.lower()) if t else [] for t in batch.column("text").to_pylist()]
-            for w in sorted({w for f in found for w in f if w not in index}):
-                index[w] = len(matrix)
-                matrix.append(np.append(m.word(w), np.float32(any(map(str.isalpha, w)))))
-            logs, preds, scores = np.array(matrix, dtype=np.float32).reshape(-1, k + 1), [], []
-            for f in found:
-                total = logs[np.fromiter((index[w] for w in f), np.int64, len(f))].sum(0, dtype=np.float64) if f else np.zeros(k + 1)
-                if not total[k] or not k:
+            preds, scores = [], []
+            for cell in batch.column("text"):
+                text = cell.as_py()
+                counts = Counter(w[0] for w in WORD.finditer(text.lower())) if text and k else {}
+                if len(index) > CACHE:
+                    index.clear()
+                for w in counts:
+                    if w not in index:
+                        if len(index) == len(logs):
+                            logs = np.concatenate([logs, np.zeros_like(logs)])
+                        logs[len(index)] = np.append(m.word(w), any(map(str.isalpha, w)))
+                        index[w] = len(index)
+                at, n = np.fromiter(map(index.__getitem__, counts), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+                total = n @ logs[at] if counts else np.zeros(k + 1)
+                if not k or not total[k]:
                     preds.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                x = total[:k] / total[k] * min(total[k], EVIDENCE)
+                x = total[:k] / total[k] * SHARPNESS
                 p = np.exp(x - x.max())
                 best = int(p.argmax())
                 preds.append(m.langs[best])
@@ -128,6 +147,6 @@ def held_out():
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()))
     return identified(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

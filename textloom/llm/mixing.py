@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WS_RE, checked_broadcast, fresh, materialize, small_batches
+from ..sources.tables import read_table
+from .common import NON_WS_RE, checked_broadcast, fresh, materialize, small_batches, text_bytes
 
 #: Weights of the sources in code point order, null last, repeating; the share of all words that the mix holds; and the
 #: most times that a source's words are taken.
@@ -16,6 +17,12 @@ BUDGET = 1.5
 MOST = 2.0
 #: Words of a block, output shards, and the seed of all draws.
 BLOCK_WORDS = 100_000
+#: Blocks of a source at most: beyond that its blocks get larger, so that ordering them stays a small task.
+MOST_BLOCKS = 65_536
+#: Sources of one splitting tree; more sources have several.
+TREE_SOURCES = 10_000
+#: Text bytes of one part of a shard that is shuffled in memory.
+PART_BYTES = 64 << 20
 SHARDS = 8
 SEED = 11
 
@@ -56,13 +63,14 @@ def _split(quotas: np.ndarray, shards: int, shard: int, seed: int) -> np.ndarray
 
 def dealt_blocks(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """quotas (source_no, quota) dealt to shards: (source_no, shard, first, count), disjoint ranges that cover each quota."""
-    root = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("source_no", "quota"))).alias("quotas"))
-    leaves = quotas.sparkSession.range(0, shards, 1, min(shards, 64)).select(F.col("id").alias("shard")).crossJoin(F.broadcast(root))
+    tree = F.floor(F.col("source_no") / TREE_SOURCES).alias("tree")
+    roots = quotas.groupBy(tree).agg(F.sort_array(F.collect_list(F.struct("source_no", "quota"))).alias("quotas"))
+    leaves = roots.select("tree", "quotas", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def split(batches):
         for batch in batches:
-            for shard, quotas in zip(batch.column("shard").to_pylist(), batch.column("quotas").to_pylist()):
-                got = _split(np.array([q["quota"] for q in quotas or []], dtype=np.int64), shards, shard, seed)
+            for tree, shard, quotas in zip(*(batch.column(c).to_pylist() for c in ("tree", "shard", "quotas"))):
+                got = _split(np.array([q["quota"] for q in quotas or []], dtype=np.int64), shards, shard, seed + tree)
                 yield pa.RecordBatch.from_arrays([pa.array([q["source_no"] for q in quotas or []], pa.int64()), pa.array([shard] * len(got), pa.int64()), pa.array(got, pa.int64())], names=["source_no", "shard", "count"])
 
     dealt = leaves.mapInArrow(split, "source_no long, shard long, count long")
@@ -79,16 +87,18 @@ def mixture(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: floa
     stay whole, so a source ends within one small document of its target if it has one that small.
 
     Only ids and sizes move; the hot source is spread over its blocks. Tables with a row a source or a block are broadcast
-    when they are small by count, else joined by a shuffle. Draws depend on doc_id and seed alone, so reruns agree.
+    when they are small by count, else joined by a shuffle. Sources are ordered in one task, as a table of one short row each,
+    and so are the blocks of a source, of which there are at most MOST_BLOCKS. Draws depend on doc_id and seed alone, so
+    reruns agree. A very long text stays whole, and is left out at the border if it does not fit.
 
     A null or blank text has size 0 and is taken as its block is; a null source is a source, the last; a source without
-    words has target 0. Rows that repeat a doc_id share block and copies. An empty table gives an empty result.
+    words has target 0. Rows that repeat a doc_id share a block; those with one size too share their copies. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     sized = materialize(docs.select("doc_id", "source", F.regexp_count("text", F.lit(NON_WS_RE)).cast("long").alias("size")).fillna(0, ["size"]), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(totals, weights, budget, most).withColumn("source_no", (F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1).cast("long"))
-    sources = sources.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
+    sources = sources.withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / block_words))).cast("long"))
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long"))
     sources = materialize(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "sources")
     small = checked_broadcast(sources)
@@ -131,9 +141,17 @@ def mixture(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: floa
 
 def _repeated(docs: DataFrame, copy: str, shard: str, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the number of the copy and its shard."""
-    key, shards = fresh(docs, "key"), fresh(docs, "shards")
-    plan = mixture(docs, **options).where("copies > 0").select(F.col("doc_id").alias(key), F.col("shards").alias(shards)).dropDuplicates([key])
-    return docs.join(checked_broadcast(plan), F.col("doc_id").eqNullSafe(F.col(key))).select(*docs.columns, F.posexplode(shards).alias(copy, shard))
+    key, size, shards = fresh(docs, "key"), fresh(docs, "size"), fresh(docs, "shards")
+    plan = mixture(docs, **options).where("copies > 0").select(F.col("doc_id").alias(key), F.col("size").alias(size), F.col("shards").alias(shards)).dropDuplicates([key, size])
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.coalesce(F.regexp_count("text", F.lit(NON_WS_RE)), F.lit(0)) == F.col(size))
+    return docs.join(checked_broadcast(plan), same).select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode(shards).alias(copy, shard))
+
+
+def _shuffled(out: DataFrame, shard: str, turn: str, parts: int) -> DataFrame:
+    """Rows in parts of memory size, each a range of turns of one shard, sorted by turn: read in order, a shard is shuffled."""
+    part = F.shiftright(turn, 40) + (1 << 23)
+    part = F.floor(part * parts / (1 << 24))
+    return out.repartition(max(1, parts) * SHARDS, shard, part).sortWithinPartitions(shard, turn)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -143,15 +161,22 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix with the columns of docs alone."""
-    return _repeated(docs, fresh(docs, "copy"), fresh(docs, "shard"), **options).select(*docs.columns)
+    """The mix with the columns of docs alone, dealt to its shards and shuffled in each: the rows of a part stand in their order."""
+    copy, shard, turn = fresh(docs, "copy"), fresh(docs, "shard"), fresh(docs, "turn")
+    out = _repeated(docs, copy, shard, **options).withColumn(turn, F.xxhash64(F.lit(SEED + 3), "doc_id", copy))
+    return _shuffled(out, shard, turn, _parts(docs)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _parts(docs: DataFrame) -> int:
+    """Parts of a shard, for a mix of BUDGET times the words."""
+    return max(1, -(-int(text_bytes(docs) * BUDGET) // (SHARDS * PART_BYTES)))
 
 
 def write_mixture(docs: DataFrame, path: str, **options) -> None:
     out = mixed(docs, **options)
-    out.repartition("shard").sortWithinPartitions("shard", "turn").write.partitionBy("shard").parquet(path)
+    _shuffled(out, "shard", "turn", _parts(docs)).write.partitionBy("shard").parquet(path)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = mixture(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))

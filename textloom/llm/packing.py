@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from bisect import bisect_right, insort
+from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache
+from ..sources.tables import read_table
+from .common import MOST_PARTITIONS, materialize, small_batches, worker_cache
 
 #: Tokens of a sequence, the id that ends a document, and the pieces among which a sequence is filled.
 LENGTH = 4096
 END = 2
 WINDOW = 1024
 #: Distinct chunks whose ids a worker keeps; when there are more, those met once go, and if need be the rarer of the others.
-CACHE = 1_000_000
+CACHE = 400_000
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Pieces of one bucket, in which sequences are filled.
+BUCKET_PIECES = 32_768
+
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+SCHEMA = PIECE + ", sequence_id long, offset long, sequence_length long"
 #: White space to Python's split, not to the tokenizer: a text with any of these is one chunk.
 ODD = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case may depend on their place or length; texts with any are left as they are.
 OTHER = re.compile("[^\x00-\u012f]")
+#: How a tokenizer must prepare texts for chunks between white space to be encoded apart; by any other, texts are encoded whole.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,6 +51,8 @@ class Encoder:
 
     Texts of Latin letters are lower-cased first (the tokenizer does it too, and composes nothing there), and a full stop or
     comma that ends a chunk after a letter or number is split off, as the tokenizer does; both only make more chunks alike.
+    A text that holds one of the tokenizer's added tokens goes through it whole, and so does every text if the tokenizer
+    prepares texts in another way than NORMALIZERS and SPLIT say.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -48,14 +60,26 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        self.tokenizer.encode_special_tokens = True
+        described = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"].lower() for t in described["added_tokens"]]
+        self.by_chunk = self._by_chunk(described)
         self.plain = Tokenizer.from_file(path)  # for ASCII chunks, which the normalizer would leave as they are
-        self.plain.encode_special_tokens, self.plain.normalizer = True, normalizers.Sequence([])
+        self.plain.normalizer = normalizers.Sequence([])
         #: Chunk to 3 * slot + (0: as it is, 1: a full stop follows, 2: a comma follows).
         self.index: dict[str, int] = {}
         self.flat, self.ends, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
         self._learn(["", ".", ","])
 
+    @staticmethod
+    def _by_chunk(described: dict) -> bool:
+        n, p = described.get("normalizer") or {}, described.get("pre_tokenizer") or {}
+        parts = p.get("pretokenizers", [])
+        return [x["type"] for x in n.get("normalizers", [])] == NORMALIZERS and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"].get("Regex") == SPLIT
+
+    def _whole(self, text: str) -> bool:
+        low = text.lower()
+        return not self.by_chunk or any(t in low for t in self.added) or bool(ODD.search(text))
+
     def _learn(self, chunks: list[str]) -> None:
         ascii = [c for c in chunks if c.isascii() and c.islower()]
         others = [c for c in chunks if not (c.isascii() and c.islower())]
@@ -97,7 +121,7 @@ class Encoder:
         """Ids of each text, the end id last."""
         if len(self.uses) > self.cache:
             self._forget()
-        whole = {i: t for i, t in enumerate(texts) if ODD.search(t)}
+        whole = {i: t for i, t in enumerate(texts) if self._whole(t)}
         lowered = ["" if i in whole else t if OTHER.search(t) else t.lower() for i, t in enumerate(texts)]
         parts = pc.ascii_split_whitespace(pa.array(lowered, pa.large_string()))
         coded = parts.flatten().dictionary_encode()
@@ -180,58 +204,80 @@ class Pool:
         return taken + [self._take(k) for k in best_fill(self.lengths, lambda k: len(self.items[k]), capacity - first)]
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """One row a piece: where its tokens stand in their document and in their sequence.
-
-    A document's ids (the end id last) are cut into full sequences; what remains, at most ``length`` - 1 ids, is placed by
-    minimum bin slack within a window of pieces: the longest piece opens a sequence, and a bitset subset-sum over the
-    multiset of the window's lengths fills it as closely as can be. Each task packs the rows of its own scan split, so
-    nothing is shuffled and only one window is held; a split's last few sequences are the only ones with much padding.
-
-    A null or empty text is the end id alone. Rows that repeat a doc_id are packed each. An empty table gives an empty
-    result. Other columns are ignored. The result depends on how the input is split into tasks, not on timing.
-    """
+def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, copy): each document's ids, the end id last, cut into full sequences and a
+    rest. copy numbers the equal pieces of one batch, so that a document that is repeated very often is not one key."""
     small_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()
 
-    def pack(batches):
+    def cut(batches):
         encoder = encoder_of(path)
-        pool, number, out = Pool(), TaskContext.get().partitionId() << 32, []
-
-        def close(least: int):
-            nonlocal number
-            while pool.size > least:
-                at = 0
-                for item in pool.fill(length):
-                    out.append((*item, number, at))
-                    at += item[2]
-                number += 1
-
-        def flush():
-            columns = list(zip(*out)) or [[]] * 7
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for doc, tokens in zip(ids, encoder.encode([t or "" for t in texts])):
-                n = len(tokens)
-                for start in range(0, n, length):
+            out, seen = [], Counter()
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
+                for start in range(0, len(tokens), length):
                     piece = tokens[start : start + length]
-                    item = (doc, start, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), n)
-                    if len(piece) == length:
-                        out.append((*item, number, 0))
-                        number += 1
-                    else:
-                        pool.add(len(piece), item)
-                if pool.size >= 2 * window:
-                    close(window)
-            yield flush()
-        close(0)
-        yield flush()
+                    row = (doc, start, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), len(tokens))
+                    out.append((*row, seen[row]))
+                    seen[row] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [[]] * 6)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"])
+
+    return docs.select("doc_id", "text").mapInArrow(cut, PIECE + ", copy long")
+
+
+def filled(table: pa.Table, bucket: int, length: int, window: int) -> pa.Table:
+    """The pieces of a bucket with sequence_id, offset and sequence_length."""
+    table = table.sort_by([(c, "ascending") for c in ("ids_crc32", "doc_id", "start", "length", "doc_tokens")])
+    sizes = np.asarray(table.column("length"))
+    sequence, offset = np.empty(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
+    full = np.flatnonzero(sizes == length)
+    sequence[full] = np.arange(len(full))
+    number, pool = len(full), Pool()
+
+    def close(least: int):
+        nonlocal number
+        while pool.size > least:
+            at = 0
+            for item in pool.fill(length):
+                sequence[item], offset[item] = number, at
+                at += int(sizes[item])
+            number += 1
+
+    for i in np.flatnonzero(sizes != length).tolist():
+        pool.add(int(sizes[i]), i)
+        if pool.size >= 2 * window:
+            close(window)
+    close(0)
+    held = np.bincount(sequence, weights=sizes, minlength=number).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
+    padded = np.where(held & (held - 1) == 0, held, length)
+    columns = [table.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+    return pa.table(columns + [pa.array(sequence + (bucket << 32)), pa.array(offset), pa.array(padded[sequence])], names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, window: int = WINDOW, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
+    """One row a piece: where its tokens stand in their document and in their sequence, and how long the sequence is padded.
+
+    A document's ids (the end id last) are cut into full sequences; what remains, at most ``length`` - 1 ids, is placed by
+    minimum bin slack within a window of pieces: the longest piece opens a sequence, and a bitset subset-sum over the
+    multiset of the window's lengths fills it as closely as can be. Texts are encoded where they are read; only the pieces'
+    short rows (no ids) move, by a hash, to buckets of about ``bucket_pieces``, and a bucket fills its sequences. So padding
+    does not grow with the number of files or tasks, only with that of buckets, and the result does not depend on either.
+    A sequence is padded to ``length``, but not if its own length is a power of two.
+
+    A null or empty text is the end id alone. A very long text is many full sequences and one rest. Rows that repeat a doc_id
+    are packed each. Pieces of equal length and ids are ties, of which any goes first. An empty table gives an empty result.
+    Other columns are ignored.
+    """
+    rows = materialize(pieces(docs, tokenizer, length), "pieces")
+    n = max(1, -(-rows.count() // bucket_pieces))
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    dealt = rows.select(*names, F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "copy"), F.lit(n)).alias("bucket"))
+
+    def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return filled(table, key[0].as_py(), length, window)
 
-    return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+    return dealt.repartition(min(n, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(fill, SCHEMA)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packed(read_table(spark, sf_dir, "documents"))

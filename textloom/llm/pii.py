@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
 from .common import fresh, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -282,6 +283,6 @@ def masked(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = found(docs, fit(docs))
     return out.select("doc_id", *[n_spans(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))

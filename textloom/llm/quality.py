@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
 from .common import WS, WS_RE, checked_broadcast, materialize
 
 #: A line is boilerplate of its host if over MIN_DOCS of the host's different texts hold it, and over MIN_SHARE of them.
@@ -69,21 +70,26 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_
     its words left is depleted. Counts are pre-aggregated by (host, line), so neither a hot host nor a common line meets
     in one task, and texts are read once and never shuffled.
 
-    A null text has no words and fails the base; a null host is a host of its own; rows that repeat a doc_id are judged
+    A very long text is one row of one task, and only hashes of its lines move. Equal counts are no ties: limits are
+    exceeded or not. A null text has no words and fails the base; a null host is a host of its own; rows that repeat a doc_id are judged
     each; an empty table gives an empty result. Other columns are ignored.
     """
     base = with_base(docs.select("doc_id", F.col(host).alias("host"), "text"))
-    base = materialize(base.withColumn("row", F.xxhash64("doc_id", "host", "text_hash")), "quality")
-    lines = base.select("row", "host", "text_hash", F.explode("lines").alias("x")).select("row", "host", "text_hash", "x.line", "x.w")
+    base = materialize(base, "quality")
+    lines = base.select("doc_id", "host", "text_hash", F.explode("lines").alias("x")).select("doc_id", "host", "text_hash", "x.line", "x.w")
     seen = lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     hosts = base.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     common = seen.join(checked_broadcast(hosts), seen["host"].eqNullSafe(hosts["host"])).where(F.col("n") > min_share * F.col("texts")).select(seen["host"], "line")
     common = checked_broadcast(materialize(common, "common-lines"))
     hit = lines.alias("l").join(common.alias("c"), (F.col("l.line") == F.col("c.line")) & F.col("l.host").eqNullSafe(F.col("c.host")), "left_semi")
-    removed = hit.groupBy("row").agg(F.sum("w").alias("gone"), F.count("*").alias("n_gone"))
-    twins = base.groupBy("row").agg(F.count("*").alias("same"))
-    removed = removed.join(twins.where("same > 1"), "row", "left").select("row", (F.col("gone") / F.coalesce("same", F.lit(1))).cast("long").alias("n_removed_words"), (F.col("n_gone") / F.coalesce("same", F.lit(1))).cast("long").alias("n_removed_lines"))
-    out = base.drop("lines", "text_hash").join(removed, "row", "left").fillna(0, ["n_removed_words", "n_removed_lines"])
+    # A row is known by its id, host and text; rows alike in all three lose the same lines, so their sums are shared out.
+    row = ["doc_id", "host", "text_hash"]
+    alike = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["host"].eqNullSafe(b["host"]) & (a["text_hash"] == b["text_hash"])
+    removed = hit.groupBy(*row).agg(F.sum("w").alias("gone"), F.count("*").alias("n_gone"))
+    twins = base.groupBy(*row).agg(F.count("*").alias("same")).where("same > 1")
+    same = F.coalesce("same", F.lit(1))
+    removed = removed.join(twins, alike(removed, twins), "left").select(*[removed[c] for c in row], (F.col("gone") / same).cast("long").alias("n_removed_words"), (F.col("n_gone") / same).cast("long").alias("n_removed_lines"))
+    out = base.join(removed, alike(base, removed), "left").select(*[base[c] for c in base.columns if c not in ("host", "lines", "text_hash")], "n_removed_words", "n_removed_lines").fillna(0, ["n_removed_words", "n_removed_lines"])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("n_removed_words")) < min_left * F.col("n_words")
     return out.select(
@@ -92,7 +98,7 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judged(read_table(spark, sf_dir, "documents"))
 
 
 OP1_SQL = r"""

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
 from .common import bucket_runs, count_groups, grouped_docs, small_batches, sorted_docs
 
 #: Bytes of a repeated string, and of the window whose rolling hash sets the triggers.
@@ -304,4 +305,4 @@ TYPES = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.list_(pa.struct([("star
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return without_repeats(read_table(spark, sf_dir, "documents"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_bytes
-
-#: Text bytes of one bucket: what one task holds in memory while it shuffles.
+from ..sources.tables import read_table
+#: Text bytes and rows of one bucket: what one task holds in memory while it shuffles.
 BUCKET_BYTES = 8 << 20
+BUCKET_ROWS = 1024
 
 
 def shard_of(key, shards: int, seed: int):
@@ -16,26 +16,44 @@ def shard_of(key, shards: int, seed: int):
     return F.array_max(F.array(*[F.struct(F.xxhash64(F.lit(seed), key, F.lit(s)).alias("h"), F.lit(s).alias("s")) for s in range(shards)]))["s"]
 
 
-def sharded(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The rows of docs with shard (0 to shards - 1) and slot (0, 1, ... in each shard), in shuffled order.
+def fisher_yates(n, seed):
+    """A permutation of 0 to n - 1 as an array: from the last place down, each is swapped with one drawn, by a seeded hash, from
+    those up to it. ``seed`` is a column, so a bucket's permutation depends on nothing else."""
+    start = F.struct(F.sequence(F.lit(0), n - 1).alias("a"))
+
+    def swap(state, i):
+        a, j = state["a"], F.pmod(F.xxhash64(seed, i), i + 1).cast("int")
+        moved = F.concat(F.slice(a, F.lit(1), j), F.array(F.get(a, i)), F.slice(a, j + 2, i - j - 1), F.array(F.get(a, j)), F.slice(a, i + 2, n - i - 1))
+        return F.struct(F.when(i == j, a).otherwise(moved).alias("a"))
+
+    return F.when(n < 2, F.sequence(F.lit(0), F.lit(0))).otherwise(F.reduce(F.sequence(n - 1, F.lit(1), F.lit(-1)), start, swap)["a"])
 
-    Pass 1: doc_id alone decides the shard (law ``key``) and, by another seed, the bucket in it; whole rows go to their
-    bucket in one exchange. Hashes spread a hot source evenly, and the number of buckets grows with the text, so a bucket
-    stays memory-sized. Pass 2: each bucket is put in a fixed order, then permuted by Spark's seeded Fisher-Yates
-    ``shuffle``. A bucket's first slot is the number of rows in the shard's earlier buckets, counted from doc_id alone.
 
-    Null texts stay rows with a null text; rows that repeat a doc_id share its shard; a null doc_id is one more key. Columns
-    keep their names except ``shard``, ``slot`` and ``bucket``, which this operator sets. An empty table gives an empty result.
+def sharded(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of docs with shard (0 to shards - 1), bucket and slot (0, 1, ... in each shard), in shuffled order.
+
+    Pass 1: doc_id alone decides the shard (law ``key``); a seeded hash of doc_id and text decides the bucket in it, and whole
+    rows go to their bucket in one exchange. Hashes spread a hot source evenly, and the number of buckets grows with the
+    text and the rows, so a bucket stays memory-sized. Pass 2: each bucket is put in a fixed order (by a hash of doc_id and
+    text) and Fisher-Yates shuffled. Every draw is a hash of seed, shard, bucket and place, so neither partitions nor the
+    size of the cluster change a slot. A bucket's first slot is the number of rows in the shard's earlier buckets.
+
+    Null texts stay rows with a null text; rows that repeat a doc_id share its shard, and those with one text too share its
+    bucket, in any order among themselves; a null doc_id is one more key. A very long text makes its bucket larger. Columns
+    of any name and type stay, but ``shard``, ``slot`` and ``bucket`` (in any case) are replaced. An empty table gives an
+    empty result.
     """
-    own = [c for c in docs.columns if c not in ("shard", "slot", "bucket")]
-    n = max(1, -(-text_bytes(docs) // (shards * bucket_bytes)))
-    placed = docs.select(*own, shard_of(F.col("doc_id"), shards, seed).alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(n)).alias("bucket"))
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot", "bucket")]
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    n = max(1, -(-size // (shards * bucket_bytes)), -(-rows // (shards * bucket_rows)))
+    text = F.coalesce("text", F.lit(""))
+    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), shard_of(F.col("doc_id"), shards, seed).alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", text), F.lit(n)).alias("bucket"), F.xxhash64(F.lit(seed + 2), "doc_id", text).alias("turn"))
+    order = Window.partitionBy("shard", "bucket").orderBy("turn", "row.doc_id")
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    first = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("first"))
-    order = ["doc_id", *[c for c in own if c != "doc_id"]]
-    buckets = placed.groupBy("shard", "bucket").agg(F.shuffle(F.sort_array(F.collect_list(F.struct(*order))), F.lit(seed)).alias("rows"))
-    dealt = buckets.join(first, ["shard", "bucket"]).select("shard", "bucket", "first", F.posexplode("rows").alias("at", "row"))
-    return dealt.select(*[F.col("row")[c].alias(c) for c in own], "shard", "bucket", (F.col("first") + F.col("at")).alias("slot"))
+    counts = counts.withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n"))
+    drawn = counts.withColumn("places", fisher_yates(F.col("n").cast("int"), F.xxhash64(F.lit(seed + 3), "shard", "bucket"))).drop("n")
+    dealt = placed.withColumn("at", F.row_number().over(order) - 1).join(drawn, ["shard", "bucket"])
+    return dealt.select(*[F.col("row").getField(c).alias(c) for c in own], "shard", "bucket", (F.col("first") + F.get("places", F.col("at"))).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
@@ -45,7 +63,7 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
 
 
 def op2(spark: SparkSession, sf_dir: str, shards: int = 8, seed: int = 17) -> DataFrame:
-    out = sharded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shards, seed)
+    out = sharded(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shards, seed)
     text = F.coalesce("text", F.lit(""))
     return out.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
