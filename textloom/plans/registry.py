@@ -32,7 +32,7 @@ ARABIC = (
 
 
 def posts(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = tables.read_table(spark, d, "documents")
     k, text = F.col("doc_id") % 8, None
     for i, noise in NOISE.items():
         value = F.lit(None).cast("string") if noise is None else F.lit(noise) if noise == "N/A" else F.concat("text", F.lit(noise))
@@ -51,13 +51,13 @@ TOKENS = r"tk AS (SELECT doc_id, lang AS label, source AS category, n_chars, reg
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = tables.read_table(spark, d, "documents")
     return docs.select("doc_id", F.col("lang").alias("label"), F.col("source").alias("category"), T.words(F.col("text")).alias("tokens"))
 
 
 def counted(spark: SparkSession, d: str) -> DataFrame:
     """Posts with the counts that reports describe."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias("label"), F.col("source").alias("category"), "text")
+    docs = tables.read_table(spark, d, "documents").select("doc_id", F.col("lang").alias("label"), F.col("source").alias("category"), "text")
     w = docs.withColumn("tokens", T.words(F.col("text")))
     return w.select("doc_id", "label", "category", F.size("tokens").alias("n_words"), F.length("text").alias("n_chars"), T.occurrences(F.col("text"), "!").alias("n_excl"), T.occurrences(F.col("text"), ".").alias("n_stops"), F.round(T.type_token_ratio(F.col("tokens")), 6).alias("ttr"))
 
@@ -90,7 +90,7 @@ def _(s, d):
 
 @query("f3_first_of_each_text", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 def _(s, d):
-    return R.first_of_each(s.read.parquet(f"{d}/documents.parquet"), "text", "doc_id").select("doc_id")
+    return R.first_of_each(tables.read_table(s, d, "documents"), "text", "doc_id").select("doc_id")
 
 
 @query("f5_valid_text", rf"WITH {POSTS} SELECT doc_id, text IS NOT NULL AND lower(trim(text)) NOT IN ('na','n/a','nan','none','null','undefined','') AND length(regexp_replace(text, '[?!.\s]', '', 'g')) > 0 AS valid FROM posts WHERE text IS NOT NULL")
@@ -100,7 +100,7 @@ def _(s, d):
 
 @query("f9_keyword", "SELECT doc_id FROM documents WHERE lang = 'en' AND contains(lower(text), 'the') ORDER BY doc_id LIMIT 50")
 def _(s, d):
-    return R.keyword(posts(s, d).drop("text").join(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id"), "label", "en", "THE").orderBy("doc_id").limit(50).select("doc_id")
+    return R.keyword(posts(s, d).drop("text").join(tables.read_table(s, d, "documents").select("doc_id", "text"), "doc_id"), "label", "en", "THE").orderBy("doc_id").limit(50).select("doc_id")
 
 
 @query("f10_flag_counts", rf"WITH {POSTS} SELECT regexp_matches(text, '\?') AS asks, regexp_matches(text, '!') AS shouts, regexp_matches(text, '@[\p{{L}}\p{{N}}_]+') AS mentions, count(*) AS n FROM posts WHERE text IS NOT NULL GROUP BY ALL")
@@ -121,7 +121,7 @@ def _(s, d):
 
 @query("w2_duplicate_flags", "SELECT doc_id, count(*) OVER (PARTITION BY text) > 1 AS copied FROM documents")
 def _(s, d):
-    return R.duplicate_flags(s.read.parquet(f"{d}/documents.parquet"), "text", "copied").select("doc_id", "copied")
+    return R.duplicate_flags(tables.read_table(s, d, "documents"), "text", "copied").select("doc_id", "copied")
 
 
 # English text
@@ -167,7 +167,7 @@ def _(s, d):
 
 @query("e2_without_html")
 def _(s, d):
-    return s.read.parquet(f"{d}/pages.parquet").select("page_id", T.without_html(F.col("html")).alias("plain"))
+    return tables.read_table(s, d, "pages").select("page_id", T.without_html(F.col("html")).alias("plain"))
 
 
 _STOP = sorted((set(L.ENGLISH_STOPWORDS) | set(L.ENGLISH_NOISE)) - set(L.ENGLISH_KEPT))
@@ -176,7 +176,7 @@ _STOP_SQL = "(" + ", ".join(map(_quoted, _STOP)) + ")"
 
 @query("e12_english_tokens", rf"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: x NOT IN {_STOP_SQL}), ' ') AS tokens FROM documents WHERE lang = 'en'")
 def _(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet").where("lang = 'en'")
+    docs = tables.read_table(s, d, "documents").where("lang = 'en'")
     return docs.select("doc_id", F.array_join(T.english_tokens(F.col("text")), " ").alias("tokens"))
 
 
@@ -211,7 +211,7 @@ _FSTOP = "(" + ", ".join(map(_quoted, sorted(set(L.FRENCH_STOPWORDS) - set(L.FRE
 
 @query("r9_french_tokens", rf"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: x NOT IN {_FSTOP}), ' ') AS tokens FROM documents WHERE lang = 'fr'")
 def _(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").where("lang = 'fr'").select("doc_id", F.array_join(T.french_tokens(F.col("text")), " ").alias("tokens"))
+    return tables.read_table(s, d, "documents").where("lang = 'fr'").select("doc_id", F.array_join(T.french_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("p10_french_noise", rf"WITH {POSTS} SELECT sum(len(regexp_extract_all(text, 'https?://\S+|www\.\S+')))::BIGINT AS urls, count(*) FILTER (regexp_matches(text, 'https?://\S+|www\.\S+')) AS with_url, sum(len(regexp_extract_all(text, '{_RANGE}')))::BIGINT AS emojis FROM posts WHERE text IS NOT NULL")
@@ -221,7 +221,7 @@ def _(s, d):
 
 
 def consultations(s: SparkSession, d: str) -> DataFrame:
-    ids = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
+    ids = tables.read_table(s, d, "documents").select("doc_id", "source")
     rows = F.array(*[F.struct(F.lit(q).alias("question"), F.lit(x).alias("diagnosis")) for q, x in ARABIC])
     return ids.select("doc_id", "source", F.element_at(rows, (F.col("doc_id") % len(ARABIC) + 1).cast("int")).alias("r")).select("doc_id", "source", "r.question", "r.diagnosis")
 
@@ -380,7 +380,7 @@ def _(s, d):
 
 @query("g27_symbols", r"SELECT lang AS label, round(sum(length(text) - length(replace(text, '!', ''))) / sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))), 6) AS shouts, round(sum(length(text) - length(replace(text, '.', '')) + length(text) - length(replace(text, ',', ''))) / sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))), 6) AS stops FROM documents GROUP BY 1")
 def _(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("label"), "text")
+    docs = tables.read_table(s, d, "documents").select(F.col("lang").alias("label"), "text")
     return C.symbol_matrix(docs, "label", "text", {"shouts": "!", "stops": ".,"})
 
 
@@ -447,7 +447,7 @@ def weights(s: SparkSession, d: str, sublinear: bool = False) -> DataFrame:
 
 
 def labels(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias("label"))
+    return tables.read_table(s, d, "documents").select("doc_id", F.col("lang").alias("label"))
 
 
 @query("v2_tfidf", f"WITH {_tfidf('tf')} SELECT doc_id, term, round(weight, 6) AS weight FROM ti")
@@ -523,8 +523,8 @@ _CONF = _RULE + ", ls AS (SELECT actual AS l FROM pr UNION SELECT predicted FROM
 
 
 def ruled(s: SparkSession, d: str) -> DataFrame:
-    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars")
-    return s.read.parquet(f"{d}/labels.parquet").join(docs, "doc_id").select("doc_id", F.col("quality").cast("string").alias("actual"), F.when(F.col("n_chars") % 3 == 0, "1").otherwise("0").alias("predicted"))
+    docs = tables.read_table(s, d, "documents").select("doc_id", "n_chars")
+    return tables.read_table(s, d, "labels").join(docs, "doc_id").select("doc_id", F.col("quality").cast("string").alias("actual"), F.when(F.col("n_chars") % 3 == 0, "1").otherwise("0").alias("predicted"))
 
 
 @query("n1_confusion", f"WITH {_CONF} SELECT actual, predicted, n FROM cf")
@@ -548,7 +548,7 @@ _EMB = "em AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS di
 
 
 def vectors(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return tables.read_table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
 @query("v7_standardized", f"WITH {_EMB}, m AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS sd FROM em GROUP BY 1) SELECT vec_id AS id, dim::INT AS dim, round((x - m) / sd, 5) AS z FROM em JOIN m USING (dim)")
@@ -567,7 +567,7 @@ _CELLS = "ce AS (SELECT lang AS label, source AS category, round(avg(n_chars), 3
 
 
 def cells(s: SparkSession, d: str) -> DataFrame:
-    docs = s.read.parquet(f"{d}/documents.parquet")
+    docs = tables.read_table(s, d, "documents")
     return docs.groupBy(F.col("lang").alias("label"), F.col("source").alias("category")).agg(F.round(F.avg("n_chars"), 3).alias("score"))
 
 
@@ -596,14 +596,14 @@ def _(s, d):
 
 @query("t5_spearman", "WITH c AS (SELECT source, round(stddev_pop(n_chars), 3) AS n, round(avg(n_chars), 3) AS score FROM documents GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS x, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS y FROM c) SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM r")
 def _(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet")
+    docs = tables.read_table(s, d, "documents")
     c = docs.groupBy("source").agg(F.round(F.stddev_pop("n_chars"), 3).alias("n"), F.round(F.avg("n_chars"), 3).alias("score"))
     return X.spearman(c.select(F.col("n").alias("x"), "score"), "x", "score")
 
 
 @query("t9_trend", "SELECT round(regr_slope(n_chars, doc_id), 6) AS slope, round(regr_intercept(n_chars, doc_id), 4) AS intercept FROM documents")
 def _(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet")
+    docs = tables.read_table(s, d, "documents")
     return docs.agg(F.round(F.regr_slope("n_chars", "doc_id"), 6).alias("slope"), F.round(F.regr_intercept("n_chars", "doc_id"), 4).alias("intercept"))
 
 
@@ -615,27 +615,27 @@ _REPLIES = ('{"result":"anxiety","explanation":"x"}', '```json\n{"result":"anxie
 @query("l2_parsed_replies", "SELECT doc_id, ['anxiety', 'anxiety', 'normal', '__PARSE_ERROR__', '__PARSE_ERROR__'][doc_id % 5 + 1] AS result, ['x', 'x', 'y', 'no json', '[1]'][doc_id % 5 + 1] AS explanation FROM documents")
 def _(s, d):
     raw = F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("doc_id") % 5 + 1).cast("int"))
-    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", raw.alias("raw"))
+    docs = tables.read_table(s, d, "documents").select("doc_id", raw.alias("raw"))
     result, why = T.parsed_reply(F.col("raw"))
     return docs.select("doc_id", result.alias("result"), why.alias("explanation"))
 
 
 @query("l1_prompts")
 def _(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet")
+    docs = tables.read_table(s, d, "documents")
     return docs.select("doc_id", T.prompt(F.col("text"), "English", ("anxiety", "normal")).alias("prompt"))
 
 
 @query("c9_strength", "SELECT doc_id, CASE WHEN doc_id % 100 < 55 THEN 'Weak' WHEN doc_id % 100 < 75 THEN 'Medium' ELSE 'Strong' END AS strength FROM documents")
 def _(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.strength((F.col("doc_id") % 100) / 100).alias("strength"))
+    return tables.read_table(s, d, "documents").select("doc_id", T.strength((F.col("doc_id") % 100) / 100).alias("strength"))
 
 
 # More grams, sets and reports
 
 @query("p13_sentences", r"SELECT doc_id, greatest(len(list_filter(regexp_split_to_array(text, '[.!?]+(?:\s+|\z)'), lambda s: trim(s) <> '')), 1)::INT AS sentences FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", T.sentence_count(F.col("text")).alias("sentences"))
+    return tables.read_table(s, d, "documents").where("text is not null").select("doc_id", T.sentence_count(F.col("text")).alias("sentences"))
 
 
 @query("p14_word_terms", f"WITH {TOKENS}, g AS (SELECT term FROM ex UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tk), n AS (SELECT term, count(*) AS n FROM g GROUP BY 1) SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS rank FROM n QUALIFY rank <= 50")
@@ -646,7 +646,7 @@ def _(s, d):
 
 @query("p15_char_terms", r"WITH c AS (SELECT doc_id, generate_subscripts(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ''), 1) AS i, unnest(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), '')) AS c FROM documents), g AS (SELECT c || lead(c, 1) OVER w || lead(c, 2) OVER w AS term FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT term, count(*) AS n FROM g WHERE trim(term) <> '' GROUP BY 1")
 def _(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet")
+    docs = tables.read_table(s, d, "documents")
     return docs.select(F.explode(T.char_terms(F.col("text"), 3, 3)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -696,7 +696,7 @@ def _(s, d):
 
 @query("t10_best_of_each", "SELECT *, en - fr AS diff FROM (SELECT source AS category, coalesce(max(n_chars) FILTER (lang = 'en'), 0) AS en, coalesce(max(n_chars) FILTER (lang = 'fr'), 0) AS fr FROM documents GROUP BY 1)")
 def _(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("category"), "lang", "n_chars")
+    docs = tables.read_table(s, d, "documents").select(F.col("source").alias("category"), "lang", "n_chars")
     return C.wide(docs, "category", "lang", ("en", "fr"), F.max("n_chars")).fillna(0, ["en", "fr"]).withColumn("diff", F.col("en") - F.col("fr"))
 
 
@@ -708,20 +708,20 @@ def _(s, d):
 
 @query("j3_counts_side_by_side", "SELECT label, coalesce(a.n, 0) AS all_rows, coalesce(b.n, 0) AS rated FROM (SELECT lang AS label, count(*) AS n FROM documents GROUP BY 1) a FULL JOIN (SELECT source AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1) b USING (label)")
 def _(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet")
-    rated = docs.join(s.read.parquet(f"{d}/labels.parquet").select("doc_id"), "doc_id").groupBy(F.col("source").alias("label")).agg(F.count("*").alias("rated"))
+    docs = tables.read_table(s, d, "documents")
+    rated = docs.join(tables.read_table(s, d, "labels").select("doc_id"), "doc_id").groupBy(F.col("source").alias("label")).agg(F.count("*").alias("rated"))
     return docs.groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("all_rows")).join(rated, "label", "full").fillna(0, ["all_rows", "rated"])
 
 
 @query("w3_filled", "SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN nullif(role, '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS role FROM conversations")
 def _(s, d):
-    sparse = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("role")).otherwise("").alias("role"))
+    sparse = tables.read_table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("role")).otherwise("").alias("role"))
     return C.filled(sparse, "turn", "role", by=("conv_id",))
 
 
 @query("w7_record_numbers", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS record_id FROM documents")
 def _(s, d):
-    return tables.numbered(s.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id").select("doc_id", "record_id")
+    return tables.numbered(tables.read_table(s, d, "documents").select("doc_id"), "doc_id").select("doc_id", "record_id")
 
 
 @query("m5_two_way_split", f"SELECT doc_id, lang AS label, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {_TURN}, doc_id) <= round_even(count(*) OVER (PARTITION BY lang) * 0.8, 0) THEN 'train' ELSE 'test' END AS split FROM documents")
@@ -741,7 +741,7 @@ _IN = lambda words: "(" + ", ".join(map(_quoted, words)) + ")"
 
 @query("c9_routed", f"WITH {TOKENS} SELECT doc_id, CASE WHEN len(list_filter(w, lambda x: x IN {_IN(L.FRENCH_STOPWORDS)})) > len(list_filter(w, lambda x: x IN {_IN(L.ENGLISH_STOPWORDS)})) THEN 'french' ELSE 'english' END AS route FROM tk")
 def _(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.routed_language(F.col("text")).alias("route"))
+    return tables.read_table(s, d, "documents").select("doc_id", T.routed_language(F.col("text")).alias("route"))
 
 
 @query("c8_posteriors", f"WITH {_EMB}, ep AS (SELECT greatest(1e-9 * max(v), 1e-12) AS eps FROM (SELECT var_pop(x) AS v FROM em GROUP BY dim)), st AS (SELECT label, dim, avg(x) AS m, var_pop(x) + (SELECT eps FROM ep) AS v FROM em GROUP BY ALL), pr AS (SELECT label, ln(count(*) / (SELECT count(*) FROM embeddings)) AS prior FROM embeddings GROUP BY 1), sc AS (SELECT vec_id, st.label, sum(-0.5 * (ln(2 * pi() * v) + (x - m) ** 2 / v)) + any_value(prior) AS s FROM em JOIN st USING (dim) JOIN pr ON pr.label = st.label GROUP BY ALL), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM sc) SELECT vec_id AS id, label, round(e / sum(e) OVER (PARTITION BY vec_id), 4) AS p FROM e")
@@ -751,7 +751,7 @@ def _(s, d):
 
 @query("c6_best_epochs", "WITH h AS (SELECT conv_id, turn, length(text) AS loss, min(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM conversations), a AS (SELECT *, max(CASE WHEN least IS NULL OR loss < least THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS best FROM h), z AS (SELECT conv_id, coalesce(min(turn) FILTER (turn - best >= 3), max(turn)) AS stop_epoch FROM a GROUP BY 1) SELECT conv_id, stop_epoch, max(best) AS best_epoch, min(loss) AS best_loss FROM a JOIN z USING (conv_id) WHERE turn <= stop_epoch GROUP BY ALL")
 def _(s, d):
-    h = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.length("text").cast("long").alias("loss"))
+    h = tables.read_table(s, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("loss"))
     return M.best_epochs(h, "conv_id", "turn", "loss")
 
 
@@ -776,7 +776,7 @@ _SAID = "['anxiety', 'anxiety', 'normal', '__PARSE_ERROR__', '__PARSE_ERROR__'][
 
 @query("n7_reply_scores", f"WITH p AS (SELECT {_TRUE} AS actual, {_SAID} AS predicted FROM documents), k AS (SELECT * FROM p WHERE predicted IN ('anxiety', 'normal')), f AS (SELECT l, 2.0 * count(*) FILTER (actual = l AND predicted = l) / (count(*) FILTER (actual = l) + count(*) FILTER (predicted = l)) AS f FROM k, (VALUES ('anxiety'), ('normal')) v(l) GROUP BY 1) SELECT (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p) - (SELECT count(*) FROM k) AS out_of_vocab, (SELECT round(avg((actual = predicted)::INT), 6) FROM k) AS accuracy, (SELECT round(avg(f), 6) FROM f) AS macro_f1")
 def _(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet")
+    docs = tables.read_table(s, d, "documents")
     raw = F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("doc_id") % 5 + 1).cast("int"))
     actual = F.when(F.col("doc_id") % 2 == 0, "anxiety").otherwise("normal")
     said = docs.select(actual.alias("actual"), raw.alias("raw"))

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..operators.filters import find_column, require_columns
 
 
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table. If fewer tasks hold its rows than there are cores (a row group is one task), its rows are dealt out
+    anew; of a table with many row groups nothing is shuffled. Finding out reads no column."""
+    df, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.select(F.spark_partition_id().alias("p")).distinct().count() < cores else df
+
+
 def read_posts(spark: SparkSession, path: str, text: str = "text", sep: str = ",", encoding: str = "UTF-8", skip_bad: bool = False) -> DataFrame:
     """A CSV with a header; blanks around column names go, and so does Unique_ID. Quoted texts may span lines."""
     df = spark.read.options(header=True, sep=sep, encoding=encoding, multiLine=True, escape='"', mode="DROPMALFORMED" if skip_bad else "PERMISSIVE").csv(path)
