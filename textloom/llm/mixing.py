@@ -102,7 +102,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: floa
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long"))
     sources = materialize(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "sources")
     small = checked_broadcast(sources)
-    placed = sized.join(small, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    placed = sized.join(small.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks"))).withColumn("turn", F.xxhash64(F.lit(seed + 1), "doc_id"))
     placed = materialize(placed, "placed")
     blocks = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("whole").alias("whole"), F.first("rest").alias("rest"), F.first("n_blocks").alias("n_blocks"))

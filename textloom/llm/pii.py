@@ -35,6 +35,8 @@ CERTAIN = 0.9
 #: spelled-out sign.
 SIGN = re.compile(r"[0-9@]|(?<![^\x20\x09-\x0D(\[{])(?i:dot)(?![^\x20\x09-\x0D)\]}])|[(\[{](?i:at|dot)[)\]}]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SHORT = re.compile(r"(?=[^@:]*[^\W\d_])[^@:]{1,15}")
+_NEXT = re.compile(r"[\x20\x09-\x0D]+(?i:[(\[{]?(?:at|dot)[)\]}]?)(?![^\x20\x09-\x0D])")
 #: What labels a secret where the field learns: a name, a sign, a value of 16 or more letters and digits.
 SECRET_LABEL = re.compile(r"(?i)\b(?:[a-z_-]*(?:key|token|secret|password|passwd))[\"']?\s*[=:]\s*[\"']?([a-z0-9_+/-]{16,})")
 
@@ -70,7 +72,10 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
     runs: list[list[tuple[int, int]]] = []
     blank = lambda k: text[k] == " " or "\t" <= text[k] <= "\r"
 
-    def put(start: int, end: int) -> None:
+    def put(start: int, end: int, spelled: bool = True) -> None:
+        # A short word of letters and digits is no part of an entity unless signs are spelled out next to it.
+        if not spelled and _SHORT.fullmatch(text, start, end) and not _NEXT.match(text, end):
+            return
         if runs and not WORD.search(text, runs[-1][-1][1], start):
             runs[-1].append((start, end))
         elif not runs or start >= runs[-1][-1][1]:
@@ -96,7 +101,7 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
                 before.append((k, last))
             for w in reversed(before):
                 put(*w)
-        put(start, end)
+        put(start, end, spelled)
         at = end
         if spelled and (more := WORD.search(text, end)):
             put(*more.span())
@@ -145,6 +150,13 @@ def features(span: str, words: int, before: tuple[str, str]) -> list[int]:
     return on
 
 
+def _possible(span: str) -> bool:
+    """Can several words be one entity? Only with signs spelled out, or as 4 to 20 digits with no letters but a leading word's."""
+    if _SPELLED.search(span):
+        return True
+    return 4 <= len(digits(span)) <= 20 and not any(c.isalpha() for c in span.partition(":")[2] or span)
+
+
 class Field:
     """Weights of (label, feature) and of (label, next label); label OUTSIDE covers one word at a time."""
 
@@ -160,6 +172,8 @@ class Field:
         for i in range(len(run)):
             for j in range(i + 1, min(len(run), i + LONGEST) + 1):
                 span = trimmed(text, run[i][0], run[j - 1][1])
+                if j - i > 1 and not _possible(text[span[0] : span[1]]):
+                    continue
                 out.append((i, j, span, features(text[span[0] : span[1]], j - i, (words[i + shift - 1], words[i + shift - 2]))))
         return out
 

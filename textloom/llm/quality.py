@@ -79,17 +79,18 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_
     lines = base.select("doc_id", "host", "text_hash", F.explode("lines").alias("x")).select("doc_id", "host", "text_hash", "x.line", "x.w")
     seen = lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     hosts = base.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    common = seen.join(checked_broadcast(hosts), seen["host"].eqNullSafe(hosts["host"])).where(F.col("n") > min_share * F.col("texts")).select(seen["host"], "line")
+    common = seen.join(checked_broadcast(hosts.withColumnRenamed("host", "of")), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > min_share * F.col("texts")).select("host", "line")
     common = checked_broadcast(materialize(common, "common-lines"))
     hit = lines.alias("l").join(common.alias("c"), (F.col("l.line") == F.col("c.line")) & F.col("l.host").eqNullSafe(F.col("c.host")), "left_semi")
     # A row is known by its id, host and text; rows alike in all three lose the same lines, so their sums are shared out.
     row = ["doc_id", "host", "text_hash"]
-    alike = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["host"].eqNullSafe(b["host"]) & (a["text_hash"] == b["text_hash"])
-    removed = hit.groupBy(*row).agg(F.sum("w").alias("gone"), F.count("*").alias("n_gone"))
-    twins = base.groupBy(*row).agg(F.count("*").alias("same")).where("same > 1")
+    named = lambda p: [F.col(c).alias(p + c) for c in row]
+    alike = lambda p, q: F.col(p + "doc_id").eqNullSafe(F.col(q + "doc_id")) & F.col(p + "host").eqNullSafe(F.col(q + "host")) & (F.col(p + "text_hash") == F.col(q + "text_hash"))
+    removed = hit.groupBy(*named("r_")).agg(F.sum("w").alias("gone"), F.count("*").alias("n_gone"))
+    twins = base.groupBy(*named("t_")).agg(F.count("*").alias("same")).where("same > 1")
     same = F.coalesce("same", F.lit(1))
-    removed = removed.join(twins, alike(removed, twins), "left").select(*[removed[c] for c in row], (F.col("gone") / same).cast("long").alias("n_removed_words"), (F.col("n_gone") / same).cast("long").alias("n_removed_lines"))
-    out = base.join(removed, alike(base, removed), "left").select(*[base[c] for c in base.columns if c not in ("host", "lines", "text_hash")], "n_removed_words", "n_removed_lines").fillna(0, ["n_removed_words", "n_removed_lines"])
+    removed = removed.join(twins, alike("r_", "t_"), "left").select("r_doc_id", "r_host", "r_text_hash", (F.col("gone") / same).cast("long").alias("n_removed_words"), (F.col("n_gone") / same).cast("long").alias("n_removed_lines"))
+    out = base.drop("lines").join(removed, alike("", "r_"), "left").fillna(0, ["n_removed_words", "n_removed_lines"])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("n_removed_words")) < min_left * F.col("n_words")
     return out.select(
