@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -68,7 +69,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch by rows and, where this Spark has the setting, by bytes: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 _kept: dict = {}
@@ -79,6 +80,7 @@ def worker_cache(owner, make):
     pipeline's stages doesn't add up in workers that Spark uses again."""
     if owner not in _kept:
         _kept.clear()
+        gc.collect()
         _kept[owner] = make()
     return _kept[owner]
 

@@ -151,7 +151,7 @@ def _shuffled(out: DataFrame, shard: str, turn: str, parts: int) -> DataFrame:
     """Rows in parts of memory size, each a range of turns of one shard, sorted by turn: read in order, a shard is shuffled."""
     part = F.shiftright(turn, 40) + (1 << 23)
     part = F.floor(part * parts / (1 << 24))
-    return out.repartition(max(1, parts) * SHARDS, shard, part).sortWithinPartitions(shard, turn)
+    return out.repartitionById(parts * SHARDS, (F.col(shard) % SHARDS * parts + part).cast("int")).sortWithinPartitions(shard, turn)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

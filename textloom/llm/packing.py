@@ -24,7 +24,7 @@ LENGTH = 4096
 END = 2
 WINDOW = 1024
 #: Distinct chunks whose ids a worker keeps; when there are more, those met once go, and if need be the rarer of the others.
-CACHE = 400_000
+CACHE = 200_000
 
 #: Pieces of one bucket, in which sequences are filled.
 BUCKET_PIECES = 32_768
@@ -220,6 +220,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
                     row = (doc, start, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), len(tokens))
                     out.append((*row, seen[row]))
                     seen[row] += 1
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [[]] * 6)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE + ", copy long")
