@@ -140,3 +140,11 @@ def test_dense(spark):
     got = np.array([r.projected for r in D.pca(df, df, 2).orderBy("id").collect()])
     u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
     assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+
+
+def test_sign_test_of_many_pairs(spark):
+    from textloom.operators import stats
+
+    rows = [("a", 1.0 if i < 1040 else -1.0) for i in range(2000)] + [("b", 1.0)] * 3
+    got = {r.by: r.p for r in stats.sign_test(spark.createDataFrame(rows, "by string, diff double"), ["by"]).collect()}
+    assert abs(got["a"] - stats.sign_test_p(1040, 2000)) < 1e-8 and got["b"] == 0.125

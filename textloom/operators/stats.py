@@ -52,8 +52,10 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 def sign_test(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, k, p): of n differences other than zero, k are positive; p is the chance of as many in fair tosses."""
     s = pairs.where("diff <> 0").groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("k"))
-    start = F.struct(F.pow(F.lit(0.5), F.col("n")).alias("c"), F.lit(0.0).alias("s"))
-    step = lambda a, i: F.struct((a["c"] * (F.col("n") - i) / (i + 1)).alias("c"), (a["s"] + F.when(i >= F.col("k"), a["c"]).otherwise(0.0)).alias("s"))
+    # In logarithms: 0.5^n alone is 0 from n = 1,075 on.
+    start = F.struct((F.col("n") * F.log(F.lit(0.5))).alias("c"), F.lit(0.0).alias("s"))
+    more = lambda i: F.when(i < F.col("n"), F.log((F.col("n") - i) / (i + 1))).otherwise(0.0)
+    step = lambda a, i: F.struct((a["c"] + more(i)).alias("c"), (a["s"] + F.when(i >= F.col("k"), F.exp(a["c"])).otherwise(0.0)).alias("s"))
     return s.withColumn("p", F.round(F.aggregate(F.sequence(F.lit(0), F.col("n").cast("int")), start, step, lambda a: a["s"]), 9))
 
 

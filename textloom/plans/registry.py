@@ -15,6 +15,7 @@ from ..operators import corpus as C
 from ..operators import dense as D
 from ..operators import filters as R
 from ..operators import models as M
+from ..operators import reports as P
 from ..operators import sampling as S
 from ..operators import stats as X
 from ..sources import tables
@@ -589,7 +590,10 @@ def _(s, d):
     return X.kruskal_wallis(cells(s, d), "label", "score")
 
 
-@query("t4_friedman")
+@query("t4_friedman", f"""WITH {_CELLS}, k AS (SELECT count(DISTINCT label) AS k FROM ce), f AS (SELECT category FROM ce GROUP BY 1 HAVING count(*) = (SELECT k FROM k)), x AS (SELECT ce.* FROM ce JOIN f USING (category)),
+ r AS (SELECT *, rank() OVER (PARTITION BY category ORDER BY score) + (count(*) OVER (PARTITION BY category, score) - 1) / 2.0 AS rank FROM x),
+ s AS (SELECT sum(r * r) AS s FROM (SELECT sum(rank) AS r FROM r GROUP BY label)), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM x GROUP BY category, score)), n AS (SELECT count(*) AS n FROM f)
+ SELECT n, k, round((12 / (n * k * (k + 1)) * s - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))), 6) AS chi2 FROM s, t, n, k""")
 def _(s, d):
     return X.friedman(cells(s, d), "category", "label", "score")
 
@@ -817,3 +821,62 @@ def _(s, d):
 @query("v8_pca")
 def _(s, d):
     return D.pca(vectors(s, d), vectors(s, d), 8)
+
+
+# Reports
+
+
+@query("g24_length_profile", f"WITH {TOKENS} SELECT category, count(*) AS n, round(avg(len(w)), 2) AS mean_words, round(median(len(w)), 2) AS median_words, round(avg(length(d.text)), 2) AS mean_chars FROM tk JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL GROUP BY 1")
+def _(s, d):
+    docs = tables.read_table(s, d, "documents").select(F.col("source").alias("category"), "text")
+    return P.length_profile(docs, "category", F.size(T.words(F.col("text"))), F.length("text"))
+
+
+_REPEATED = "SELECT '{0}' AS key, sum(c)::BIGINT AS n, coalesce(sum(c) FILTER (c > 1), 0)::BIGINT AS repeated, round(100 * coalesce(sum(c) FILTER (c > 1), 0) / sum(c), 2) AS percent FROM (SELECT count(*) AS c FROM documents GROUP BY {1})"
+
+
+@query("g26_duplicate_report", _REPEATED.format("text", "text") + " UNION ALL " + _REPEATED.format("folded", "lower(trim(text))"))
+def _(s, d):
+    return P.duplicate_report(tables.read_table(s, d, "documents"), text=F.col("text"), folded=F.lower(F.trim("text")))
+
+
+@query("g28_top_symbols", r"WITH s AS (SELECT lang AS label, unnest(regexp_extract_all(text, '[^\p{L}\p{N}_\s]')) AS symbol FROM documents), c AS (SELECT label, symbol, count(*) AS n FROM s GROUP BY ALL), b AS (SELECT symbol FROM c GROUP BY 1 ORDER BY sum(n) DESC, symbol LIMIT 8), t AS (SELECT label, sum(n) AS total FROM c GROUP BY 1) SELECT c.label, symbol, n, round(n / total, 6) AS share FROM c JOIN b USING (symbol) JOIN t ON c.label = t.label")
+def _(s, d):
+    return P.top_symbols(tables.read_table(s, d, "documents").select(F.col("lang").alias("label"), "text"), "label", "text")
+
+
+@query("g32_best_per_group", f"WITH {_CELLS} SELECT label, max(score) AS best FROM ce WHERE category <> 'src0' GROUP BY 1")
+def _(s, d):
+    return P.best_per_group(cells(s, d).where("category <> 'src0'"), ["label"], "score")
+
+
+_FINE = "ce AS (SELECT lang AS label, source AS category, round(avg(n_chars), 6) AS score FROM documents GROUP BY ALL)"
+
+
+def fine_cells(s: SparkSession, d: str) -> DataFrame:
+    docs = tables.read_table(s, d, "documents")
+    return docs.groupBy(F.col("lang").alias("label"), F.col("source").alias("category")).agg(F.round(F.avg("n_chars"), 6).alias("score"))
+
+
+@query("g33_class_description", f"WITH {_FINE} SELECT label, count(*) AS n, round(avg(score), 4) AS mean, round(coalesce(stddev_samp(score), 0), 4) AS std, round(min(score), 4) AS min, round(max(score), 4) AS max, round(median(score), 4) AS median FROM ce GROUP BY 1")
+def _(s, d):
+    return P.class_description(fine_cells(s, d), "label", "score")
+
+
+@query("g34_class_support", "WITH c AS (SELECT lang AS label, source, count(*) AS n FROM documents GROUP BY ALL) SELECT label, round_even(median(n), 0)::BIGINT AS support FROM c GROUP BY 1")
+def _(s, d):
+    c = tables.read_table(s, d, "documents").groupBy(F.col("lang").alias("label"), "source").agg(F.count("*").alias("n"))
+    return P.class_support(c, "label", "n")
+
+
+_RANKED = f"{_CELLS}, rk AS (SELECT category, label, rank() OVER (PARTITION BY category ORDER BY score) + (count(*) OVER (PARTITION BY category, score) - 1) / 2.0 AS rank FROM ce)"
+
+
+@query("g35_rank_frequency", f"WITH {_RANKED} SELECT label, rank, count(*) AS n FROM rk GROUP BY ALL")
+def _(s, d):
+    return P.rank_frequency(C.average_ranks(cells(s, d), ["category"], "score"), "label", "rank")
+
+
+@query("w8_ranked_by_mean", f"WITH {_FINE}, m AS (SELECT label, round(avg(score), 4) AS mean FROM ce GROUP BY 1) SELECT *, row_number() OVER (ORDER BY mean DESC, label) AS place FROM m")
+def _(s, d):
+    return P.ranked_by_mean(fine_cells(s, d), "label", "score")
