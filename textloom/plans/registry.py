@@ -343,7 +343,7 @@ def _(s, d):
     return C.presence(counted(s, d), "label", "n_excl")
 
 
-@query("g16_cooccurrence", f"WITH {TOKENS}, u AS (SELECT DISTINCT doc_id, label, term FROM ex WHERE doc_id < 300), p AS (SELECT a.label, a.term AS a, b.term AS b, count(*) AS n FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, a, b) AS rank FROM p QUALIFY rank <= 20".replace(" WHERE doc_id < 300", ""))
+@query("g16_cooccurrence", f"WITH {TOKENS}, u AS (SELECT DISTINCT doc_id, label, term FROM ex), p AS (SELECT a.label, a.term AS a, b.term AS b, count(*) AS n FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, a, b) AS rank FROM p QUALIFY rank <= 20")
 def _(s, d):
     return C.cooccurrence(tokens(s, d))
 
