@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the machine: Arrow's pool, and by glibc (where there is one) the heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _kept: dict = {}
 
 
@@ -81,6 +91,7 @@ def worker_cache(owner, make):
     if owner not in _kept:
         _kept.clear()
         gc.collect()
+        give_back()
         _kept[owner] = make()
     return _kept[owner]
 

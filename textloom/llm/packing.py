@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import MOST_PARTITIONS, materialize, small_batches, worker_cache
+from .common import MOST_PARTITIONS, give_back, materialize, small_batches, worker_cache
 
 #: Tokens of a sequence, the id that ends a document, and the pieces among which a sequence is filled.
 LENGTH = 4096
@@ -25,6 +25,8 @@ END = 2
 WINDOW = 1024
 #: Distinct chunks whose ids a worker keeps; when there are more, those met once go, and if need be the rarer of the others.
 CACHE = 200_000
+#: Characters of texts that are encoded at once; a longer text is encoded by itself.
+ENCODED = 1 << 19
 
 #: Pieces of one bucket, in which sequences are filled.
 BUCKET_PIECES = 32_768
@@ -63,8 +65,8 @@ class Encoder:
         described = json.loads(self.tokenizer.to_str())
         self.added = [t["content"].lower() for t in described["added_tokens"]]
         self.by_chunk = self._by_chunk(described)
-        self.plain = Tokenizer.from_file(path)  # for ASCII chunks, which the normalizer would leave as they are
-        self.plain.normalizer = normalizers.Sequence([])
+        # One model in memory: ASCII chunks, which the normalizer would leave as they are, go through it without one.
+        self.normal, self.none = self.tokenizer.normalizer, normalizers.Sequence([])
         #: Chunk to 3 * slot + (0: as it is, 1: a full stop follows, 2: a comma follows).
         self.index: dict[str, int] = {}
         self.flat, self.ends, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
@@ -83,7 +85,10 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         ascii = [c for c in chunks if c.isascii() and c.islower()]
         others = [c for c in chunks if not (c.isascii() and c.islower())]
-        ids = [e.ids for e in self.plain.encode_batch_fast(ascii, add_special_tokens=False) + self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        self.tokenizer.normalizer = self.none
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(ascii, add_special_tokens=False)]
+        self.tokenizer.normalizer = self.normal
+        ids += [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         n = len(self.uses)
         self.index.update(zip(ascii + others, range(3 * n, 3 * (n + len(chunks)), 3)))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
@@ -204,6 +209,19 @@ class Pool:
         return taken + [self._take(k) for k in best_fill(self.lengths, lambda k: len(self.items[k]), capacity - first)]
 
 
+def runs(texts: list[str], most: int = ENCODED):
+    """texts in order, in lists of at most ``most`` characters or one text."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, copy): each document's ids, the end id last, cut into full sequences and a
     rest. copy numbers the equal pieces of one batch, so that a document that is repeated very often is not one key."""
@@ -214,13 +232,14 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
         encoder = encoder_of(path)
         for batch in batches:
             out, seen = [], Counter()
-            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
+            encoded = chain.from_iterable(map(encoder.encode, runs([t or "" for t in batch.column("text").to_pylist()])))
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoded):
                 for start in range(0, len(tokens), length):
                     piece = tokens[start : start + length]
                     row = (doc, start, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), len(tokens))
                     out.append((*row, seen[row]))
                     seen[row] += 1
-            pa.default_memory_pool().release_unused()
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [[]] * 6)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE + ", copy long")
