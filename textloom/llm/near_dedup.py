@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import GROUP_BYTES, MOST_PARTITIONS, checked_broadcast, components, join_groups, materialize, small_batches, worker_cache
+from .common import GROUP_BYTES, MOST_PARTITIONS, checked_broadcast, components, give_back, join_groups, materialize, small_batches, worker_cache
 
 #: Words of a shingle; links need 100 * intersection >= SIMILARITY * union.
 SHINGLE = 5
@@ -90,6 +90,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(s, a, b) if len(s) else np.zeros(0, np.int64))
+            give_back()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "n_bytes", "set_key", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, n_bytes long, set_key binary, bands array<long>")
@@ -150,6 +151,7 @@ def compared(texts: DataFrame, members: DataFrame, kind: str, tag: str) -> DataF
             half = None if kind == "all" else int((np.asarray(part.column("side")) == 0).sum())
             if half is None or 0 < half < hi - lo:
                 links += spanning(part.column("id").to_pylist(), [shingles(t.as_py()) for t in part.column("text")], half)
+        give_back()
         return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
 
     work = texts.join(dealt, "id").repartition(min(bins, MOST_PARTITIONS), "bin")
