@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import dense as D
+from textloom.operators import fitted as B
 from textloom.operators import models as M
 from textloom.operators import sampling as S
 from textloom.operators import stats as X
@@ -148,3 +149,26 @@ def test_sign_test_of_many_pairs(spark):
     rows = [("a", 1.0 if i < 1040 else -1.0) for i in range(2000)] + [("b", 1.0)] * 3
     got = {r.by: r.p for r in stats.sign_test(spark.createDataFrame(rows, "by string, diff double"), ["by"]).collect()}
     assert abs(got["a"] - stats.sign_test_p(1040, 2000)) < 1e-8 and got["b"] == 0.125
+
+
+@pytest.mark.parametrize("analyzer, lo, hi", [("word", 1, 2), ("char", 2, 3)])
+def test_fitted_model_saved_and_loaded(spark, tmp_path, analyzer, lo, hi):
+    train = spark.createDataFrame([(1, "good good day", "a"), (2, "a good day", "a"), (3, "bad night", "b"), (4, "bad bad night", "b"), (5, "night", "a"), (6, None, "a")], "doc_id long, text string, label string")
+    new = spark.createDataFrame([(7, "a GOOD day"), (8, "bad  night"), (9, "zzzz"), (10, None), (11, "")], "doc_id long, text string")
+    model = B.fit(train, analyzer, lo, hi, least=1, most=1.0)
+    model.save(str(tmp_path / "m"))
+    read = B.load(spark, str(tmp_path / "m"))
+    want, got = (sorted((r.doc_id, r.predicted, round(r.confidence, 9)) for r in m.predict(new).collect()) for m in (model, read))
+    assert got == want and (read.analyzer, read.lo, read.hi, read.sublinear) == (analyzer, lo, hi, True)
+    assert [g[1] for g in got] == ["a", "b", "a", "a", "a"]
+    assert all(abs(g[2] - 4 / 6) < 1e-9 for g in got[2:])  # no known term: the prior alone
+    with pytest.raises(Exception, match="exists"):
+        model.save(str(tmp_path / "m"))
+    with pytest.raises(ValueError):
+        B.fit(train, "line")
+
+
+def test_ranked_grid(spark):
+    pred = spark.createDataFrame([(0.1, "x", "x"), (0.1, "y", "x"), (1.0, "x", "x"), (1.0, "y", "y"), (2.0, "x", "x"), (2.0, "y", "y")], "alpha double, actual string, predicted string")
+    got = [tuple(r) for r in B.ranked_grid(pred, "alpha").orderBy("place").collect()]
+    assert got == [(1.0, 1.0, 1.0, 1), (2.0, 1.0, 1.0, 2), (0.1, 0.333333, 0.5, 3)]

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import dense as D
 from ..operators import filters as R
+from ..operators import fitted as B
 from ..operators import models as M
 from ..operators import reports as P
 from ..operators import sampling as S
@@ -166,7 +167,7 @@ def _(s, d):
     return posts(s, d).where("text is not null").select("doc_id", T.without_emoticons(F.col("text")).alias("cleaned"))
 
 
-@query("e2_without_html")
+@query("e2_without_html", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<(/|/[^<>3][^<>]*|[^<>/3][^<>]*)>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM pages")
 def _(s, d):
     return tables.read_table(s, d, "pages").select("page_id", T.without_html(F.col("html")).alias("plain"))
 
@@ -517,6 +518,59 @@ def _(s, d):
     return predictions(s, d).groupBy("alpha").agg(F.round(F.avg((F.col("predicted") == F.col("actual")).cast("int")), 6).alias("accuracy"))
 
 
+_CHOSEN = _NB.replace("WHERE split = 'test' GROUP BY ALL)", "WHERE split <> 'train' GROUP BY ALL)") + """, q AS (SELECT alpha, split, label AS actual, predicted FROM pd JOIN st USING (doc_id)),
+sd AS (SELECT alpha, split, actual AS label, (actual = predicted)::INT AS tp, 1 AS one FROM q UNION ALL SELECT alpha, split, predicted, 0, 0 FROM q), f AS (SELECT alpha, split, label, 2 * sum(tp) / count(*) AS f1, sum(tp) AS tp, sum(one) AS n FROM sd GROUP BY ALL),
+mt AS (SELECT alpha, split, round(avg(f1), 6) AS macro_f1, round(sum(tp) / sum(n), 6) AS accuracy FROM f GROUP BY ALL), rk AS (SELECT *, row_number() OVER (ORDER BY macro_f1 DESC, accuracy DESC, alpha) AS place FROM mt WHERE split = 'val')
+SELECT rk.alpha::DOUBLE AS alpha, rk.macro_f1, rk.accuracy, place::INT AS place, CASE WHEN place = 1 THEN mt.macro_f1 END AS test_macro_f1 FROM rk JOIN mt ON mt.alpha = rk.alpha AND mt.split = 'test'"""
+
+
+@query("c10_alpha_chosen", f"WITH {_CHOSEN}")
+def _(s, d):
+    """The grid ranked on the val split; only the alpha in the first place is tested."""
+    split = S.three_way(posts(s, d), "label", "doc_id").select("doc_id", "label", "split")
+    w, train = weights(s, d), split.where("split = 'train'").select("doc_id", "label")
+    logp, priors = M.fit_multinomial(w.join(train.select("doc_id"), "doc_id"), train, (0.01, 0.1, 1.0))
+    rest = split.where("split <> 'train'").select("doc_id", F.col("label").alias("actual"), "split")
+    pred = M.predict_multinomial(w.join(rest.select("doc_id"), "doc_id"), logp, priors).join(rest, "doc_id")
+    grid = B.ranked_grid(pred.where("split = 'val'"), "alpha")
+    tested = B.ranked_grid(pred.where("split = 'test'").join(F.broadcast(grid.where("place = 1").select("alpha")), "alpha"), "alpha")
+    return grid.join(tested.select("alpha", F.col("macro_f1").alias("test_macro_f1")), "alpha", "left")
+
+
+# A model fitted on the train split predicts the test split's texts.
+
+_WORD_GRAMS = "gx AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM tk)"
+_CHAR_GRAMS = r"""sq AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM documents), gc AS (SELECT doc_id, unnest([q[i:i + 2] for i in range(1, length(q) - 1)]) AS term FROM sq), gx AS (SELECT * FROM gc WHERE trim(term) <> '')"""
+
+
+def _fitted(grams: str, features: int, alpha: float = 0.1) -> str:
+    return f"""WITH {TOKENS}, {grams}, {_SPLIT}, nt AS (SELECT count(*) AS n FROM st WHERE split = 'train'), tf AS (SELECT doc_id, term, count(*) AS tf FROM gx GROUP BY ALL),
+vo AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf JOIN st USING (doc_id) WHERE split = 'train' GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= greatest(1, floor((SELECT n FROM nt) * 0.95)) ORDER BY total DESC, term LIMIT {features}),
+rw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln(((SELECT n FROM nt) + 1) / (df + 1)) + 1) AS v FROM tf JOIN vo USING (term)), ti AS (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS weight FROM rw),
+sm AS (SELECT label, term, sum(weight) AS s FROM ti JOIN st USING (doc_id) WHERE split = 'train' GROUP BY ALL), tt AS (SELECT label, sum(s) AS total FROM sm GROUP BY 1),
+lp AS (SELECT tt.label, vo.term, ln((coalesce(s, 0) + {alpha}) / (tt.total + {alpha} * (SELECT count(*) FROM vo))) AS lp FROM vo CROSS JOIN tt LEFT JOIN sm ON sm.label = tt.label AND sm.term = vo.term),
+pr AS (SELECT label, ln(count(*) / (SELECT n FROM nt)) AS prior FROM st WHERE split = 'train' GROUP BY 1),
+sc AS (SELECT te.doc_id, pr.label, coalesce(sum(weight * lp), 0) + any_value(prior) AS s FROM (SELECT doc_id FROM st WHERE split = 'test') te CROSS JOIN pr LEFT JOIN ti ON ti.doc_id = te.doc_id LEFT JOIN lp ON lp.term = ti.term AND lp.label = pr.label GROUP BY ALL),
+po AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id)) AS e FROM sc) SELECT doc_id, label AS predicted, round(e / sum(e) OVER (PARTITION BY doc_id), 4) AS confidence FROM po QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, label) = 1"""
+
+
+def fitted_predictions(s: SparkSession, d: str, analyzer: str, lo: int, hi: int, features: int) -> DataFrame:
+    split = S.three_way(posts(s, d), "label", "doc_id").select("doc_id", "label", "split")
+    rows = tables.read_table(s, d, "documents").select("doc_id", "text").join(split, "doc_id")
+    model = B.fit(rows.where("split = 'train'"), analyzer, lo, hi, features=features)
+    return model.predict(rows.where("split = 'test'")).withColumn("confidence", F.round("confidence", 4))
+
+
+@query("c8_words_and_pairs", _fitted(_WORD_GRAMS, 10_000))
+def _(s, d):
+    return fitted_predictions(s, d, "word", 1, 2, 10_000)
+
+
+@query("c8_character_trigrams", _fitted(_CHAR_GRAMS, 5_000))
+def _(s, d):
+    return fitted_predictions(s, d, "char", 3, 3, 5_000)
+
+
 # Evaluation, on a rule's predictions: toxicity from length, against the labels.
 
 _RULE = "pr AS (SELECT doc_id, quality::VARCHAR AS actual, CASE WHEN n_chars % 3 = 0 THEN '1' ELSE '0' END AS predicted FROM labels JOIN documents USING (doc_id))"
@@ -624,7 +678,7 @@ def _(s, d):
     return docs.select("doc_id", result.alias("result"), why.alias("explanation"))
 
 
-@query("l1_prompts")
+@query("l1_prompts", "SELECT doc_id, 'Classify the message below, written in English, as one of [''anxiety'', ''normal''].' || chr(10) || 'Message: ' || text || chr(10) || 'Answer only with JSON: {\"result\": \"...\", \"explanation\": \"...\"}' AS prompt FROM documents")
 def _(s, d):
     docs = tables.read_table(s, d, "documents")
     return docs.select("doc_id", T.prompt(F.col("text"), "English", ("anxiety", "normal")).alias("prompt"))
