@@ -164,3 +164,17 @@ def average_ranks(df: DataFrame, by: list[str], value: str, descending: bool = F
     o = F.desc(value) if descending else F.asc(value)
     r = F.rank().over(Window.partitionBy(*by).orderBy(o))
     return df.withColumn("rank", r + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0)
+
+
+def united(*frames: DataFrame) -> DataFrame:
+    """The rows of all frames, columns by name; a column that a frame lacks is null in its rows."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def mapped(df: DataFrame, column: str, names: dict[str, str], into: str) -> DataFrame:
+    """df with the name of each value in ``into``, as a literal map in the plan; a value that has none is null."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return df.withColumn(into, F.create_map(*pairs)[F.col(column)])

@@ -934,3 +934,24 @@ def _(s, d):
 @query("w8_ranked_by_mean", f"WITH {_FINE}, m AS (SELECT label, round(avg(score), 4) AS mean FROM ce GROUP BY 1) SELECT *, row_number() OVER (ORDER BY mean DESC, label) AS place FROM m")
 def _(s, d):
     return P.ranked_by_mean(fine_cells(s, d), "label", "score")
+
+
+# Unions, lookups and numbered vocabularies
+
+
+@query("s1_united", "SELECT 'documents' AS origin, doc_id AS id, lang AS label, length(text) AS n_chars FROM documents UNION ALL SELECT 'pages', page_id, NULL, length(html) FROM pages")
+def _(s, d):
+    docs = tables.read_table(s, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.length("text").alias("n_chars"))
+    pages = tables.read_table(s, d, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.length("html").alias("n_chars"))
+    return C.united(docs, pages)
+
+
+@query("j1_language_names", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' END AS language FROM documents")
+def _(s, d):
+    return C.mapped(tables.read_table(s, d, "documents"), "lang", {"en": "English", "fr": "French"}, "language").select("doc_id", "language")
+
+
+@query("w9_vocabulary_index", f"WITH {TOKENS}, v AS (SELECT DISTINCT term FROM ex) SELECT term, row_number() OVER (ORDER BY term) - 1 AS place FROM v")
+def _(s, d):
+    terms = tokens(s, d).select(F.explode("tokens").alias("term")).distinct()
+    return tables.numbered(terms, "term").select("term", (F.col("record_id") - 1).alias("place"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +54,13 @@ def append_results(df: DataFrame, path: str) -> None:
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
-    """record_id from 1 in the order of key: counts by range partition, so no task holds all rows."""
-    parts = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+    """record_id from 1 in the order of key: counts by range partition, so no task holds all rows.
+
+    The ranges are sampled, so the rows' partitions are settled once and kept (in the checkpoint folder if there is one, else
+    on the executors' disks): counts and numbers then come from the same ranges.
+    """
+    parts = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    parts = parts.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else parts.persist(StorageLevel.DISK_ONLY)
     parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
     before = parts.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_b", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
     return parts.join(F.broadcast(before), "_p").withColumn("record_id", F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
