@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express on whole tables."""
 
-from . import exact_dedup, language, lm, mixing, near_dedup, packing, pii, quality, repeats, sharding
+from . import exact_dedup, language, lm, mixing, near_dedup, packing, pii, quality, repeats, secrets, sharding, trie, whitening
 
 QUERIES = {
     "op1_line_frequency": quality.op1,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_progressive_dedup": exact_dedup.op8,
     "op9_semi_markov_pii": pii.op9,
     "op10_prefix_free_repeats": repeats.op10,
+    "op11_prefix_trie": trie.op11,
+    "op12_entropy_secrets": secrets.op12,
+    "op13_tsqr_whitening": whitening.op13,
 }
 
-ORACLE_SQL = {"op1_line_frequency": quality.OP1_SQL, "op8_progressive_dedup": exact_dedup.OP8_SQL}
+ORACLE_SQL = {"op1_line_frequency": quality.OP1_SQL, "op8_progressive_dedup": exact_dedup.OP8_SQL, "op11_prefix_trie": trie.OP11_SQL}
