@@ -76,10 +76,52 @@ def test_largest_remainder(spark):
     assert {r.part: r.sampled for r in got} == {"a": 4, "b": 2, "c": 1}
 
 
-def test_p_values():
-    assert X.sign_test_p(1, 3) == 0.875
-    assert X.signed_rank_p(5, 6) == pytest.approx(0.3125)
-    assert X.chi2_tail(1.6889, 2) == pytest.approx(math.exp(-1.6889 / 2), rel=1e-9)
+def _signed_rank_p(w, n):
+    """By all sign patterns."""
+    sums = [sum(r for i, r in enumerate(range(1, n + 1)) if m >> i & 1) for m in range(2**n)]
+    return min(1.0, 2 * sum(x <= w for x in sums) / 2**n)
+
+
+def _t_p(t, v, steps=200_000):
+    """By the midpoint rule over the angle, where Student's density is a power of the cosine."""
+    a = math.atan(abs(t) / math.sqrt(v))
+    mid = lambda lo, hi: sum(math.cos(lo + (hi - lo) * (i + 0.5) / steps) ** (v - 1) for i in range(steps)) * (hi - lo) / steps
+    return mid(a, math.pi / 2) / mid(0, math.pi / 2)
+
+
+def test_p_values(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.functions import distributions as P
+
+    chi = spark.createDataFrame([(x, v) for x in (0.0, 0.01, 0.5, 1.6889, 3.84, 10.0, 40.0, 300.0) for v in (1, 2, 3, 7, 10, 51, 200)], "x double, v int")
+    got = {(r.x, r.v): r.p for r in chi.select("x", "v", P.chi2_tail(F.col("x"), F.col("v")).alias("p")).collect()}
+    for (x, v), p in got.items():
+        if v == 1:
+            assert p == pytest.approx(math.erfc(math.sqrt(x / 2)), rel=1e-9, abs=1e-15)
+        if v % 2 == 0:
+            h = x / 2
+            assert p == pytest.approx(math.exp(-h) * sum(h**i / math.factorial(i) for i in range(v // 2)), rel=1e-9, abs=1e-14)
+    # Odd degrees of freedom: two more add one term.
+    for x in (0.5, 3.84, 10.0, 40.0):
+        assert got[x, 3] - got[x, 1] == pytest.approx(math.sqrt(2 * x / math.pi) * math.exp(-x / 2), rel=1e-9, abs=1e-14)
+    ts = spark.createDataFrame([(t, v) for t in (0.0, 0.3, -1.0, 2.5, 12.0) for v in (1, 2, 3, 4, 9, 30, 301)], "t double, v int")
+    for r in ts.select("t", "v", P.t_both(F.col("t"), F.col("v")).alias("p")).collect():
+        assert r.p == pytest.approx(_t_p(r.t, r.v), abs=1e-8)
+    ws = spark.createDataFrame([(float(w), n) for n in (1, 3, 6, 10) for w in (0, 1, 5, 20) if w <= n * (n + 1) / 4], "w double, n int")
+    for r in ws.select("w", "n", P.signed_rank_exact(F.col("w"), F.col("n")).alias("p")).collect():
+        assert r.p == pytest.approx(_signed_rank_p(r.w, r.n), abs=1e-12)
+    assert ws.limit(1).select(P.signed_rank_exact(F.lit(637.0), F.lit(50)).alias("p")).first().p == pytest.approx(1.0, abs=0.02)
+
+
+def test_signed_rank_by_kind(spark):
+    """Exact without ties and zeros, else the tie-corrected normal; all zeros give no row."""
+    rows = [("exact", d) for d in (1.0, 2.0, -3.0, 4.0, 5.0, 6.0)] + [("ties", d) for d in (1.0, 1.0, 1.0, 2.0, -2.0, 3.0, 0.0)] + [("zeros", 0.0)] * 4
+    got = {r.by: r for r in X.signed_rank(spark.createDataFrame(rows, "by string, diff double"), ["by"]).collect()}
+    assert set(got) == {"exact", "ties"} and got["exact"].p == pytest.approx(_signed_rank_p(3, 6), abs=1e-9)
+    m, ties = 6, (27 - 3) + (8 - 2)
+    z = (got["ties"].w - m * (m + 1) / 4) / math.sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48)
+    assert got["ties"].p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-9)
 
 
 def test_record_numbers(spark):
@@ -120,7 +162,7 @@ def test_grams_and_counts(spark):
 def test_sign_test(spark):
     df = spark.createDataFrame([("x", v) for v in (1.0, -1.0, -2.0, 0.0)], "g string, diff double")
     r = X.sign_test(df, ["g"]).first()
-    assert (r.n, r.k) == (3, 1) and r.p == pytest.approx(X.sign_test_p(1, 3))
+    assert (r.n, r.k) == (3, 1) and r.p == pytest.approx(0.875)
 
 
 def test_best_epochs(spark):
@@ -148,7 +190,7 @@ def test_sign_test_of_many_pairs(spark):
 
     rows = [("a", 1.0 if i < 1040 else -1.0) for i in range(2000)] + [("b", 1.0)] * 3
     got = {r.by: r.p for r in stats.sign_test(spark.createDataFrame(rows, "by string, diff double"), ["by"]).collect()}
-    assert abs(got["a"] - stats.sign_test_p(1040, 2000)) < 1e-8 and got["b"] == 0.125
+    assert abs(got["a"] - sum(math.comb(2000, i) for i in range(1040, 2001)) / 2**2000) < 1e-8 and got["b"] == 0.125
 
 
 @pytest.mark.parametrize("analyzer, lo, hi", [("word", 1, 2), ("char", 2, 3)])

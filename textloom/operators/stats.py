@@ -1,36 +1,47 @@
-"""Rank tests over tables of scores: statistics in Spark; exact p-values on a few numbers in small functions."""
+"""Rank tests over tables of scores: statistics by aggregation, and their p-values as expressions over them."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import distributions as P
 from .corpus import average_ranks
 
 
 def signed_rank(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Wilcoxon's W of (by, diff): differences of zero are left out of the ranks but counted in n for the effect size."""
+    """Wilcoxon's W of (by, diff) with its two-sided p: differences of zero are left out of the ranks but counted in n for the
+    effect size.
+
+    p is exact for up to 50 differences without zeros and ties, else from the normal distribution with the variance that ties
+    leave. Without a difference other than zero there is no row.
+    """
     n = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean_diff"))
-    r = average_ranks(pairs.where("diff <> 0").withColumn("size", F.abs("diff")), by, "size")
-    w = r.groupBy(*by).agg(F.sum(F.when(F.col("diff") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("diff") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
-    w = w.withColumn("w", F.least("w_plus", "w_minus")).join(n, by)
-    return w.withColumn("effect", F.round(1 - 2 * F.col("w") / (F.col("n") * (F.col("n") + 1) / 2), 6))
+    sizes = pairs.where("diff <> 0").withColumn("size", F.abs("diff"))
+    ties = sizes.groupBy(*by, "size").agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    r = average_ranks(sizes, by, "size")
+    w = r.groupBy(*by).agg(F.count("*").alias("m"), F.sum(F.when(F.col("diff") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("diff") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
+    w = n.join(w, by).join(ties, by).withColumn("w", F.least("w_plus", "w_minus"))
+    m = F.col("m")
+    z = (F.col("w") - m * (m + 1) / 4) / F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
+    p = F.when((m <= P.MOST_EXACT) & (m == F.col("n")) & (F.col("ties") == 0), P.signed_rank_exact(F.col("w"), m)).otherwise(P.normal_both(z))
+    w = w.withColumn("effect", F.round(1 - 2 * F.col("w") / (F.col("n") * (F.col("n") + 1) / 2), 6)).withColumn("p", F.round(p, 9))
+    return w.select(*by, "w_plus", "w_minus", "w", "n", "mean_diff", "effect", "p")
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
-    """H with tie correction, and (H - 1) / (n - 1), the effect size that the reports use."""
+    """H with tie correction and its chi-squared p, and (H - 1) / (n - 1), the effect size that the reports use."""
     ranks = average_ranks(df.select(group, value).withColumn("_all", F.lit(1)), ["_all"], value)
     ties = df.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     sums = ranks.groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("c"))
     h = sums.agg(F.sum(F.col("r") * F.col("r") / F.col("c")).alias("s"), F.sum("c").alias("n"), F.count("*").alias("k")).crossJoin(ties)
     h = h.withColumn("h", (12 / (F.col("n") * (F.col("n") + 1)) * F.col("s") - 3 * (F.col("n") + 1)) / (1 - F.col("ties") / (F.col("n") ** 3 - F.col("n"))))
-    return h.select("k", "n", F.round("h", 6).alias("h"), F.round((F.col("h") - 1) / (F.col("n") - 1), 6).alias("eta2"))
+    h = h.withColumn("p", F.round(P.chi2_tail(F.col("h"), F.col("k") - 1), 9))
+    return h.select("k", "n", F.round("h", 6).alias("h"), F.round((F.col("h") - 1) / (F.col("n") - 1), 6).alias("eta2"), "p")
 
 
 def friedman(df: DataFrame, block: str, group: str, value: str) -> DataFrame:
-    """Friedman's statistic with tie correction over complete blocks."""
+    """Friedman's statistic with tie correction over complete blocks, and its chi-squared p."""
     k = df.agg(F.count_distinct(group).alias("k"))
     full = df.groupBy(block).agg(F.count("*").alias("c")).crossJoin(k).where("c = k").select(block, "k")
     d = df.join(full, block)
@@ -39,14 +50,18 @@ def friedman(df: DataFrame, block: str, group: str, value: str) -> DataFrame:
     ties = d.groupBy(block, value).agg(F.count("*").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     s = ranks.groupBy(group).agg(F.sum("rank").alias("r")).agg(F.sum(F.col("r") * F.col("r")).alias("s")).crossJoin(n).crossJoin(ties)
     q = (12 / (F.col("n") * F.col("kk") * (F.col("kk") + 1)) * F.col("s") - 3 * F.col("n") * (F.col("kk") + 1)) / (1 - F.col("ties") / (F.col("n") * (F.col("kk") ** 3 - F.col("kk"))))
-    return s.select("n", F.col("kk").alias("k"), F.round(q, 6).alias("chi2"))
+    return s.select("n", F.col("kk").alias("k"), F.round(q, 6).alias("chi2"), F.round(P.chi2_tail(q, F.col("kk") - 1), 9).alias("p"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation of average ranks; null if either column is constant."""
+    """Correlation of average ranks and its two-sided p by Student's t; null if either column is constant, p also below three rows."""
     a = average_ranks(df.withColumn("_all", F.lit(1)), ["_all"], x).withColumnRenamed("rank", "_x")
     rho = F.try_divide(F.covar_pop("_x", "rank"), F.stddev_pop("_x") * F.stddev_pop("rank"))
-    return average_ranks(a, ["_all"], y).agg(F.round(rho, 6).alias("rho"), F.count("*").alias("n"))
+    c = average_ranks(a, ["_all"], y).agg(rho.alias("rho"), F.count("*").alias("n"))
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    p = F.when(F.col("n") > 2, F.when(F.abs("rho") >= 1 - 1e-12, 0.0).when(F.col("rho").isNotNull(), P.t_both(t, F.col("n") - 2)))
+    # p first: inside its lambdas a name of the same select list would stand for the rounded column.
+    return c.withColumn("p", F.round(p, 9)).select(F.round("rho", 6).alias("rho"), "n", "p")
 
 
 def sign_test(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -67,43 +82,10 @@ def cohen_d(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def post_hoc(df: DataFrame, block: str, group: str, value: str, least: int = 3, alpha: float = 0.05) -> DataFrame:
-    """Signed ranks of all pairs of groups with at least ``least`` shared blocks, and alpha divided by the number of pairs (Bonferroni)."""
+    """Signed ranks of all pairs of groups with at least ``least`` shared blocks, alpha divided by the number of pairs (Bonferroni),
+    and whether p is below it."""
     x = df.select(block, F.col(group).alias("a"), F.col(value).alias("x"))
     y = df.select(block, F.col(group).alias("b"), F.col(value).alias("y"))
     pairs = x.join(y, block).where("a < b").select("a", "b", F.round(F.col("x") - F.col("y"), 3).alias("diff"))
     w = signed_rank(pairs, ["a", "b"]).where(F.col("n") >= least)
-    return w.crossJoin(F.broadcast(w.agg(F.round(alpha / F.count("*"), 6).alias("alpha"))))
-
-
-def sign_test_p(k: int, n: int) -> float:
-    """P(X >= k) of n fair tosses."""
-    return sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n
-
-
-def signed_rank_p(w: float, n: int) -> float:
-    """Two-sided p of the smaller rank sum w of n untied differences: exact up to 50, else normal."""
-    if n > 50:
-        m, v = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24
-        return math.erfc(abs(w - m) / math.sqrt(2 * v))
-    ways = [1]
-    for r in range(1, n + 1):
-        new = [0] * (len(ways) + r)
-        for s, c in enumerate(ways):
-            new[s] += c
-            new[s + r] += c
-        ways = new
-    return min(1.0, 2 * sum(ways[: math.floor(w) + 1]) / 2**n)
-
-
-def chi2_tail(x: float, df: int) -> float:
-    """P(chi-squared with df degrees > x), by the series of the incomplete gamma function."""
-    if x <= 0:
-        return 1.0
-    a, h = df / 2, x / 2
-    term = total = 1 / a
-    k = a
-    while term > total * 1e-16:
-        k += 1
-        term *= h / k
-        total += term
-    return max(0.0, 1 - total * math.exp(a * math.log(h) - h - math.lgamma(a)))
+    return w.crossJoin(F.broadcast(w.agg(F.round(alpha / F.count("*"), 6).alias("alpha")))).withColumn("significant", F.coalesce(F.col("p") < F.col("alpha"), F.lit(False)))

@@ -15,11 +15,14 @@ from ..operators import corpus as C
 from ..operators import dense as D
 from ..operators import filters as R
 from ..operators import fitted as B
+from ..operators import grids as G
 from ..operators import models as M
 from ..operators import reports as P
 from ..operators import sampling as S
 from ..operators import stats as X
-from ..sources import tables
+from ..operators import svm as V
+from ..operators.partial import shared_path
+from ..sources import features, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -571,6 +574,40 @@ def _(s, d):
     return fitted_predictions(s, d, "char", 3, 3, 5_000)
 
 
+# The whole grid: each run by its validation scores, the best refitted on train and val and tested once.
+
+def _stage(p: str, fit: str, test: str, cfg: str, al: str) -> str:
+    """Common tables p_*: learned from the rows of st where ``fit``, predictions where ``test``, scores by setting."""
+    key = "hi, least, f"
+    return f"""{p}n AS (SELECT count(*) AS n FROM st WHERE {fit}), {p}df AS (SELECT size, term, count(*) AS df, sum(tf) AS total FROM tf JOIN st USING (doc_id) WHERE {fit} GROUP BY ALL HAVING count(*) <= greatest(1, floor((SELECT n FROM {p}n) * 0.95))),
+{p}vo AS (SELECT {key}, term, ln(((SELECT n FROM {p}n) + 1) / (df + 1)) + 1 AS idf FROM {cfg} JOIN {p}df ON size <= hi AND df >= least QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY total DESC, term) <= f),
+{p}ti AS (SELECT {key}, doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY {key}, doc_id)) AS w FROM {p}vo JOIN tf USING (term)),
+{p}sm AS (SELECT {key}, label, term, sum(w) AS s FROM {p}ti JOIN st USING (doc_id) WHERE {fit} GROUP BY ALL), {p}tt AS (SELECT {key}, label, sum(s) AS total FROM {p}sm GROUP BY ALL), {p}r AS (SELECT {key}, count(*) AS retained FROM {p}vo GROUP BY ALL),
+{p}pr AS (SELECT label, ln(count(*) / (SELECT n FROM {p}n)) AS prior FROM st WHERE {fit} GROUP BY 1), {p}te AS (SELECT doc_id, label AS actual FROM st WHERE {test}),
+{p}wl AS (SELECT {key}, doc_id, term, w, label FROM {p}ti JOIN {p}te USING (doc_id) CROSS JOIN {p}pr),
+{p}x AS (SELECT {key}, doc_id, label, alpha, sum(w * ln(coalesce(s, 0) + alpha)) AS x, sum(w) AS w FROM {p}wl LEFT JOIN {p}sm USING ({key}, term, label) CROSS JOIN {al} GROUP BY ALL),
+{p}sc AS (SELECT {key}, alpha, retained, doc_id, actual, label, coalesce(x - w * ln(total + alpha * retained), 0) + prior AS s FROM {p}te CROSS JOIN {p}tt JOIN {p}r USING ({key}) JOIN {p}pr USING (label) CROSS JOIN {al} LEFT JOIN {p}x USING ({key}, doc_id, label, alpha)),
+{p}pd AS (SELECT {key}, alpha, retained, actual, label AS predicted FROM {p}sc QUALIFY row_number() OVER (PARTITION BY {key}, alpha, doc_id ORDER BY round(s, 9) DESC, label) = 1),
+{p}sd AS (SELECT {key}, alpha, retained, actual AS label, (actual = predicted)::INT AS tp, 1 AS support, 0 AS claimed FROM {p}pd UNION ALL SELECT {key}, alpha, retained, predicted, 0, 0, 1 FROM {p}pd),
+{p}cl AS (SELECT {key}, alpha, retained, label, sum(tp) AS tp, sum(support) AS support, sum(claimed) AS claimed FROM {p}sd GROUP BY ALL),
+{p}mt AS (SELECT {key}, alpha, retained, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(coalesce(tp / nullif(claimed, 0), 0)), 6) AS macro_precision, round(avg(coalesce(tp / nullif(support, 0), 0)), 6) AS macro_recall, round(avg(2 * tp / (support + claimed)), 6) AS macro_f1 FROM {p}cl GROUP BY ALL)"""
+
+
+def word_grid_sql(ngrams=G.NGRAMS, least=G.LEAST_DOCS, features=G.FEATURES, alphas=G.ALPHAS) -> str:
+    return f"""WITH {TOKENS}, {_SPLIT}, g AS (SELECT doc_id, 1 AS size, unnest(w) AS term FROM tk UNION ALL SELECT doc_id, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tk), tf AS (SELECT doc_id, size, term, count(*) AS tf FROM g GROUP BY ALL),
+cfg AS (SELECT hi, least, f FROM (SELECT unnest({list(ngrams)}) AS hi) CROSS JOIN (SELECT unnest({list(least)}) AS least) CROSS JOIN (SELECT unnest({list(features)}) AS f)), al AS (SELECT unnest({[float(a) for a in alphas]})::DOUBLE AS alpha),
+{_stage("v_", "split = 'train'", "split = 'val'", "cfg", "al")}, rk AS (SELECT *, row_number() OVER (ORDER BY macro_f1 DESC, accuracy DESC, hi, least, f, alpha) AS place FROM v_mt),
+bc AS (SELECT hi, least, f FROM rk WHERE place = 1), ba AS (SELECT alpha FROM rk WHERE place = 1), {_stage("t_", "split <> 'test'", "split = 'test'", "bc", "ba")}
+SELECT rk.hi AS ngram_max, rk.least AS min_df, rk.f AS max_features, rk.alpha, rk.retained, rk.accuracy, rk.macro_precision, rk.macro_recall, rk.macro_f1, place::INT AS place, CASE WHEN place = 1 THEN t.accuracy END AS test_accuracy, CASE WHEN place = 1 THEN t.macro_f1 END AS test_macro_f1 FROM rk CROSS JOIN t_mt t"""
+
+
+@query("c10_word_grid", word_grid_sql())
+def _(s, d):
+    """All 90 runs: n-grams, least document frequency, features and smoothing."""
+    split = S.three_way(posts(s, d), "label", "doc_id").select("doc_id", "label", "split")
+    return G.words_searched(tokens(s, d), split)
+
+
 # Evaluation, on a rule's predictions: toxicity from length, against the labels.
 
 _RULE = "pr AS (SELECT doc_id, quality::VARCHAR AS actual, CASE WHEN n_chars % 3 = 0 THEN '1' ELSE '0' END AS predicted FROM labels JOIN documents USING (doc_id))"
@@ -618,6 +655,14 @@ def _(s, d):
 
 # Rank tests, on mean lengths by label and category
 
+def _chi2_p(x: str, df: str) -> str:
+    """The chi-squared tail in SQL, by the series of the incomplete gamma function."""
+    return f"round(greatest(0, least(1, 1 - list_sum(list_transform(range(400), lambda i: exp(({df} / 2.0 + i) * ln(greatest(1e-300, {x}) / 2) - {x} / 2 - lgamma({df} / 2.0 + i + 1)))))), 9)"
+
+
+#: Sets of the ranks 1 to r with each sum s; and the p of a signed-rank row (m differences other than zero of n, sum w, ties).
+_WAYS = "ways AS (SELECT 0 AS r, 0 AS s, 1::DOUBLE AS c UNION ALL SELECT r + 1, s2, sum(c) FROM (SELECT r, s + unnest([0, r + 1]) AS s2, c FROM ways WHERE r < 50) GROUP BY ALL)"
+_RANK_P = f"CASE WHEN m <= 50 AND m = n AND ties = 0 THEN round(least(1, 2 * (SELECT sum(c) FROM ways WHERE r = m AND s <= least(w_plus, w_minus)) / 2.0 ** m), 9) ELSE {_chi2_p('((least(w_plus, w_minus) - m * (m + 1) / 4) ** 2 / (m * (m + 1) * (2 * m + 1) / 24 - ties / 48))', '1')} END"
 _CELLS = "ce AS (SELECT lang AS label, source AS category, round(avg(n_chars), 3) AS score FROM documents GROUP BY ALL)"
 
 
@@ -631,7 +676,10 @@ def _(s, d):
     return C.average_ranks(posts(s, d).groupBy("category", "label").agg(F.count("*").alias("n")), ["category"], "n")
 
 
-@query("t2_signed_rank", f"WITH {_CELLS}, p AS (SELECT b.label AS other, round(a.score - b.score, 3) AS diff FROM ce a JOIN ce b ON a.category = b.category AND a.label = 'en' AND b.label <> 'en'), n AS (SELECT other, count(*) AS n, round(avg(diff), 6) AS mean_diff FROM p GROUP BY 1), r AS (SELECT other, diff, rank() OVER (PARTITION BY other ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY other, abs(diff)) - 1) / 2.0 AS rank FROM p WHERE diff <> 0), w AS (SELECT other, sum(CASE WHEN diff > 0 THEN rank ELSE 0.0 END) AS w_plus, sum(CASE WHEN diff < 0 THEN rank ELSE 0.0 END) AS w_minus FROM r GROUP BY 1) SELECT other, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS w, n, mean_diff, round(1 - 2 * least(w_plus, w_minus) / (n * (n + 1) / 2), 6)::DOUBLE AS effect FROM w JOIN n USING (other)")
+@query("t2_signed_rank", f"""WITH RECURSIVE {_CELLS}, {_WAYS}, p AS (SELECT b.label AS other, round(a.score - b.score, 3) AS diff FROM ce a JOIN ce b ON a.category = b.category AND a.label = 'en' AND b.label <> 'en'), n AS (SELECT other, count(*) AS n, round(avg(diff), 6) AS mean_diff FROM p GROUP BY 1),
+ r AS (SELECT other, diff, rank() OVER (PARTITION BY other ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY other, abs(diff)) - 1) / 2.0 AS rank FROM p WHERE diff <> 0), tt AS (SELECT other, sum(t ** 3 - t) AS ties FROM (SELECT other, count(*) AS t FROM p WHERE diff <> 0 GROUP BY other, abs(diff)) GROUP BY 1),
+ w AS (SELECT other, count(*) AS m, sum(CASE WHEN diff > 0 THEN rank ELSE 0.0 END)::DOUBLE AS w_plus, sum(CASE WHEN diff < 0 THEN rank ELSE 0.0 END)::DOUBLE AS w_minus FROM r GROUP BY 1)
+ SELECT other, w_plus, w_minus, least(w_plus, w_minus) AS w, n, mean_diff, round(1 - 2 * least(w_plus, w_minus) / (n * (n + 1) / 2), 6)::DOUBLE AS effect, {_RANK_P} AS p FROM w JOIN n USING (other) JOIN tt USING (other)""")
 def _(s, d):
     c = cells(s, d)
     en = c.where("label = 'en'").select("category", F.col("score").alias("en"))
@@ -639,7 +687,7 @@ def _(s, d):
     return X.signed_rank(pairs, ["other"])
 
 
-@query("t3_kruskal_wallis", f"WITH {_CELLS}, r AS (SELECT label, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rank FROM ce), t AS (SELECT sum(t ** 3 - t) AS ties FROM (SELECT count(*) AS t FROM ce GROUP BY score)), g AS (SELECT label, sum(rank) AS r, count(*) AS c FROM r GROUP BY 1), h AS (SELECT count(*) AS k, sum(c)::BIGINT AS n, (12 / (sum(c) * (sum(c) + 1)) * sum(r * r / c) - 3 * (sum(c) + 1)) / (1 - any_value(ties) / (sum(c) ** 3 - sum(c))) AS h FROM g, t) SELECT k, n, round(h, 6) AS h, round((h - 1) / (n - 1), 6) AS eta2 FROM h")
+@query("t3_kruskal_wallis", f"WITH {_CELLS}, r AS (SELECT label, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rank FROM ce), t AS (SELECT sum(t ** 3 - t) AS ties FROM (SELECT count(*) AS t FROM ce GROUP BY score)), g AS (SELECT label, sum(rank) AS r, count(*) AS c FROM r GROUP BY 1), h AS (SELECT count(*) AS k, sum(c)::BIGINT AS n, (12 / (sum(c) * (sum(c) + 1)) * sum(r * r / c) - 3 * (sum(c) + 1)) / (1 - any_value(ties) / (sum(c) ** 3 - sum(c))) AS h FROM g, t) SELECT k, n, round(h, 6) AS h, round((h - 1) / (n - 1), 6) AS eta2, {_chi2_p('h', '(k - 1)')} AS p FROM h")
 def _(s, d):
     return X.kruskal_wallis(cells(s, d), "label", "score")
 
@@ -647,12 +695,20 @@ def _(s, d):
 @query("t4_friedman", f"""WITH {_CELLS}, k AS (SELECT count(DISTINCT label) AS k FROM ce), f AS (SELECT category FROM ce GROUP BY 1 HAVING count(*) = (SELECT k FROM k)), x AS (SELECT ce.* FROM ce JOIN f USING (category)),
  r AS (SELECT *, rank() OVER (PARTITION BY category ORDER BY score) + (count(*) OVER (PARTITION BY category, score) - 1) / 2.0 AS rank FROM x),
  s AS (SELECT sum(r * r) AS s FROM (SELECT sum(rank) AS r FROM r GROUP BY label)), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM x GROUP BY category, score)), n AS (SELECT count(*) AS n FROM f)
- SELECT n, k, round((12 / (n * k * (k + 1)) * s - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))), 6) AS chi2 FROM s, t, n, k""")
+, q AS (SELECT n, k, (12 / (n * k * (k + 1)) * s - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))) AS q FROM s, t, n, k)
+ SELECT n, k, round(q, 6) AS chi2, {_chi2_p('q', '(k - 1)')} AS p FROM q""")
 def _(s, d):
     return X.friedman(cells(s, d), "category", "label", "score")
 
 
-@query("t5_spearman", "WITH c AS (SELECT source, round(stddev_pop(n_chars), 3) AS n, round(avg(n_chars), 3) AS score FROM documents GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS x, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS y FROM c) SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM r")
+#: Student's t by its finite sums, the factors of their terms as gamma functions.
+_T_P = """round(greatest(0, CASE WHEN v % 2 = 1 THEN 1 - 2 / pi() * (a + CASE WHEN v = 1 THEN 0 ELSE sin(a) * list_sum(list_transform(range(v // 2), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * cos(a) ** (2 * j + 1))) END)
+ ELSE 1 - sin(a) * list_sum(list_transform(range(v // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * cos(a) ** (2 * j))) END), 9)"""
+
+
+@query("t5_spearman", f"""WITH c AS (SELECT source, round(stddev_pop(n_chars), 3) AS n, round(avg(n_chars), 3) AS score FROM documents GROUP BY 1),
+ r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS x, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS y FROM c), s AS (SELECT corr(x, y) AS rho, count(*) AS n FROM r), t AS (SELECT *, n - 2 AS v, atan(abs(rho) / sqrt(1 - rho * rho)) AS a FROM s)
+ SELECT round(rho, 6) AS rho, n, {_T_P} AS p FROM t""")
 def _(s, d):
     docs = tables.read_table(s, d, "documents")
     c = docs.groupBy("source").agg(F.round(F.stddev_pop("n_chars"), 3).alias("n"), F.round(F.avg("n_chars"), 3).alias("score"))
@@ -860,7 +916,10 @@ def _(s, d):
     return X.cohen_d(paired(s, d), ["other"])
 
 
-@query("t7_post_hoc", f"WITH {_CELLS}, p AS (SELECT x.label AS a, y.label AS b, round(x.score - y.score, 3) AS diff FROM ce x JOIN ce y ON x.category = y.category AND x.label < y.label), n AS (SELECT a, b, count(*) AS n, round(avg(diff), 6) AS mean_diff FROM p GROUP BY ALL), r AS (SELECT a, b, diff, rank() OVER (PARTITION BY a, b ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY a, b, abs(diff)) - 1) / 2.0 AS rank FROM p WHERE diff <> 0), w AS (SELECT a, b, sum(CASE WHEN diff > 0 THEN rank ELSE 0.0 END)::DOUBLE AS w_plus, sum(CASE WHEN diff < 0 THEN rank ELSE 0.0 END)::DOUBLE AS w_minus FROM r GROUP BY ALL) SELECT a, b, w_plus, w_minus, least(w_plus, w_minus) AS w, n, mean_diff, round(1 - 2 * least(w_plus, w_minus) / (n * (n + 1) / 2), 6) AS effect, round(0.05 / count(*) OVER (), 6) AS alpha FROM w JOIN n USING (a, b) WHERE n >= 3")
+@query("t7_post_hoc", f"""WITH RECURSIVE {_CELLS}, {_WAYS}, p AS (SELECT x.label AS a, y.label AS b, round(x.score - y.score, 3) AS diff FROM ce x JOIN ce y ON x.category = y.category AND x.label < y.label), n AS (SELECT a, b, count(*) AS n, round(avg(diff), 6) AS mean_diff FROM p GROUP BY ALL),
+ r AS (SELECT a, b, diff, rank() OVER (PARTITION BY a, b ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY a, b, abs(diff)) - 1) / 2.0 AS rank FROM p WHERE diff <> 0), tt AS (SELECT a, b, sum(t ** 3 - t) AS ties FROM (SELECT a, b, count(*) AS t FROM p WHERE diff <> 0 GROUP BY a, b, abs(diff)) GROUP BY ALL),
+ w AS (SELECT a, b, count(*) AS m, sum(CASE WHEN diff > 0 THEN rank ELSE 0.0 END)::DOUBLE AS w_plus, sum(CASE WHEN diff < 0 THEN rank ELSE 0.0 END)::DOUBLE AS w_minus FROM r GROUP BY ALL), x AS (SELECT a, b, w_plus, w_minus, least(w_plus, w_minus) AS w, n, mean_diff, round(1 - 2 * least(w_plus, w_minus) / (n * (n + 1) / 2), 6) AS effect, {_RANK_P} AS p FROM w JOIN n USING (a, b) JOIN tt USING (a, b) WHERE n >= 3)
+ SELECT *, round(0.05 / count(*) OVER (), 6) AS alpha, p < round(0.05 / count(*) OVER (), 6) AS significant FROM x""")
 def _(s, d):
     return X.post_hoc(cells(s, d), "category", "label", "score")
 
@@ -877,6 +936,74 @@ def _(s, d):
     return D.pca(vectors(s, d), vectors(s, d), 8)
 
 
+@query("v8_projections")
+def _(s, d):
+    """Every preparation, whitened: (mode, id, projected) of the first 16 axes."""
+    v = vectors(s, d)
+    return C.united(*[D.fit_projection(v, 16, mode, whiten=True).project(v).withColumn("mode", F.lit(mode)) for mode in D.MODES])
+
+
+def vector_splits(s: SparkSession, d: str) -> list[DataFrame]:
+    """train, val and test vectors, by the stratified split that the texts have too."""
+    v = vectors(s, d).where("label IS NOT NULL")
+    split = S.three_way(v.drop("embedding"), "label", "id").select("id", "split")
+    return [v.join(split.where(F.col("split") == x).select("id"), "id") for x in ("train", "val", "test")]
+
+
+@query("c4_svm")
+def _(s, d):
+    """The radial machine, learned from train and val, on the test vectors."""
+    train, val, test = vector_splits(s, d)
+    return V.fit(train.unionByName(val)).predict(test)
+
+
+@query("c4_svm_grid")
+def _(s, d):
+    """Mean and deviation of macro F1 over five folds, for each C."""
+    train, val, _ = vector_splits(s, d)
+    grid = V.fit(train.unionByName(val), (0.1, 1.0, 10.0)).grid
+    return s.createDataFrame(grid, "c double, mean_macro_f1 double, std_macro_f1 double, rank int")
+
+
+@query("c10_vector_grid")
+def _(s, d):
+    """All runs of Gaussian Naive Bayes over principal axes: preparation, whitening, axes and smoothing."""
+    grid, _, _ = G.vectors_searched(*vector_splits(s, d))
+    return s.createDataFrame(grid, "mode string, whiten boolean, axes int, smoothing double, accuracy double, macro_precision double, macro_recall double, macro_f1 double, place int")
+
+
+# Feature stores, tables side by side, and tables of scores with blanks
+
+@query("sc8_grouped_fill", "WITH r AS (SELECT doc_id, n_chars, source, CASE WHEN doc_id % 4 = 0 THEN lang END AS model, CASE WHEN doc_id % 8 = 4 THEN source END AS split FROM documents) SELECT doc_id, last_value(model IGNORE NULLS) OVER o AS model, last_value(split IGNORE NULLS) OVER o AS split, n_chars::DOUBLE AS score FROM r WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY source IS NOT NULL")
+def _(s, d):
+    """Documents as a table of scores on disk: language and source stand on the first row of a block alone, then are filled on reading."""
+    docs = tables.read_table(s, d, "documents")
+    path = shared_path(s, "scores")
+    first = lambda test, c: F.when(test, F.col(c)).otherwise("  ")
+    sheet = docs.select("doc_id", first(F.col("doc_id") % 4 == 0, "lang").alias("model"), first(F.col("doc_id") % 8 == 4, "source").alias("split"), F.col("source").alias("class"), F.concat(F.lit(" "), "n_chars").alias("score"))
+    sheet.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    got = features.read_grouped(s, path, ["model", "split"], ["score"], ["class"], schema="doc_id string, model string, split string, class string, score string")
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "model", "split", "score")
+
+
+@query("sc10_cached_features", "SELECT doc_id, quality, toxic, n_chars FROM labels JOIN documents USING (doc_id)")
+def _(s, d):
+    """Labels and lengths kept as feature caches of one key, read again and joined without a shuffle."""
+    labels, docs = tables.read_table(s, d, "labels"), tables.read_table(s, d, "documents").select("doc_id", "n_chars")
+    kept = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    folders = [shared_path(s, "cache") for _ in range(2)]
+    for df, folder in zip((labels.join(docs.select("doc_id"), "doc_id", "left_semi"), kept), folders):
+        features.write_cache(df, folder, "doc_id", 16)
+    left, right = (features.read_cache(s, features.resolved(s, [f"{f}-absent", f]), "doc_id") for f in folders)
+    return features.joined_by_key(left, right, "doc_id").select("doc_id", "quality", "toxic", "n_chars")
+
+
+@query("j2_side_by_side", "WITH a AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents), b AS (SELECT doc_id AS by_length, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS position FROM documents) SELECT position, doc_id, lang, by_length, n_chars FROM a JOIN b USING (position)")
+def _(s, d):
+    docs = tables.read_table(s, d, "documents")
+    return features.joined_by_position(docs.select("doc_id", "lang"), ["doc_id"], docs.select(F.col("doc_id").alias("by_length"), "n_chars"), ["n_chars", "by_length"])
+
+
 # Reports
 
 
