@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .dense import LEAST_VARIANCE, MODES, Projection, fit_projection, load_projection, prepared
 from .models import term_counts
 from .partial import matrix, partitions, settled, tree_sum
@@ -25,6 +26,7 @@ def _vocabularies(counts: DataFrame, n_docs: int, ngrams, least_docs, features)
     """(hi, least, term, idf, rank): of each longest n-gram and least document frequency the terms of the largest limit, ranked by
     total, then name. Each list is cut before it is ranked, so no task orders a whole vocabulary."""
     terms = counts.groupBy("size", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") <= max(1, int(n_docs * MOST_SHARE)))
+    terms = settled(terms, "terms")
     out = None
     for hi, least in product(ngrams, least_docs):
         kept = terms.where((F.col("size") <= hi) & (F.col("df") >= least)).orderBy(F.desc("total"), "term").limit(max(features))
@@ -34,25 +36,29 @@ def _vocabularies(counts: DataFrame, n_docs: int, ngrams, least_docs, features)
     return out
 
 
-def words_scored(tokens: DataFrame, fitted: DataFrame, tested: DataFrame, ngrams=NGRAMS, least_docs=LEAST_DOCS, features=FEATURES, alphas=ALPHAS) -> DataFrame:
+def grams(tokens: DataFrame) -> DataFrame:
+    """(doc_id, size, term, tf) of (doc_id, tokens): words and pairs of neighbours, counted once for all that is done with them."""
+    return settled(term_counts(tokens.withColumn("tokens", T.word_terms(F.col("tokens"), 1, 2))).withColumn("size", F.when(F.contains("term", F.lit(" ")), 2).otherwise(1)), "grams")
+
+
+def words_scored(counts: DataFrame, fitted: DataFrame, tested: DataFrame, ngrams=NGRAMS, least_docs=LEAST_DOCS, features=FEATURES, alphas=ALPHAS) -> DataFrame:
     """(ngram_max, min_df, max_features, alpha, retained, doc_id, actual, predicted): TF-IDF and multinomial Naive Bayes learned from
-    ``fitted`` (doc_id, label), applied to ``tested`` (doc_id, label), for every combination of the settings; tokens is (doc_id, tokens).
+    ``fitted`` (doc_id, label), applied to ``tested`` (doc_id, label), for every combination of the settings; counts as ``grams`` gives.
 
-    Terms are counted once. A row of counts meets each pair of n-gram and document limits; the feature limits and smoothings
-    are columns of the same sums, so a pass serves all of them.
+    A row of counts meets each pair of n-gram and document limits; the feature limits and smoothings are columns of the same
+    sums, so a pass serves all of them. Lists of terms, weights and sums are written to the shared folder, each once.
     """
-    pairs = F.expr("transform(slice(tokens, 2, greatest(size(tokens) - 1, 0)), (t, i) -> concat(tokens[i], ' ', t))")
-    single = term_counts(tokens).withColumn("size", F.lit(1))
-    counts = single.unionByName(term_counts(tokens.withColumn("tokens", pairs)).withColumn("size", F.lit(2))) if max(ngrams) > 1 else single
+    fitted, tested = settled(fitted, "fitted"), settled(tested, "tested")
     n_docs = fitted.count()
+    counts = counts.where(F.col("size") <= max(ngrams))
     learned = counts.join(fitted.select("doc_id"), "doc_id", "left_semi")
-    vocab = _vocabularies(learned, n_docs, ngrams, least_docs, features)
+    vocab = settled(_vocabularies(learned, n_docs, ngrams, least_docs, features), "vocabularies")
     key = ["hi", "least"]
     raw = counts.join(vocab, "term").select(*key, "doc_id", "term", "rank", (F.col("tf") * F.col("idf")).alias("v"))
     within = lambda f, x: F.when(F.col("rank") <= f, x)
     norms = raw.groupBy(*key, "doc_id").agg(*[F.sqrt(F.sum(within(f, F.col("v") * F.col("v")))).alias(f"n{f}") for f in features])
-    weights = raw.join(norms, [*key, "doc_id"]).select(*key, "doc_id", "term", *[within(f, F.col("v") / F.col(f"n{f}")).alias(f"w{f}") for f in features])
-    sums = weights.join(F.broadcast(fitted) if n_docs <= 1_000_000 else fitted, "doc_id").groupBy(*key, "term", "label").agg(*[F.sum(f"w{f}").alias(f"s{f}") for f in features])
+    weights = settled(raw.join(norms, [*key, "doc_id"]).select(*key, "doc_id", "term", *[within(f, F.col("v") / F.col(f"n{f}")).alias(f"w{f}") for f in features]), "weights")
+    sums = settled(weights.join(fitted, "doc_id").groupBy(*key, "term", "label").agg(*[F.sum(f"w{f}").alias(f"s{f}") for f in features]), "sums")
     totals = sums.groupBy(*key, "label").agg(*[F.sum(f"s{f}").alias(f"t{f}") for f in features])
     sizes = vocab.groupBy(*key).agg(*[F.count_if(F.col("rank") <= f).alias(f"r{f}") for f in features])
     # A term's sums in all labels are one row, and what a label lacks is zero.
@@ -100,14 +106,15 @@ def words_searched(tokens: DataFrame, split: DataFrame, ngrams=NGRAMS, least_doc
     """
     part = lambda *names: split.where(F.col("split").isin(*names)).select("doc_id", "label")
     setting = ["ngram_max", "min_df", "max_features", "alpha", "retained"]
-    pred = words_scored(tokens, part("train"), part("val"), ngrams, least_docs, features, alphas)
+    split, counts = settled(split.select("doc_id", "label", "split"), "split"), grams(tokens)
+    pred = words_scored(counts, part("train"), part("val"), ngrams, least_docs, features, alphas)
     runs = scored(pred, setting)
     place = F.row_number().over(Window.orderBy(F.desc("macro_f1"), F.desc("accuracy"), *setting[:4]))
     ranked = settled(runs.withColumn("place", place), "grid")
     best = ranked.where("place = 1").first()
     if best is None:
         return ranked.select("*", *[F.lit(None).cast("double").alias(f"test_{c}") for c in ("accuracy", "macro_f1")])
-    final = words_scored(tokens, part("train", "val"), part("test"), (best.ngram_max,), (best.min_df,), (best.max_features,), (best.alpha,))
+    final = words_scored(counts, part("train", "val"), part("test"), (best.ngram_max,), (best.min_df,), (best.max_features,), (best.alpha,))
     tested = scored(final, ["alpha"]).select(F.lit(1).alias("place"), F.col("accuracy").alias("test_accuracy"), F.col("macro_f1").alias("test_macro_f1"))
     return ranked.join(F.broadcast(tested), "place", "left")
 

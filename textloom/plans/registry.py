@@ -485,8 +485,7 @@ def selected(s: SparkSession, d: str, features: int = FEATURES, best: int = SELE
     """(doc_id, split, term, weight) of all splits; what is learned comes from the train split. Both lists of terms are bounded, so they are broadcast."""
     split = S.three_way(posts(s, d), "label", "doc_id").select("doc_id", "label", "split")
     train = split.where("split = 'train'").select("doc_id", "label")
-    pairs = F.expr("transform(slice(tokens, 2, size(tokens)), (t, i) -> concat(tokens[i], ' ', t))")
-    counts = M.term_counts(tokens(s, d).withColumn("tokens", F.concat("tokens", pairs)))
+    counts = M.term_counts(tokens(s, d).withColumn("tokens", T.word_terms(F.col("tokens"), 1, 2)))
     vocab = M.vocabulary(counts.join(train, "doc_id", "left_semi"), train.agg(F.count("*").alias("n")), 2, 0.95, features)
     w = M.tfidf(counts, F.broadcast(vocab), True)
     scores = M.chi2(w.join(train.select("doc_id"), "doc_id", "left_semi"), train)
