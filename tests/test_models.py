@@ -238,3 +238,46 @@ def test_config(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"epochs": 5}')
     assert features.read_config(spark, f"{tmp_path}/a.yaml") == {"epochs": 5, "rate": 0.1, "name": "bert", "nested": "", "list": [1, 2]}
     assert features.read_config(spark, f"{tmp_path}/a.json") == {"epochs": 5}
+
+
+# ---------------------------------------------------------------- exports
+
+
+def test_csv_with_mark_and_arrays(spark, tmp_path):
+    from textloom.sources import exports
+
+    df = spark.createDataFrame([(1, ["a", "b"], 'say "hi", you'), (2, None, None)], "id int, tokens array<string>, text string").coalesce(1)
+    exports.write_csv(df, f"{tmp_path}/out", bom=True)
+    raw = next((tmp_path / "out").glob("*.csv")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfid,tokens,text") and raw.count(b"\xef\xbb\xbf") == 1
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/out").collect()
+    assert [tuple(r) for r in back] == [("1", '["a","b"]', 'say "hi", you'), ("2", None, None)]
+    exports.write_tables(f"{tmp_path}/tables", first=df.select("id"), second=df.select("text"))
+    assert len(list((tmp_path / "tables" / "first").glob("*.csv"))) == 1
+
+
+def test_modelling_set(spark, tmp_path):
+    from textloom.sources import exports
+
+    rows = [(i, "raw", "clean", " " if i % 5 == 0 else "words", "u" if i % 2 else "v", "l", "n") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id int, raw_text string, clean_text string, analysis_text string, umbrella string, label_clean string, label_normalized string")
+    exports.export_modelling(df.repartition(4), "doc_id", f"{tmp_path}/m")
+    got = spark.read.parquet(f"{tmp_path}/m/rows")
+    assert sorted(r.record_id for r in got.collect()) == [i + 1 for i in range(100) if i % 5]
+    classes = spark.read.option("header", True).csv(f"{tmp_path}/m/classes").collect()
+    assert [tuple(r)[1:] for r in classes] == [("40", "50.0")] * 2
+    with pytest.raises(ValueError):
+        exports.modelling_set(df.drop("umbrella"), "doc_id")
+
+
+def test_summary_lines_and_log(spark, tmp_path):
+    from textloom.sources import exports
+
+    df = spark.createDataFrame([("a", 1, ["x", "x"]), ("a", 3, ["y"]), ("b", 5, None), (None, 7, ["x"])], "label string, n int, found array<string>")
+    lines = exports.feature_lines(df, "label", "n")
+    exports.write_lines(lines, f"{tmp_path}/s")
+    assert next((tmp_path / "s").glob("*.txt")).read_text().splitlines() == [
+        "rows: 4", "labels: 2", "n: count 4, mean 4.00, std 2.58, min 1.00, max 7.00", "a: rows 2", "a: mean n 2.00", "b: rows 1", "b: mean n 5.00", "null: rows 1", "null: mean n 7.00",
+    ]
+    log = {(r.kind, r.label, r.found): (r.n, r.posts) for r in exports.found_log(df, "label", emoji="found").collect()}
+    assert log == {("emoji", "a", "x"): (2, 1), ("emoji", "a", "y"): (1, 1), ("emoji", None, "x"): (1, 1)}

@@ -50,10 +50,30 @@ FRENCH_STOPWORDS = (
     "je", "j", "tu", "il", "elle", "nous", "vous", "ils", "elles", "on", "me", "moi", "te", "toi", "se", "mon", "ma", "mes", "ton", "ta", "tes", "son", "sa", "ses", "notre", "nos", "votre", "vos", "leur", "leurs",
     "le", "la", "les", "un", "une", "des", "du", "au", "aux", "de", "à", "en", "dans", "sur", "avec", "pour", "par", "sans", "chez", "et", "ou", "mais", "donc", "or", "ni", "car", "que", "qui", "quand", "lorsque", "comme", "puisque",
     "quoique", "quoi", "si", "afin", "bien", "pendant", "avant", "après", "depuis", "jusqu", "malgré", "chaque", "tous", "toutes", "tout", "toute", "ce", "cet", "cette", "ces", "autre", "autres", "même", "mêmes", "cela", "ceci",
-    "celui", "celle", "ceux", "celles", "m", "n", "s", "t", "quelqu", "aujourd", "hui", "pa", "être", "avoir", "suis", "es", "est", "sommes", "êtes", "sont", "étais", "était", "étions", "étiez", "étaient", "ai", "as", "a", "avons", "avez",
-    "ont", "avais", "avait", "avions", "aviez", "avaient", "été", "eu",
+    "celui", "celle", "ceux", "celles", "m", "n", "s", "t", "quelqu", "aujourd", "hui", "pa", "être", "avoir", "suis", "es", "est", "sommes", "êtes", "sont", "étais", "était", "étions", "étiez", "étaient",
+    "serai", "seras", "sera", "serons", "serez", "seront", "serais", "serait", "serions", "seriez", "seraient", "sois", "soit", "soyons", "soyez", "soient", "ai", "as", "a", "avons", "avez", "ont", "avais", "avait", "avions", "aviez", "avaient",
+    "aurai", "auras", "aura", "aurons", "aurez", "auront", "aurais", "aurait", "aurions", "auriez", "auraient", "aie", "aies", "ait", "ayons", "ayez", "aient", "été", "eu",
 )
-FRENCH_KEPT = ("ne", "pas", "rien", "personne", "jamais", "plus", "toujours", "parfois", "tellement", "trop")
+FRENCH_KEPT = (
+    "ne", "pas", "rien", "personne", "jamais", "plus", "toujours", "parfois", "tellement", "trop", "dépression", "pensées", "vide", "douleur", "désespoir", "espoir", "suicidaires", "lumière", "obscurité", "âme", "résilience", "guérison",
+)
+#: What word clouds leave out besides: French words, and English ones.
+FRENCH_CLOUD = (
+    "ne", "pas", "rien", "personne", "jamais", "très", "trop", "toujours", "parfois", "tellement", "plus", "bien", "vraiment", "encore", "déjà", "assez", "peu", "beaucoup", "moins", "autant",
+)
+ENGLISH_CLOUD = ("just", "get", "got", "go", "know", "want", "make", "thing", "time", "day", "way", "say", "come", "look", "one")
+#: French emoticons, letter case aside: each pattern counts by itself.
+FRENCH_EMOTICONS = (r":\)|:-\)|:\]|=\]|=\)", r":\(|:-\(|:\[|=\[|=\(", r":D|:-D|=D", r";\)|;-\)", r":P|:-P|=P", r":o|:-o|:O|:-O", r":/|:-/", r":'\(", r"<3")
+
+#: Suffix rules of lemmas, the longest that fits first, and the letters that must stay before it; irregular forms come before any
+#: rule. Own choices, and parameters of ``text.lemma``.
+ENGLISH_LEMMAS = (("ational", "ate"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("sses", "ss"), ("ying", "y"), ("ies", "y"), ("ied", "y"), ("xes", "x"), ("ches", "ch"), ("shes", "sh"), ("ing", ""), ("ed", ""), ("ss", "ss"), ("us", "us"), ("is", "is"), ("s", ""))
+ENGLISH_IRREGULAR = {
+    "was": "be", "were": "be", "is": "be", "are": "be", "am": "be", "been": "be", "has": "have", "had": "have", "did": "do", "does": "do", "done": "do", "went": "go", "gone": "go", "said": "say", "made": "make", "felt": "feel", "thought": "think",
+    "men": "man", "women": "woman", "children": "child", "people": "person", "feet": "foot", "better": "good", "best": "good", "worse": "bad", "worst": "bad", "this": "this", "his": "his", "nothing": "nothing", "thing": "thing",
+}
+FRENCH_LEMMAS = (("issements", "issement"), ("euses", "eux"), ("euse", "eux"), ("trices", "teur"), ("trice", "teur"), ("aient", "er"), ("eaux", "eau"), ("aux", "al"), ("ées", "er"), ("és", "er"), ("ée", "er"), ("é", "er"), ("ait", "er"), ("ais", "er"), ("ant", "er"), ("ez", "er"), ("s", ""))
+FRENCH_IRREGULAR = {"suis": "être", "est": "être", "sont": "être", "était": "être", "été": "être", "ai": "avoir", "a": "avoir", "ont": "avoir", "avait": "avoir", "eu": "avoir", "vais": "aller", "va": "aller", "vont": "aller", "fait": "faire", "font": "faire", "pas": "pas", "plus": "plus", "sans": "sans", "temps": "temps", "dans": "dans", "jamais": "jamais", "mais": "mais"}
 
 #: Arabic: umbrella classes by the first pattern that a normalised label matches, in this order.
 UMBRELLAS = (
@@ -70,4 +90,35 @@ DOCTOR_WORDS = "تشخيص|شخص|ما رايكم|ما رأيكم|رايكم|د
 PATIENT_WORDS = "اشعر|اعاني|احس|اخاف|افكر|لا استطيع|لااستطيع|انا|عندي|لدي|ينتابني|اصبت|اعيش|اكره|احب|انام|اخشى"
 ARABIC_PREFIXES = ("وال", "بال", "كال", "فال", "لل", "ال", "و", "ف", "ب", "ك", "ل")
 ARABIC_SUFFIXES = ("كما", "هما", "كم", "كن", "نا", "ها", "هم", "هن", "ات", "ون", "ين", "ان", "ه", "ي")
-ARABIC_STOPWORDS = ("في", "من", "علي", "الي", "عن", "ما", "هذا", "هذه", "هو", "هي", "انا", "كان", "قد", "ثم", "او", "مع", "عند", "بعد", "كل", "لي", "عندي", "الذي", "التي", "هل", "جدا")
+#: Words that keep their article; words before which "and" and "so" are cut off; negations, which are no stopwords.
+ARABIC_WITH_ARTICLE = ("الله", "الهي", "الهيه", "الرحمن", "الرحيم", "الان", "الانسان", "الناس", "الذي", "التي", "الذين", "اللاتي", "اللاتى", "اللهم", "القران", "الحديث")
+ARABIC_DISCOURSE = (
+    "شكرا", "شكرًا", "الحمد", "الله", "السلام", "عليكم", "رحمه", "رحمة", "بركاته", "جزاكم", "جزاك", "ارجو", "أرجو", "افيدوني", "أفيدوني", "دكتور", "الدكتور", "طبيب", "الطبيب", "سؤالي", "السؤال", "تشخيصكم", "حالتي", "لو", "سمحتم", "خير", "الشكر", "جزيلا",
+)
+ARABIC_NEGATIONS = ("لا", "لم", "لن", "ليس", "ليست", "لست", "لسنا", "بدون", "بلا", "مش", "مو", "مافي", "ما في")
+#: Stopwords as they are written: general ones, those of consultations, of the labels, and of the data.
+ARABIC_GENERAL = (
+    "في", "من", "على", "إلى", "الى", "عن", "ما", "ماذا", "هذا", "هذه", "ذلك", "تلك", "هو", "هي", "هم", "هن", "أنا", "انا", "نحن", "كان", "كانت", "يكون", "يمكن", "لقد", "قد", "ثم", "أو", "او", "و", "ف", "ب", "ل", "ك", "مع", "عند", "بعد", "قبل", "كل",
+    "أي", "اي", "أحد", "احد", "هناك", "هنا", "لكن", "ولكن", "لأن", "لان", "إن", "ان", "إذا", "اذا", "حتى", "حتي", "بين", "أكثر", "اكثر", "أقل", "اقل", "أيضًا", "ايضا", "أحيانًا", "احيانا", "ولا", "لا", "لم", "لن", "لي", "لدي", "عندي", "عنده", "عندها",
+    "الذي", "التي", "الذين", "اللاتي", "اللاتى", "شيء", "بعض", "أمر", "أمور", "كنت", "وأنا", "وانا", "أنني", "انني", "أنها", "انها", "أنه", "انه", "اني", "هل", "عندما", "منذ", "الآن", "الان", "الا", "إلا", "حول", "حيث", "بسبب", "جدا", "جدًا", "كما", "تم",
+    "علي", "عليه", "عليها", "اشعر", "أشعر", "واشعر", "اعاني", "أعاني", "احس", "أحس", "اريد", "أريد", "استطيع", "أستطيع", "اعرف", "أعرف", "امي", "أمي", "ابي", "أبي", "الي", "وفي", "وهل", "فهل", "وما", "فانا", "بان", "ام", "مره", "غير", "الحاله", "الحالة",
+    "حالتي", "حالاتي", "وعدم", "كثيرا", "سنه", "سنة", "لمده", "مدة", "لله", "ورحمه", "ورحمة", "وقد", "فقد", "وكان", "وكانت", "ايضا", "ايضاً",
+)
+ARABIC_CONSULTATION = (
+    "السلام", "عليكم", "ورحمة", "وبركاته", "جزاكم", "خيرا", "خيرًا", "شكرا", "شكرًا", "أرجو", "ارجو", "افيدوني", "أفيدوني", "سؤالي", "السؤال", "الإجابة", "الاخ", "الأخ", "الاخت", "الأخت", "حفظه", "حفظها", "بارك", "بكم", "نسأل", "تعالى", "وفقكم", "الله",
+    "بسم", "الرحمن", "الرحيم", "وبعد", "الفاضل", "الفاضلة", "كريم", "كريمة", "استشارتي", "استشارة", "جواب", "سؤالك", "رسالتك", "الموقع", "ويب", "اسلام", "إسلام", "المكرم", "المكرمة", "الدكتور", "الدكتورة", "استفسار", "استفساري", "ارجوكم", "لو", "سمحتم",
+    "جزاك", "الرجاء", "أرجوكم", "حضرتك", "ممكن", "ممکن", "طبيب", "الطبيب", "دكتور", "علما", "علماً", "اعلم", "جزيل", "الشكر", "خير", "الجزاء", "صاحب", "الاستشاره", "الاستشارة", "رقم", "الرسول", "صلي", "وسلم", "الحمد",
+)
+ARABIC_LABEL_WORDS = ("الحالات", "النفسيه", "العصبيه", "العصبية", "عموما", "عموماً")
+ARABIC_DATA_WORDS = ("محمد", "عبد", "العليم", "عمري", "العمر", "ابلغ", "اصبحت", "بدات", "بدأت", "ذهبت", "افكر")
+#: Phrases that are no content; a parameter of the phrase filter.
+ARABIC_PHRASES = (
+    "السلام عليكم", "وعليكم السلام", "السلام عليكم ورحمة", "ورحمة الله وبركاته", "بسم الله الرحمن", "بسم الله الرحمن الرحيم", "في البداية أود", "البداية أود أشكركم", "شكرا لكم", "وشكرا لكم", "وشكرا جزيلا لكم", "جزاكم الله خيرا", "جزاكم الله خير",
+    "جزاك الله خيرا", "جزاك الله خير", "جزيل الشكر", "ولكم جزيل الشكر", "جعله ميزان حسناتكم", "وجعله ميزان حسناتكم", "ميزان حسناتكم", "بارك الله فيكم", "عز وجل", "الحمد لله", "والحمد لله", "والله الحمد", "سليمه والحمد لله", "سليمه والله الحمد",
+    "وكانت النتيجه سليمه", "الصلاة وقراءة القران", "قراءة القرآن", "ما تشخيصكم لحالتي", "ماذا تشخصكم لحالتي", "فما تشخيصكم لحالتي", "فما تشخصيكم لحالتي", "أرجو الرد", "أرجو الإفادة", "أفيدوني جزاكم الله", "لو سمحتم", "يا دكتور", "الى طبيب", "الي طبيب",
+    "عمري سنة", "العمر سنة", "شاب بعمر سنة", "فتاة بعمر سنة", "شاب سنة", "فتاه سنة", "بعمر سنة", "نصف حبة", "حبة يوميا", "مرتين يوميا", "مرة يوميا",
+)
+#: Emoticons and punctuation that the Arabic block counts in the text as it is written.
+ARABIC_EMOTICONS = r":-\)|:\)|:-\(|:\(|;-\)|;\)|:D|XD|<3|:'\(|:'\)|:-D"
+ARABIC_EMOJIS = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2700}-\\x{27BF}\\x{24C2}-\\x{1F251}]+"
+ARABIC_PUNCTUATION = "[،؟.!,:؛]"

@@ -156,16 +156,90 @@ def clean_arabic(c: Column) -> Column:
     return normal_arabic(structured_arabic(c))
 
 
+_LETTERS = r"[\x{0600}-\x{06FF}]"
+
+
+def plain_arabic(word: str) -> str:
+    """A word of a list in the shape that ``normal_arabic`` gives words of texts."""
+    word = word.translate(str.maketrans("إأآىة", "اااي" + "ه"))
+    return " ".join(re.sub("[\u0617-\u061A\u064B-\u0652\u0670ـ]", "", word).split())
+
+
 def canonical_arabic(token: Column) -> Column:
-    """A token without doubled-up clitics before its article, and without the article if three letters stay."""
-    t = F.when(token.rlike(r"^لل[\x{0600}-\x{06FF}]{2,}$"), F.concat(F.lit("ال"), F.substr(token, F.lit(3)))).otherwise(token)
-    t = _sub(t, r"^[وفبكل]+(?=ال[\x{0600}-\x{06FF}]{2,}$)", "")
-    return F.when(t.startswith("ال") & (F.length(t) >= 5), F.substr(t, F.lit(3))).otherwise(t)
+    """A token of a normal text without clitics: the article joined to "for" stands alone; one clitic goes before an article, and
+    "and" or "so" before a word of discourse; then the article goes, if three letters stay and the word can do without it."""
+    bases = sorted({plain_arabic(w) for w in L.ARABIC_DISCOURSE})
+    t = F.when(token.rlike(f"^لل{_LETTERS}{{2,}}$"), F.concat(F.lit("ال"), F.substr(token, F.lit(3)))).otherwise(token)
+    rest = F.substr(t, F.lit(2))
+    t = F.when(t.rlike(f"^[وفبكل]ال{_LETTERS}{{2,}}$") | (t.rlike(f"^[وف]{_LETTERS}{{3,}}$") & rest.isin(*bases)), rest).otherwise(t)
+    return F.when(t.startswith("ال") & (F.length(t) >= 5) & ~t.isin(*L.ARABIC_WITH_ARTICLE), F.substr(t, F.lit(3))).otherwise(t)
+
+
+def canonical_word(word: str) -> str:
+    """The same of a word of a list."""
+    t, bases = plain_arabic(word), {plain_arabic(w) for w in L.ARABIC_DISCOURSE}
+    if re.fullmatch("لل[\u0600-\u06FF]{2,}", t):
+        t = "ال" + t[2:]
+    if re.fullmatch("[وفبكل]ال[\u0600-\u06FF]{2,}", t) or (re.fullmatch("[وف][\u0600-\u06FF]{3,}", t) and t[1:] in bases):
+        t = t[1:]
+    return t[2:] if t.startswith("ال") and len(t) >= 5 and t not in L.ARABIC_WITH_ARTICLE else t
+
+
+def arabic_stopwords(keep_negations: bool = True) -> list[str]:
+    """Stopwords in the shape of tokens, in order; negations turn a meaning around and are left out of them."""
+    words = {canonical_word(w) for w in (*L.ARABIC_GENERAL, *L.ARABIC_CONSULTATION, *L.ARABIC_LABEL_WORDS, *L.ARABIC_DATA_WORDS)}
+    return sorted(words - ({plain_arabic(w) for w in L.ARABIC_NEGATIONS} if keep_negations else set()))
+
+
+def _canonical_words(c: Column) -> Column:
+    return F.transform(F.regexp_extract_all(clean_arabic(c), F.lit("([ء-ي]+)"), F.lit(1)), canonical_arabic)
 
 
 def arabic_tokens(c: Column) -> Column:
-    found = F.regexp_extract_all(clean_arabic(c), F.lit("([ء-ي]+)"), F.lit(1))
-    return F.filter(F.transform(found, canonical_arabic), lambda t: (F.length(t) >= 2) & ~t.isin(*L.ARABIC_STOPWORDS))
+    stop = arabic_stopwords()
+    return F.filter(_canonical_words(c), lambda t: (F.length(t) >= 2) & ~t.isin(*stop))
+
+
+def arabic_phrase(c: Column) -> Column:
+    """The canonical words of a phrase, stopwords too, as phrases are compared."""
+    return F.array_join(_canonical_words(c), " ")
+
+
+def arabic_ngrams(tokens: Column, n: int, phrases=L.ARABIC_PHRASES) -> Column:
+    """n-grams of tokens without the phrases that are no content and those of which all words but one are stopwords."""
+    stop = arabic_stopwords()
+    known = sorted({" ".join(canonical_word(w) for w in plain_arabic(p).split()) for p in phrases})
+    again = lambda g: F.transform(F.split(g, " "), canonical_arabic)
+    hits = lambda g: F.size(F.filter(again(g), lambda w: w.isin(*stop)))
+    return F.filter(ngrams(tokens, n), lambda g: ~F.array_join(again(g), " ").isin(*known) & ((F.lit(n) < 2) | (hits(g) < n - 1)))
+
+
+def lemma(token: Column, rules=L.ENGLISH_LEMMAS, irregular=L.ENGLISH_IRREGULAR, least: int = 3) -> Column:
+    """A lower-case word's lemma: an irregular form by name, else by the longest suffix rule that leaves ``least`` letters."""
+    out = F.when(token.isin(*irregular), F.create_map(*[F.lit(v) for pair in irregular.items() for v in pair])[token])
+    for suffix, by in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+        out = out.when(token.endswith(suffix) & (F.length(token) >= len(suffix) + least), F.concat(F.substr(token, F.lit(1), F.length(token) - len(suffix)), F.lit(by)))
+    return out.otherwise(token)
+
+
+def french_lemma(token: Column) -> Column:
+    return lemma(token, L.FRENCH_LEMMAS, L.FRENCH_IRREGULAR)
+
+
+def emoticons_found(c: Column) -> Column:
+    """All matches of each pattern, one pattern after the other: what several patterns match is there several times."""
+    one = lambda p: F.regexp_extract_all(c, F.lit(rf"(?i)(?<![{Letter}])(?:{p})(?![{Letter}])"), F.lit(0))
+    return F.concat(*[one(p) for p in L.EMOTICONS], F.regexp_extract_all(c, F.lit(L.SHRUG), F.lit(0)))
+
+
+def french_emoticons(c: Column) -> Column:
+    """How many emoticons of the French patterns, each pattern by itself, letter case aside."""
+    return sum((F.regexp_count(c, F.lit(f"(?i){p}")) for p in L.FRENCH_EMOTICONS[1:]), F.regexp_count(c, F.lit(f"(?i){L.FRENCH_EMOTICONS[0]}")))
+
+
+def file_name(label: str) -> str:
+    """A label as a file name, without the signs that file systems do not take."""
+    return re.sub(r'[\\/*?"<>|]+', "_", label).strip()
 
 
 def clean_label(c: Column) -> Column:

@@ -32,10 +32,16 @@ def drop_invalid(df: DataFrame, column: str) -> DataFrame:
     return df.where(T.is_valid(F.col(column)))
 
 
+def _digest(column: str):
+    """What stands for a value when values are compared: long texts are no shuffle keys. Null is a value of its own."""
+    return F.coalesce(F.sha2(F.col(column).cast("string"), 256), F.lit("null"))
+
+
 def first_of_each(df: DataFrame, by: str, order: str) -> DataFrame:
-    """One row a value of ``by``, the first in ``order``: by partial aggregation, so copies never meet in one task."""
-    first = df.groupBy(by).agg(F.min(order).alias(order))
-    return df.join(first, [by, order], "left_semi")
+    """One row a value of ``by``, the first in ``order``: by partial aggregation, so copies never meet in one task. Values are
+    equal if their SHA-256 is, nulls too."""
+    keyed = df.withColumn("_d", _digest(by))
+    return keyed.join(keyed.groupBy("_d").agg(F.min(order).alias(order)), ["_d", order], "left_semi").drop("_d")
 
 
 def large_classes(df: DataFrame, label: str, least: int) -> DataFrame:
@@ -48,9 +54,11 @@ def keyword(df: DataFrame, label: str, value: str, word: str, column: str = "tex
 
 
 def duplicate_flags(df: DataFrame, column: str, flag: str) -> DataFrame:
-    """Marks every row whose value occurs more than once: counts are pre-aggregated, then joined."""
-    counts = df.groupBy(column).count().where("count > 1").select(F.col(column).alias("_v"), F.lit(True).alias(flag))
-    return df.join(counts, F.col(column) == F.col("_v"), "left").drop("_v").fillna(False, [flag])
+    """Marks every row whose value occurs more than once, by SHA-256; counts are pre-aggregated and only values that repeat are
+    joined. A null is not marked."""
+    keyed = df.withColumn("_d", F.sha2(F.col(column).cast("string"), 256))
+    counts = keyed.where("_d IS NOT NULL").groupBy("_d").count().where("count > 1").select("_d", F.lit(True).alias(flag))
+    return keyed.join(counts, "_d", "left").drop("_d").fillna(False, [flag])
 
 
 def row_audit(df: DataFrame, text: str, kept) -> DataFrame:

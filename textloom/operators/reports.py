@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grids import scored
+
 #: A symbol: neither letter, digit, underscore nor blank.
 SYMBOL = r"([^\p{L}\p{N}_\s])"
 
@@ -61,3 +63,25 @@ def ranked_by_mean(df: DataFrame, by: str, score: str) -> DataFrame:
     """(by, mean, place): 1 for the highest mean, ties by name. A row a class, so one task orders them."""
     means = df.groupBy(by).agg(F.round(F.avg(score), 4).alias("mean"))
     return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), by)))
+
+
+def model_comparison(pred: DataFrame) -> DataFrame:
+    """(model, train_accuracy, train_macro_f1, test_accuracy, test_macro_f1, gap, rank) of predictions (model, split, actual,
+    predicted): a row a model, the best on test first; gap is how much macro F1 falls from train to test."""
+    s = scored(pred, ["model", "split"])
+    of = lambda split, c: F.max(F.when(F.col("split") == split, F.col(c)))
+    wide = s.groupBy("model").agg(*[of(x, c).alias(f"{x}_{c}") for x in ("train", "test") for c in ("accuracy", "macro_f1")])
+    wide = wide.withColumn("gap", F.round(F.col("train_macro_f1") - F.col("test_macro_f1"), 6))
+    return wide.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("test_macro_f1"), F.desc("test_accuracy"), "model")))
+
+
+def significance(*rows: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(test, about, statistic, n, p, significant, effect, size) of several tests' rows (test, about, statistic, n, p, effect), with
+    the usual names of effects: of a rank correlation from 0.3 and 0.5, of eta squared from 0.06 and 0.14."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    size = F.abs("effect")
+    low, high = F.when(F.col("test") == "kruskal_wallis", 0.06).otherwise(0.3), F.when(F.col("test") == "kruskal_wallis", 0.14).otherwise(0.5)
+    named = F.when(size >= high, "large").when(size >= low, "medium").when(size.isNotNull(), "small")
+    return out.withColumn("significant", F.coalesce(F.col("p") < alpha, F.lit(False))).withColumn("size", named)

@@ -10,8 +10,28 @@ def turn(key: str, seed: int):
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
-def numbered(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    return df.withColumn("at", F.row_number().over(Window.partitionBy(label).orderBy(turn(key, seed), key)))
+#: Hexadecimal digits of a turn that name its range: a class is ranked in 16 ** RANGE_DIGITS ranges of about equal size.
+RANGE_DIGITS = 3
+
+
+def numbered(df: DataFrame, key: str, seed: int, *label: str) -> DataFrame:
+    """df with ``at``, from 1 in the order of the seeded turns within each class of ``label``, and ``n``, the size of the class.
+
+    Turns are hashes, so their first digits cut a class into even ranges. The ranges' counts give where each starts, and rows
+    are ranked inside their range: no task holds a class, however large. A null label is a class too.
+    """
+    rows = df.withColumn("_turn", turn(key, seed)).withColumn("_range", F.substring("_turn", 1, RANGE_DIGITS))
+    counts = rows.groupBy(*label, "_range").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*label)
+    starts = counts.select(
+        *[F.col(c).alias(f"_{c}_") for c in label], F.col("_range").alias("_r"), (F.sum("_c").over(whole.orderBy("_range")) - F.col("_c")).alias("_start"), F.sum("_c").over(whole).alias("n")
+    )
+    inside = F.row_number().over(Window.partitionBy(*label, "_range").orderBy("_turn", key))
+    same = F.col("_range") == F.col("_r")
+    for c in label:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_"))
+    out = rows.withColumn("_i", inside).join(starts, same)
+    return out.withColumn("at", F.col("_start") + F.col("_i")).drop("_turn", "_range", "_i", "_r", "_start", *[f"_{c}_" for c in label])
 
 
 def balanced(df: DataFrame, label: str, key: str, seed: int = 42, n: int | None = None) -> DataFrame:
@@ -23,7 +43,7 @@ def balanced(df: DataFrame, label: str, key: str, seed: int = 42, n: int | None
         if sizes.where(F.col("count") < n).limit(1).count():
             raise ValueError(f"a class has fewer than {n} rows")
         limit = df.sparkSession.range(1).select(F.lit(n).alias("_n"))
-    return numbered(df, label, key, seed).crossJoin(F.broadcast(limit)).where("at <= _n").drop("at", "_n")
+    return numbered(df, key, seed, label).crossJoin(F.broadcast(limit)).where("at <= _n").drop("at", "n", "_n")
 
 
 def allocation(df: DataFrame, label: str, part: str, n: int) -> DataFrame:
@@ -38,14 +58,13 @@ def allocation(df: DataFrame, label: str, part: str, n: int) -> DataFrame:
 
 def balanced_by_part(df: DataFrame, label: str, part: str, key: str, n: int, seed: int = 42) -> DataFrame:
     plan = allocation(df, label, part, n).select(F.col(label).alias("_l"), F.col(part).alias("_p"), "sampled")
-    rows = df.withColumn("at", F.row_number().over(Window.partitionBy(label, part).orderBy(turn(key, seed), key)))
+    rows = numbered(df, key, seed, label, part).drop("n")
     return rows.join(F.broadcast(plan), F.col(label).eqNullSafe(F.col("_l")) & F.col(part).eqNullSafe(F.col("_p"))).where("at <= sampled").drop("at", "_l", "_p", "sampled")
 
 
 def three_way(df: DataFrame, label: str, key: str, train: float = 0.70, val: float = 0.15, seed: int = 42) -> DataFrame:
     """train, val and test of each class: halves round to even, and no part of a class of three or more is empty."""
-    n = F.count("*").over(Window.partitionBy(label))
-    d = numbered(df, label, key, seed).withColumn("n", n)
+    d = numbered(df, key, seed, label)
     d = d.withColumn("nt", F.greatest(F.lit(1), F.bround(F.col("n") * train).cast("int"))).withColumn("nv", F.greatest(F.lit(1), F.bround(F.col("n") * val).cast("int")))
     d = d.withColumn("nt", F.when(F.col("nt") + F.col("nv") >= F.col("n"), F.greatest(F.lit(1), F.col("n") - F.col("nv") - 1)).otherwise(F.col("nt")))
     return d.withColumn("split", F.when(F.col("at") <= F.col("nt"), "train").when(F.col("at") <= F.col("nt") + F.col("nv"), "val").otherwise("test")).drop("at", "n", "nt", "nv")
@@ -53,12 +72,12 @@ def three_way(df: DataFrame, label: str, key: str, train: float = 0.70, val: flo
 
 def two_way(df: DataFrame, label: str, key: str, train: float = 0.80, seed: int = 42) -> DataFrame:
     """train and test of each class; halves round to even."""
-    d = numbered(df, label, key, seed).withColumn("n", F.count("*").over(Window.partitionBy(label)))
+    d = numbered(df, key, seed, label)
     return d.withColumn("split", F.when(F.col("at") <= F.bround(F.col("n") * train), "train").otherwise("test")).drop("at", "n")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    return numbered(df, label, key, seed).withColumn("fold", ((F.col("at") - 1) % k).cast("int")).drop("at")
+    return numbered(df, key, seed, label).withColumn("fold", ((F.col("at") - 1) % k).cast("int")).drop("at", "n")
 
 
 def encoded(df: DataFrame, label: str) -> DataFrame:

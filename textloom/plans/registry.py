@@ -6,7 +6,7 @@ nulls), added alike in both engines; lang is the label and source the category.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -17,12 +17,14 @@ from ..operators import filters as R
 from ..operators import fitted as B
 from ..operators import grids as G
 from ..operators import models as M
+from ..operators import profiles as O
 from ..operators import reports as P
 from ..operators import sampling as S
+from ..operators import sequence as N
 from ..operators import stats as X
 from ..operators import svm as V
 from ..operators.partial import shared_path
-from ..sources import features, tables
+from ..sources import exports, features, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -971,6 +973,162 @@ def _(s, d):
     return s.createDataFrame(grid, "mode string, whiten boolean, axes int, smoothing double, accuracy double, macro_precision double, macro_recall double, macro_f1 double, place int")
 
 
+# Arabic over whole documents: their letters, one for one, as Arabic ones, so that clitics, articles and negations come up
+
+LATIN, AS_ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابكدأفجهيجكلمنوبقرستوفوةىز"
+
+
+def arabic_posts(s: SparkSession, d: str) -> DataFrame:
+    docs = tables.read_table(s, d, "documents")
+    return docs.select("doc_id", F.col("source").alias("label"), F.coalesce(F.translate(F.regexp_replace(F.lower("text"), "[0-9]", ""), LATIN, AS_ARABIC), F.lit("")).alias("text"))
+
+
+def _in(words) -> str:
+    return "(" + ", ".join(map(_quoted, words)) + ")"
+
+
+_AL = r"[\x{0600}-\x{06FF}]"
+_BASES = _in(sorted({T.plain_arabic(w) for w in L.ARABIC_DISCOURSE}))
+_ASTOP = _in(T.arabic_stopwords())
+_SQUEEZED = f"list_reduce(list_prepend(regexp_replace(t, '<[^>]+>', ' ', 'g'), {sorted(set(AS_ARABIC))}), lambda a, l: regexp_replace(a, l || '{{3,}}', l || l, 'g'))"
+
+
+def _sql_canonical(words: str) -> str:
+    one = f"list_transform({words}, lambda w: CASE WHEN regexp_matches(w, '^لل{_AL}{{2,}}$') THEN 'ال' || w[3:] ELSE w END)"
+    two = f"list_transform({one}, lambda w: CASE WHEN regexp_matches(w, '^[وفبكل]ال{_AL}{{2,}}$') OR (regexp_matches(w, '^[وف]{_AL}{{3,}}$') AND w[2:] IN {_BASES}) THEN w[2:] ELSE w END)"
+    return f"list_transform({two}, lambda w: CASE WHEN starts_with(w, 'ال') AND length(w) >= 5 AND w NOT IN {_in(L.ARABIC_WITH_ARTICLE)} THEN w[3:] ELSE w END)"
+
+
+_AR = f"""ar AS (SELECT doc_id, source, coalesce(translate(regexp_replace(lower(text), '[0-9]', '', 'g'), '{LATIN}', '{AS_ARABIC}'), '') AS t FROM documents), ac AS (SELECT *, {_sql_normal(_SQUEEZED)} AS clean FROM ar),
+aw AS (SELECT *, {_sql_canonical("regexp_extract_all(clean, '[ء-ي]+')")} AS canon FROM ac), att AS (SELECT *, list_filter(canon, lambda w: length(w) >= 2 AND w NOT IN {_ASTOP}) AS tokens FROM aw)"""
+
+
+@query("a8_arabic_tokens", f"WITH {_AR} SELECT doc_id, clean AS cleaned, array_to_string(canon, ' ') AS phrase, array_to_string(tokens, ' ') AS tokens FROM att")
+def _(s, d):
+    """Cleaning, clitics, articles, stopwords without negations, and the phrase that keeps them."""
+    c = F.col("text")
+    return arabic_posts(s, d).select("doc_id", T.clean_arabic(c).alias("cleaned"), T.arabic_phrase(c).alias("phrase"), F.array_join(T.arabic_tokens(c), " ").alias("tokens"))
+
+
+def _sql_grams(n: int) -> str:
+    words = [f"ag[i + {k}]" if k else "ag[i]" for k in range(n)]
+    known = _in(sorted({" ".join(T.canonical_word(w) for w in T.plain_arabic(p).split()) for p in L.ARABIC_PHRASES}))
+    return f"len(list_filter(range(1, len(ag) - {n - 2}), lambda i: {' || chr(32) || '.join(words)} NOT IN {known} AND {' + '.join(f'({w} IN {_ASTOP})::INT' for w in words)} < {n - 1}))"
+
+
+@query("p11_arabic_block", f"""WITH {_AR}, g AS (SELECT *, {_sql_canonical("tokens")} AS ag, array_to_string(tokens, ' ') AS words FROM att) SELECT doc_id, len(tokens)::INT AS token_count_clean, len(tokens) <= 2 AS is_very_short_clean, {_sql_grams(2)}::INT AS n_bigrams, {_sql_grams(3)}::INT AS n_trigrams,
+len(regexp_extract_all(t, '\\S+'))::INT AS word_count, length(t)::INT AS char_count, len(regexp_extract_all(t, '{L.ARABIC_PUNCTUATION}'))::INT AS punct_count, len(regexp_extract_all(t, '{L.ARABIC_EMOJIS}'))::INT AS emoji_count, len(regexp_extract_all(t, {_quoted(L.ARABIC_EMOTICONS)}))::INT AS emoticon_count,
+count(*) OVER (PARTITION BY clean) > 1 AS is_duplicate_clean, count(*) OVER (PARTITION BY words) > 1 AS is_duplicate_analysis_text FROM g""")
+def _(s, d):
+    out = O.arabic_features(arabic_posts(s, d))
+    return out.select(
+        "doc_id", "token_count_clean", "is_very_short_clean", F.size("bigrams").alias("n_bigrams"), F.size("trigrams").alias("n_trigrams"), "word_count", "char_count", "punct_count", "emoji_count", "emoticon_count", "is_duplicate_clean", "is_duplicate_analysis_text"
+    )
+
+
+def _sql_stem(w: str) -> str:
+    cut = lambda x, test, size, by: f"CASE {' '.join(f'WHEN {test(p)} AND length({x}) >= {len(p) + 3} THEN {by(p)}' for p in size)} ELSE {x} END"
+    head = cut(w, lambda p: f"starts_with({w}, '{p}')", L.ARABIC_PREFIXES, lambda p: f"{w}[{len(p) + 1}:]")
+    return f"list_transform(list_transform(tokens, lambda {w}: {head}), lambda z: {cut('z', lambda p: f'ends_with(z, {_quoted(p)})', L.ARABIC_SUFFIXES, lambda p: f'z[1:length(z) - {len(p)}]')})"
+
+
+@query("a14_stems", f"WITH {_AR}, s AS (SELECT unnest(tokens) AS word, unnest({_sql_stem('w')}) AS stem FROM att) SELECT stem, count(*) AS n, count(DISTINCT word) AS forms, row_number() OVER (ORDER BY count(*) DESC, stem) AS rank FROM s GROUP BY stem QUALIFY rank <= 50")
+def _(s, d):
+    """The 50 most frequent stems, with how many words each stands for."""
+    words = arabic_posts(s, d).select(F.explode(T.arabic_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    stems = words.withColumn("stem", T.stemmed_arabic(F.col("word"))).groupBy("stem").agg(F.sum("c").alias("n"), F.count("*").alias("forms"))
+    top = stems.orderBy(F.desc("n"), "stem").limit(50)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "stem")).cast("long"))
+
+
+# French features and averages, lemmas, words of clouds, emoticons
+
+_FEATURES = f"""ff AS (SELECT doc_id, category, text, {_FRENCH} AS c FROM posts WHERE label = 'fr' AND text IS NOT NULL), fb AS (SELECT doc_id, category, length(c)::INT AS char_count, len(regexp_extract_all(c, '\\S+'))::INT AS text_length, length(c) - length(replace(c, '?', '')) AS question_count,
+length(c) - length(replace(c, '!', '')) AS exclamation_count, (length(c) - length(replace(c, '...', ''))) // 3 AS ellipsis_count, len(regexp_extract_all(lower(text), '#([{_LET}]+)'))::INT AS n_hashtags, len(regexp_extract_all(text, '{_RANGE}'))::INT AS emoji_count, len(regexp_extract_all(c, '{_RANGE}'))::INT AS emoji_count_after,
+({' + '.join(f"len(regexp_extract_all(text, {_quoted('(?i)' + p)}))" for p in L.FRENCH_EMOTICONS)})::INT AS emoticon_count, array_to_string(list_filter(regexp_extract_all(lower(c), '\\p{{L}}+'), lambda x: x NOT IN {_FSTOP}), ' ') AS text_nostop FROM ff)"""
+
+
+def french_posts(s: SparkSession, d: str) -> DataFrame:
+    return O.french_features(posts(s, d).where("label = 'fr' AND text IS NOT NULL"))
+
+
+@query("p9_french_features", f"WITH {POSTS}, {_FEATURES} SELECT * EXCLUDE (category), question_count + exclamation_count + ellipsis_count AS punct_count FROM fb")
+def _(s, d):
+    columns = ("char_count", "text_length", "question_count", "exclamation_count", "ellipsis_count", "emoji_count", "emoji_count_after", "emoticon_count", "text_nostop", "punct_count")
+    return french_posts(s, d).select("doc_id", F.size("hashtags").alias("n_hashtags"), *columns)
+
+
+@query("g15_averages", f"WITH {POSTS}, {_FEATURES}, m AS (SELECT category, round(avg(emoji_count), 6) AS emoji_count, round(avg(emoticon_count), 6) AS emoticon_count FROM fb GROUP BY 1), u AS (SELECT category, 'emoji_count' AS feature, emoji_count AS mean FROM m UNION ALL SELECT category, 'emoticon_count', emoticon_count FROM m) SELECT *, row_number() OVER (PARTITION BY feature ORDER BY mean DESC, category)::INT AS rank FROM u")
+def _(s, d):
+    return O.averages(french_posts(s, d), "category", "emoji_count", "emoticon_count")
+
+
+def _sql_lemma(words: str, rules, irregular) -> str:
+    known = " ".join(f"WHEN w = {_quoted(a)} THEN {_quoted(b)}" for a, b in irregular.items())
+    rest = " ".join(f"WHEN ends_with(w, {_quoted(a)}) AND length(w) >= {len(a) + 3} THEN w[1:length(w) - {len(a)}] || {_quoted(b)}" for a, b in sorted(rules, key=lambda r: (-len(r[0]), r[0])))
+    return f"list_transform({words}, lambda w: CASE {known} {rest} ELSE w END)"
+
+
+_ESTOP = _in(sorted((set(L.ENGLISH_STOPWORDS) | set(L.ENGLISH_NOISE)) - set(L.ENGLISH_KEPT)))
+
+
+@query("e12_lemmas", f"WITH {TOKENS} SELECT doc_id, array_to_string({_sql_lemma(f'list_filter(w, lambda x: x NOT IN {_ESTOP})', L.ENGLISH_LEMMAS, L.ENGLISH_IRREGULAR)}, ' ') AS lemmas FROM tk WHERE label = 'en'")
+def _(s, d):
+    docs = tables.read_table(s, d, "documents").where("lang = 'en'")
+    return docs.select("doc_id", F.array_join(F.transform(T.english_tokens(F.col("text")), lambda w: T.lemma(w)), " ").alias("lemmas"))
+
+
+@query("r8_lemmas", f"WITH {TOKENS} SELECT doc_id, array_to_string(list_filter({_sql_lemma('w', L.FRENCH_LEMMAS, L.FRENCH_IRREGULAR)}, lambda x: x NOT IN {_FSTOP}), ' ') AS lemmas FROM tk WHERE label = 'fr'")
+def _(s, d):
+    """Lemmas first, then stopwords, as the French chain has it."""
+    docs = tables.read_table(s, d, "documents").where("lang = 'fr'")
+    stop = sorted(set(L.FRENCH_STOPWORDS) - set(L.FRENCH_KEPT))
+    return docs.select("doc_id", F.array_join(T.without(F.transform(T.words(F.col("text")), T.french_lemma), stop), " ").alias("lemmas"))
+
+
+_CLOUD = {"en": sorted((set(L.ENGLISH_STOPWORDS) | set(L.ENGLISH_NOISE) | set(L.ENGLISH_CLOUD))), "fr": sorted(set(L.FRENCH_STOPWORDS) | set(L.FRENCH_CLOUD))}
+
+
+@query("r10_cloud_words", f"WITH {TOKENS}, n AS (SELECT label, term, count(*) AS n FROM ex WHERE (label = 'en' AND term NOT IN {_in(_CLOUD['en'])}) OR (label = 'fr' AND term NOT IN {_in(_CLOUD['fr'])}) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, term) AS rank FROM n QUALIFY rank <= 30")
+def _(s, d):
+    """The words of each label's cloud: discourse words and what only looks frequent go too."""
+    t = tokens(s, d).where("label IN ('en', 'fr')").select("label", F.explode("tokens").alias("term"))
+    for label, words in _CLOUD.items():
+        t = t.where((F.col("label") != label) | ~F.col("term").isin(*words))
+    return R.ranked(t.groupBy("label", "term").agg(F.count("*").alias("n")), 30, ["label"], F.desc("n"), "term")
+
+
+@query("p4_emoticons")
+def _(s, d):
+    """Every emoticon of a post, pattern after pattern."""
+    found = posts(s, d).where("text IS NOT NULL").withColumn("found", T.emoticons_found(F.col("text")))
+    return found.select("doc_id", F.size("found").alias("n_emoticons"), F.array_join("found", " ").alias("emoticons"))
+
+
+# Sequences: a convolutional classifier of whole texts, stopped by the val split
+
+def sequence_splits(s: SparkSession, d: str) -> list[DataFrame]:
+    """Toxic and other documents as (id, tokens, label), in train, val and test."""
+    labels = tables.read_table(s, d, "labels").select("doc_id", F.col("toxic").cast("string").alias("label")).where("label IS NOT NULL")
+    docs = tables.read_table(s, d, "documents").select("doc_id", T.words(F.coalesce(F.lower("text"), F.lit(""))).alias("tokens"))
+    rows = docs.join(S.three_way(labels, "label", "doc_id").select("doc_id", "label", "split"), "doc_id").withColumnRenamed("doc_id", "id")
+    return [rows.where(F.col("split") == x).select("id", "tokens", "label") for x in ("train", "val", "test")]
+
+
+@query("c5_sequence")
+def _(s, d):
+    train, val, test = sequence_splits(s, d)
+    return N.fit(train, val, epochs=15).predict(test).select("id", "predicted", F.round("confidence", 4).alias("confidence"))
+
+
+@query("c6_sequence_history")
+def _(s, d):
+    """Losses of each pass, and where training would stop and which pass is the best, by the same rule as for any history."""
+    train, val, _ = sequence_splits(s, d)
+    history = s.createDataFrame(N.fit(train, val, epochs=15).history, "epoch int, train_loss double, val_loss double, val_accuracy double").withColumn("run", F.lit("cnn"))
+    return history.join(F.broadcast(M.best_epochs(history, "run", "epoch", "val_loss", N.PATIENCE)), "run")
+
+
 # Feature stores, tables side by side, and tables of scores with blanks
 
 @query("sc8_grouped_fill", "WITH r AS (SELECT doc_id, n_chars, source, CASE WHEN doc_id % 4 = 0 THEN lang END AS model, CASE WHEN doc_id % 8 = 4 THEN source END AS split FROM documents) SELECT doc_id, last_value(model IGNORE NULLS) OVER o AS model, last_value(split IGNORE NULLS) OVER o AS split, n_chars::DOUBLE AS score FROM r WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY source IS NOT NULL")
@@ -1081,3 +1239,50 @@ def _(s, d):
 def _(s, d):
     terms = tokens(s, d).select(F.explode("tokens").alias("term")).distinct()
     return tables.numbered(terms, "term").select("term", (F.col("record_id") - 1).alias("place"))
+
+
+# What a run leaves: the data set for models, logs, comparisons and the report of all tests
+
+@query("sk3_modelling_rows", f"WITH {_AR}, {CONSULTED}, m AS (SELECT row_number() OVER (ORDER BY doc_id) AS record_id, {_UMBRELLA} AS umbrella, {_LABEL} AS label_clean, {_sql_normal(_LABEL)} AS label_normalized, clean AS clean_text, array_to_string(tokens, ' ') AS analysis_text FROM att JOIN c USING (doc_id)) SELECT * FROM m WHERE trim(analysis_text) <> ''")
+def _(s, d):
+    """Written as the data set of a modelling run, with its classes beside it, and read back."""
+    rows = O.arabic_features(arabic_posts(s, d)).withColumnRenamed("text", "raw_text").join(consultations(s, d).select("doc_id", "diagnosis"), "doc_id")
+    x = F.col("diagnosis")
+    path = shared_path(s, "modelling")
+    exports.export_modelling(rows.withColumns({"umbrella": T.umbrella(x), "label_clean": T.clean_label(x), "label_normalized": T.normal_arabic(T.clean_label(x))}), "doc_id", path)
+    return s.read.parquet(f"{path}/rows").drop("raw_text")
+
+
+@query("sk11_found_log", f"WITH {POSTS}, g AS (SELECT doc_id, label, 'emoji' AS kind, unnest(regexp_extract_all(text, '{_RANGE}')) AS found FROM posts UNION ALL SELECT doc_id, label, 'hashtag', unnest(regexp_extract_all(lower(text), '#([{_LET}]+)', 1)) FROM posts) SELECT kind, label, found, count(*) AS n, count(DISTINCT doc_id) AS posts FROM g GROUP BY ALL")
+def _(s, d):
+    found = posts(s, d).select("label", F.regexp_extract_all("text", F.lit(f"({L.EMOJIS})"), F.lit(1)).alias("emojis"), F.regexp_extract_all(F.lower("text"), F.lit(rf"#([{T.Letter}]+)"), F.lit(1)).alias("hashtags"))
+    return exports.found_log(found, "label", emoji="emojis", hashtag="hashtags")
+
+
+@query("n4_comparison", """WITH b AS (SELECT doc_id, quality::VARCHAR AS actual, n_chars, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM labels JOIN documents USING (doc_id)),
+pr AS (SELECT 'thirds' AS model, split, actual, CASE WHEN n_chars % 3 = 0 THEN '1' ELSE '0' END AS predicted FROM b UNION ALL SELECT 'long', split, actual, CASE WHEN n_chars > 1500 THEN '1' ELSE '0' END FROM b),
+sd AS (SELECT model, split, actual AS label, (actual = predicted)::INT AS tp, 1 AS support, 0 AS claimed FROM pr UNION ALL SELECT model, split, predicted, 0, 0, 1 FROM pr), cl AS (SELECT model, split, label, sum(tp) AS tp, sum(support) AS support, sum(claimed) AS claimed FROM sd GROUP BY ALL),
+m AS (SELECT model, split, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(2 * tp / (support + claimed)), 6) AS macro_f1 FROM cl GROUP BY ALL),
+w AS (SELECT model, max(accuracy) FILTER (split = 'train') AS train_accuracy, max(macro_f1) FILTER (split = 'train') AS train_macro_f1, max(accuracy) FILTER (split = 'test') AS test_accuracy, max(macro_f1) FILTER (split = 'test') AS test_macro_f1 FROM m GROUP BY 1)
+SELECT *, round(train_macro_f1 - test_macro_f1, 6) AS gap, row_number() OVER (ORDER BY test_macro_f1 DESC, test_accuracy DESC, model)::INT AS rank FROM w""")
+def _(s, d):
+    rows = tables.read_table(s, d, "labels").join(tables.read_table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = rows.select(F.col("quality").cast("string").alias("actual"), "n_chars", F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split"))
+    rules = {"thirds": F.col("n_chars") % 3 == 0, "long": F.col("n_chars") > 1500}
+    return P.model_comparison(C.united(*[rows.select(F.lit(m).alias("model"), "split", "actual", F.when(test, "1").otherwise("0").alias("predicted")) for m, test in rules.items()]))
+
+
+def _report_sql() -> str:
+    kinds = (("wilcoxon", "'en-' || other", "w", "effect", "t2_signed_rank"), ("kruskal_wallis", "'label'", "h", "eta2", "t3_kruskal_wallis"), ("friedman", "'label'", "chi2", "NULL::DOUBLE", "t4_friedman"), ("spearman", "'deviation'", "rho", "rho", "t5_spearman"))
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS test, {about} AS about, {stat}::DOUBLE AS statistic, n::BIGINT AS n, p, {effect}::DOUBLE AS effect FROM ({ORACLE_SQL[q]})" for k, about, stat, effect, q in kinds)
+    return f"WITH r AS ({rows}) SELECT *, coalesce(p < 0.05, false) AS significant, CASE WHEN abs(effect) >= CASE WHEN test = 'kruskal_wallis' THEN 0.14 ELSE 0.5 END THEN 'large' WHEN abs(effect) >= CASE WHEN test = 'kruskal_wallis' THEN 0.06 ELSE 0.3 END THEN 'medium' WHEN effect IS NOT NULL THEN 'small' END AS size FROM r"
+
+
+@query("t8_report", _report_sql())
+def _(s, d):
+    """All tests of one table of scores, in one table."""
+    row = lambda q, kind, about, stat, effect: QUERIES[q](s, d).select(F.lit(kind).alias("test"), about.alias("about"), F.col(stat).cast("double").alias("statistic"), F.col("n").cast("long").alias("n"), "p", effect.cast("double").alias("effect"))
+    return P.significance(
+        row("t2_signed_rank", "wilcoxon", F.concat(F.lit("en-"), "other"), "w", F.col("effect")), row("t3_kruskal_wallis", "kruskal_wallis", F.lit("label"), "h", F.col("eta2")),
+        row("t4_friedman", "friedman", F.lit("label"), "chi2", F.lit(None)), row("t5_spearman", "spearman", F.lit("deviation"), "rho", F.col("rho")),
+    )
