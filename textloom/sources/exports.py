@@ -55,13 +55,13 @@ def feature_lines(df: DataFrame, label: str, *columns: str) -> DataFrame:
     """(line_no, line) of a summary: rows and labels, then count, mean, deviation and range of each column, then its mean by label.
     Two passes of aggregation; the lines are made of their few rows."""
     fixed = lambda c, d=2: F.format_string(f"%.{d}f", c)
-    stats = df.agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels"), *[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp), ("lo", F.min), ("hi", F.max))])
-    head = [F.format_string("rows: %d", "n"), F.format_string("labels: %d", "labels")]
+    stats = df.agg(F.count("*").alias("_rows"), F.count_distinct(label).alias("_labels"), *[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp), ("lo", F.min), ("hi", F.max))])
+    head = [F.format_string("rows: %d", "_rows"), F.format_string("labels: %d", "_labels")]
     head += [F.concat(F.lit(f"{c}: count "), F.col(f"n_{c}"), F.lit(", mean "), fixed(F.col(f"m_{c}").cast("double")), F.lit(", std "), F.coalesce(fixed(F.col(f"s_{c}").cast("double")), F.lit("-")), F.lit(", min "), fixed(F.col(f"lo_{c}").cast("double")), F.lit(", max "), fixed(F.col(f"hi_{c}").cast("double"))) for c in columns]
     first = stats.select(F.posexplode(F.array(*head)).alias("at", "line")).select(F.lit(0).alias("part"), F.lit("").alias("of"), "at", "line")
-    means = df.groupBy(F.coalesce(F.col(label).cast("string"), F.lit("null")).alias("of")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns])
-    rows = F.array(F.concat("of", F.lit(": rows "), "n"), *[F.concat("of", F.lit(f": mean {c} "), fixed(F.col(c).cast("double"))) for c in columns])
-    second = means.select(F.lit(1).alias("part"), "of", F.posexplode(rows).alias("at", "line"))
+    means = df.groupBy(F.coalesce(F.col(label).cast("string"), F.lit("null")).alias("_of")).agg(F.count("*").alias("_rows"), *[F.avg(c).alias(c) for c in columns])
+    rows = F.array(F.concat("_of", F.lit(": rows "), "_rows"), *[F.concat("_of", F.lit(f": mean {c} "), fixed(F.col(c).cast("double"))) for c in columns])
+    second = means.select(F.lit(1).alias("part"), F.col("_of").alias("of"), F.posexplode(rows).alias("at", "line"))
     lines = first.unionByName(second)
     return lines.select(F.row_number().over(Window.orderBy("part", "of", "at")).alias("line_no"), "line")
 
