@@ -57,6 +57,20 @@ def test_emoticons(spark):
     assert column(spark, T.french_emoticons, texts) == [count(t) for t in texts]
 
 
+def test_contractions_in_one_pass(spark):
+    """The same as one contraction after the other, the longest first."""
+    r = random.Random(8)
+    words = [*L.CONTRACTIONS, "it's been", "can't", "IT'S", "Gonna", "river", "don", "t", "'", "won't.", "x'll", "(i'm)", "idk,idk"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(9))) for _ in range(400)] + ["", "don't", "can't've", "i'm i'm"]
+
+    def plain(t):
+        for k in sorted(L.CONTRACTIONS, key=lambda k: (-len(k), k)):
+            t = re.sub(rf"\b{re.escape(k)}\b", f" {L.CONTRACTIONS[k]} ", t, flags=re.IGNORECASE)
+        return re.sub(r"\s+", " ", t).strip()
+
+    assert column(spark, T.expanded, texts) == [plain(t) for t in texts]
+
+
 def test_file_names():
     assert T.file_name(' a/b\\c: "x"?? ') == "a_b_c: _x_"
 

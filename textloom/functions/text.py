@@ -60,12 +60,13 @@ def without_emoticons(c: Column) -> Column:
 
 
 def expanded(c: Column) -> Column:
-    """Contractions written out, longest first. Texts without any are passed by one pattern."""
+    """Contractions written out: one pattern finds them all, of those that begin at one place the longest, and what stands
+    between them is put together again with their long forms."""
     keys = sorted(L.CONTRACTIONS, key=lambda k: (-len(k), k))
-    out = c
-    for k in keys:
-        out = _sub(out, rf"(?i)\b{re.escape(k)}\b", f" {L.CONTRACTIONS[k]} ")
-    return F.when(c.rlike(rf"(?i)\b(?:{'|'.join(map(re.escape, keys))})\b"), collapsed(out)).otherwise(collapsed(c))
+    pattern = F.lit(rf"(?i)\b(?:{'|'.join(map(re.escape, keys))})\b")
+    forms = F.create_map(*[F.lit(v) for k in keys for v in (k, f" {L.CONTRACTIONS[k]} ")])
+    pieces = F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, pattern, F.lit(0)), lambda rest, found: F.concat(rest, F.coalesce(forms[F.lower(found)], F.lit(""))))
+    return collapsed(F.array_join(pieces, ""))
 
 
 def urls_replaced(c: Column) -> Column:

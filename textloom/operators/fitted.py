@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import models as M
+from .partial import settled
 
 
 def term_lists(rows: DataFrame, analyzer: str, lo: int, hi: int) -> DataFrame:
@@ -59,12 +60,13 @@ def load(spark: SparkSession, path: str) -> TextModel:
 
 
 def fit(train: DataFrame, analyzer: str = "word", lo: int = 1, hi: int = 2, least: int = 2, most: float = 0.95, features: int | None = 10_000, sublinear: bool = True, alpha: float = 0.1) -> TextModel:
-    """Learns from train (doc_id, text, label) alone: vocabulary, document frequencies, shares of the classes and priors."""
+    """Learns from train (doc_id, text, label) alone: vocabulary, document frequencies, shares of the classes and priors. Each is
+    written to the shared folder once, so predicting reads it."""
     labels = train.select("doc_id", "label")
-    counts = M.term_counts(term_lists(train, analyzer, lo, hi))
-    vocab = M.vocabulary(counts, labels.agg(F.count("*").alias("n")), least, most, features)
+    counts = settled(M.term_counts(term_lists(train, analyzer, lo, hi)), "counts")
+    vocab = settled(M.vocabulary(counts, labels.agg(F.count("*").alias("n")), least, most, features), "vocabulary")
     logp, priors = M.fit_multinomial(M.tfidf(counts, vocab, sublinear), labels, (alpha,))
-    return TextModel(vocab, logp.drop("alpha"), priors, analyzer, lo, hi, sublinear)
+    return TextModel(vocab, settled(logp.drop("alpha"), "weights"), settled(priors, "priors"), analyzer, lo, hi, sublinear)
 
 
 def ranked_grid(pred: DataFrame, by: str) -> DataFrame:

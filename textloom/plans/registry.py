@@ -23,7 +23,7 @@ from ..operators import sampling as S
 from ..operators import sequence as N
 from ..operators import stats as X
 from ..operators import svm as V
-from ..operators.partial import shared_path
+from ..operators.partial import settled, shared_path
 from ..sources import exports, features, tables
 
 QUERIES: dict = {}
@@ -440,17 +440,19 @@ def _(s, d):
 
 # Vectors and models
 
-_TFIDF = TOKENS + ", tf AS (SELECT doc_id, term, count(*) AS tf FROM ex GROUP BY ALL), vo AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= greatest(1, floor((SELECT count(*) FROM documents) * 0.95)) ORDER BY total DESC, term LIMIT 2000), rw AS (SELECT doc_id, term, {tf} * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1) AS v FROM tf JOIN vo USING (term)), ti AS (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS weight FROM rw)"
+#: Words that a vocabulary keeps at most, the most frequent first: the limit that the word models have.
+WORDS_KEPT = 50_000
+_TFIDF = TOKENS + ", tf AS (SELECT doc_id, term, count(*) AS tf FROM ex GROUP BY ALL), vo AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= greatest(1, floor((SELECT count(*) FROM documents) * 0.95)) ORDER BY total DESC, term LIMIT {limit}), rw AS (SELECT doc_id, term, {tf} * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1) AS v FROM tf JOIN vo USING (term)), ti AS (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS weight FROM rw)"
 
 
 def _tfidf(tf: str) -> str:
-    return _TFIDF.replace("{tf}", tf)
+    return _TFIDF.replace("{tf}", tf).replace("{limit}", str(WORDS_KEPT))
 
 
 def weights(s: SparkSession, d: str, sublinear: bool = False) -> DataFrame:
     t = tokens(s, d)
     counts = M.term_counts(t)
-    return M.tfidf(counts, F.broadcast(M.vocabulary(counts, t.agg(F.count("*").alias("n")), 2, 0.95, 2000)), sublinear)
+    return M.tfidf(counts, F.broadcast(M.vocabulary(counts, t.agg(F.count("*").alias("n")), 2, 0.95, WORDS_KEPT)), sublinear)
 
 
 def labels(s: SparkSession, d: str) -> DataFrame:
@@ -505,7 +507,7 @@ _NB = _tfidf("tf") + ", " + _SPLIT + ", sm AS (SELECT label, term, sum(weight) A
 
 def predictions(s: SparkSession, d: str, alphas=(0.01, 0.1, 1.0)) -> DataFrame:
     split = S.three_way(posts(s, d), "label", "doc_id").select("doc_id", "label", "split")
-    w = weights(s, d)
+    w = settled(weights(s, d), "weights")
     train = split.where("split = 'train'").select("doc_id", "label")
     logp, priors = M.fit_multinomial(w.join(train.select("doc_id"), "doc_id"), train, alphas)
     test = split.where("split = 'test'").select("doc_id", F.col("label").alias("actual"))
@@ -532,7 +534,7 @@ SELECT rk.alpha::DOUBLE AS alpha, rk.macro_f1, rk.accuracy, place::INT AS place,
 def _(s, d):
     """The grid ranked on the val split; only the alpha in the first place is tested."""
     split = S.three_way(posts(s, d), "label", "doc_id").select("doc_id", "label", "split")
-    w, train = weights(s, d), split.where("split = 'train'").select("doc_id", "label")
+    w, train = settled(weights(s, d), "weights"), split.where("split = 'train'").select("doc_id", "label")
     logp, priors = M.fit_multinomial(w.join(train.select("doc_id"), "doc_id"), train, (0.01, 0.1, 1.0))
     rest = split.where("split <> 'train'").select("doc_id", F.col("label").alias("actual"), "split")
     pred = M.predict_multinomial(w.join(rest.select("doc_id"), "doc_id"), logp, priors).join(rest, "doc_id")
