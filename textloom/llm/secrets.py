@@ -174,11 +174,18 @@ def listed(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def n_spans(kind: int):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
+def digest(rows: DataFrame) -> DataFrame:
+    """The columns of the query from those of ``found``. n_entropy counts the spans that the windows found; a string that a base
+    pattern finds too is listed under both kinds."""
+    entropy = F.size(F.filter("spans", lambda s: s["kind"] >= len(BASE_KINDS))).cast("long")
+    return rows.select(
+        "doc_id", *[n_spans(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), entropy.alias("n_entropy")
+    )
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_entropy counts the spans that the windows found; a string that a base pattern finds too is listed under both kinds."""
-    out = found(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda test: F.size(F.filter("spans", test)).cast("long")
-    return out.select(
-        "doc_id", *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"),
-        count(lambda s: s["kind"] >= len(BASE_KINDS)).alias("n_entropy"),
-    )
+    return digest(found(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
