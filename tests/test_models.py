@@ -162,6 +162,29 @@ def test_word_grid_with_small_limits(spark, sf):
     assert len(got) == 16 and rows(got) == rows(want) and got[got.place == 1].test_macro_f1.notna().all()
 
 
+def test_models_by_name(spark):
+    from textloom.operators import catalog
+
+    x, y = rings(150)
+    train, test = vectors(spark, x, y), vectors(spark, *rings(90, 5))
+    got = {r.model: r for r in catalog.compared("vectors", train, test).collect()}
+    assert set(got) == set(catalog.MODELS["vectors"]) and got["SVM"].test_macro_f1 > 0.95 > 0.8 > got["Logistic regression"].test_macro_f1
+    assert sorted(r["rank"] for r in got.values()) == [1, 2, 3] and all(r.gap == pytest.approx(r.train_macro_f1 - r.test_macro_f1, abs=1e-6) for r in got.values())
+    words = spark.createDataFrame([(i, "red apple" if i % 2 else "blue sky", "ab"[i % 2]) for i in range(40)], "id long, text string, label string")
+    assert catalog.compared("words", words, words).first().test_accuracy == 1.0
+    for bad in (("plots",), ("vectors", "Oracle")):
+        with pytest.raises(ValueError):
+            catalog.make_models(*bad)
+
+
+def test_read_cleaned(spark, tmp_path):
+    from textloom.sources import tables
+
+    (tmp_path / "p.csv").write_text(''' text ,Unique_ID\n"Rivers, they're <b>deep</b>",1\nn/a,2\n"Rivers, they're <b>deep</b>",3\n''')
+    assert [r.tokens for r in tables.read_cleaned(spark, f"{tmp_path}/p.csv").collect()] == [["rivers", "deep"]]
+    assert tables.read_cleaned(spark, f"{tmp_path}/p.csv", cleaner=None).count() == 3
+
+
 # ---------------------------------------------------------------- stores and readers
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..operators import catalog as K
 from ..operators import corpus as C
 from ..operators import dense as D
 from ..operators import filters as R
@@ -1280,6 +1281,13 @@ def _report_sql() -> str:
     return f"WITH r AS ({rows}) SELECT *, coalesce(p < 0.05, false) AS significant, CASE WHEN abs(effect) >= CASE WHEN test = 'kruskal_wallis' THEN 0.14 ELSE 0.5 END THEN 'large' WHEN abs(effect) >= CASE WHEN test = 'kruskal_wallis' THEN 0.06 ELSE 0.3 END THEN 'medium' WHEN effect IS NOT NULL THEN 'small' END AS size FROM r"
 
 
+@query("c7_model_table")
+def _(s, d):
+    """Every model of dense features, fitted on train, compared on train and test."""
+    train, _, test = vector_splits(s, d)
+    return K.compared("vectors", train, test)
+
+
 @query("t8_report", _report_sql())
 def _(s, d):
     """All tests of one table of scores, in one table."""

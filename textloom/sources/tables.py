@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.filters import find_column, require_columns
+from ..operators.profiles import cleaned_english
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def read_posts(spark: SparkSession, path: str, text: str = "text", sep: str = ",
     return require_columns(df, text)
 
 
+def read_cleaned(spark: SparkSession, path: str, text: str = "text", cleaner=cleaned_english, **options) -> DataFrame:
+    """A CSV of posts, cleaned: ``cleaner`` takes the frame and the name of its text column. None leaves posts as they are."""
+    df = read_posts(spark, path, text, **options)
+    return cleaner(df, text) if cleaner else df
+
+
 def read_french(spark: SparkSession, path: str) -> DataFrame:
     df = read_posts(spark, path)
     return df.where(F.lower(F.trim("language")) == "french").dropDuplicates(["text"])
