@@ -97,6 +97,18 @@ def test_shards_of_odd_columns_and_other_partitions(spark):
     assert one == two and sum(one.values()) == 100
 
 
+def test_shards_of_many_equal_rows(spark):
+    """A third of all rows are one document: its copies spread over buckets, and partitions change nothing."""
+    rows = [(1, "same text")] * 6000 + [(None, None)] * 100 + [(i, f"text {i}") for i in range(2, 12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sharding.sharded(d, 4, bucket_rows=256).collect() for d in (docs.repartition(5), docs.repartition(11))]
+    assert Counter(map(tuple, got[0])) == Counter(map(tuple, got[1])) and len(got[0]) == len(rows)
+    sizes, slots = Counter((r.shard, r.bucket) for r in got[0]), defaultdict(list)
+    for r in got[0]:
+        slots[r.shard].append(r.slot)
+    assert max(sizes.values()) < 5 * 256 and all(sorted(s) == list(range(len(s))) for s in slots.values()) and len({r.shard for r in got[0] if r.doc_id == 1}) == 1
+
+
 def test_fisher_yates(spark):
     drawn = [tuple(r.p) for r in spark.range(4000).select(sharding.fisher_yates(F.lit(3), F.xxhash64("id")).alias("p")).collect()]
     assert len(Counter(drawn)) == 6 and min(Counter(drawn).values()) > 500
