@@ -68,6 +68,11 @@ def check_shards(rows, text):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(8))
 
 
+def test_groups_follow_bytes_alone(spark):
+    sized = lambda n: spark.range(1).select(F.lit(1).alias("doc_id"), F.expr(f"repeat('x', {n})").alias("text"))
+    assert [common.count_groups(sized(n), 800) for n in (0, 99, 100, 250, 800, 5000, 6401, 64_000)] == [1, 1, 1, 2, 8, 8, 9, 80]
+
+
 def test_shards(spark, sf, texts):
     rows = sharding.op2(spark, sf).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)

@@ -23,6 +23,8 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
 #: Text bytes of one group of documents, the unit of work of the operators that exchange packed keys.
 GROUP_BYTES = 8 << 20
+#: Groups that a corpus of that many eighths of a group, or more, has at least.
+LEAST_GROUPS = 8
 #: Partitions that groups are dealt into at most.
 MOST_PARTITIONS = 20_000
 
@@ -141,9 +143,10 @@ def grouped_docs(docs: DataFrame, n_groups: int, *more: str) -> DataFrame:
 
 
 def count_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
-    """Groups of about ``group_bytes`` of text; of a small corpus smaller ones, down to an eighth, so that all cores have one."""
-    size, cores = text_bytes(docs), docs.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-size // group_bytes), min(cores, size * 8 // group_bytes))
+    """Groups of about ``group_bytes`` of text; of a small corpus up to LEAST_GROUPS smaller ones, down to an eighth. Only bytes
+    decide, so results that follow the groups are the same on any number of cores."""
+    size = text_bytes(docs)
+    return max(1, -(-size // group_bytes), min(LEAST_GROUPS, size * 8 // group_bytes))
 
 
 def sorted_docs(table) -> tuple[np.ndarray, list]:
