@@ -744,6 +744,36 @@ def _(s, d):
     return docs.select("doc_id", T.prompt(F.col("text"), "English", ("anxiety", "normal")).alias("prompt"))
 
 
+#: The labels of each language's task.
+_TASKS = {"en": ("English", ("anxiety", "depression", "normal", "suicidal")), "fr": ("French", ("depression", "normal"))}
+_PROMPT_SQL = " ".join(f"""WHEN '{k}' THEN 'Classify the message below, written in {name}, as one of {str(list(labels)).replace("'", "''")}.' || chr(10) || 'Message: ' || text || chr(10) || 'Answer only with JSON: {{"result": "...", "explanation": "..."}}'""" for k, (name, labels) in _TASKS.items())
+
+
+@query("l1_task_prompts", f"SELECT doc_id, CASE lang {_PROMPT_SQL} END AS prompt FROM documents WHERE lang IN ('en', 'fr')")
+def _(s, d):
+    """Prompts in the words of each language's task."""
+    docs = tables.read_table(s, d, "documents").where(F.col("lang").isin(*_TASKS))
+    out = F.lit(None).cast("string")
+    for k, (name, labels) in _TASKS.items():
+        out = F.when(F.col("lang") == k, T.prompt(F.col("text"), name, labels)).otherwise(out)
+    return docs.select("doc_id", out.alias("prompt"))
+
+
+_SAYS = """sy AS (SELECT doc_id, text, '{"result": "' || source || '", "explanation": "' || trim(regexp_replace(left(text, 60), '[^a-zA-Z ]', '', 'g')) || '"}' AS j FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+rw AS (SELECT doc_id, CASE length(text) % 4 WHEN 0 THEN j WHEN 1 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN 2 THEN left(regexp_replace(text, '[{}]', '', 'g'), 30) || j || ' bye' ELSE regexp_replace(text, '[{}]', '', 'g') END AS raw FROM sy)"""
+
+
+@query("l2_replies_of_posts", f"WITH {_SAYS}, js AS (SELECT doc_id, raw, regexp_extract(raw, '(\\{{.*?\\}})', 1, 's') AS j FROM rw) SELECT doc_id, CASE WHEN j = '' THEN '__PARSE_ERROR__' ELSE json_extract_string(j, '$.result') END AS result, CASE WHEN j = '' THEN raw ELSE json_extract_string(j, '$.explanation') END AS explanation FROM js")
+def _(s, d):
+    """Replies made of posts: JSON alone, in a code fence, after a sentence, and none."""
+    docs = tables.read_table(s, d, "documents").where("text IS NOT NULL AND source IS NOT NULL")
+    json = F.concat(F.lit('{"result": "'), "source", F.lit('", "explanation": "'), F.trim(F.regexp_replace(F.left("text", F.lit(60)), "[^a-zA-Z ]", "")), F.lit('"}'))
+    rest, way = F.regexp_replace("text", "[{}]", ""), F.length("text") % 4
+    raw = F.when(way == 0, json).when(way == 1, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(way == 2, F.concat(F.left(rest, F.lit(30)), json, F.lit(" bye"))).otherwise(rest)
+    result, why = T.parsed_reply(F.col("raw"))
+    return docs.select("doc_id", raw.alias("raw")).select("doc_id", result.alias("result"), why.alias("explanation"))
+
+
 @query("c9_strength", "SELECT doc_id, CASE WHEN doc_id % 100 < 55 THEN 'Weak' WHEN doc_id % 100 < 75 THEN 'Medium' ELSE 'Strong' END AS strength FROM documents")
 def _(s, d):
     return tables.read_table(s, d, "documents").select("doc_id", T.strength((F.col("doc_id") % 100) / 100).alias("strength"))
