@@ -293,6 +293,14 @@ def test_modelling_set(spark, tmp_path):
         exports.modelling_set(df.drop("umbrella"), "doc_id")
 
 
+def test_modelling_set_with_numbers_moves_no_text(spark):
+    from textloom.sources import exports
+
+    df = spark.createDataFrame([(7, 1, "raw", "clean", "", "u", "l", "n"), (8, 2, "raw", "clean", "w", "u", "l", "n")], "record_id int, doc_id int, raw_text string, clean_text string, analysis_text string, umbrella string, label_clean string, label_normalized string")
+    got = exports.modelling_set(df, "doc_id")
+    assert [r.record_id for r in got.collect()] == [8] and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_summary_lines_and_log(spark, tmp_path):
     from textloom.sources import exports
 

@@ -40,6 +40,19 @@ def test_negations_stay(spark):
     assert got == [["قلق شديد", "نوم قليل"]]
 
 
+def test_arabic_steps_are_written_out_once(spark):
+    """An expression names its text a few times, not a power of the steps; and grams are as many as counted one by one."""
+    assert str(T.canonical_arabic(F.col("needle"))).count("needle") == 1
+    assert str(T.arabic_ngrams(F.col("needle"), 3)).count("needle") < 10
+    words = "لا انام والبيت قلق شديد جزيل شكر نوم في من قليل".split()
+    stop, known = set(T.arabic_stopwords()), {" ".join(T.canonical_word(w) for w in T.plain_arabic(p).split()) for p in L.ARABIC_PHRASES}
+    for n in (1, 2, 3):
+        grams = [words[i : i + n] for i in range(len(words) - n + 1)]
+        again = [[T.canonical_word(w) for w in g] for g in grams]
+        want = [" ".join(g) for g, a in zip(grams, again) if " ".join(a) not in known and (n < 2 or sum(w in stop for w in a) < n - 1)]
+        assert column(spark, lambda c, n=n: T.arabic_ngrams(F.split(c, " "), n), [" ".join(words)]) == [want]
+
+
 def test_lemmas(spark):
     words = ["was", "studies", "running", "glasses", "class", "cats", "bus", "his", "ing", "carried", "churches", "nationalities"]
     assert column(spark, T.lemma, words) == ["be", "study", "runn", "glass", "class", "cat", "bus", "his", "ing", "carry", "church", "nationality"]

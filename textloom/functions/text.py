@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -166,14 +168,38 @@ def plain_arabic(word: str) -> str:
     return " ".join(re.sub("[\u0617-\u061A\u064B-\u0652\u0670ـ]", "", word).split())
 
 
-def canonical_arabic(token: Column) -> Column:
-    """A token of a normal text without clitics: the article joined to "for" stands alone; one clitic goes before an article, and
-    "and" or "so" before a word of discourse; then the article goes, if three letters stay and the word can do without it."""
+def _bound(value: Column, f) -> Column:
+    """f of a value, which it may name many times: the value is worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def canonical_words(words: Column) -> Column:
+    """Words of a normal text without clitics: the article joined to "for" stands alone; one clitic goes before an article, and
+    "and" or "so" before a word of discourse; then the article goes, if three letters stay and the word can do without it.
+
+    Each step is a pass over the words, as a step written into the next one would be worked out wherever that names it; the
+    first letters, which are cheap to see, decide before a pattern is tried.
+    """
     bases = sorted({plain_arabic(w) for w in L.ARABIC_DISCOURSE})
-    t = F.when(token.rlike(f"^لل{_LETTERS}{{2,}}$"), F.concat(F.lit("ال"), F.substr(token, F.lit(3)))).otherwise(token)
-    rest = F.substr(t, F.lit(2))
-    t = F.when(t.rlike(f"^[وفبكل]ال{_LETTERS}{{2,}}$") | (t.rlike(f"^[وف]{_LETTERS}{{3,}}$") & rest.isin(*bases)), rest).otherwise(t)
-    return F.when(t.startswith("ال") & (F.length(t) >= 5) & ~t.isin(*L.ARABIC_WITH_ARTICLE), F.substr(t, F.lit(3))).otherwise(t)
+    starts = lambda t, *heads: reduce(or_, (t.startswith(h) for h in heads))
+
+    def joined(t):
+        return F.when(t.startswith("لل") & t.rlike(f"^لل{_LETTERS}{{2,}}$"), F.concat(F.lit("ال"), F.substr(t, F.lit(3)))).otherwise(t)
+
+    def clitic(t):
+        rest = F.substr(t, F.lit(2))
+        before_article = starts(t, *[f"{c}ال" for c in "وفبكل"]) & t.rlike(f"^[وفبكل]ال{_LETTERS}{{2,}}$")
+        return F.when(before_article | (starts(t, "و", "ف") & rest.isin(*bases) & t.rlike(f"^[وف]{_LETTERS}{{3,}}$")), rest).otherwise(t)
+
+    def article(t):
+        return F.when(t.startswith("ال") & (F.length(t) >= 5) & ~t.isin(*L.ARABIC_WITH_ARTICLE), F.substr(t, F.lit(3))).otherwise(t)
+
+    return F.transform(F.transform(F.transform(words, joined), clitic), article)
+
+
+def canonical_arabic(token: Column) -> Column:
+    """The same of one token."""
+    return canonical_words(F.array(token))[0]
 
 
 def canonical_word(word: str) -> str:
@@ -192,27 +218,41 @@ def arabic_stopwords(keep_negations: bool = True) -> list[str]:
     return sorted(words - ({plain_arabic(w) for w in L.ARABIC_NEGATIONS} if keep_negations else set()))
 
 
-def _canonical_words(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(clean_arabic(c), F.lit("([ء-ي]+)"), F.lit(1)), canonical_arabic)
+def arabic_words(clean: Column) -> Column:
+    """Words of a text that ``clean_arabic`` gave, as they stand there."""
+    return F.regexp_extract_all(clean, F.lit("([ء-ي]+)"), F.lit(1))
 
 
-def arabic_tokens(c: Column) -> Column:
+def content_arabic(words: Column) -> Column:
+    """Canonical words of two letters or more that are no stopwords."""
     stop = arabic_stopwords()
-    return F.filter(_canonical_words(c), lambda t: (F.length(t) >= 2) & ~t.isin(*stop))
+    return F.filter(words, lambda t: (F.length(t) >= 2) & ~t.isin(*stop))
+
+
+def arabic_tokens(c: Column) -> Column:
+    return content_arabic(canonical_words(arabic_words(clean_arabic(c))))
 
 
 def arabic_phrase(c: Column) -> Column:
     """The canonical words of a phrase, stopwords too, as phrases are compared."""
-    return F.array_join(_canonical_words(c), " ")
+    return F.array_join(canonical_words(arabic_words(clean_arabic(c))), " ")
 
 
 def arabic_ngrams(tokens: Column, n: int, phrases=L.ARABIC_PHRASES) -> Column:
-    """n-grams of tokens without the phrases that are no content and those of which all words but one are stopwords."""
+    """n-grams of tokens without the phrases that are no content and those of which all words but one are stopwords. What a gram
+    is judged by are its tokens' canonical forms, made once a token."""
     stop = arabic_stopwords()
     known = sorted({" ".join(canonical_word(w) for w in plain_arabic(p).split()) for p in phrases})
-    again = lambda g: F.transform(F.split(g, " "), canonical_arabic)
-    hits = lambda g: F.size(F.filter(again(g), lambda w: w.isin(*stop)))
-    return F.filter(ngrams(tokens, n), lambda g: ~F.array_join(again(g), " ").isin(*known) & ((F.lit(n) < 2) | (hits(g) < n - 1)))
+
+    def kept(again):
+        if n < 2:
+            return F.transform(again, lambda g: ~g.isin(*known))
+        hits = lambda s: reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [F.slice(s, F.lit(1 + k), F.greatest(F.size(s) - (n - 1), F.lit(0))) for k in range(n)])
+        stops = _bound(F.transform(again, lambda w: w.isin(*stop).cast("int")), hits)
+        return F.zip_with(ngrams(again, n), stops, lambda g, h: ~g.isin(*known) & (h < n - 1))
+
+    marked = F.zip_with(ngrams(tokens, n), _bound(canonical_words(tokens), kept), lambda g, k: F.struct(g.alias("g"), k.alias("k")))
+    return F.transform(F.filter(marked, lambda x: x["k"]), lambda x: x["g"])
 
 
 def lemma(token: Column, rules=L.ENGLISH_LEMMAS, irregular=L.ENGLISH_IRREGULAR, least: int = 3) -> Column:

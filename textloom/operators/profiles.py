@@ -36,13 +36,17 @@ def averages(df: DataFrame, label: str, *columns: str) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("mean"), label)))
 
 
-def arabic_features(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with the block that Arabic posts are described by; a null text is empty. Flags say whether another row has the same
-    cleaned text, or the same words."""
-    raw, tokens = F.coalesce(F.col(column), F.lit("")), F.col("tokens")
-    out = df.withColumns({"structured_text": T.structured_arabic(raw), "clean_text": T.clean_arabic(raw), "tokens": T.arabic_tokens(raw), "question_pov": T.point_of_view(raw)})
-    out = out.withColumns({
+def arabic_block(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with the block that Arabic posts are described by; a null text is empty. A column that others come from is made once."""
+    raw, tokens, clean = F.coalesce(F.col(column), F.lit("")), F.col("tokens"), F.col("clean_text")
+    out = df.withColumns({"structured_text": T.structured_arabic(raw), "question_pov": T.point_of_view(raw)}).withColumn("clean_text", T.normal_arabic(F.col("structured_text")))
+    out = out.withColumn("tokens", T.content_arabic(T.canonical_words(T.arabic_words(clean))))
+    return out.withColumns({
         "analysis_text": F.array_join(tokens, " "), "token_count_clean": F.size(tokens), "is_very_short_clean": F.size(tokens) <= 2, "bigrams": T.arabic_ngrams(tokens, 2), "trigrams": T.arabic_ngrams(tokens, 3), "word_count": F.regexp_count(raw, F.lit(r"\S+")), "char_count": F.length(raw),
         "punct_count": F.regexp_count(raw, F.lit(L.ARABIC_PUNCTUATION)), "emoji_count": F.regexp_count(raw, F.lit(L.ARABIC_EMOJIS)), "emoticon_count": F.regexp_count(raw, F.lit(L.ARABIC_EMOTICONS)),
     })
-    return duplicate_flags(duplicate_flags(out, "clean_text", "is_duplicate_clean"), "analysis_text", "is_duplicate_analysis_text")
+
+
+def arabic_features(df: DataFrame, column: str = "text") -> DataFrame:
+    """The block, with flags that say whether another row has the same cleaned text, or the same words."""
+    return duplicate_flags(duplicate_flags(arabic_block(df, column), "clean_text", "is_duplicate_clean"), "analysis_text", "is_duplicate_analysis_text")

@@ -12,22 +12,25 @@ MODELLING = ("raw_text", "clean_text", "analysis_text", "umbrella", "label_clean
 BOM = "﻿"
 
 
-def write_csv(df: DataFrame, path: str, bom: bool = False, mode: str = "errorifexists") -> None:
+def write_csv(df: DataFrame, path: str, bom: bool = False, mode: str = "errorifexists", compression: str = "none") -> None:
     """CSV with a header in each file; arrays and maps as JSON. With ``bom`` a file begins with the mark by which spreadsheets
     know UTF-8: it stands before the first column's name."""
     flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes])
     out = flat.withColumnRenamed(flat.columns[0], BOM + flat.columns[0]) if bom else flat
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    out.write.mode(mode).option("header", True).option("escape", '"').option("compression", compression).csv(path)
 
 
 def modelling_set(df: DataFrame, key: str) -> DataFrame:
     """record_id, from 1 in the order of ``key``, and the columns of MODELLING; numbers are given before rows without words go,
-    so they stay those of the whole table. Raises if a column is missing."""
+    so they stay those of the whole table. A df that has record_id already keeps it: numbering long texts moves them, so it is
+    best done before they are made. Raises if a column is missing."""
     missing = [c for c in MODELLING if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    rows = positioned(df.select(key, *MODELLING), [key]).withColumn("record_id", F.col("position") + 1)
-    return rows.where(F.trim(F.coalesce("analysis_text", F.lit(""))) != "").select("record_id", *MODELLING)
+    rows = df if "record_id" in df.columns else positioned(df.select(key, *MODELLING), [key]).withColumn("record_id", F.col("position") + 1)
+    # Not a plain filter: the planner would push that below the columns and make the words of every text twice.
+    full = F.filter(F.array(F.struct("record_id", *MODELLING)), lambda r: F.trim(F.coalesce(r["analysis_text"], F.lit(""))) != "")
+    return rows.select(F.inline(full))
 
 
 def class_summary(df: DataFrame, label: str = "umbrella") -> DataFrame:
@@ -37,11 +40,12 @@ def class_summary(df: DataFrame, label: str = "umbrella") -> DataFrame:
 
 
 def export_modelling(df: DataFrame, key: str, folder: str) -> None:
-    """The data set as Parquet and as CSV, and its classes, each in a folder of its own below ``folder``."""
+    """The data set as Parquet and as CSV (gzip, which Spark and others read as they do CSV), and its classes, each in a folder of
+    its own below ``folder``."""
     folder, spark = folder.rstrip("/"), df.sparkSession
-    modelling_set(df, key).write.parquet(f"{folder}/rows")
+    modelling_set(df, key).write.option("compression", "zstd").parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
-    write_csv(rows, f"{folder}/csv", bom=True)
+    write_csv(rows, f"{folder}/csv", bom=True, compression="gzip")
     write_csv(class_summary(rows).orderBy(F.desc("row_count"), "umbrella").coalesce(1), f"{folder}/classes", bom=True)
 
 
