@@ -1,7 +1,9 @@
 """Column functions on cases worked out by hand."""
 
+import random
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,30 @@ def test_tfidf(spark):
     assert w[1, "a"] == pytest.approx(0.894427, abs=1e-6) and w[2, "c"] == pytest.approx(0.707107, abs=1e-6)
 
 
+def test_terms_are_counted_where_documents_are_read(spark, monkeypatch):
+    """In pieces of any size: what explode counts, without a shuffle; and weights of both ways are the same."""
+    from collections import Counter
+
+    r = random.Random(9)
+    rows = [(i, None if i == 4 else [r.choice("abcdé") for _ in range(r.randrange(9))], r.choice("xy")) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>, label string").repartition(3).cache()
+    grams = lambda t: [" ".join(t[i : i + n]) for n in (1, 2) for i in range(len(t) - n + 1)]
+    want = {(i, g): c for i, t, _ in rows for g, c in Counter(grams(t or [])).items()}
+    got = M.term_counts(df, 1, 2)
+    assert {(x.doc_id, x.term): x.tf for x in got.collect()} == want and "Exchange" not in got._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    batch = pa.RecordBatch.from_pydict({"tokens": [t for _, t, _ in rows]}, schema=pa.schema([("tokens", pa.list_(pa.string()))]))
+    monkeypatch.setattr(M, "TOKENS_AT_ONCE", 3)
+    assert {(rows[i][0], t): int(n) for row, term, tf in M.document_counts(batch, 1, 2) for i, t, n in zip(row, term.to_pylist(), tf)} == want
+    by_label = Counter((x, g) for _, t, x in rows for g in grams(t or []))
+    assert {(x.label, x.term): x.n for x in M.gram_counts(df, 1, 2, ("label",)).collect()} == by_label
+    vocab = M.vocabulary(got, df.agg(F.count("*").alias("n")), 2, 0.9, 7)
+    weights = lambda w: {(x.doc_id, x.term): round(x.weight, 12) for x in w.collect()}
+    assert weights(M.weighted(df, vocab, True, 1, 2)) == weights(M.tfidf(got, vocab, True))
+    texts = spark.createDataFrame([(1, "a b"), (2, None), (3, "é b a b")], "doc_id long, tokens string")
+    chars = Counter(t[i : i + n] for t in ("a b", "é b a b") for n in (1, 2) for i in range(len(t) - n + 1))
+    assert {x.term: x.n for x in M.gram_counts(texts, 1, 2, sep="").collect()} == {g: c for g, c in chars.items() if g.strip(" ")}
+
+
 @pytest.mark.parametrize("n, want", [(3, (1, 1, 1)), (10, (7, 2, 1)), (20, (14, 3, 3)), (2273, (1591, 341, 341))])
 def test_split_sizes(spark, n, want):
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("label"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .filters import ranked
+from .models import gram_counts
 
 
 def share(df: DataFrame, by: str, n: str = "n") -> DataFrame:
@@ -42,7 +43,7 @@ def terms(tokens: DataFrame, n: int = 1, keys: tuple[str, ...] = ("label",)) ->
 
 
 def top_terms(tokens: DataFrame, n: int = 1, k: int = 10, keys: tuple[str, ...] = ("label",)) -> DataFrame:
-    counts = terms(tokens, n, keys).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    counts = gram_counts(tokens, n, n, keys)
     return ranked(counts, k, list(keys), F.desc("n"), "term")
 
 

@@ -12,12 +12,14 @@ from . import models as M
 from .partial import settled
 
 
-def term_lists(rows: DataFrame, analyzer: str, lo: int, hi: int) -> DataFrame:
-    """(doc_id, tokens) of rows (doc_id, text): all n-grams of lo to hi words, or of lo to hi characters."""
+def term_lists(rows: DataFrame, analyzer: str) -> DataFrame:
+    """rows (doc_id, text, ...) with tokens: the words of a text, or the text of which characters are counted."""
     if analyzer not in ("word", "char"):
         raise ValueError(f"analyzer is word or char, not {analyzer}")
-    c = F.col("text")
-    return rows.select("doc_id", (T.word_terms(T.words(c), lo, hi) if analyzer == "word" else T.char_terms(F.lower(c), lo, hi)).alias("tokens"))
+    return rows.withColumn("tokens", T.words(F.col("text")) if analyzer == "word" else T.collapsed(F.lower("text")))
+
+
+SEPARATORS = {"word": " ", "char": ""}
 
 
 @dataclass(frozen=True)
@@ -31,14 +33,17 @@ class TextModel:
     lo: int = 1
     hi: int = 1
     sublinear: bool = False
+    features: int | None = None
 
     def weights(self, rows: DataFrame) -> DataFrame:
         """(doc_id, term, weight) of rows (doc_id, text), which need not be those that were learned from."""
-        return M.tfidf(M.term_counts(term_lists(rows, self.analyzer, self.lo, self.hi)), self.vocab, self.sublinear)
+        return _weights(rows, self.vocab, self.analyzer, self.lo, self.hi, self.sublinear, self.features)
 
     def scores(self, rows: DataFrame) -> DataFrame:
         """(doc_id, label, s), a row a class. A text without a known term, or none at all, has the priors alone."""
-        known = self.weights(rows).join(self.logp, "term").groupBy("doc_id", "label").agg(F.sum(F.col("weight") * F.col("logp")).alias("known"))
+        of = M.by_term(self.logp)
+        seen = self.weights(rows).join(F.broadcast(of) if self.features else of, "term").select("doc_id", "weight", F.inline("of"))
+        known = seen.groupBy("doc_id", "label").agg(F.sum(F.col("weight") * F.col("logp")).alias("known"))
         grid = rows.select("doc_id").crossJoin(self.priors)
         return grid.join(known, ["doc_id", "label"], "left").select("doc_id", "label", (F.coalesce("known", F.lit(0.0)) + F.col("prior")).alias("s"))
 
@@ -49,7 +54,7 @@ class TextModel:
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
         """Writes the model's tables below path, a folder that all executors reach."""
-        settings = self.priors.sparkSession.createDataFrame([(self.analyzer, self.lo, self.hi, self.sublinear)], "analyzer string, lo int, hi int, sublinear boolean")
+        settings = self.priors.sparkSession.createDataFrame([(self.analyzer, self.lo, self.hi, self.sublinear, self.features)], "analyzer string, lo int, hi int, sublinear boolean, features int")
         for name, table in (("vocabulary", self.vocab), ("weights", self.logp), ("priors", self.priors), ("settings", settings)):
             table.write.mode(mode).parquet(f"{path}/{name}")
 
@@ -63,10 +68,16 @@ def fit(train: DataFrame, analyzer: str = "word", lo: int = 1, hi: int = 2, leas
     """Learns from train (doc_id, text, label) alone: vocabulary, document frequencies, shares of the classes and priors. Each is
     written to the shared folder once, so predicting reads it."""
     labels = train.select("doc_id", "label")
-    counts = settled(M.term_counts(term_lists(train, analyzer, lo, hi)), "counts")
+    counts = M.term_counts(term_lists(train, analyzer), lo, hi, sep=SEPARATORS[analyzer])
     vocab = settled(M.vocabulary(counts, labels.agg(F.count("*").alias("n")), least, most, features), "vocabulary")
-    logp, priors = M.fit_multinomial(M.tfidf(counts, vocab, sublinear), labels, (alpha,))
-    return TextModel(vocab, settled(logp.drop("alpha"), "weights"), settled(priors, "priors"), analyzer, lo, hi, sublinear)
+    logp, priors = M.fit_multinomial(_weights(train, vocab, analyzer, lo, hi, sublinear, features, ("label",)), labels, (alpha,))
+    return TextModel(vocab, settled(logp.drop("alpha"), "weights"), settled(priors, "priors"), analyzer, lo, hi, sublinear, features)
+
+
+def _weights(rows: DataFrame, vocab: DataFrame, analyzer: str, lo: int, hi: int, sublinear: bool, features: int | None, also: tuple[str, ...] = ()) -> DataFrame:
+    """A vocabulary with a limit goes to where the texts are; one without is joined, whatever its size."""
+    listed, sep = term_lists(rows, analyzer), SEPARATORS[analyzer]
+    return M.weighted(listed, vocab, sublinear, lo, hi, also, sep) if features else M.tfidf(M.term_counts(listed, lo, hi, sep=sep), vocab, sublinear)
 
 
 def ranked_grid(pred: DataFrame, by: str) -> DataFrame:

@@ -2,12 +2,107 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Tokens of a batch that are counted at a time, unless one document has more.
+TOKENS_AT_ONCE = 400_000
 
 
-def term_counts(tokens: DataFrame) -> DataFrame:
-    return tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def document_counts(batch: pa.RecordBatch, lo: int = 1, hi: int = 1, sep: str = " ", group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(row of the batch, term, tf) of the n-grams of lo to hi tokens of each row of ``tokens``, some rows at a time: a document
+    is in one row, so its terms are counted where it is read and no occurrence is shuffled.
+
+    Rows are counted together whose number in ``group`` is the same. Without a separator, tokens are the characters of
+    ``tokens``, and blank grams are left out.
+    """
+    column = batch.column("tokens")
+    if not sep:
+        column = pc.fill_null(column, "")
+    sizes = (pc.fill_null(pc.list_value_length(column), 0) if sep else pc.utf8_length(column)).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, first = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + TOKENS_AT_ONCE, side="right")) - 1)
+        part = column.slice(first, last - first)
+        tokens = pc.list_flatten(part) if sep else pa.array(list("".join(part.to_pylist())), pa.string())
+        row = np.repeat(np.arange(first, last), sizes[first:last])
+        rows, grams, gram = [], [], tokens
+        for n in range(1, hi + 1):
+            if n > 1:
+                gram = pc.binary_join_element_wise(gram.slice(0, max(0, len(gram) - 1)), tokens.slice(n - 1), sep)
+            if n >= lo:
+                whole = row[: len(gram)] == row[len(row) - len(gram) :]
+                rows.append(row[: len(gram)][whole])
+                grams.append(gram.filter(pa.array(whole)))
+        if rows and sum(map(len, rows)):
+            coded, rows = pa.concat_arrays(grams).dictionary_encode(), np.concatenate(rows)
+            words, kept = coded.dictionary, len(coded.dictionary)
+            key, tf = np.unique((rows if group is None else group[rows]) * kept + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            if not sep:
+                shown = pc.not_equal(pc.utf8_trim(words, " "), "").to_numpy(zero_copy_only=False)[key % kept]
+                key, tf = key[shown], tf[shown]
+            yield key // kept, words.take(pa.array(key % kept)), tf
+        first = last
+
+
+def _typed(df: DataFrame, columns, more: str) -> StructType:
+    """A schema of columns of df and more."""
+    return StructType([*[df.schema[c] for c in columns], *StructType.fromDDL(more)])
+
+
+def gram_counts(tokens: DataFrame, lo: int = 1, hi: int = 1, keys: tuple[str, ...] = (), sep: str = " ") -> DataFrame:
+    """(keys, term, n): how often each n-gram of lo to hi tokens occurs with each value of the keys. Rows that are read together
+    are counted together."""
+
+    def count(batches):
+        for batch in batches:
+            seen: dict = {}
+            group = np.array([seen.setdefault(k, i) for i, k in enumerate(zip(*[batch.column(k).to_pylist() for k in keys]))] if keys else [0] * batch.num_rows, np.int64)
+            for row, term, n in document_counts(batch, lo, hi, sep, group):
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(row)) for k in keys], term, pa.array(n, pa.int64())], names=[*keys, "term", "n"])
+
+    return tokens.select(*keys, "tokens").mapInArrow(count, _typed(tokens, keys, "term string, n long")).groupBy(*keys, "term").agg(F.sum("n").alias("n"))
+
+
+def term_counts(tokens: DataFrame, lo: int = 1, hi: int = 1, also: tuple[str, ...] = (), sep: str = " ") -> DataFrame:
+    """(doc_id, also, term, tf) of rows (doc_id, tokens), one a document: n-grams of lo to hi tokens."""
+    keys = ("doc_id", *also)
+
+    def count(batches):
+        for batch in batches:
+            for row, term, tf in document_counts(batch, lo, hi, sep):
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(row)) for k in keys], term, pa.array(tf, pa.int64())], names=[*keys, "term", "tf"])
+
+    return tokens.select(*keys, "tokens").mapInArrow(count, _typed(tokens, keys, "term string, tf long"))
+
+
+def weighted(tokens: DataFrame, vocab: DataFrame, sublinear: bool = False, lo: int = 1, hi: int = 1, also: tuple[str, ...] = (), sep: str = " ") -> DataFrame:
+    """(doc_id, also, term, weight) with rows of length 1, as ``tfidf`` of ``term_counts`` has them, where documents are read:
+    counts, the words that are kept and lengths need no shuffle. vocab (term, idf) is bounded, as it goes to every task."""
+    kept = vocab.select("term", "idf").toArrow().combine_chunks()
+    terms, idf = kept.column("term").combine_chunks(), kept.column("idf").to_numpy()
+    shared, keys = tokens.sparkSession.sparkContext.broadcast((terms, idf)), ("doc_id", *also)
+
+    def weigh(batches):
+        terms, idf = shared.value
+        for batch in batches:
+            for row, term, tf in document_counts(batch, lo, hi, sep):
+                place = pc.index_in(term, value_set=terms)
+                known = np.flatnonzero(pc.is_valid(place).to_numpy(zero_copy_only=False))
+                if not len(known):
+                    continue
+                row, tf, term = row[known], tf[known].astype(np.float64), term.take(pa.array(known))
+                v = (np.log(tf) + 1 if sublinear else tf) * idf[pc.fill_null(place, 0).to_numpy(zero_copy_only=False)[known]]
+                norm = np.sqrt(np.bincount(row - row[0], weights=v * v))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(row)) for k in keys], term, pa.array(v / norm[row - row[0]])], names=[*keys, "term", "weight"])
+
+    return tokens.select(*keys, "tokens").mapInArrow(weigh, _typed(tokens, keys, "term string, weight double"))
 
 
 def vocabulary(counts: DataFrame, n_docs: DataFrame, least: int = 1, most: float = 1.0, features: int | None = None) -> DataFrame:
@@ -27,11 +122,16 @@ def tfidf(counts: DataFrame, vocab: DataFrame, sublinear: bool = False) -> DataF
     return raw.join(norms, "doc_id").select("doc_id", "term", (F.col("v") / F.col("norm")).alias("weight"))
 
 
+def with_label(weights: DataFrame, labels: DataFrame) -> DataFrame:
+    """weights with the label of each document, unless they have it."""
+    return weights if "label" in weights.columns else weights.join(labels, "doc_id")
+
+
 def chi2(weights: DataFrame, labels: DataFrame) -> DataFrame:
-    """(term, score): observed against expected sums of the weights by class."""
+    """(term, score): observed against expected sums of the weights by class. weights may have labels already."""
     n = labels.agg(F.count("*").alias("n"))
     shares = labels.groupBy("label").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).select("label", (F.col("c") / F.col("n")).alias("p"))
-    seen = weights.join(labels, "doc_id").groupBy("term", "label").agg(F.sum("weight").alias("o"))
+    seen = with_label(weights, labels).groupBy("term", "label").agg(F.sum("weight").alias("o"))
     total = seen.groupBy("term").agg(F.sum("o").alias("t"))
     grid = total.crossJoin(F.broadcast(shares)).join(seen, ["term", "label"], "left").fillna(0.0, ["o"])
     e = F.col("p") * F.col("t")
@@ -39,8 +139,9 @@ def chi2(weights: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit_multinomial(weights: DataFrame, labels: DataFrame, alphas=(1.0,)) -> tuple[DataFrame, DataFrame]:
-    """Log shares (alpha, label, term, logp) and priors (label, prior); sums are made once for all alphas."""
-    sums = weights.join(labels, "doc_id").groupBy("label", "term").agg(F.sum("weight").alias("s"))
+    """Log shares (alpha, label, term, logp) and priors (label, prior); sums are made once for all alphas. weights may have
+    labels already."""
+    sums = with_label(weights, labels).where("label IS NOT NULL").groupBy("label", "term").agg(F.sum("weight").alias("s"))
     terms = sums.select("term").distinct()
     classes = sums.groupBy("label").agg(F.sum("s").alias("total")).crossJoin(F.broadcast(terms.agg(F.count("*").alias("v"))))
     grid = terms.crossJoin(F.broadcast(classes)).join(sums, ["label", "term"], "left").fillna(0.0, ["s"])
@@ -50,9 +151,16 @@ def fit_multinomial(weights: DataFrame, labels: DataFrame, alphas=(1.0,)) -> tup
     return logp, labels.groupBy("label").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).select("label", F.log(F.col("c") / F.col("n")).alias("prior"))
 
 
+def by_term(logp: DataFrame) -> DataFrame:
+    """(term, of): a term's log shares in one row, so that a bounded vocabulary is broadcast once for all classes and alphas."""
+    return logp.groupBy("term").agg(F.collect_list(F.struct(*[c for c in logp.columns if c != "term"])).alias("of"))
+
+
 def predict_multinomial(weights: DataFrame, logp: DataFrame, priors: DataFrame) -> DataFrame:
-    """(alpha, doc_id, predicted): the class with the largest sum, ties by name."""
-    scores = weights.join(logp, "term").groupBy("alpha", "doc_id", "label").agg(F.sum(F.col("weight") * F.col("logp")).alias("s")).join(F.broadcast(priors), "label")
+    """(alpha, doc_id, predicted): the class with the largest sum, ties by name. The vocabulary is bounded and broadcast, so a
+    document's sums are added up where its weights are read."""
+    seen = weights.join(F.broadcast(by_term(logp)), "term").select("doc_id", "weight", F.inline("of"))
+    scores = seen.groupBy("alpha", "doc_id", "label").agg(F.sum(F.col("weight") * F.col("logp")).alias("s")).join(F.broadcast(priors), "label")
     best = F.row_number().over(Window.partitionBy("alpha", "doc_id").orderBy(F.desc(F.round(F.col("s") + F.col("prior"), 9)), "label"))
     return scores.withColumn("r", best).where("r = 1").select("alpha", "doc_id", F.col("label").alias("predicted"))
 
