@@ -162,6 +162,17 @@ def test_word_grid_with_small_limits(spark, sf):
     assert len(got) == 16 and rows(got) == rows(want) and got[got.place == 1].test_macro_f1.notna().all()
 
 
+def test_word_grid_writes_no_weights(spark, monkeypatch):
+    """Only lists of terms are written, however many settings there are; lists that frequent terms do not fill take the rest."""
+    written = []
+    monkeypatch.setattr(grids, "settled", lambda df, tag="rows": written.append(tag) or df)
+    rows = [(i, "ab"[i % 2], ["x", f"w{i}", "ab"[i % 2]]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, label string, tokens array<string>")
+    got = grids.words_scored(df, df, (1, 2), (1, 2), (5, 100), (0.1,)).collect()
+    assert written == ["terms"] and len(got) == 8 * 20 and all(r.actual == r.predicted for r in got)
+    assert {(r.ngram_max, r.min_df, r.max_features): r.retained for r in got} == {(1, 1, 5): 5, (1, 1, 100): 22, (1, 2, 5): 2, (1, 2, 100): 2, (2, 1, 5): 5, (2, 1, 100): 62, (2, 2, 5): 2, (2, 2, 100): 2}
+
+
 def test_models_by_name(spark):
     from textloom.operators import catalog
 
