@@ -89,6 +89,34 @@ def test_terms_are_counted_where_documents_are_read(spark, monkeypatch):
     assert {x.term: x.n for x in M.gram_counts(texts, 1, 2, sep="").collect()} == {g: c for g, c in chars.items() if g.strip(" ")}
 
 
+def test_pairs_in_pieces(spark, monkeypatch):
+    """The most frequent pairs, counted one by one; what is written is read by all passes, and a long row is cut anywhere."""
+    from collections import Counter
+    from itertools import combinations
+
+    from textloom.operators import corpus
+
+    r = random.Random(4)
+    rows = [(i, "xy"[i % 2], [r.choice("abcdefghé") for _ in range(r.randrange(14))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, label string, tokens array<string>")
+    want = Counter((x, *p) for _, x, t in rows for p in combinations(sorted(set(t), key=str.encode), 2))
+    monkeypatch.setattr(corpus, "PAIRS_AT_ONCE", 10)
+    words = df.select("label", "doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    assert {(p.label, p.a, p.b): p.n for p in corpus._pairs(words).collect()} == want
+    got = corpus.cooccurrence(df, 5, 3)
+    assert "array_distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for x in "xy":
+        top = sorted(((k[1], k[2], n) for k, n in want.items() if k[0] == x), key=lambda p: (-p[2], p[0], p[1]))[:5]
+        assert [(p.a, p.b, p.n) for p in got.where(F.col("label") == x).orderBy("rank").collect()] == top
+
+
+def test_emoticons_are_sought_where_there_are_any(spark):
+    df = spark.createDataFrame([("no sign here",), (None,), ("yes :) and :)",)], "t string").select(T.emoticons_found(F.col("t")).alias("found"))
+    got = [r.found for r in df.collect()]
+    assert got[0] == [] and got[1] is None and got[2].count(":)") >= 2
+    assert "CASE WHEN" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("n, want", [(3, (1, 1, 1)), (10, (7, 2, 1)), (20, (14, 3, 3)), (2273, (1591, 341, 341))])
 def test_split_sizes(spark, n, want):
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("label"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .filters import ranked
 from .models import gram_counts
+from .partial import settled
 
 
 def share(df: DataFrame, by: str, n: str = "n") -> DataFrame:
@@ -107,11 +111,44 @@ def presence(df: DataFrame, label: str, column: str) -> DataFrame:
     return df.groupBy(label).agg(F.round(100 * F.avg(F.when(F.col(column) > 0, 1.0).otherwise(0.0)), 6).alias("pct"))
 
 
+#: Pairs of words that a task holds before it counts them.
+PAIRS_AT_ONCE = 2_000_000
+
+
 def _pairs(words: DataFrame) -> DataFrame:
-    """(label, a, b, n) of the pairs a < b among each document's words (label, doc_id, term); pairs are made inside rows."""
-    one = words.groupBy("label", "doc_id").agg(F.sort_array(F.collect_list("term")).alias("w")).select("label", "w", F.posexplode("w").alias("at", "a"))
-    both = one.select("label", "a", F.explode(F.slice("w", F.col("at") + 2, F.greatest(F.size("w") - F.col("at") - 1, F.lit(0)))).alias("b"))
-    return both.groupBy("label", "a", "b").agg(F.count("*").alias("n"))
+    """(label, a, b, n) of the pairs a < b among each document's words (label, doc_id, term); pairs are made inside rows, as
+    numbers, and those of rows that are read together are counted before they are words again."""
+
+    def count(batches):
+        for batch in batches:
+            labels, words = batch.column("label").dictionary_encode(), pc.list_flatten(batch.column("tokens")).dictionary_encode()
+            label, word, k = (*(x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (labels, words)), len(words.dictionary))
+            after, held = np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False)), []
+            total = 0
+
+            def counted(held):
+                key, n = np.unique(np.concatenate(held), return_counts=True)
+                a, b = (words.dictionary.take(pa.array(x)) for x in (key // k % k, key % k))  # noqa: B023
+                return pa.RecordBatch.from_arrays([labels.dictionary.take(pa.array(key // (k * k))), a, b, pa.array(n, pa.int64())], names=["label", "a", "b", "n"])  # noqa: B023
+
+            for own, start, end in zip(label, np.append(0, after), after):
+                w, first = word[start:end], 0
+                while first < len(w) - 1:
+                    last = min(len(w) - 1, first + max(1, PAIRS_AT_ONCE // len(w)))
+                    many = len(w) - 1 - np.arange(first, last)
+                    a = np.repeat(np.arange(first, last), many)
+                    b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + a + 1
+                    held.append((own * k + w[a]) * k + w[b])
+                    total, first = total + len(a), last
+                    if total > PAIRS_AT_ONCE:
+                        yield counted(held)
+                        held, total = [], 0
+            if held:
+                yield counted(held)
+
+    one = words.groupBy("label", "doc_id").agg(F.sort_array(F.collect_list("term")).alias("tokens")).where(F.size("tokens") > 1).select("label", "tokens")
+    kind = words.schema["label"].dataType.simpleString()
+    return one.mapInArrow(count, f"label {kind}, a string, b string, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def cooccurrence(tokens: DataFrame, k: int = 20, seeds: int = 40) -> DataFrame:
@@ -119,10 +156,11 @@ def cooccurrence(tokens: DataFrame, k: int = 20, seeds: int = 40) -> DataFrame:
 
     No pair is more frequent than either word. So the pairs among each label's ``seeds`` most frequent words give a floor,
     the k-th of their counts, and only words of at least that document frequency can be in the result: rare words, which
-    make nearly all pairs of a long document, are left out before any pair is made.
+    make nearly all pairs of a long document, are left out before any pair is made. A document's words are made different in
+    its row and written once, and so are the counts of its words: four passes read them.
     """
-    words = terms(tokens).distinct()
-    by_docs = words.groupBy("label", "term").agg(F.count("*").alias("docs"))
+    documents = settled(tokens.select("label", "doc_id", F.array_distinct("tokens").alias("tokens")), "words")
+    words, by_docs = terms(documents), settled(gram_counts(documents, 1, 1, ("label",)).withColumnRenamed("n", "docs"), "counts")
     first = ranked(by_docs, seeds, ["label"], F.desc("docs"), "term").select("label", "term")
     floor = ranked(_pairs(words.join(F.broadcast(first), ["label", "term"])), k, ["label"], F.desc("n"), "a", "b")
     floor = floor.groupBy("label").agg(F.when(F.count("*") == k, F.min("n")).otherwise(1).alias("floor"))
