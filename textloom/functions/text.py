@@ -268,9 +268,11 @@ def french_lemma(token: Column) -> Column:
 
 
 def emoticons_found(c: Column) -> Column:
-    """All matches of each pattern, one pattern after the other: what several patterns match is there several times."""
+    """All matches of each pattern, one pattern after the other: what several patterns match is there several times. Only a text
+    that one pattern of all finds something in is read by each of them."""
     one = lambda p: F.regexp_extract_all(c, F.lit(rf"(?i)(?<![{Letter}])(?:{p})(?![{Letter}])"), F.lit(0))
-    return F.concat(*[one(p) for p in L.EMOTICONS], F.regexp_extract_all(c, F.lit(L.SHRUG), F.lit(0)))
+    found = F.concat(*[one(p) for p in L.EMOTICONS], F.regexp_extract_all(c, F.lit(L.SHRUG), F.lit(0)))
+    return F.when(c.rlike(emoticon_pattern()), found).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def french_emoticons(c: Column) -> Column:
@@ -343,9 +345,13 @@ def char_terms(c: Column, lo: int, hi: int) -> Column:
     return F.filter(F.concat(*[ngrams(chars, n, "") for n in range(lo, hi + 1)]), lambda g: F.trim(g) != "")
 
 
+def is_content(gram: Column, n: int, stopwords) -> Column:
+    """At most n - 2 of an n-gram's words are stopwords (for n = 1, none is)."""
+    return F.size(F.filter(F.split(gram, " "), lambda w: w.isin(*stopwords))) < max(1, n - 1)
+
+
 def content_ngrams(tokens: Column, n: int, stopwords) -> Column:
-    """n-grams of which at most n - 2 words are stopwords (for n = 1, none is)."""
-    return F.filter(ngrams(tokens, n), lambda g: F.size(F.filter(F.split(g, " "), lambda w: w.isin(*stopwords))) < max(1, n - 1))
+    return F.filter(ngrams(tokens, n), lambda g: is_content(g, n, stopwords))
 
 
 def sentence_count(c: Column) -> Column:

@@ -56,9 +56,9 @@ def _typed(df: DataFrame, columns, more: str) -> StructType:
     return StructType([*[df.schema[c] for c in columns], *StructType.fromDDL(more)])
 
 
-def gram_counts(tokens: DataFrame, lo: int = 1, hi: int = 1, keys: tuple[str, ...] = (), sep: str = " ") -> DataFrame:
+def gram_counts(tokens: DataFrame, lo: int = 1, hi: int = 1, keys: tuple[str, ...] = (), sep: str = " ", where=None) -> DataFrame:
     """(keys, term, n): how often each n-gram of lo to hi tokens occurs with each value of the keys. Rows that are read together
-    are counted together."""
+    are counted together, and ``where``, a condition on a term, is asked before counts are shuffled."""
 
     def count(batches):
         for batch in batches:
@@ -67,7 +67,8 @@ def gram_counts(tokens: DataFrame, lo: int = 1, hi: int = 1, keys: tuple[str, ..
             for row, term, n in document_counts(batch, lo, hi, sep, group):
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(row)) for k in keys], term, pa.array(n, pa.int64())], names=[*keys, "term", "n"])
 
-    return tokens.select(*keys, "tokens").mapInArrow(count, _typed(tokens, keys, "term string, n long")).groupBy(*keys, "term").agg(F.sum("n").alias("n"))
+    counted = tokens.select(*keys, "tokens").mapInArrow(count, _typed(tokens, keys, "term string, n long"))
+    return (counted if where is None else counted.where(where)).groupBy(*keys, "term").agg(F.sum("n").alias("n"))
 
 
 def term_counts(tokens: DataFrame, lo: int = 1, hi: int = 1, also: tuple[str, ...] = (), sep: str = " ") -> DataFrame:
