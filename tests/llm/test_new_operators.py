@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import secrets, trie, whitening
+from textloom.llm import packing, secrets, trie, whitening
 
 from .conftest import CLASH
 
@@ -258,3 +258,14 @@ def test_whitening_edges(spark):
 def test_exact_sums_beyond_doubles(spark):
     rows = spark.createDataFrame([(i, [2**52 + i, -(2**52) - 1]) for i in range(5000)], "key long, x array<long>").repartition(7)
     assert whitening.exact_sums(rows, 2) == (5000, [sum(2**52 + i for i in range(5000)), 5000 * (-(2**52) - 1)])
+
+
+def test_encoder_matches_the_tokenizer():
+    """Chunks of Latin letters go to the tokenizer's model itself; a letter whose lower case ends in a mark keeps its stop."""
+    from tokenizers import Tokenizer
+
+    r, tokenizer = random.Random(1), Tokenizer.from_file(packing.tokenizer_path())
+    low, every = [chr(c) for c in range(97, 0x130) if chr(c).isalpha()], [chr(c) for c in range(32, 0x180)]
+    texts = ["İ, İ. aİ,", "été, naïve. it's µª"] + [" ".join("".join(r.choices(k, k=r.randrange(1, 9))) for _ in range(6)) for k in (low, every) for _ in range(500)]
+    for t, ids in zip(texts, packing.Encoder(packing.tokenizer_path()).encode(texts)):
+        assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END], t

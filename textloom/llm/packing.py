@@ -26,7 +26,7 @@ WINDOW = 1024
 #: Distinct chunks whose ids a worker keeps; when there are more, those met once go, and if need be the rarer of the others.
 CACHE = 200_000
 #: Characters of texts that are encoded at once; a longer text is encoded by itself.
-ENCODED = 1 << 19
+ENCODED = 1 << 21
 
 #: Pieces of one bucket, in which sequences are filled.
 BUCKET_PIECES = 32_768
@@ -48,6 +48,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def spelled_bytes() -> dict[int, int]:
+    """The letter that a byte-level tokenizer writes for each byte: printable ones as they are, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return dict(zip([b for b in range(256) if b not in plain], range(256, 512)))
+
+
 class Encoder:
     """Token ids of whole texts. The tokenizer never joins across white space, so ids are found once for each distinct chunk.
 
@@ -66,7 +72,8 @@ class Encoder:
         self.added = [t["content"].lower() for t in described["added_tokens"]]
         self.by_chunk = self._by_chunk(described)
         # One model in memory: ASCII chunks, which the normalizer would leave as they are, go through it without one.
-        self.normal, self.none = self.tokenizer.normalizer, normalizers.Sequence([])
+        self.normal, self.none, self.model = self.tokenizer.normalizer, normalizers.Sequence([]), self.tokenizer.model
+        self.spelled = spelled_bytes()
         #: Chunk to 3 * slot + (0: as it is, 1: a full stop follows, 2: a comma follows).
         self.index: dict[str, int] = {}
         self.flat, self.ends, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
@@ -83,14 +90,18 @@ class Encoder:
         return not self.by_chunk or any(t in low for t in self.added) or bool(ODD.search(text))
 
     def _learn(self, chunks: list[str]) -> None:
-        ascii = [c for c in chunks if c.isascii() and c.islower()]
-        others = [c for c in chunks if not (c.isascii() and c.islower())]
+        # Lower-case Latin letters are one word, of which only bytes are to be spelled, so the tokenizer's model takes them.
+        letters = [c for c in chunks if c.isalpha() and c.islower() and not OTHER.search(c)] if self.by_chunk else []
+        rest = set(chunks).difference(letters) if letters else chunks
+        ascii = [c for c in rest if c.isascii() and c.islower()]
+        others = [c for c in rest if not (c.isascii() and c.islower())]
+        ids = [[t.id for t in self.model.tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(self.spelled))] for c in letters]
         self.tokenizer.normalizer = self.none
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(ascii, add_special_tokens=False)]
+        ids += [e.ids for e in self.tokenizer.encode_batch_fast(ascii, add_special_tokens=False)]
         self.tokenizer.normalizer = self.normal
         ids += [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         n = len(self.uses)
-        self.index.update(zip(ascii + others, range(3 * n, 3 * (n + len(chunks)), 3)))
+        self.index.update(zip(letters + ascii + others, range(3 * n, 3 * (n + len(chunks)), 3)))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(i) for i in ids])])
         self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
@@ -112,13 +123,14 @@ class Encoder:
     def _slots(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cache slots of each distinct chunk: of the chunk itself, or of what is before its last stop, and of that stop (else -1)."""
         code = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
-        new = [chunks[i] for i in np.flatnonzero(code < 0).tolist()]
-        if new:
-            cut = {c: 1 + (c[-1] == ",") if len(c) > 1 and c[-1] in ".," and c[-2].isalnum() else 0 for c in new}
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            new = [chunks[i] for i in missing.tolist()]
+            cut = {c: 1 + (c[-1] == ",") if len(c) > 1 and c[-1] in ".," and c[-2].lower()[-1].isalnum() else 0 for c in new}
             heads = {c[:-1] if k else c for c, k in cut.items()}.difference(self.index)
             self._learn(sorted(heads))
             self.index.update({c: self.index[c[:-1]] + k for c, k in cut.items() if k})
-            code = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+            code[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         stops = np.array([-1, self.index["."] // 3, self.index[","] // 3])
         return code // 3, stops[code % 3]
 
@@ -130,7 +142,7 @@ class Encoder:
         lowered = ["" if i in whole else t if OTHER.search(t) else t.lower() for i, t in enumerate(texts)]
         parts = pc.ascii_split_whitespace(pa.array(lowered, pa.large_string()))
         coded = parts.flatten().dictionary_encode()
-        head, stop = self._slots(coded.dictionary.to_pylist())
+        head, stop = self._slots(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         at = coded.indices.to_numpy()
         self.uses += np.bincount(head[at], minlength=len(self.uses))
         extra = stop[at] >= 0
