@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import packing, secrets, trie, whitening
+from textloom.llm import lm, packing, secrets, trie, whitening
 
 from .conftest import CLASH
 
@@ -269,3 +269,22 @@ def test_encoder_matches_the_tokenizer():
     texts = ["İ, İ. aİ,", "été, naïve. it's µª"] + [" ".join("".join(r.choices(k, k=r.randrange(1, 9))) for _ in range(6)) for k in (low, every) for _ in range(500)]
     for t, ids in zip(texts, packing.Encoder(packing.tokenizer_path()).encode(texts)):
         assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END], t
+
+
+def test_frequent_words_are_contexts(spark):
+    """Twenty words, all frequent, always in the same order: what follows is known from the word before."""
+    train = [(i, " ".join(f"w{(i + k) % 20}" for k in range(60)), True) for i in range(40)]
+    held = [(100 + i, " ".join(f"w{(i * 7 + k) % 20}" for k in range(60)), False) for i in range(10)]
+    got = lm.scored(spark.createDataFrame(train + held, "doc_id long, text string, train boolean"), F.col("train")).where("doc_id >= 100").collect()
+    assert len(got) == 10 and all(r.n_known == r.n_tokens and r.score > 0.3 * r.base_score for r in got)
+
+
+def test_parts_of_a_frequent_context(spark, monkeypatch):
+    """A context that is dealt to several buckets gives what it gives in one."""
+    r = np.random.default_rng(7)
+    rows = [(i, " ".join(x for k in r.zipf(1.3, 40) for x in ("the", f"w{k % 500}")), i % 5 > 0) for i in range(200)]
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string, train boolean"), []
+    for n in (1, 8):
+        monkeypatch.setattr(lm, "count_groups", lambda docs, n=n: n)
+        got.append({x.doc_id: x for x in lm.scored(docs, F.col("train")).collect()})
+    assert len(got[0]) == 200 and all(got[1][i].score == pytest.approx(x.score, rel=0.02) and got[1][i].base_score == pytest.approx(x.base_score) for i, x in got[0].items())

@@ -10,11 +10,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import bucket_runs, count_groups, grouped_docs, materialize, small_batches
+from .common import GROUP_BYTES, bucket_runs, count_groups, materialize, small_batches
 
 #: Gibbs sweeps whose predictive probabilities are averaged, after one that starts from a table a dish; the customers of each
 #: dish that get up and sit down again in a sweep; concentration; seed.
@@ -22,16 +23,13 @@ SWEEPS = 3
 ROUNDS = 4
 THETA = 1.0
 SEED = 5
-#: The share of the training tokens that sit in context restaurants: those after the rarest words, which say most about what
-#: follows. It bounds what the groups exchange; all other tokens sit in the word restaurant.
-CONTEXT_SHARE = 0.12
 #: A probability summed over tasks travels as whole parts.
 PARTS = 10**12
 #: Symbols of a spelling: 256 bytes and the end of the word. Contexts are the classes of the three bytes before.
 SYMBOLS = 257
 CLASSES = 32
-#: Words a task counts before it hands them on.
-HOLD = 300_000
+#: A word's log10 probability travels to its contexts as so many whole parts.
+LOG_PARTS = 1000
 
 
 def _classes() -> np.ndarray:
@@ -55,6 +53,24 @@ def packed_words(words: list[bytes]) -> bytes:
     return b"\n".join(words) + b"\n"
 
 
+def squeezed(x: np.ndarray | bytes) -> bytes:
+    """Numbers for the way: bytes of like weight together, as the upper ones are mostly alike, and compressed."""
+    x = np.frombuffer(x, np.uint8) if isinstance(x, bytes) else np.ascontiguousarray(x)
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def spread(blob: bytes, kind) -> np.ndarray:
+    """What was squeezed."""
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(blob[8:], n * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def words_of(blob: bytes) -> list[bytes]:
+    return spread(blob, np.uint8).tobytes()[:-1].split(b"\n")
+
+
 def cells(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol of packed words: context * SYMBOLS + symbol; and the number of symbols of each word."""
     raw = np.frombuffer(blob, np.uint8)
@@ -139,23 +155,35 @@ def gibbs(customers: np.ndarray, new: np.ndarray, discount: float, rng, rounds:
     return tables.count()
 
 
-def contexts(context: np.ndarray, customers: np.ndarray, parent: np.ndarray, seed: int, sweeps: int = SWEEPS) -> np.ndarray:
-    """Predictive probability of each dish in its context's restaurant, averaged over Gibbs sweeps.
+def seating(context: np.ndarray, customers: np.ndarray, parent: np.ndarray, parts: np.ndarray, seed: int, sweeps: int = SWEEPS) -> tuple[float, np.ndarray]:
+    """Discount, and tables of each dish in its context's restaurant, averaged over Gibbs sweeps.
 
     ``context`` numbers the restaurant of each row, ``parent`` is the dish's probability in the word restaurant, which all
-    contexts share. A sweep seats customers anew, then counts each restaurant's tables anew.
+    contexts share. Of a restaurant in ``parts`` parts, dealt by a hash of the dish, one part is here: its tables times the
+    parts stand for the restaurant's. A sweep seats customers anew, then counts each restaurant's tables anew.
     """
     discount, rng = discount_of(customers), np.random.default_rng([SEED, seed])
-    guests = np.bincount(context, weights=customers)[context]
-    new = lambda tables: (THETA + discount * np.bincount(context, weights=tables)[context]) * parent
-    state, mean = Tables(customers, new(customers > 0), discount, rng), np.zeros(len(customers))
+    busy = np.flatnonzero(customers > 1)
+    at = context[busy]
+    lone = np.bincount(context, weights=customers == 1, minlength=len(parts))
+    new = lambda t: (THETA + discount * (parts * (lone + np.bincount(at, weights=t, minlength=len(parts))))[at]) * parent[busy]
+    state, mean = Tables(customers[busy], new(np.ones(len(busy))), discount, rng), np.zeros(len(busy))
     for number in range(sweeps + 1):
         for _ in range(ROUNDS):
             state.round(new(state.count()))
         if number:
-            t = state.count()
-            mean += (customers - discount * t + new(t)) / (THETA + guests)
-    return mean / sweeps
+            mean += state.count()
+    tables = (customers > 0).astype(np.float64)
+    tables[busy] = mean / sweeps
+    return discount, tables
+
+
+def contexts(context: np.ndarray, customers: np.ndarray, parent: np.ndarray, seed: int, sweeps: int = SWEEPS) -> np.ndarray:
+    """Predictive probability of each dish in its context's restaurant, averaged over Gibbs sweeps (see ``seating``)."""
+    n = int(context.max(initial=-1)) + 1
+    discount, tables = seating(context, customers, parent, np.ones(n), seed, sweeps)
+    guests, seated = (np.bincount(context, weights=x, minlength=n)[context] for x in (customers, tables))
+    return (customers - discount * tables + (THETA + discount * seated) * parent) / (THETA + guests)
 
 
 def discount_of(counts: np.ndarray) -> float:
@@ -253,44 +281,153 @@ class Sweep:
         return (np.maximum(0, counts - self.discount * tables) + (THETA + self.discount * self.seated) * base) / (THETA + self.n)
 
 
-VOCABULARY = "bucket long, words binary, counts binary, n long, ones long, twos long, types long"
+class Numbers(dict):
+    """The number of each word, in order of first sight."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-def vocabulary(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """Tokens of docs with their counts, packed by bucket (a hash of the word): each task counts its own rows first."""
 
-    def count(batches):
-        held: Counter = Counter()
+PARSED = "g long, docs array<bigint>, learn binary, sizes binary, words binary, n_buckets long, numbers binary"
+
+
+def parsed(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Documents (doc_id, text, learn) as numbers of words, in groups of about GROUP_BYTES, one row each: they are read and cut into
+    words once, where they lie. Words are numbered as they are first seen, so most numbers are small."""
+
+    def parse(batches):
+        g, held, size = TaskContext.get().partitionId() << 32, [], 0
+        index: Numbers = Numbers()
 
         def hand_on():
-            parts: dict[int, list] = {}
-            for w, c in held.items():
-                parts.setdefault(zlib.crc32(w) % n_buckets, []).append((w, c))
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(parts), pa.int64()), pa.array([packed_words([x[0] for x in p]) for p in parts.values()], pa.binary()), pa.array([np.array([x[1] for x in p], dtype=np.int64).tobytes() for p in parts.values()], pa.binary())],
-                names=["bucket", "words", "counts"],
-            )
+            docs, learn, parts = zip(*held)
+            row = (g, docs, np.array(learn, np.bool_).tobytes(), squeezed(np.array([len(p) for p in parts])), squeezed(packed_words(list(index))), n_buckets, squeezed(np.concatenate(parts)))
+            kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in PARSED.split(", ")])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(tokens(text))
-                if len(held) > HOLD:
+            for doc, text, learn in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "learn"))):
+                held.append((doc, learn, np.fromiter(map(index.__getitem__, tokens(text)), np.uint32)))
+                size += len(text or "") + 1
+                if size >= GROUP_BYTES:
                     yield hand_on()
-        yield hand_on()
+                    g, size = g + 1, 0
+                    held.clear()
+                    index.clear()
+        if held:
+            yield hand_on()
+
+    return docs.select("doc_id", "text", "learn").mapInArrow(parse, PARSED)
+
+
+class Parsed:
+    """The documents of a group as word numbers; ``words`` are in order of their bucket, a hash of the word."""
+
+    def __init__(self, row: dict):
+        self.g, self.docs, self.sizes, names = row["g"], row["docs"], spread(row["sizes"], np.int64), words_of(row["words"])
+        bucket = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % row["n_buckets"]
+        order = np.argsort(bucket, kind="stable")
+        self.words = [names[i] for i in order.tolist()]
+        self.buckets, first = np.unique(bucket[order], return_index=True)
+        self.bounds = np.append(first, len(names))
+        place = np.empty(len(names), dtype=np.int64)
+        place[order] = np.arange(len(names))
+        self.word = place[spread(row["numbers"], np.uint32)]
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.learn = np.repeat(np.frombuffer(row["learn"], np.bool_), self.sizes)
+
+    def slices(self):
+        """(bucket, first, last) of the words of each bucket."""
+        return zip(self.buckets.tolist(), self.bounds[:-1].tolist(), self.bounds[1:].tolist())
+
+    def answers(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Training count and log10 probability in the word restaurant of each word."""
+        got = {b: (c, x) for kind, b, c, x in zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "counts", "p"))) if kind == WORDS}
+        counts, p = (np.concatenate([spread(got[b][i], k) for b in self.buckets.tolist()]) for i, k in ((0, np.int64), (1, np.float32)))
+        return counts, p.astype(np.float64)
+
+    def pairs(self, counts: np.ndarray, parts) -> Pairs:
+        return Pairs(self, counts, parts)
+
+
+class Pairs:
+    """The distinct pairs after known words, in order of the restaurant's key; all unknown words are one.
+
+    ``key``, ``start``: the restaurants (a context, or its part that the second word's hash says) and where their pairs begin;
+    ``context``, ``hashed``, ``word``, ``customers``: of each pair, the first word, the second one's hash and number, and the
+    training count; ``at``, ``which``: the tokens after known words, and the pair of each.
+    """
+
+    def __init__(self, group: Parsed, counts: np.ndarray, parts):
+        # The word before each: at the start of a text its end, as if texts followed each other.
+        before = np.roll(group.word, 1)
+        self.at = np.flatnonzero(counts[before] > 0)
+        n = len(group.words)
+        second = np.where(counts > 0, np.arange(n), n)[group.word[self.at]]
+        code, which = np.unique(before[self.at] * (n + 1) + second, return_inverse=True)
+        context, word = code // (n + 1), code % (n + 1)
+        hashes = np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, group.words), np.uint64, n), np.uint64(0))
+        hashed = hashes[word] & np.uint64(0xFFFFFFFF)
+        key = restaurant(hashes[context], hashed % parts(counts[context]).astype(np.uint64))
+        order = np.argsort(key, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.which = place[which]
+        self.context, self.word, self.hashed = context[order], word[order], hashed[order].astype(np.uint32)
+        self.key, self.start = np.unique(key[order], return_index=True)
+        self.customers = np.bincount(self.which[group.learn[self.at]], minlength=len(order))
+        self.hashes = hashes
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(np.append(self.start, len(self.word)))
+
+
+def restaurant(context: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The key of a part of a context's restaurant: well mixed, so parts lie in different buckets."""
+    z = context + part * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def asked(groups: DataFrame) -> DataFrame:
+    """(bucket, g, words, counts): the distinct words of each group with their training counts, packed by bucket."""
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                group = Parsed(row)
+                counts = np.bincount(group.word[group.learn], minlength=len(group.words))
+                rows = [(b, group.g, squeezed(packed_words(group.words[lo:hi])), squeezed(counts[lo:hi])) for b, lo, hi in group.slices()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "g", "words", "counts"])
+
+    return groups.mapInArrow(ask, "bucket long, g long, words binary, counts binary")
+
+
+VOCABULARY = "bucket long, words binary, counts binary, n long, ones long, twos long, types long"
+
+
+def merged(words: DataFrame) -> DataFrame:
+    """The training words of all groups with their counts, one row a bucket."""
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total: Counter = Counter()
-        for words, counts in zip(table.column("words").to_pylist(), table.column("counts").to_pylist()):
-            for w, c in zip(words[:-1].split(b"\n"), np.frombuffer(counts, np.int64).tolist()):
-                total[w] += c
+        for blob, counts in zip(table.column("words").to_pylist(), table.column("counts").to_pylist()):
+            for w, c in zip(words_of(blob), spread(counts, np.int64).tolist()):
+                if c:
+                    total[w] += c
         words = sorted(total)
         c = np.array([total[w] for w in words], dtype=np.int64)
         row = {"bucket": key[0].as_py(), "words": packed_words(words), "counts": c.tobytes(), "n": int(c.sum()), "ones": int((c == 1).sum()), "twos": int((c == 2).sum()), "types": len(c)}
-        return pa.table({k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in row.items()})
+        return pa.table({k: pa.array([v] if words else [], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in row.items()})
+
+    return materialize(words.groupBy("bucket").applyInArrow(merge, VOCABULARY), "vocabulary")
 
-    counted = docs.select("text").mapInArrow(count, "bucket long, words binary, counts binary")
-    return materialize(counted.groupBy("bucket").applyInArrow(merge, VOCABULARY), "vocabulary")
+
+def vocabulary(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Tokens of docs with their counts, packed by bucket (a hash of the word): each group counts its own rows first."""
+    return merged(asked(parsed(docs.withColumn("learn", F.lit(True)), n_buckets)))
 
 
 def sample(spark: SparkSession, words: DataFrame, sweeps: int = SWEEPS) -> list[Sweep]:
@@ -333,89 +470,9 @@ def sample(spark: SparkSession, words: DataFrame, sweeps: int = SWEEPS) -> list[
     return out
 
 
-def rare_limit(words: DataFrame, total: int, share: float = CONTEXT_SHARE) -> int:
-    """The largest count such that the words counted up to that often are at most ``share`` of the training tokens."""
-
-    def by_count(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for counts in batch.column("counts").to_pylist():
-                value, times = np.unique(np.frombuffer(counts, np.int64), return_counts=True)
-                # Counts over 1,000 by their three leading digits, so that few rows reach the driver.
-                unit = 10 ** np.maximum(np.floor(np.log10(np.maximum(value, 1))).astype(np.int64) - 2, 0)
-                for v, n in zip((-(-value // unit) * unit).tolist(), (value * times).tolist()):
-                    seen[v] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["count", "n"])
-
-    limit = held = 0
-    for count, n in sorted(map(tuple, words.select("counts").mapInArrow(by_count, "count long, n long").groupBy("count").agg(F.sum("n")).collect())):
-        held += n
-        if held > share * total:
-            break
-        limit = count
-    return limit
-
-
-class Numbers(dict):
-    """The number of each word, in order of first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-class Parsed:
-    """The documents of a group as word numbers. Words are in order of their bucket, then of their bytes."""
-
-    def __init__(self, table: pa.Table, n_buckets: int):
-        top, index, self.rows, parts = np.iinfo(np.int64).max, Numbers(), [], []
-        columns = zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), table.column("learn").to_pylist())
-        for doc, text, learn in sorted(columns, key=lambda r: (top if r[0] is None else r[0], r[1] or "", r[2])):
-            self.rows.append((doc, learn))
-            parts.append(np.fromiter(map(index.__getitem__, tokens(text)), np.int64))
-        names = list(index)
-        bucket = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % n_buckets
-        order = [i for _, _, i in sorted(zip(bucket.tolist(), names, range(len(names))))]
-        place = np.empty(len(names), dtype=np.int64)
-        place[order] = np.arange(len(names))
-        self.words, self.bucket, self.end = [names[i] for i in order], bucket[order], place[index[b""]]
-        self.sizes = np.array([len(p) for p in parts])
-        self.word = place[np.concatenate(parts)]
-        #: The word before each: at the start of a text its end, as if texts followed each other.
-        self.before = np.concatenate([[self.end], self.word[:-1]])
-        self.before[np.cumsum(self.sizes) - self.sizes] = self.end
-        self.learn = np.repeat([learn for _, learn in self.rows], self.sizes)
-
-    def slices(self):
-        """(bucket, first, last) of the words of each bucket."""
-        first = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]]))
-        return zip(self.bucket[first].tolist(), first.tolist(), np.append(first[1:], len(self.bucket)).tolist())
-
-    def answers(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Training count and probability in the word restaurant of each word."""
-        counts, p = np.zeros(len(self.words), np.int64), np.zeros(len(self.words))
-        got = {b: (c, x) for kind, b, c, x in zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "counts", "p"))) if kind == WORDS}
-        for b, lo, hi in self.slices():
-            counts[lo:hi], p[lo:hi] = np.frombuffer(got[b][0], np.int64), np.frombuffer(got[b][1], np.float64)
-        return counts, p
-
-    def pairs(self, counts: np.ndarray, limit: int):
-        """The distinct pairs after words counted up to ``limit`` times, in order of the first word's hash: hashes, training
-        count and second word of each; where they occur; and which of them each is."""
-        at = np.flatnonzero((counts[self.before] > 0) & (counts[self.before] <= limit))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        hu, hw = hashes[self.before[at]], hashes[self.word[at]] & np.uint64(0xFFFFFFFF)
-        order = np.lexsort((hw, hu))
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (hu[order][1:] != hu[order][:-1]) | (hw[order][1:] != hw[order][:-1])
-        which = np.empty(len(at), dtype=np.int64)
-        which[order] = np.cumsum(new) - 1
-        one = order[new]
-        return hu[one], hw[one].astype(np.uint32), np.bincount(which[self.learn[at]], minlength=len(one)), self.word[at[one]], at, which
-
-
-WORDS, PAIRS = 0, 1
+WORDS, PAIRS, TOTALS = 0, 1, 2
 REPLY = "bucket long, g long, kind int, counts binary, p binary"
+SENT = "bucket long, g long, key binary, sizes binary, n binary, hashed binary, c binary, p binary"
 
 
 def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
@@ -423,17 +480,19 @@ def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
     where the condition ``learn`` (a column) holds.
 
     The scores are log10 probabilities of the text's tokens, each given the one before. A word's probability in the word
-    restaurant is averaged over Gibbs samples; its base is the word's own spelling. After a rare word (see CONTEXT_SHARE)
+    restaurant is averaged over Gibbs samples; its base is the word's own spelling. After a word of the training vocabulary
     the probability is that in the restaurant of this context, with the word restaurant as its parent, again averaged over
-    Gibbs samples; after other words it is the word restaurant's. score has the events of base_score (add-one over training
+    Gibbs samples; after an unseen word it is the word restaurant's. score has the events of base_score (add-one over training
     tokens): the training vocabulary and, as one event, any other word, which has the new table's weight times all that the
     spelling model leaves to unseen words. spelled_score tells unseen words apart: each has the new table's weight times the
     probability of its own spelling. Both sum to one over their events.
 
-    The vocabulary is counted by task, merged by bucket and grows with the corpus. Documents are dealt into groups by a hash
-    of their id; a group sends its distinct words to their buckets and gets a count and a probability a word back, then its
-    distinct pairs in rare contexts, with their training counts, to the buckets of their contexts, which seat them and send
-    probabilities back. A frequent word is sent once a group, and nothing is held whole anywhere. A pair is known by 96 bits.
+    Texts are cut into words once, in groups where they lie. A group sends its distinct words to their buckets and gets a count
+    and a probability a word back, then its distinct pairs with their training counts to the buckets of their contexts, which
+    seat them and send customers less discounts back, and the discounts of the whole restaurant. A context with more than half
+    a bucket's share of all tokens is dealt to several buckets by a hash of the second word; their discounts are added up, so its
+    probabilities sum to one too. A frequent word or pair is sent once a group, and nothing is held whole anywhere. A pair is
+    known by 96 bits.
 
     A null or blank text is its end alone; a very long one is one document of its group. Without training rows every count is
     0, and score is base_score. Rows that repeat a doc_id are scored each, and learned from each; a null ``learn`` is no; an
@@ -442,20 +501,20 @@ def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    n_groups = count_groups(docs)
-    words = vocabulary(docs.where("learn"), n_groups)
+    n_buckets = count_groups(docs)
+    groups = materialize(parsed(docs, n_buckets), "parsed")
+    sought = asked(groups)
+    words = merged(sought)
     total, types = (x or 0 for x in words.agg(F.sum("n"), F.sum("types")).first())
     samples = sample(spark, words, sweeps)
     event = sum(s.predictive(0, 0, s.unseen) for s in samples) / max(1, len(samples))  # any unseen word
+    event_log = math.log10(max(event, 1e-300))
     shared = spark.sparkContext.broadcast(samples)
-    limit = rare_limit(words, total)
-    texts = grouped_docs(docs, n_groups, "learn")
     base_log = math.log10(total + types + 1)
 
-    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        group = Parsed(table, n_groups)
-        rows = [(b, key[0].as_py(), packed_words(group.words[lo:hi])) for b, lo, hi in group.slices()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "g", "words"])
+    def parts(count: np.ndarray) -> np.ndarray:
+        """Parts of the restaurant of a word counted so often."""
+        return -(-2 * n_buckets * count // max(1, total))
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
         samples, index, counts, mean = shared.value, {}, np.zeros(1, np.int64), np.zeros(1)
@@ -466,68 +525,85 @@ def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
             counts = np.append(c, 0)
         found, probabilities = [], []
         for blob in asked.column("words").to_pylist():
-            ws = blob[:-1].split(b"\n")
+            ws = words_of(blob)
             i = np.fromiter((index.get(w, -1) for w in ws), np.int64, len(ws))
             p, miss = mean[i], np.flatnonzero(i < 0)
             if samples and len(miss):
                 spelled = packed_words([ws[k] for k in miss])
                 p[miss] = sum(s.predictive(0, 0, s.base(spelled)) for s in samples) / len(samples)
-            found.append(counts[i].tobytes())
-            probabilities.append(p.tobytes())
+            found.append(squeezed(counts[i]))
+            probabilities.append(squeezed(np.log10(np.maximum(p, 1e-300)).astype(np.float32)))
         return pa.table([asked.column("bucket"), asked.column("g"), pa.array([WORDS] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array(probabilities, pa.binary())], names=["bucket", "g", "kind", "counts", "p"])
 
     def send_pairs(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        group = Parsed(table, n_groups)
+        group = Parsed(table.to_pylist()[0])
         counts, p = group.answers(replies)
-        p[counts == 0] = event
-        hu, hw, c, word, _, _ = group.pairs(counts, limit)
-        used, at = bucket_runs(hu, n_groups)
-        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-        return pa.table([pa.array(used, pa.int64()), pa.array([key[0].as_py()] * len(used), pa.int64()), cut(hu), cut(hw), cut(c.astype(np.int64)), cut(p[word].astype(np.float32))], names=["bucket", "g", "hu", "hw", "c", "p"])
+        pairs = group.pairs(counts, parts)
+        logs = np.append(np.where(counts > 0, p, event_log), event_log)[pairs.word]
+        used, at = bucket_runs(pairs.key, n_buckets)
+        start = np.append(pairs.start, len(pairs.word))[at]
+        cut = lambda x, at: pa.array([squeezed(x[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
+        short = np.clip(np.rint(logs * LOG_PARTS), -32768, 0).astype(np.int16)
+        return pa.table([pa.array(used, pa.int64()), pa.array([group.g] * len(used), pa.int64()), cut(pairs.key, at), cut(pairs.sizes().astype(np.int32), at), cut(counts[pairs.context[pairs.start]], at), cut(pairs.hashed, start), cut(pairs.customers.astype(np.int32), start), cut(short, start)], names=[x.split()[0] for x in SENT.split(", ")])
 
     def seat_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = {c: [np.frombuffer(x, k) for x in table.column(c).to_pylist()] for c, k in (("hu", np.uint64), ("hw", np.uint32), ("c", np.int64), ("p", np.float32))}
-        hu, hw, c, p = (np.concatenate(x) for x in parts.values())
-        order = np.lexsort((hw, hu))
-        u, w = hu[order], hw[order]
-        new = np.ones(len(u), dtype=bool)
-        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-        first = np.flatnonzero(new)
-        context = np.cumsum(np.concatenate([[0], u[first][1:] != u[first][:-1]]))
-        q = contexts(context, np.add.reduceat(c[order], first), p[order][first].astype(np.float64), key[0].as_py(), sweeps)
-        out = np.empty(len(u))
-        out[order] = np.repeat(q, np.diff(np.append(first, len(u))))
-        ends = np.cumsum([len(x) for x in parts["hu"]])[:-1]
-        none = pa.array([b""] * table.num_rows, pa.binary())
-        return pa.table([table.column("bucket"), table.column("g"), pa.array([PAIRS] * table.num_rows, pa.int32()), none, pa.array([x.tobytes() for x in np.split(out, ends)], pa.binary())], names=["bucket", "g", "kind", "counts", "p"])
+        every = {c: [spread(x, k) for x in table.column(c).to_pylist()] for c, k in (("key", np.uint64), ("sizes", np.int32), ("n", np.int64), ("hashed", np.uint32), ("c", np.int32), ("p", np.int16))}
+        keys, sizes, n, hashed, c, p = (np.concatenate(x) for x in every.values())
+        used, own = np.unique(keys, return_inverse=True)
+        guests = np.zeros(len(used), dtype=np.int64)
+        guests[own] = n
+        pair = np.repeat(own.astype(np.uint64), sizes) << np.uint64(32) | hashed
+        order = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
+        context, customers = (pair[order[first]] >> np.uint64(32)).astype(np.int64), np.add.reduceat(c[order].astype(np.int64), first)
+        discount, tables = seating(context, customers, 10.0 ** (p[order[first]] / LOG_PARTS), parts(guests), key[0].as_py(), sweeps)
+        left = np.empty(len(pair), dtype=np.float32)
+        left[order] = np.repeat(customers - discount * tables, np.diff(np.append(first, len(pair))))
+        off = discount * np.bincount(context, weights=tables, minlength=len(used))
+        split = lambda x, like: [squeezed(y) for y in np.split(x, np.cumsum([len(y) for y in like])[:-1])]
+        many, rows = parts(guests) > 1, table.num_rows
+        return pa.table([pa.array(table.column("bucket").to_pylist() + [key[0].as_py()], pa.int64()), pa.array(table.column("g").to_pylist() + [-1], pa.int64()), pa.array([PAIRS] * rows + [TOTALS], pa.int32()), pa.array([*split(off[own].astype(np.float32), every["key"]), used[many].tobytes()], pa.binary()), pa.array([*split(left, every["hashed"]), off[many].tobytes()], pa.binary())], names=["bucket", "g", "kind", "counts", "p"])
+
+    one = materialize(sought.select("bucket", "g", "words").groupBy("bucket").cogroup(words.select("bucket", "words", "counts").groupBy("bucket")).applyInArrow(answer, REPLY), "answers")
+    by_group = groups.groupBy("g")
+    sent = by_group.cogroup(one.groupBy("g")).applyInArrow(send_pairs, SENT)
+    two = materialize(sent.groupBy("bucket").applyInArrow(seat_pairs, REPLY), "pairs")
+    # The parts of frequent contexts: at most 4 for each bucket, whatever the input.
+    totals = two.where(F.col("kind") == TOTALS).select("counts", "p").collect()
+    off_of = {k: x for keys, off in totals for k, x in zip(np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(off, np.float64).tolist())}
+    split_off = spark.sparkContext.broadcast(off_of)
 
     def score(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        group = Parsed(table, n_groups)
+        group = Parsed(table.to_pylist()[0])
         counts, p = group.answers(replies)
         base, spelled = np.log10(counts + 1.0) - base_log, np.zeros(len(counts))
         if total:
             new = counts == 0
-            spelled[new] = np.log10(np.maximum(p[new], 1e-300) / event)
-            p[new] = event
-            hu, _, _, _, at, which = group.pairs(counts, limit)
-            used, bounds = bucket_runs(hu, n_groups)
-            got = {b: x for kind, b, x in zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "p"))) if kind == PAIRS}
-            q = np.concatenate([np.zeros(0), *[np.frombuffer(got[b], np.float64) for b in used.tolist()]])
-            logs = np.log10(np.maximum(p, 1e-300))[group.word]
-            logs[at] = np.log10(np.maximum(q[which], 1e-300))
+            spelled[new] = p[new] - event_log
+            p[new] = event_log
+            logs = p[group.word]
+            pairs = group.pairs(counts, parts)
+            got = {b: (c, x) for kind, b, c, x in zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "counts", "p"))) if kind == PAIRS}
+            used, _ = bucket_runs(pairs.key, n_buckets)
+            off, left = (np.concatenate([np.zeros(0), *[spread(got[b][i], np.float32) for b in used.tolist()]]) for i in (0, 1))
+            off = np.repeat(off, pairs.sizes())
+            whole = np.full(len(counts), np.nan)
+            for u in np.flatnonzero(parts(counts) > 1).tolist():
+                keys = restaurant(pairs.hashes[u : u + 1], np.arange(parts(counts[u]), dtype=np.uint64))
+                whole[u] = sum(split_off.value.get(k, 0.0) for k in keys.tolist())
+            whole = whole[pairs.context]
+            off = np.where(np.isnan(whole), off, whole)
+            parent = 10.0 ** np.append(p, event_log)[pairs.word]
+            q = (left + (THETA + off) * parent) / (THETA + counts[pairs.context])
+            logs[pairs.at] = np.log10(np.maximum(q, 1e-300))[pairs.which]
         else:
             logs = base[group.word]
-        first = np.cumsum(group.sizes) - group.sizes
-        by_text = lambda x: np.add.reduceat(x, first)
-        columns = [pa.array([doc for doc, _ in group.rows], pa.int64()), pa.array(group.sizes), pa.array(by_text((counts[group.word] > 0).astype(np.int64))), pa.array(np.full(len(first), total, np.int64)), pa.array(by_text(base[group.word])), pa.array(by_text(logs)), pa.array(by_text(logs + spelled[group.word]))]
+        by_text = lambda x: np.add.reduceat(x, group.first)
+        columns = [pa.array(group.docs, pa.int64()), pa.array(group.sizes), pa.array(by_text((counts[group.word] > 0).astype(np.int64))), pa.array(np.full(len(group.first), total, np.int64)), pa.array(by_text(base[group.word])), pa.array(by_text(logs)), pa.array(by_text(logs + spelled[group.word]))]
         return pa.table(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"])
 
-    by_group = texts.groupBy("g")
-    asked = by_group.applyInArrow(ask, "bucket long, g long, words binary")
-    one = asked.groupBy("bucket").cogroup(words.select("bucket", "words", "counts").groupBy("bucket")).applyInArrow(answer, REPLY)
-    sent = by_group.cogroup(one.groupBy("g")).applyInArrow(send_pairs, "bucket long, g long, hu binary, hw binary, c binary, p binary")
-    two = sent.groupBy("bucket").applyInArrow(seat_pairs, REPLY)
-    return by_group.cogroup(one.unionByName(two).groupBy("g")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double")
+    replies = one.unionByName(two.where(F.col("kind") == PAIRS))
+    return by_group.cogroup(replies.groupBy("g")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double")
 
 
 def held_out():
