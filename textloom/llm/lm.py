@@ -3,6 +3,7 @@ parent, whose base is a hierarchy of spelling restaurants."""
 
 from __future__ import annotations
 
+import contextlib
 import math
 import zlib
 from collections import Counter
@@ -53,6 +54,23 @@ def packed_words(words: list[bytes]) -> bytes:
     return b"\n".join(words) + b"\n"
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Inside, Spark removes a job's shuffle files when the job is done, as its result is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    with tidy(df.sparkSession):
+        return materialize(df, tag)
+
+
 def squeezed(x: np.ndarray | bytes) -> bytes:
     """Numbers for the way: bytes of like weight together, as the upper ones are mostly alike, and compressed."""
     x = np.frombuffer(x, np.uint8) if isinstance(x, bytes) else np.ascontiguousarray(x)
@@ -422,7 +440,7 @@ def merged(words: DataFrame) -> DataFrame:
         row = {"bucket": key[0].as_py(), "words": packed_words(words), "counts": c.tobytes(), "n": int(c.sum()), "ones": int((c == 1).sum()), "twos": int((c == 2).sum()), "types": len(c)}
         return pa.table({k: pa.array([v] if words else [], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in row.items()})
 
-    return materialize(words.groupBy("bucket").applyInArrow(merge, VOCABULARY), "vocabulary")
+    return written(words.groupBy("bucket").applyInArrow(merge, VOCABULARY), "vocabulary")
 
 
 def vocabulary(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -502,7 +520,7 @@ def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     n_buckets = count_groups(docs)
-    groups = materialize(parsed(docs, n_buckets), "parsed")
+    groups = written(parsed(docs, n_buckets), "parsed")
     sought = asked(groups)
     words = merged(sought)
     total, types = (x or 0 for x in words.agg(F.sum("n"), F.sum("types")).first())
@@ -564,10 +582,10 @@ def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
         many, rows = parts(guests) > 1, table.num_rows
         return pa.table([pa.array(table.column("bucket").to_pylist() + [key[0].as_py()], pa.int64()), pa.array(table.column("g").to_pylist() + [-1], pa.int64()), pa.array([PAIRS] * rows + [TOTALS], pa.int32()), pa.array([*split(off[own].astype(np.float32), every["key"]), used[many].tobytes()], pa.binary()), pa.array([*split(left, every["hashed"]), off[many].tobytes()], pa.binary())], names=["bucket", "g", "kind", "counts", "p"])
 
-    one = materialize(sought.select("bucket", "g", "words").groupBy("bucket").cogroup(words.select("bucket", "words", "counts").groupBy("bucket")).applyInArrow(answer, REPLY), "answers")
+    one = written(sought.select("bucket", "g", "words").groupBy("bucket").cogroup(words.select("bucket", "words", "counts").groupBy("bucket")).applyInArrow(answer, REPLY), "answers")
     by_group = groups.groupBy("g")
     sent = by_group.cogroup(one.groupBy("g")).applyInArrow(send_pairs, SENT)
-    two = materialize(sent.groupBy("bucket").applyInArrow(seat_pairs, REPLY), "pairs")
+    two = written(sent.groupBy("bucket").applyInArrow(seat_pairs, REPLY), "pairs")
     # The parts of frequent contexts: at most 4 for each bucket, whatever the input.
     totals = two.where(F.col("kind") == TOTALS).select("counts", "p").collect()
     off_of = {k: x for keys, off in totals for k, x in zip(np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(off, np.float64).tolist())}
