@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from unittest import mock
 
 import duckdb
 import numpy as np
@@ -401,6 +402,29 @@ def test_language_score_means_the_same_at_every_length():
     assert got[0] == pytest.approx(got[1], rel=1e-5)
 
 
+def test_language_keeps_evidence():
+    texts = ["The nation\u2019s \u0153uvre, 2nd na\xefve_caf\xe9 \xbd \xb2x", "\u4e2d\u6587 und stra\xdfe \u0130x", "a\x85b\xa0c\x1cd", "", "wort " * 300_000 + "Nationen zq9zq"]
+    for text in texts:
+        assert list(language.word_counts(text).items()) == list(Counter(language.WORD.findall(text.lower())).items())
+    m = language.Model([(x, w, 9) for x, ws in {"en": "the with nation", "de": "der mit zeitung"}.items() for w in ws.split()])
+    kept = language.Evidence(m)
+    for text in texts * 2:
+        words = language.word_counts(text)
+        got = kept.of(words)
+        assert got.shape == (len(words), 3)
+        for row, w in zip(got, words):
+            assert np.allclose(row[:2], m.word(w)) and row[2] == any(map(str.isalpha, w))
+    # Words of the model stay when the others go, and none of either is looked for twice.
+    asked, unseen = [], m.unseen
+    m.unseen = lambda words: asked.extend(words) or unseen(words)
+    for text in texts:
+        kept.of(language.word_counts(text))
+    assert not asked
+    with mock.patch.object(language, "CACHE", 2):
+        kept.of(Counter(["newer", "nation"]))
+    assert asked == ["newer"] and set(kept.index) == {*m.words[0], "newer"}
+
+
 def test_language_learns_rare_languages(spark):
     rows = [(i, "the quick brown fox and the lazy dog", "en") for i in range(3000)] + [(5000 + i, "kuu paistaa j\u00e4rven yli hiljaa", "fi") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

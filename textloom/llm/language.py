@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,28 @@ from .common import checked_broadcast, small_batches, worker_cache
 #: longest n-gram that unseen words back off to.
 SAMPLE_DOCS = 1000
 MAX_N = 5
-#: Words whose scores a worker keeps; and how many words like a text's average word a score is the posterior of. It is the
+#: Words beyond the model's own whose scores a worker keeps; and how many words like a text's average word a score is the posterior of. It is the
 #: same for all texts, so a score means the same whatever the length.
 CACHE = 100_000
 SHARPNESS = 10
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
+#: A code page of Western letters and marks: texts in it are cut into words as bytes, of which all but letters become spaces.
+PAGE = "cp1252"
+LETTERS = bytes(b if WORD.fullmatch(bytes([b]).decode(PAGE, "replace")) else 32 for b in range(256))
+#: Characters of a text that are cut into words at once.
+LONG = 1 << 20
+
+
+def word_counts(text: str) -> Counter:
+    """The lower-case words of a text, each with its count; of a very long one, only those of its distinct words are held."""
+    text = text.lower()
+    if len(text) > LONG:
+        return Counter(w[0] for w in WORD.finditer(text))
+    try:
+        return Counter(text.encode(PAGE).translate(LETTERS).decode(PAGE).split())
+    except UnicodeEncodeError:
+        return Counter(WORD.findall(text))
 
 
 class Model:
@@ -47,6 +64,7 @@ class Model:
                     if g not in table:
                         table[g] = [0] * len(self.langs)
                     table[g][at] = k
+        self.evidence: Evidence | None = None  # a worker's
         self.words = self._logs({w: c for w, c in words.items() if sum(c) > 1})
         self.grams = [self._logs({g: c for g, c in t.items() if sum(c) > 2}) for t in grams]
 
@@ -60,14 +78,53 @@ class Model:
     def word(self, word: str) -> np.ndarray:
         """Evidence of one lower-case word for each language."""
         index, logs = self.words
-        if (i := index.get(word)) is not None:
-            return logs[i]
-        for n in range(self.max_n, 0, -1):
-            index, logs = self.grams[n]
-            got = [index[g] for i in range(len(word) + 3 - n) if (g := f"<{word}>"[i : i + n]) in index]
-            if got:
-                return logs[got].mean(0)
-        return np.zeros(len(self.langs), np.float32)
+        return logs[index[word]] if word in index else self.unseen([word])[0]
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Evidence of words outside the model, by row: the mean of the longest n-grams that are in it."""
+        out, found = np.zeros((len(words), len(self.langs)), np.float32), [([], [], []) for _ in self.grams]
+        for row, word in enumerate(words):
+            whole = f"<{word}>"
+            for n in range(min(self.max_n, len(whole)), 0, -1):
+                index = self.grams[n][0]
+                got = [i for at in range(len(whole) + 1 - n) if (i := index.get(whole[at : at + n])) is not None]
+                if got:
+                    rows, sizes, all = found[n]
+                    rows.append(row)
+                    sizes.append(len(got))
+                    all += got
+                    break
+        for (_, logs), (rows, sizes, all) in zip(self.grams, found):
+            if rows:
+                out[rows] = np.add.reduceat(logs[all], np.cumsum(sizes) - sizes) / np.array(sizes, np.float32)[:, None]
+        return out
+
+
+class Evidence:
+    """Evidence of words by row, the last column 1 if the word has a letter; a worker keeps the model's words and up to CACHE others."""
+
+    def __init__(self, model: Model):
+        self.model, (index, logs) = model, model.words
+        self.index, self.known = dict(index), len(index)
+        self.rows = np.concatenate([self._lettered(list(index), logs), np.zeros((1024, len(model.langs) + 1), np.float32)])
+
+    @staticmethod
+    def _lettered(words: list[str], logs: np.ndarray) -> np.ndarray:
+        return np.column_stack([logs, np.array([w.isalpha() or any(map(str.isalpha, w)) for w in words], np.float32)])
+
+    def of(self, words: Counter) -> np.ndarray:
+        """Rows of the words, in their order."""
+        at = list(map(self.index.get, words, repeat(-1)))
+        if -1 in at:
+            if len(self.index) > self.known + CACHE:
+                self.index = dict(self.model.words[0])
+            new, first = [w for w in words if w not in self.index], len(self.index)
+            if first + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(len(new), len(self.rows) // 4), self.rows.shape[1]), np.float32)])
+            self.rows[first : first + len(new)] = self._lettered(new, self.model.unseen(new))
+            self.index.update(zip(new, range(first, first + len(new))))
+            at = list(map(self.index.__getitem__, words))
+        return self.rows[at]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
@@ -112,22 +169,16 @@ def _predicted(docs: DataFrame, model: Model, rows, schema) -> DataFrame:
     def predict(batches):
         worker_cache("language", dict)  # nothing is kept here, but what other operators kept goes
         m: Model = shared.value
-        k, index, logs = len(m.langs), {}, np.zeros((1024, len(m.langs) + 1), np.float32)
+        k = len(m.langs)
+        # The worker has the same model in its next task, and so what was found of words.
+        if m.evidence is None:
+            m.evidence = Evidence(m)
         for batch in batches:
             preds, scores = [], []
             for cell in batch.column("text"):
                 text = cell.as_py()
-                counts = Counter(w[0] for w in WORD.finditer(text.lower())) if text and k else {}
-                if len(index) > CACHE:
-                    index.clear()
-                for w in counts:
-                    if w not in index:
-                        if len(index) == len(logs):
-                            logs = np.concatenate([logs, np.zeros_like(logs)])
-                        logs[len(index)] = np.append(m.word(w), any(map(str.isalpha, w)))
-                        index[w] = len(index)
-                at, n = np.fromiter(map(index.__getitem__, counts), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
-                total = n @ logs[at] if counts else np.zeros(k + 1)
+                counts = word_counts(text) if text and k else {}
+                total = np.fromiter(counts.values(), np.float64, len(counts)) @ m.evidence.of(counts) if counts else np.zeros(k + 1)
                 if not k or not total[k]:
                     preds.append(UNKNOWN)
                     scores.append(0.0)
