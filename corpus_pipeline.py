@@ -14,6 +14,11 @@ from textloom.llm.common import remove, scratch, shared_dir
 # empty tables as the operator that it calls says; more columns, of any name, come through.
 
 
+#: Chunks that a packing worker keeps and characters that it encodes at once: the executors hold what the stages before took.
+PACK_CACHE = 120_000
+PACK_ENCODED = 1 << 19
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters (so null and empty texts go), or none with a score above one half."""
     return language.keep_identified(docs, language.fit(docs.where(~language.held_out())))
@@ -36,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, placed in sequences of 4096; a null text is the end id alone."""
-    return packing.packed(docs)
+    return packing.packed(docs, cache=PACK_CACHE, encoded=PACK_ENCODED)
 
 
 STAGES = [("language", identify), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]

@@ -340,6 +340,11 @@ def test_pack_does_not_depend_on_splits(spark, documents):
     assert one == many
 
 
+def test_pack_does_not_depend_on_memory(spark, documents):
+    little, much = (Counter(map(tuple, packing.packed(documents, **k).collect())) for k in ({"cache": 200, "encoded": 5000}, {}))
+    assert little == much
+
+
 def test_pack_special_tokens(spark):
     rows = [(1, "one <|endoftext|> two"), (2, "<|STARTOFTEXT|> A"), (3, "<|endoftext|><|endoftext|>"), (4, "< |endoftext| >"), (5, "x\x1cy Don't STOP, caf\u00e9")]
     check_packed(packing.packed(spark.createDataFrame(rows, "doc_id long, text string")).collect(), dict(rows))

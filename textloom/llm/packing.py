@@ -185,9 +185,9 @@ def best_fill(lengths: list[int], count, capacity: int) -> list[int]:
     return taken
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, cache: int = CACHE) -> Encoder:
     """This worker's encoder, which keeps what it has learned from task to task."""
-    return worker_cache(("packing", path), lambda: Encoder(path))
+    return worker_cache(("packing", path, cache), lambda: Encoder(path, cache))
 
 
 class Pool:
@@ -234,18 +234,18 @@ def runs(texts: list[str], most: int = ENCODED):
         yield run
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, cache: int = CACHE, encoded: int = ENCODED) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, copy): each document's ids, the end id last, cut into full sequences and a
     rest. copy numbers the equal pieces of one batch, so that a document that is repeated very often is not one key."""
     small_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()
 
     def cut(batches):
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, cache)
         for batch in batches:
             out, seen = [], Counter()
-            encoded = chain.from_iterable(map(encoder.encode, runs([t or "" for t in batch.column("text").to_pylist()])))
-            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoded):
+            ids = chain.from_iterable(map(encoder.encode, runs([t or "" for t in batch.column("text").to_pylist()], encoded)))
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), ids):
                 for start in range(0, len(tokens), length):
                     piece = tokens[start : start + length]
                     row = (doc, start, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), len(tokens))
@@ -286,7 +286,7 @@ def filled(table: pa.Table, bucket: int, length: int, window: int) -> pa.Table:
     return pa.table(columns + [pa.array(sequence + (bucket << 32)), pa.array(offset), pa.array(padded[sequence])], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, window: int = WINDOW, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, window: int = WINDOW, bucket_pieces: int = BUCKET_PIECES, cache: int = CACHE, encoded: int = ENCODED) -> DataFrame:
     """One row a piece: where its tokens stand in their document and in their sequence, and how long the sequence is padded.
 
     A document's ids (the end id last) are cut into full sequences; what remains, at most ``length`` - 1 ids, is placed by
@@ -294,13 +294,14 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     multiset of the window's lengths fills it as closely as can be. Texts are encoded where they are read; only the pieces'
     short rows (no ids) move, by a hash, to buckets of about ``bucket_pieces``, and a bucket fills its sequences. So padding
     does not grow with the number of files or tasks, only with that of buckets, and the result does not depend on either.
-    A sequence is padded to ``length``, but not if its own length is a power of two.
+    A sequence is padded to ``length``, but not if its own length is a power of two. Where executors are short of memory,
+    ``cache`` (chunks that a worker keeps) and ``encoded`` (characters encoded at once) can be less; the result is the same.
 
     A null or empty text is the end id alone. A very long text is many full sequences and one rest. Rows that repeat a doc_id
     are packed each. Pieces of equal length and ids are ties, of which any goes first. An empty table gives an empty result.
     Other columns are ignored.
     """
-    rows = materialize(pieces(docs, tokenizer, length), "pieces")
+    rows = materialize(pieces(docs, tokenizer, length, cache, encoded), "pieces")
     n = max(1, -(-rows.count() // bucket_pieces))
     names = [x.split()[0] for x in PIECE.split(", ")]
     dealt = rows.select(*names, F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "copy"), F.lit(n)).alias("bucket"))
