@@ -288,3 +288,20 @@ def test_parts_of_a_frequent_context(spark, monkeypatch):
         monkeypatch.setattr(lm, "count_groups", lambda docs, n=n: n)
         got.append({x.doc_id: x for x in lm.scored(docs, F.col("train")).collect()})
     assert len(got[0]) == 200 and all(got[1][i].score == pytest.approx(x.score, rel=0.02) and got[1][i].base_score == pytest.approx(x.base_score) for i, x in got[0].items())
+
+
+def test_groups_of_texts_are_not_shuffled(spark, documents):
+    """What is sent back goes to the groups; their texts stay in the files they were written to."""
+    plan = lm.scored(documents, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(g#") == 1
+
+
+def test_steps_of_runs():
+    r = np.random.default_rng(8)
+    sizes = r.integers(1, 9, 200)
+    first = np.cumsum(sizes) - sizes
+    x = np.concatenate([np.sort(r.integers(0, 1 << 40, n)) for n in sizes])
+    assert (lm.stepped(lm.steps(x, first), sizes) == x).all()
+    short = r.integers(-32768, 1, len(x))
+    assert (lm.stepped(lm.steps(short, first).astype(np.int16), sizes).astype(np.int16) == short).all()
+    assert not len(lm.stepped(lm.steps(x[:0], first[:0]), sizes[:0]))

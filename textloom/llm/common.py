@@ -70,6 +70,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, key: str, n: int) -> DataFrame:
+    """df, materialized in ``n`` buckets by a hash of ``key``: what is grouped by the key meets it there, and it is never shuffled."""
+    spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
+    folder = _scratch[-1] if _scratch else shared_dir(spark).rstrip("/")
+    df.write.bucketBy(n, key).format("parquet").option("path", f"{folder}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table has a path of its own
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch by rows and, where this Spark has the setting, by bytes: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

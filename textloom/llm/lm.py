@@ -9,13 +9,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import GROUP_BYTES, bucket_runs, count_groups, materialize, small_batches
+from .common import GROUP_BYTES, MOST_PARTITIONS, bucketed, count_groups, materialize, small_batches
 
 #: Gibbs sweeps whose predictive probabilities are averaged, after one that starts from a table a dish; the customers of each
 #: dish that get up and sit down again in a sweep; concentration; seed.
@@ -30,6 +29,8 @@ SYMBOLS = 257
 CLASSES = 32
 #: A word's log10 probability travels to its contexts as so many whole parts.
 LOG_PARTS = 1000
+#: Bits of a word's rank in its bucket of the vocabulary, of a part's number, and of a word's number in the whole vocabulary.
+RANK_BITS, PART_BITS, ID_BITS = 24, 20, 40
 
 
 def _classes() -> np.ndarray:
@@ -67,6 +68,20 @@ def spread(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
+def steps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, anew at each place of ``first``: what is sorted in runs becomes small."""
+    out = np.diff(x, prepend=x[:1] * 0)
+    out[first] = x[first]
+    return out
+
+
+def stepped(d: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What ``steps`` were taken of, in runs of these sizes."""
+    total = np.cumsum(d, dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    return total - np.repeat(total[first] - d[first], sizes)
+
+
 def words_of(blob: bytes) -> list[bytes]:
     return spread(blob, np.uint8).tobytes()[:-1].split(b"\n")
 
@@ -341,54 +356,57 @@ class Parsed:
         """(bucket, first, last) of the words of each bucket."""
         return zip(self.buckets.tolist(), self.bounds[:-1].tolist(), self.bounds[1:].tolist())
 
-    def answers(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Training count and log10 probability in the word restaurant of each word."""
-        got = {b: (c, x) for kind, b, c, x in zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "counts", "p"))) if kind == WORDS}
-        counts, p = (np.concatenate([spread(got[b][i], k) for b in self.buckets.tolist()]) for i, k in ((0, np.int64), (1, np.float32)))
-        return counts, p.astype(np.float64)
-
-    def pairs(self, counts: np.ndarray, parts) -> Pairs:
-        return Pairs(self, counts, parts)
+    def answers(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training count, log10 probability in the word restaurant, and rank in its bucket of each word."""
+        got = {b: x for kind, b, *x in zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "a", "b", "c"))) if kind == WORDS}
+        counts, p, ranks = (np.concatenate([spread(got[b][i], k) for b in self.buckets.tolist()]) for i, k in enumerate((np.int64, np.float32, np.int32)))
+        return counts, p.astype(np.float64), ranks.astype(np.int64)
 
 
 class Pairs:
     """The distinct pairs after known words, in order of the restaurant's key; all unknown words are one.
 
-    ``key``, ``start``: the restaurants (a context, or its part that the second word's hash says) and where their pairs begin;
-    ``context``, ``hashed``, ``word``, ``customers``: of each pair, the first word, the second one's hash and number, and the
-    training count; ``at``, ``which``: the tokens after known words, and the pair of each.
+    ``key``, ``start``: the restaurants (a context, or its part that the second word's number says) and where their pairs begin;
+    ``context``, ``word``, ``id``, ``customers``: of each pair, the first word, the second one, its number in the vocabulary, and
+    the training count; ``at``, ``which``: the tokens after known words, and the pair of each.
     """
 
-    def __init__(self, group: Parsed, counts: np.ndarray, parts):
+    def __init__(self, group: Parsed, counts: np.ndarray, ranks: np.ndarray, parts, n_buckets: int):
         # The word before each: at the start of a text its end, as if texts followed each other.
         before = np.roll(group.word, 1)
         self.at = np.flatnonzero(counts[before] > 0)
         n = len(group.words)
-        second = np.where(counts > 0, np.arange(n), n)[group.word[self.at]]
-        code, which = np.unique(before[self.at] * (n + 1) + second, return_inverse=True)
-        context, word = code // (n + 1), code % (n + 1)
-        hashes = np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, group.words), np.uint64, n), np.uint64(0))
-        hashed = hashes[word] & np.uint64(0xFFFFFFFF)
-        key = restaurant(hashes[context], hashed % parts(counts[context]).astype(np.uint64))
+        self.ranks, self.bucket = ranks, np.repeat(group.buckets, np.diff(group.bounds))
+        # The ranks of all buckets take turns, so likely words have small numbers; 0 is any unknown word.
+        ids = np.where(counts > 0, ranks * n_buckets + self.bucket + 1, 0)
+        by_id = np.argsort(ids, kind="stable")
+        place = np.empty(n, dtype=np.int64)
+        place[by_id] = np.arange(1, n + 1)
+        code, which = np.unique(before[self.at] * (n + 1) + np.where(counts > 0, place, 0)[group.word[self.at]], return_inverse=True)
+        context, word = code // (n + 1), np.append(n, by_id)[code % (n + 1)]
+        id_ = np.append(ids, 0)[word]
+        key = restaurant(self.bucket[context], ranks[context], id_ % parts(counts[context]), n_buckets)
         order = np.argsort(key, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.which = place[which]
-        self.context, self.word, self.hashed = context[order], word[order], hashed[order].astype(np.uint32)
+        self.context, self.word, self.id = context[order], word[order], id_[order]
         self.key, self.start = np.unique(key[order], return_index=True)
         self.customers = np.bincount(self.which[group.learn[self.at]], minlength=len(order))
-        self.hashes = hashes
 
     def sizes(self) -> np.ndarray:
         return np.diff(np.append(self.start, len(self.word)))
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that the restaurants lie in, and the bounds of each one's."""
+        used, first = np.unique(self.key >> RANK_BITS + PART_BITS, return_index=True)
+        return used, np.append(first, len(self.key))
 
-def restaurant(context: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """The key of a part of a context's restaurant: well mixed, so parts lie in different buckets."""
-    z = context + part * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+
+def restaurant(bucket: np.ndarray, rank: np.ndarray, part: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The key of a part of a context's restaurant: where it is seated, the part, and the context's rank in its own bucket. The
+    first part is seated in this bucket, the others in those that follow."""
+    return ((bucket + part) % n_buckets << RANK_BITS + PART_BITS) + (part << RANK_BITS) + rank
 
 
 def asked(groups: DataFrame) -> DataFrame:
@@ -471,8 +489,10 @@ def sample(spark: SparkSession, words: DataFrame, sweeps: int = SWEEPS) -> list[
 
 
 WORDS, PAIRS, TOTALS = 0, 1, 2
-REPLY = "bucket long, g long, kind int, counts binary, p binary"
-SENT = "bucket long, g long, key binary, sizes binary, n binary, hashed binary, c binary, p binary"
+#: To a group of WORDS: training counts, log10 probabilities, ranks. To a group of PAIRS: customers and tables of each pair and
+#: tables of each restaurant, in SWEEPS parts, with the discount. TOTALS: the keys and discounts of parts.
+REPLY = "bucket long, g long, kind int, a binary, b binary, c binary, discount double"
+SENT = "bucket long, g long, key binary, sizes binary, parts binary, id binary, c binary, p binary"
 
 
 def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
@@ -490,9 +510,9 @@ def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
     Texts are cut into words once, in groups where they lie. A group sends its distinct words to their buckets and gets a count
     and a probability a word back, then its distinct pairs with their training counts to the buckets of their contexts, which
     seat them and send customers less discounts back, and the discounts of the whole restaurant. A context with more than half
-    a bucket's share of all tokens is dealt to several buckets by a hash of the second word; their discounts are added up, so its
-    probabilities sum to one too. A frequent word or pair is sent once a group, and nothing is held whole anywhere. A pair is
-    known by 96 bits.
+    a bucket's share of all tokens is dealt to several buckets by the second word's number; their discounts are added up, so its
+    probabilities sum to one too. A frequent word or pair is sent once a group, and nothing is held whole anywhere. A word is known
+    by its bucket and its rank there by probability, so pairs are sorted runs of small numbers. Groups stay where they were written.
 
     A null or blank text is its end alone; a very long one is one document of its group. Without training rows every count is
     0, and score is base_score. Rows that repeat a doc_id are scored each, and learned from each; a null ``learn`` is no; an
@@ -502,7 +522,7 @@ def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     n_buckets = count_groups(docs)
-    groups = materialize(parsed(docs, n_buckets), "parsed")
+    groups = bucketed(parsed(docs, n_buckets), "parsed", "g", min(n_buckets, MOST_PARTITIONS))
     sought = asked(groups)
     words = merged(sought)
     total, types = (x or 0 for x in words.agg(F.sum("n"), F.sum("types")).first())
@@ -516,14 +536,21 @@ def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
         """Parts of the restaurant of a word counted so often."""
         return -(-2 * n_buckets * count // max(1, total))
 
+    def reply(bucket: int, to: list[int], kind: int, *blobs: list[bytes], discount: float = 0.0) -> pa.Table:
+        n = len(to)
+        columns = [pa.array([bucket] * n, pa.int64()), pa.array(to, pa.int64()), pa.array([kind] * n, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs], pa.array([discount] * n, pa.float64())]
+        return pa.table(columns, names=["bucket", "g", "kind", "a", "b", "c", "discount"])
+
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
-        samples, index, counts, mean = shared.value, {}, np.zeros(1, np.int64), np.zeros(1)
+        samples, index, counts, mean, ranks = shared.value, {}, np.zeros(1, np.int64), np.zeros(1), np.zeros(1, np.int32)
         for blob, packed in zip(known.column("words").to_pylist(), known.column("counts").to_pylist()):
             c = np.frombuffer(packed, np.int64)
             index = {w: i for i, w in enumerate(blob[:-1].split(b"\n"))}
             mean = np.append(sum(s.predictive(c, *s.seats(key[0].as_py(), blob, c)) for s in samples) / max(1, len(samples)), 0)
             counts = np.append(c, 0)
-        found, probabilities = [], []
+            ranks = np.zeros(len(counts), np.int32)
+            ranks[np.argsort(-mean[:-1], kind="stable")] = np.arange(len(c))
+        found, probabilities, places = [], [], []
         for blob in asked.column("words").to_pylist():
             ws = words_of(blob)
             i = np.fromiter((index.get(w, -1) for w in ws), np.int64, len(ws))
@@ -533,63 +560,75 @@ def scored(docs: DataFrame, learn, sweeps: int = SWEEPS) -> DataFrame:
                 p[miss] = sum(s.predictive(0, 0, s.base(spelled)) for s in samples) / len(samples)
             found.append(squeezed(counts[i]))
             probabilities.append(squeezed(np.log10(np.maximum(p, 1e-300)).astype(np.float32)))
-        return pa.table([asked.column("bucket"), asked.column("g"), pa.array([WORDS] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array(probabilities, pa.binary())], names=["bucket", "g", "kind", "counts", "p"])
+            places.append(squeezed(ranks[i]))
+        return reply(key[0].as_py(), asked.column("g").to_pylist(), WORDS, found, probabilities, places)
 
     def send_pairs(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         group = Parsed(table.to_pylist()[0])
-        counts, p = group.answers(replies)
-        pairs = group.pairs(counts, parts)
+        counts, p, ranks = group.answers(replies)
+        pairs = Pairs(group, counts, ranks, parts, n_buckets)
         logs = np.append(np.where(counts > 0, p, event_log), event_log)[pairs.word]
-        used, at = bucket_runs(pairs.key, n_buckets)
+        used, at = pairs.runs()
         start = np.append(pairs.start, len(pairs.word))[at]
         cut = lambda x, at: pa.array([squeezed(x[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
-        short = np.clip(np.rint(logs * LOG_PARTS), -32768, 0).astype(np.int16)
-        return pa.table([pa.array(used, pa.int64()), pa.array([group.g] * len(used), pa.int64()), cut(pairs.key, at), cut(pairs.sizes().astype(np.int32), at), cut(counts[pairs.context[pairs.start]], at), cut(pairs.hashed, start), cut(pairs.customers.astype(np.int32), start), cut(short, start)], names=[x.split()[0] for x in SENT.split(", ")])
+        short = np.clip(np.rint(logs * LOG_PARTS), -32768, 0).astype(np.int64)
+        # A step between two probabilities fits its type as each of them does: it wraps around.
+        blobs = [
+            cut(steps(pairs.key, at[:-1]), at), cut(pairs.sizes().astype(np.int32), at), cut(parts(counts[pairs.context[pairs.start]]).astype(np.int32), at), cut(steps(pairs.id, pairs.start), start),
+            cut(pairs.customers.astype(np.int32), start), cut(steps(short, pairs.start).astype(np.int16), start),
+        ]
+        return pa.table([pa.array(used, pa.int64()), pa.array([group.g] * len(used), pa.int64()), *blobs], names=[x.split()[0] for x in SENT.split(", ")])
 
     def seat_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        every = {c: [spread(x, k) for x in table.column(c).to_pylist()] for c, k in (("key", np.uint64), ("sizes", np.int32), ("n", np.int64), ("hashed", np.uint32), ("c", np.int32), ("p", np.int16))}
-        keys, sizes, n, hashed, c, p = (np.concatenate(x) for x in every.values())
+        every = {c: [spread(x, k) for x in table.column(c).to_pylist()] for c, k in (("key", np.int64), ("sizes", np.int32), ("parts", np.int32), ("id", np.int64), ("c", np.int32), ("p", np.int16))}
+        keys = np.concatenate([stepped(x, np.array([len(x)])) for x in every["key"]])
+        sizes, n_parts, ids, c, p = (np.concatenate(every[k]) for k in ("sizes", "parts", "id", "c", "p"))
+        ids, p = stepped(ids, sizes), stepped(p, sizes).astype(np.int16)
         used, own = np.unique(keys, return_inverse=True)
-        guests = np.zeros(len(used), dtype=np.int64)
-        guests[own] = n
-        pair = np.repeat(own.astype(np.uint64), sizes) << np.uint64(32) | hashed
+        of = np.ones(len(used), dtype=np.int64)
+        of[own] = n_parts
+        pair = np.repeat(own, sizes) << ID_BITS | ids
         order = np.argsort(pair, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
-        context, customers = (pair[order[first]] >> np.uint64(32)).astype(np.int64), np.add.reduceat(c[order].astype(np.int64), first)
-        discount, tables = seating(context, customers, 10.0 ** (p[order[first]] / LOG_PARTS), parts(guests), key[0].as_py(), sweeps)
-        left = np.empty(len(pair), dtype=np.float32)
-        left[order] = np.repeat(customers - discount * tables, np.diff(np.append(first, len(pair))))
-        off = discount * np.bincount(context, weights=tables, minlength=len(used))
+        context, customers = pair[order[first]] >> ID_BITS, np.add.reduceat(c[order].astype(np.int64), first)
+        discount, tables = seating(context, customers, 10.0 ** (p[order[first]] / LOG_PARTS), of, key[0].as_py(), sweeps)
+        seated = np.rint(tables * sweeps).astype(np.int32)  # tables of all sweeps, a whole number
+        there = np.empty(len(pair), dtype=np.int64)
+        there[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pair))))
+        off = np.bincount(context, weights=seated, minlength=len(used)).astype(np.int64)
         split = lambda x, like: [squeezed(y) for y in np.split(x, np.cumsum([len(y) for y in like])[:-1])]
-        many, rows = parts(guests) > 1, table.num_rows
-        return pa.table([pa.array(table.column("bucket").to_pylist() + [key[0].as_py()], pa.int64()), pa.array(table.column("g").to_pylist() + [-1], pa.int64()), pa.array([PAIRS] * rows + [TOTALS], pa.int32()), pa.array([*split(off[own].astype(np.float32), every["key"]), used[many].tobytes()], pa.binary()), pa.array([*split(left, every["hashed"]), off[many].tobytes()], pa.binary())], names=["bucket", "g", "kind", "counts", "p"])
+        back = reply(key[0].as_py(), table.column("g").to_pylist(), PAIRS, split(customers[there].astype(np.int32), every["c"]), split(seated[there], every["c"]), split(off[own], every["key"]), discount=discount)
+        return pa.concat_tables([back, reply(key[0].as_py(), [-1], TOTALS, [used[of > 1].tobytes()], [(discount * off[of > 1] / sweeps).tobytes()], [None])])
 
     one = materialize(sought.select("bucket", "g", "words").groupBy("bucket").cogroup(words.select("bucket", "words", "counts").groupBy("bucket")).applyInArrow(answer, REPLY), "answers")
     by_group = groups.groupBy("g")
     sent = by_group.cogroup(one.groupBy("g")).applyInArrow(send_pairs, SENT)
     two = materialize(sent.groupBy("bucket").applyInArrow(seat_pairs, REPLY), "pairs")
     # The parts of frequent contexts: at most 4 for each bucket, whatever the input.
-    totals = two.where(F.col("kind") == TOTALS).select("counts", "p").collect()
-    off_of = {k: x for keys, off in totals for k, x in zip(np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(off, np.float64).tolist())}
+    totals = two.where(F.col("kind") == TOTALS).select("a", "b").collect()
+    off_of = {k: x for keys, off in totals for k, x in zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(off, np.float64).tolist())}
     split_off = spark.sparkContext.broadcast(off_of)
 
     def score(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         group = Parsed(table.to_pylist()[0])
-        counts, p = group.answers(replies)
+        counts, p, ranks = group.answers(replies)
         base, spelled = np.log10(counts + 1.0) - base_log, np.zeros(len(counts))
         if total:
             new = counts == 0
             spelled[new] = p[new] - event_log
             p[new] = event_log
             logs = p[group.word]
-            pairs = group.pairs(counts, parts)
-            got = {b: (c, x) for kind, b, c, x in zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "counts", "p"))) if kind == PAIRS}
-            used, _ = bucket_runs(pairs.key, n_buckets)
-            off, left = (np.concatenate([np.zeros(0), *[spread(got[b][i], np.float32) for b in used.tolist()]]) for i in (0, 1))
-            off = np.repeat(off, pairs.sizes())
+            pairs = Pairs(group, counts, ranks, parts, n_buckets)
+            got = {b: x for kind, b, *x in zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "a", "b", "c", "discount"))) if kind == PAIRS}
+            left, off = [np.zeros(0)], [np.zeros(0)]
+            for b in pairs.runs()[0].tolist():
+                customers, tables, seated, discount = got[b]
+                left.append(spread(customers, np.int32) - discount * spread(tables, np.int32) / sweeps)
+                off.append(discount * spread(seated, np.int64) / sweeps)
+            left, off = np.concatenate(left), np.repeat(np.concatenate(off), pairs.sizes())
             whole = np.full(len(counts), np.nan)
             for u in np.flatnonzero(parts(counts) > 1).tolist():
-                keys = restaurant(pairs.hashes[u : u + 1], np.arange(parts(counts[u]), dtype=np.uint64))
+                keys = restaurant(pairs.bucket[u], ranks[u], np.arange(parts(counts[u])), n_buckets)
                 whole[u] = sum(split_off.value.get(k, 0.0) for k in keys.tolist())
             whole = whole[pairs.context]
             off = np.where(np.isnan(whole), off, whole)
