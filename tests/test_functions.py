@@ -268,3 +268,12 @@ def test_ranked_grid(spark):
     pred = spark.createDataFrame([(0.1, "x", "x"), (0.1, "y", "x"), (1.0, "x", "x"), (1.0, "y", "y"), (2.0, "x", "x"), (2.0, "y", "y")], "alpha double, actual string, predicted string")
     got = [tuple(r) for r in B.ranked_grid(pred, "alpha").orderBy("place").collect()]
     assert got == [(1.0, 1.0, 1.0, 1), (2.0, 1.0, 1.0, 2), (0.1, 0.333333, 0.5, 3)]
+
+
+def test_steps_of_the_english_chain_read_once(spark):
+    """What a step is given is worked out once; runs of white space of any kind become a blank, single blanks stay."""
+    for step in (T.expanded, T.urls_replaced):
+        assert str(step(F.upper("t"))).count("upper") == 1
+    assert one(spark, T.collapsed, "\ta  b\nc d \t e\r\n") == "a b c d e"
+    assert one(spark, T.without_emojis, "a\x00☃b\U0001f600 ﻿\xa0€é~\x7f") == "ab \xa0€é~"
+    assert one(spark, T.expanded, "CAN'T gonna, gonnas it's been") == "cannot going to , gonnas it has been"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -19,7 +20,13 @@ def _sub(c: Column, pattern: str, by: str = " ") -> Column:
 
 
 def collapsed(c: Column) -> Column:
-    return F.trim(_sub(c, r"\s+"))
+    """Runs of white space become one blank; single blanks, which are most of them, are not written anew."""
+    return F.trim(_sub(c, r"\s(?:(?<! )|(?=\s))\s*"))
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c where f names c several times: within higher-order functions Spark would work c out for each of them."""
+    return F.transform(F.array(c), f)[0]
 
 
 # Predicates
@@ -38,7 +45,7 @@ def is_valid(c: Column) -> Column:
 
 
 def standardized(c: Column) -> Column:
-    return _sub(_sub(F.lower(c), r"\\n|\n|\r"), "\u2019", "'")
+    return F.replace(_sub(F.lower(c), r"\\n|\n|\r"), F.lit("\u2019"), F.lit("'"))
 
 
 def without_html(c: Column) -> Column:
@@ -50,11 +57,13 @@ def without_html(c: Column) -> Column:
 
 
 def without_emojis(c: Column) -> Column:
-    return _sub(_sub(c, L.EMOJIS, ""), L.CONTROLS, "")
+    """Emojis and control characters go in one pass; plain characters are seen to be neither before any range is looked at."""
+    return _sub(c, rf"[[^\x20-\x7E\xA0-\x{{20FF}}]&&[{L.EMOJIS}{L.CONTROLS}]]", "")
 
 
 def emoticon_pattern() -> str:
-    return rf"(?i)(?<![{Letter}])(?:{'|'.join(L.EMOTICONS)})(?![{Letter}])|{L.SHRUG}"
+    """The first look-ahead holds what emoticons begin with, so that most characters are passed over at once."""
+    return rf"(?i)(?=[:;=8>\-^<\\dtuxo])(?<![{Letter}])(?:{'|'.join(L.EMOTICONS)})(?![{Letter}])|{L.SHRUG}"
 
 
 def without_emoticons(c: Column) -> Column:
@@ -65,15 +74,19 @@ def expanded(c: Column) -> Column:
     """Contractions written out: one pattern finds them all, of those that begin at one place the longest, and what stands
     between them is put together again with their long forms."""
     keys = sorted(L.CONTRACTIONS, key=lambda k: (-len(k), k))
-    pattern = F.lit(rf"(?i)\b(?:{'|'.join(map(re.escape, keys))})\b")
+    plain = "|".join(k for k in keys if "'" not in k)
+    maybe = lambda t: reduce(or_, (F.contains(F.lower(t), F.lit(x)) for x in ["'", *(k for k in keys if "'" not in k)]))
+    # A text, then a word, without an apostrophe or one of the few that have none is passed over.
+    pattern = F.lit(rf"(?i)\b(?=\w++'|{plain})(?:{'|'.join(map(re.escape, keys))})\b")
     forms = F.create_map(*[F.lit(v) for k in keys for v in (k, f" {L.CONTRACTIONS[k]} ")])
-    pieces = F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, pattern, F.lit(0)), lambda rest, found: F.concat(rest, F.coalesce(forms[F.lower(found)], F.lit(""))))
-    return collapsed(F.array_join(pieces, ""))
+    pieces = lambda t: F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, pattern, F.lit(0)), lambda rest, found: F.concat(rest, F.coalesce(forms[F.lower(found)], F.lit(""))))
+    return collapsed(_once(c, lambda t: F.when(maybe(t), F.array_join(pieces(t), "")).otherwise(t)))
 
 
 def urls_replaced(c: Column) -> Column:
     c = _sub(c, r"https?://(?:[a-zA-Z0-9$-_@.&+!*(),]|%[0-9a-fA-F][0-9a-fA-F])+", " url ")
-    return collapsed(_sub(c, r"\bwww\.\S+\.\S+|\b\w+\.\w{2,4}/\S*", " url "))
+    bare = lambda t: _sub(t, r"\b(?:www\.\S+\.\S+|\w++\.\w{2,4}/\S*)", " url ")
+    return collapsed(_once(c, lambda t: F.when(F.contains(t, F.lit("/")) | F.contains(t, F.lit("www.")), bare(t)).otherwise(t)))
 
 
 def mentions_replaced(c: Column, by: str = "people") -> Column:
