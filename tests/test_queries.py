@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from textloom.plans import registry
 from textloom.plans.registry import ORACLE_SQL, QUERIES, selected, selected_sql
 
 TABLES = ("documents", "labels", "embeddings", "pages", "conversations")
@@ -41,3 +42,10 @@ def test_selected_features(spark, sf):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = con.sql(f"SELECT DISTINCT term FROM ({selected_sql(500, 100)})").fetchall()
     assert {r.term for r in selected(spark, sf, 500, 100).select("term").distinct().collect()} == {t for (t,) in want}
+
+
+def test_split_vectors_are_written_once(spark, sf):
+    """Passes over the vectors read files; no pass joins or splits anew."""
+    for part in registry.vector_splits(spark, sf):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan

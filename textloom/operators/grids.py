@@ -220,10 +220,11 @@ def load_gaussian(spark: SparkSession, path: str) -> GaussianModel:
     return GaussianModel(load_projection(spark, f"{path}/projection"), [r.label for r in rows], *[np.array([r[c] for r in rows]) for c in ("means", "variances", "prior")])
 
 
-def _densities(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
-    """Log densities of the rows of x in each class, by products of matrices."""
+def _densities(x: np.ndarray, means: np.ndarray, variances: np.ndarray, squares: np.ndarray | None = None) -> np.ndarray:
+    """Log densities of the rows of x in each class, by products of matrices; ``squares`` are those of x, if they are known."""
+    squares = x * x if squares is None else squares
     const = np.log(2 * np.pi * variances).sum(1) + (means * means / variances).sum(1)
-    return -0.5 * (const + (x * x) @ (1 / variances).T - 2 * x @ (means / variances).T)
+    return -0.5 * (const + squares @ (1 / variances).T - 2 * x @ (means / variances).T)
 
 
 def _coded(rows: DataFrame, labels: list[str]) -> DataFrame:
@@ -278,11 +279,15 @@ def vectors_searched(train: DataFrame, val: DataFrame, test: DataFrame, axes=AXE
     def counts(batch):
         own, scale, each, learned = shared.value
         raw, code = matrix(batch.column("embedding")), batch.column("code").to_numpy()
-        xs = [(prepared(raw, p.mode) - p.center) / p.scale @ p.axes.T for p in own]
-        out = np.zeros((len(each), k, k))
+        out, last = np.zeros((len(each), k, k)), None
         for i, ((m, white, a, _), (means, variances, priors)) in enumerate(zip(each, learned)):
-            x = (xs[m] / scale[m] if white else xs[m])[:, :a]
-            np.add.at(out[i], (code, (_densities(x, means, variances) + priors).argmax(1)), 1)
+            if (m, white) != last:  # runs of one mode, then of one whitening, follow each other
+                if last is None or m != last[0]:
+                    plain = (prepared(raw, own[m].mode) - own[m].center) / own[m].scale @ own[m].axes.T
+                x = plain / scale[m] if white else plain
+                squares, last = x * x, (m, white)
+            found = (_densities(x[:, :a], means, variances, squares[:, :a]) + priors).argmax(1)
+            out[i] = np.bincount(code * k + found, minlength=k * k).reshape(k, k)
         return out
 
     table = tree_sum(judge.where("code IS NOT NULL"), counts, partitions(judge))
