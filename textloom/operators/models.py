@@ -106,15 +106,24 @@ def weighted(tokens: DataFrame, vocab: DataFrame, sublinear: bool = False, lo: i
     return tokens.select(*keys, "tokens").mapInArrow(weigh, _typed(tokens, keys, "term string, weight double"))
 
 
-def vocabulary(counts: DataFrame, n_docs: DataFrame, least: int = 1, most: float = 1.0, features: int | None = None) -> DataFrame:
-    """(term, df, idf) of the terms within the document-frequency limits, the most frequent first; n_docs has one row (n)."""
-    v = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n_docs))
-    v = v.where((F.col("df") >= least) & (F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * most))))
+def within(totals: DataFrame, n_docs: DataFrame, least: int = 1, most: float = 1.0) -> DataFrame:
+    """The terms (term, df, total) within the document-frequency limits; n_docs has one row (n)."""
+    v = totals.crossJoin(F.broadcast(n_docs))
+    return v.where((F.col("df") >= least) & (F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * most))))
+
+
+def most_frequent(v: DataFrame, features: int | None = None) -> DataFrame:
+    """(term, df, idf) of terms (term, df, total, n), the most frequent first."""
     if features:
         v = v.orderBy(F.desc("total"), "term").limit(features)
     return v.select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def vocabulary(counts: DataFrame, n_docs: DataFrame, least: int = 1, most: float = 1.0, features: int | None = None) -> DataFrame:
+    """(term, df, idf) of the terms within the document-frequency limits, the most frequent first; n_docs has one row (n)."""
+    return most_frequent(within(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), n_docs, least, most), features)
+
+
 def tfidf(counts: DataFrame, vocab: DataFrame, sublinear: bool = False) -> DataFrame:
     """(doc_id, term, weight) with rows of length 1."""
     tf = F.log("tf") + 1 if sublinear else F.col("tf")
@@ -130,9 +139,12 @@ def with_label(weights: DataFrame, labels: DataFrame) -> DataFrame:
 
 def chi2(weights: DataFrame, labels: DataFrame) -> DataFrame:
     """(term, score): observed against expected sums of the weights by class. weights may have labels already."""
-    n = labels.agg(F.count("*").alias("n"))
-    shares = labels.groupBy("label").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).select("label", (F.col("c") / F.col("n")).alias("p"))
-    seen = with_label(weights, labels).groupBy("term", "label").agg(F.sum("weight").alias("o"))
+    return chi2_of_sums(with_label(weights, labels).groupBy("term", "label").agg(F.sum("weight").alias("o")), labels.groupBy("label").agg(F.count("*").alias("c")))
+
+
+def chi2_of_sums(seen: DataFrame, classes: DataFrame) -> DataFrame:
+    """(term, score) of the sums of the weights by class (term, label, o) and the classes' sizes (label, c)."""
+    shares = classes.crossJoin(F.broadcast(classes.agg(F.sum("c").alias("n")))).select("label", (F.col("c") / F.col("n")).alias("p"))
     total = seen.groupBy("term").agg(F.sum("o").alias("t"))
     grid = total.crossJoin(F.broadcast(shares)).join(seen, ["term", "label"], "left").fillna(0.0, ["o"])
     e = F.col("p") * F.col("t")
