@@ -20,7 +20,7 @@ from .models import _typed, most_frequent, within
 from .partial import settled
 
 #: Bytes of texts that are cut into words at a time, unless one text has more.
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 2 << 20
 #: Sums that totals are added up in, as a power of two, and how many of them make a row.
 SUMS, ROW = 22, 512
 #: Tasks that add up totals, in all and for each core, at most the larger: each sends a table of all sums.
@@ -107,9 +107,11 @@ def summed(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             for _, _, word, pair in pieces(batch):
                 h = hashes(word)
-                total += np.bincount(np.concatenate([sum_of(h), sum_of(h[pair], h[pair + 1])]), minlength=1 << SUMS)
+                for at in (sum_of(h), sum_of(h[pair], h[pair + 1])):
+                    np.add.at(total, at, 1)
         # by place of the byte: high bytes are zeros, which take no room in shuffle files
-        yield rows(np.arange((1 << SUMS) // ROW), total.view(np.uint8).reshape(-1, ROW, 8).transpose(0, 2, 1))
+        for at in np.split(np.arange((1 << SUMS) // ROW), 16):
+            yield rows(at, total.reshape(-1, ROW)[at].view(np.uint8).reshape(-1, ROW, 8).transpose(0, 2, 1))
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
@@ -237,9 +239,15 @@ def class_sums(texts: DataFrame, known: Terms, sublinear: bool = False) -> DataF
         for batch in batches:
             coded = batch.column("label").dictionary_encode(null_encoding="encode")
             label, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+            keys, sums = [], []
             for row, term, weight in known.weights(batch, sublinear):
                 key, own = np.unique(term * n + label[row], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key % n)), known.names.take(pa.array(key // n)), pa.array(np.bincount(own, weights=weight))], names=["label", "term", "o"])
+                keys.append(key)
+                sums.append(np.bincount(own, weights=weight))
+            if keys:
+                key, own = np.unique(np.concatenate(keys), return_inverse=True)
+                o = np.bincount(own, weights=np.concatenate(sums))
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key % n)), known.names.take(pa.array(key // n)), pa.array(o)], names=["label", "term", "o"])
 
     return texts.select("label", "text").mapInArrow(add, _typed(texts, ["label"], "term string, o double")).groupBy("term", "label").agg(F.sum("o").alias("o"))
 
