@@ -35,7 +35,8 @@ def letters() -> np.ndarray:
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(row, word) of the runs of letters of texts, as ``functions.text.words`` has them of texts in lower case."""
+    """(row, word) of the runs of letters of texts, as ``functions.text.words`` has them of texts in lower case, but for letters
+    that are newer than Java's."""
     texts = pc.fill_null(texts, "") if texts.null_count else texts
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     lo, hi = int(offsets[0]), int(offsets[-1])
